@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablecensus.operators.usage import daily_usage
-from tablecensus.schemas import ID_COLS, TABLE_TYPES
+from tablecensus.schemas import CATALOG_SCHEMA, ID_COLS, TABLE_TYPES
 
 AS_OF = dt.date(2001, 8, 1)
 EXCLUDED = ["audit_log"]
@@ -51,18 +51,19 @@ def catalog(spark: SparkSession, folder: str) -> DataFrame:
     return keyed_catalog(spark, folder).drop("k")
 
 
-def _with_ids(df: DataFrame) -> DataFrame:
-    return df.withColumnsRenamed(
-        dict(zip(["table_catalog", "table_schema", "table_name"], ID_COLS))
+def keyed_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Part key and table id."""
+    return keyed_catalog(spark, folder).select(
+        "k", *[F.col(c).alias(i) for c, i in zip(CATALOG_SCHEMA.names, ID_COLS)]
     )
 
 
 def ids_of(spark: SparkSession, folder: str, *keys: int) -> DataFrame:
     """The ids of the tables with the given part keys, of all without keys."""
-    tables = keyed_catalog(spark, folder)
+    tables = keyed_ids(spark, folder)
     if keys:
         tables = tables.where(F.col("k").isin(list(keys)))
-    return _with_ids(tables).select(*ID_COLS)
+    return tables.select(*ID_COLS)
 
 
 def job_log(spark: SparkSession, folder: str) -> DataFrame:
@@ -71,8 +72,7 @@ def job_log(spark: SparkSession, folder: str) -> DataFrame:
         F.col("l_suppkey").alias("user_id"),
         F.to_date("l_shipdate").alias("dt"),
     )
-    tables = _with_ids(keyed_catalog(spark, folder)).select("k", *ID_COLS)
-    return jobs.join(tables, "k").select(*ID_COLS, "user_id", "dt")
+    return jobs.join(keyed_ids(spark, folder), "k").select(*ID_COLS, "user_id", "dt")
 
 
 def usage(spark: SparkSession, folder: str) -> DataFrame:
@@ -80,7 +80,7 @@ def usage(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def owners(spark: SparkSession, folder: str) -> DataFrame:
-    tables = _with_ids(keyed_catalog(spark, folder)).where(F.col("k") % 3 == 0)
+    tables = keyed_ids(spark, folder).where(F.col("k") % 3 == 0)
     suppliers = read(spark, folder, "supplier").select(
         F.col("s_suppkey").alias("k"), F.col("s_name").alias("data_owner")
     )
@@ -92,8 +92,7 @@ def links(spark: SparkSession, folder: str) -> DataFrame:
 
     One end of every link is the table itself, so one join finds both ends.
     """
-    tables = _with_ids(keyed_catalog(spark, folder))
-    me = tables.select(
+    me = keyed_ids(spark, folder).select(
         "k",
         F.col("project_id").alias("project"),
         F.concat_ws(".", *ID_COLS).alias("fqn"),
