@@ -177,13 +177,14 @@ def neighbours(
             for direction in ("upstream", "downstream")
         ],
     )
-    keys, rows, key_bytes = checkpoint(ids.select(*ID_COLS).distinct(), *ID_COLS)
-    if fits_broadcast(rows, key_bytes):
-        pairs = pairs.join(F.broadcast(keys), ID_COLS, "left_semi")
+    keys = checkpoint(ids.select(*ID_COLS).distinct(), ID_COLS)
+    few = fits_broadcast(keys)
+    if few:
+        pairs = pairs.join(F.broadcast(keys.df), ID_COLS, "left_semi")
     counted = pairs.groupBy(*pairs.columns).agg(F.count(F.lit(1)).alias("link_count"))
-    if not fits_broadcast(rows, key_bytes):
-        counted = salted_join(counted, keys, ID_COLS, "left_semi", FAR_COLS)
-    return counted
+    if few:
+        return counted
+    return salted_join(counted, keys.df, ID_COLS, "left_semi", FAR_COLS)
 
 
 def neighbour_pages(found: DataFrame, page_size: int = 10_000) -> DataFrame:

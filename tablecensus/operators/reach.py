@@ -1,73 +1,116 @@
 """Lineage followed from root tables, level by level."""
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablecensus.functions.ids import fqn
 from tablecensus.operators.lineage import DEFAULT_LOCATION, FAR_COLS, edges
-from tablecensus.operators.skew import fits_broadcast, hint_by_size
+from tablecensus.operators.skew import fits_broadcast
 from tablecensus.schemas import ID_COLS
-from tablecensus.session import checkpoint
+from tablecensus.session import Stored, checkpoint
 
-# Levels after which the pieces of the visited set are written as one.
+# Levels per job while the whole graph is small enough to broadcast.
+HOPS = 4
+# Rounds after which the pieces of the visited set are written as one.
 COMPACT_EVERY = 8
 
 
-class Reach:
-    """Everything a search reached, with the measured size of its key text."""
+def _hint(stored: Stored) -> DataFrame:
+    return F.broadcast(stored.df) if fits_broadcast(stored) else stored.df
 
-    def __init__(self, tables: DataFrame, rows: int, key_bytes: int):
-        self.tables = tables
-        self.rows = rows
-        self.key_bytes = key_bytes
 
-    def hinted(self) -> DataFrame:
-        return hint_by_size(self.tables, self.rows, self.key_bytes)
+def _one_hop(frontier: Stored, steps: DataFrame) -> DataFrame:
+    """The neighbours of the frontier, whatever the size of the graph.
+
+    A frontier small by measure is broadcast and the steps are only scanned. A
+    larger one meets them in a shuffle fed by two plain scans, the shape in
+    which AQE splits a source that has a large share of all steps.
+    """
+    return (
+        steps.join(_hint(frontier), ID_COLS)
+        .select(
+            *[F.col(f).alias(c) for c, f in zip(ID_COLS, FAR_COLS)],
+            (F.col("depth") + 1).alias("depth"),
+        )
+        .distinct()
+    )
+
+
+def _several_hops(frontier: Stored, steps: DataFrame) -> DataFrame:
+    """The frontier and everything up to ``HOPS`` links away, in one job.
+
+    Only for steps small by measure: they are broadcast once for all hops. Each
+    hop passes on the tables it already has and adds their neighbours.
+    """
+    here = F.struct(*ID_COLS, "depth")
+    there = F.struct(
+        *[F.col(f).alias(c) for c, f in zip(ID_COLS, FAR_COLS)],
+        (F.col("depth") + 1).alias("depth"),
+    )
+    steps = F.broadcast(steps.withColumn("linked", F.lit(True)))
+    found = frontier.df
+    for _ in range(HOPS):
+        found = (
+            found.join(steps, ID_COLS, "left")
+            .select(F.inline(F.when(F.col("linked"), F.array(here, there)).otherwise(F.array(here))))
+            .groupBy(*ID_COLS)
+            .agg(F.min("depth").alias("depth"))
+        )
+    return found
 
 
-def follow(roots: DataFrame, steps: DataFrame, max_levels: int | None = None) -> Reach:
+def follow(roots: DataFrame, steps: Stored, max_levels: int | None = None) -> Stored:
     """All tables reachable from ``roots`` over ``steps``, each with its least depth.
 
-    ``steps`` has one row per own id and far id and should be checkpointed: every
-    level reads it once. A small frontier is broadcast, so the steps stay where
-    they are; a large one is joined by a shuffle straight from two scans, where
-    AQE splits a hot source. A visited table is never expanded again, so cycles end.
+    ``steps`` has distinct pairs of own and far id. What a round finds is met by
+    everything reached before, so a table is expanded once and cycles end. Each
+    round is one job that also tells whether another one is needed.
     """
+    few_steps = fits_broadcast(steps)
+    hops = HOPS if few_steps else 1
     start = roots.select(*ID_COLS).distinct().withColumn("depth", F.lit(0))
-    frontier = Reach(*checkpoint(start, *ID_COLS))
-    reached = frontier
-    level = 0
+    frontier = checkpoint(start, ID_COLS)
+    pieces = [frontier.df]
+    rows, key_bytes = frontier.rows, frontier.key_bytes
+    depth = 0
     while frontier.rows:
-        if max_levels is not None and level > max_levels:
-            raise RuntimeError(f"lineage goes deeper than {max_levels} levels")
-        level += 1
-        hop = (
-            steps.join(frontier.hinted(), ID_COLS)
-            .select(
-                *[F.col(f).alias(c) for c, f in zip(ID_COLS, FAR_COLS)],
-                (F.col("depth") + 1).alias("depth"),
-            )
-            .distinct()
+        found = (_several_hops if few_steps else _one_hop)(frontier, steps.df)
+        reached = Stored(
+            reduce(DataFrame.unionByName, pieces).select(*ID_COLS), rows, key_bytes, {}
+        )
+        frontier = checkpoint(
+            found.join(_hint(reached), ID_COLS, "left_anti"),
+            ID_COLS,
+            deepest=F.max("depth"),
         )
-        seen = Reach(reached.tables.select(*ID_COLS), reached.rows, reached.key_bytes)
-        frontier = Reach(*checkpoint(hop.join(seen.hinted(), ID_COLS, "left_anti"), *ID_COLS))
         if not frontier.rows:
             break
-        together = reached.tables.unionByName(frontier.tables)
-        if level % COMPACT_EVERY == 0:
-            together = checkpoint(together)[0]
-        reached = Reach(
-            together,
-            reached.rows + frontier.rows,
-            reached.key_bytes + frontier.key_bytes,
-        )
-    return reached
+        deepest = frontier.measured["deepest"]
+        if max_levels is not None and deepest > max_levels:
+            raise RuntimeError(f"lineage goes deeper than {max_levels} levels")
+        depth += hops
+        rows += frontier.rows
+        key_bytes += frontier.key_bytes
+        pieces.append(frontier.df)
+        if deepest < depth:
+            break
+        if len(pieces) > COMPACT_EVERY:
+            pieces = [checkpoint(reduce(DataFrame.unionByName, pieces)).df]
+    return Stored(reduce(DataFrame.unionByName, pieces), rows, key_bytes, {})
 
 
-def _steps(links, allowed_projects, location, match_sharded) -> DataFrame:
-    return checkpoint(edges(links, allowed_projects, location, match_sharded).distinct())[0]
+def _steps(
+    links: DataFrame,
+    allowed_projects: Sequence[str] | None,
+    location: str,
+    match_sharded: bool,
+) -> Stored:
+    """The graph itself: far smaller than the links, which repeat per job run."""
+    found = edges(links, allowed_projects, location, match_sharded)
+    return checkpoint(found.distinct(), [*ID_COLS, *FAR_COLS])
 
 
 def reachable_tables(
@@ -80,7 +123,7 @@ def reachable_tables(
 ) -> DataFrame:
     """The roots and all tables downstream of them, with ``depth`` in links."""
     steps = _steps(links, allowed_projects, location, match_sharded)
-    return follow(roots, steps, max_levels).tables
+    return follow(roots, steps, max_levels).df
 
 
 def leaf_tables_from_roots(
@@ -97,16 +140,17 @@ def leaf_tables_from_roots(
     upstream count ignores the fence.
     """
     steps = _steps(links, allowed_projects, location, match_sharded)
-    reach = follow(roots, steps, max_levels)
+    reached = follow(roots, steps, max_levels)
+    sources = steps.df
     into = edges(links, None, location, match_sharded, "upstream")
-    if fits_broadcast(reach.rows, reach.key_bytes):
-        # few tables: drop the links and steps of all others before any shuffle
-        wanted = F.broadcast(reach.tables.select(*ID_COLS))
-        steps = steps.join(wanted, ID_COLS, "left_semi")
+    if fits_broadcast(reached):
+        # few tables: drop the steps and links of all others before any shuffle
+        wanted = F.broadcast(reached.df.select(*ID_COLS))
+        sources = sources.join(wanted, ID_COLS, "left_semi")
         into = into.join(wanted, ID_COLS, "left_semi")
     counts = into.groupBy(*ID_COLS).agg(F.count(F.lit(1)).alias("upstream_count"))
     return (
-        reach.tables.join(steps.select(*ID_COLS).distinct(), ID_COLS, "left_anti")
+        reached.df.join(sources.select(*ID_COLS).distinct(), ID_COLS, "left_anti")
         .join(counts, ID_COLS, "left")
         .select(
             *ID_COLS,

@@ -9,19 +9,16 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablecensus.session import Stored
+
 # Key text up to this size may be sent to every executor.
 BROADCAST_BYTES = 32 * 1024 * 1024
 ROW_OVERHEAD_BYTES = 64
 
 
-def fits_broadcast(rows: int, key_bytes: int) -> bool:
-    """Whether a measured set of keys is small enough to broadcast."""
-    return key_bytes + rows * ROW_OVERHEAD_BYTES <= BROADCAST_BYTES
-
-
-def hint_by_size(df: DataFrame, rows: int, key_bytes: int) -> DataFrame:
-    """Mark ``df`` for broadcast if its measured size allows; else leave it to AQE."""
-    return F.broadcast(df) if fits_broadcast(rows, key_bytes) else df
+def fits_broadcast(stored: Stored) -> bool:
+    """Whether the measured keys of ``stored`` are few enough to broadcast."""
+    return stored.key_bytes + stored.rows * ROW_OVERHEAD_BYTES <= BROADCAST_BYTES
 
 
 def collapse(df: DataFrame) -> DataFrame:

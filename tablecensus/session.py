@@ -2,8 +2,10 @@
 
 import tempfile
 import uuid
+from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -47,21 +49,32 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def checkpoint(df: DataFrame, *key_columns: str) -> tuple[DataFrame, int, int]:
-    """Cut the lineage of ``df``; also give its rows and the bytes of its key text.
+@dataclass(frozen=True)
+class Stored:
+    """A checkpointed DataFrame and what the checkpoint's own job measured."""
 
-    The two numbers come out of the same job. They are exact or, after a retried
-    task, too high, so a size limit checked against them always holds.
+    df: DataFrame
+    rows: int
+    key_bytes: int
+    measured: dict
+
+
+def checkpoint(df: DataFrame, key_columns: Sequence[str] = (), **measures: Column) -> Stored:
+    """Cut the lineage of ``df``; measure its rows, key text and ``measures`` on the way.
+
+    Sizes are exact or, should a task be run twice, too high, so a limit checked
+    against them always holds.
     """
     shared_folder(df.sparkSession)
-    sizes = Observation()
     key_bytes = sum(
         (F.coalesce(F.octet_length(c), F.lit(0)) for c in key_columns), F.lit(0)
     )
+    seen = Observation()
     done = df.observe(
-        sizes,
+        seen,
         F.count(F.lit(1)).alias("rows"),
-        F.sum(key_bytes.cast("bigint")).alias("bytes"),
+        F.sum(key_bytes.cast("bigint")).alias("key_bytes"),
+        *[measure.alias(name) for name, measure in measures.items()],
     ).checkpoint()
-    seen = sizes.get
-    return done, seen["rows"] or 0, seen["bytes"] or 0
+    found = seen.get
+    return Stored(done, found["rows"], found["key_bytes"] or 0, found)
