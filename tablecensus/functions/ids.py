@@ -45,46 +45,57 @@ def parse_fqn_strict(text: Column) -> Column:
     return F.coalesce(parse_fqn(text), F.raise_error(message))
 
 
-def _without(text: Column, prefix: str) -> Column:
+def _after(text: Column, start: int | Column) -> Column:
+    return F.substr(text, F.lit(start) if isinstance(start, int) else start)
+
+
+def without_sharded(uri: Column) -> Column:
+    """The URI in its plain form: the sharded prefix, if there, is dropped once."""
+    sharded = URI_PREFIX + SHARDED_PREFIX
     return F.when(
-        text.startswith(prefix), F.substr(text, F.lit(len(prefix) + 1))
-    ).otherwise(text)
+        uri.startswith(sharded), F.concat(F.lit(URI_PREFIX), _after(uri, len(sharded) + 1))
+    ).otherwise(uri)
 
 
-def uri_path(uri: Column, strip_sharded: bool = True) -> Column:
-    """What follows the URI prefix (case-sensitive), null for other systems."""
-    path = F.when(
-        uri.startswith(URI_PREFIX), F.substr(uri, F.lit(len(URI_PREFIX) + 1))
-    )
-    return _without(path, SHARDED_PREFIX) if strip_sharded else path
+def uri_parts(uri: Column) -> Column:
+    """The dot-separated parts of a URI known to start with the prefix."""
+    skip = F.when(
+        uri.startswith(URI_PREFIX + SHARDED_PREFIX),
+        F.lit(len(URI_PREFIX + SHARDED_PREFIX) + 1),
+    ).otherwise(F.lit(len(URI_PREFIX) + 1))
+    return F.split(_after(uri, skip), "\\.", -1)
 
 
 def parse_uri(uri: Column) -> Column:
     """The table a link end names as a struct, null if it names no table.
 
-    The sharded prefix is dropped once. Two or four and more parts name no
-    table, which leaves out domain-scoped projects and column-level ends.
+    The prefix is case-sensitive and the sharded prefix is dropped once. Two or
+    four and more parts name no table, which leaves out domain-scoped projects
+    and column-level ends.
     """
-    return _id_struct(F.split(uri_path(uri), "\\.", -1))
+    return F.when(uri.startswith(URI_PREFIX), _id_struct(uri_parts(uri)))
 
 
-def parse_own_uri(uri: Column, project: Column, strip_sharded: bool) -> Column:
-    """The table of ``project`` whose URI is exactly ``uri``, null if there is none.
+def is_own_uri(uri: Column, project: Column) -> Column:
+    """Whether ``uri`` is the URI of a table of ``project``.
 
     Looking a table up compares whole URIs within the table's own project, so
     here the project may hold dots, unlike in :func:`parse_uri`.
     """
-    path = uri_path(uri, strip_sharded)
-    rest = F.substr(path, F.length(project) + 2)
-    parts = F.split(rest, "\\.", 2)
-    return F.when(
-        path.startswith(F.concat(project, F.lit("."))) & (F.size(parts) == 2),
-        F.struct(
-            project.alias("project_id"),
-            F.get(parts, 0).alias("dataset_id"),
-            F.get(parts, 1).alias("table_id"),
-        ),
-    )
+    start = F.concat(F.lit(URI_PREFIX), project, F.lit("."))
+    return uri.startswith(start) & F.contains(_own_rest(uri, project), F.lit("."))
+
+
+def _own_rest(uri: Column, project: Column) -> Column:
+    return _after(uri, F.length(project) + (len(URI_PREFIX) + 2))
+
+
+def own_id(uri: Column, project: Column) -> list[Column]:
+    """The id columns of a URI for which :func:`is_own_uri` holds."""
+    rest = _own_rest(uri, project)
+    dataset = F.substring_index(rest, ".", 1)
+    table = _after(rest, F.length(dataset) + 2)
+    return [c.alias(name) for c, name in zip((project, dataset, table), ID_COLS)]
 
 
 def uri_reject_reason(uri: Column) -> Column:

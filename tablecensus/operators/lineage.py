@@ -12,10 +12,14 @@ from pyspark.sql import functions as F
 
 from tablecensus.functions.flags import has_downstream, has_upstream, is_leaf
 from tablecensus.functions.ids import (
+    URI_PREFIX,
     fqn,
-    parse_own_uri,
+    is_own_uri,
+    own_id,
     parse_uri,
+    uri_parts,
     uri_reject_reason,
+    without_sharded,
 )
 from tablecensus.operators.skew import (
     collapse,
@@ -30,26 +34,25 @@ DEFAULT_LOCATION = "us"
 FAR_COLS = [f"neighbour_{c}" for c in ID_COLS]
 
 
-def _ends(direction: str, match_sharded: bool) -> tuple[Column, Column]:
-    """The own and the far end of a link when looking ``direction``."""
-    own, far = "source_fqn", "target_fqn"
-    if direction == "upstream":
-        own, far = far, own
-    return (
-        parse_own_uri(F.col(own), F.col("link_project"), match_sharded),
-        parse_uri(F.col(far)),
+def _readable(links: DataFrame, location: str) -> DataFrame:
+    """Links of one location between two ends of the right kind; a filter in the scan."""
+    return links.where(
+        (F.col("link_location") == location)
+        & F.col("source_fqn").startswith(URI_PREFIX)
+        & F.col("target_fqn").startswith(URI_PREFIX)
     )
 
 
-def _inside(far: Column, allowed_projects: Sequence[str] | None) -> Column:
-    """The fence; no list and an empty list both mean no fence."""
-    if not allowed_projects:
-        return F.lit(True)
-    return far["project_id"].isin(sorted(set(allowed_projects)))
+def _own_end(name: str, match_sharded: bool) -> Column:
+    return without_sharded(F.col(name)) if match_sharded else F.col(name)
 
 
-def _at(links: DataFrame, location: str) -> DataFrame:
-    return links.where(F.col("link_location") == location)
+def _is_far(parts: str, allowed_projects: Sequence[str] | None = None) -> Column:
+    """A far end names a table, inside the fence; no or an empty list means no fence."""
+    found = F.size(parts) == 3
+    if allowed_projects:
+        found &= F.get(parts, 0).isin(sorted(set(allowed_projects)))
+    return found
 
 
 def edges(
@@ -64,16 +67,22 @@ def edges(
     Repeated links stay repeated. Only the far end is fenced. Own ends written
     in the sharded form are found only with ``match_sharded``.
     """
-    own, far = _ends(direction, match_sharded)
+    own, far = "source_fqn", "target_fqn"
+    if direction == "upstream":
+        own, far = far, own
+    project = F.col("link_project")
     return (
-        _at(links, location)
-        .select(own.alias("own"), far.alias("far"))
-        .where(
-            F.col("own").isNotNull()
-            & F.col("far").isNotNull()
-            & _inside(F.col("far"), allowed_projects)
+        _readable(links, location)
+        .select(
+            "link_project",
+            _own_end(own, match_sharded).alias("own"),
+            uri_parts(F.col(far)).alias("far"),
+        )
+        .where(is_own_uri(F.col("own"), project) & _is_far("far", allowed_projects))
+        .select(
+            *own_id(F.col("own"), project),
+            *[F.get("far", i).alias(c) for i, c in enumerate(FAR_COLS)],
         )
-        .select("own.*", *[F.col(f"far.{c}").alias(f) for c, f in zip(ID_COLS, FAR_COLS)])
     )
 
 
@@ -87,25 +96,34 @@ def link_degrees(
 
     Links are counted, not tables. The fence holds for ``downstream_count`` only.
     """
-    down_own, down_far = _ends("downstream", match_sharded)
-    up_own, up_far = _ends("upstream", match_sharded)
-    feeds = down_far.isNotNull() & _inside(down_far, allowed_projects)
+    project, source, target = F.col("link_project"), F.col("source"), F.col("target")
     one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
-    as_source = F.struct(
-        F.when(feeds, down_own).alias("own"),
-        one.alias("downstream_count"),
-        zero.alias("upstream_count"),
-    )
-    as_target = F.struct(
-        F.when(up_far.isNotNull(), up_own).alias("own"),
-        zero.alias("downstream_count"),
-        one.alias("upstream_count"),
+
+    def end(uri, usable, down, up):
+        return F.when(
+            is_own_uri(uri, project) & usable,
+            F.struct(
+                *own_id(uri, project),
+                down.alias("downstream_count"),
+                up.alias("upstream_count"),
+            ),
+        )
+
+    ends = F.array(
+        end(source, _is_far("target_parts", allowed_projects), one, zero),
+        end(target, _is_far("source_parts"), zero, one),
     )
     return (
-        _at(links, location)
-        .select(F.inline(F.array(as_source, as_target)))
-        .where(F.col("own").isNotNull())
-        .groupBy(*[F.col(f"own.{c}").alias(c) for c in ID_COLS])
+        _readable(links, location)
+        .select(
+            "link_project",
+            _own_end("source_fqn", match_sharded).alias("source"),
+            _own_end("target_fqn", match_sharded).alias("target"),
+            uri_parts(F.col("source_fqn")).alias("source_parts"),
+            uri_parts(F.col("target_fqn")).alias("target_parts"),
+        )
+        .select(F.inline(F.array_compact(ends)))
+        .groupBy(*ID_COLS)
         .agg(
             F.sum("downstream_count").alias("downstream_count"),
             F.sum("upstream_count").alias("upstream_count"),

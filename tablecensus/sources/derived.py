@@ -11,39 +11,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablecensus.operators.usage import daily_usage
-from tablecensus.schemas import CATALOG_SCHEMA, ID_COLS, TABLE_TYPES
+from tablecensus.schemas import CATALOG_SCHEMA, ID_COLS
 
 AS_OF = dt.date(2001, 8, 1)
 EXCLUDED = ["audit_log"]
 PROJECTS = ["project-a", "project-b", "project-c", "project-d", "project-e"]
 
-_DATASET_OF_TYPE = {
-    "PROMO": "test_promo",
-    "SMALL": "testing",
-    "LARGE": "audit_log",
-    "MEDIUM": "test",
+# Columns read of each given table; stating them saves a look into the files.
+COLUMNS = {
+    "part": "p_partkey bigint, p_type string, p_size int",
+    "lineitem": "l_partkey bigint, l_suppkey bigint, l_shipdate timestamp_ntz",
+    "supplier": "s_suppkey bigint, s_name string",
+    "events": "ts timestamp_ntz, user_id bigint, event_type string",
 }
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spark.read.schema(COLUMNS[name]).parquet(f"{folder}/{name}.parquet")
 
 
 def keyed_catalog(spark: SparkSession, folder: str) -> DataFrame:
     """The catalog and the part key ``k`` behind each table."""
-    dataset = F.lower("p_type")
-    for part_type, name in _DATASET_OF_TYPE.items():
-        dataset = F.when(F.col("p_type") == part_type, F.lit(name)).otherwise(dataset)
-    return read(spark, folder, "part").select(
-        F.col("p_partkey").alias("k"),
-        F.element_at(
-            F.array(*map(F.lit, PROJECTS)), (F.col("p_partkey") % 5 + 1).cast("int")
-        ).alias("table_catalog"),
-        dataset.alias("table_schema"),
-        F.concat(F.lit("part_"), F.col("p_partkey").cast("string")).alias("table_name"),
-        F.element_at(
-            F.array(*map(F.lit, TABLE_TYPES)), (F.col("p_size") % 6 + 1).cast("int")
-        ).alias("table_type"),
+    return read(spark, folder, "part").selectExpr(
+        "p_partkey AS k",
+        "concat('project-', substr('abcde', CAST(p_partkey % 5 AS INT) + 1, 1)) AS table_catalog",
+        "CASE p_type WHEN 'PROMO' THEN 'test_promo' WHEN 'SMALL' THEN 'testing'"
+        " WHEN 'LARGE' THEN 'audit_log' WHEN 'MEDIUM' THEN 'test'"
+        " ELSE lower(p_type) END AS table_schema",
+        "concat('part_', CAST(p_partkey AS STRING)) AS table_name",
+        "CASE p_size % 6 WHEN 0 THEN 'BASE TABLE' WHEN 1 THEN 'VIEW' WHEN 2 THEN 'EXTERNAL'"
+        " WHEN 3 THEN 'CLONE' WHEN 4 THEN 'SNAPSHOT' ELSE 'MATERIALIZED VIEW' END AS table_type",
     )
 
 
@@ -53,8 +50,8 @@ def catalog(spark: SparkSession, folder: str) -> DataFrame:
 
 def keyed_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Part key and table id."""
-    return keyed_catalog(spark, folder).select(
-        "k", *[F.col(c).alias(i) for c, i in zip(CATALOG_SCHEMA.names, ID_COLS)]
+    return keyed_catalog(spark, folder).selectExpr(
+        "k", *[f"{c} AS {i}" for c, i in zip(CATALOG_SCHEMA.names, ID_COLS)]
     )
 
 
@@ -67,10 +64,8 @@ def ids_of(spark: SparkSession, folder: str, *keys: int) -> DataFrame:
 
 
 def job_log(spark: SparkSession, folder: str) -> DataFrame:
-    jobs = read(spark, folder, "lineitem").select(
-        F.col("l_partkey").alias("k"),
-        F.col("l_suppkey").alias("user_id"),
-        F.to_date("l_shipdate").alias("dt"),
+    jobs = read(spark, folder, "lineitem").selectExpr(
+        "l_partkey AS k", "l_suppkey AS user_id", "to_date(l_shipdate) AS dt"
     )
     return jobs.join(keyed_ids(spark, folder), "k").select(*ID_COLS, "user_id", "dt")
 
@@ -80,10 +75,10 @@ def usage(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def owners(spark: SparkSession, folder: str) -> DataFrame:
-    tables = keyed_ids(spark, folder).where(F.col("k") % 3 == 0)
-    suppliers = read(spark, folder, "supplier").select(
-        F.col("s_suppkey").alias("k"), F.col("s_name").alias("data_owner")
+    suppliers = read(spark, folder, "supplier").selectExpr(
+        "s_suppkey AS k", "s_name AS data_owner"
     )
+    tables = keyed_ids(spark, folder).where("k % 3 = 0")
     return tables.join(suppliers, "k").select(*ID_COLS, "data_owner")
 
 
@@ -92,72 +87,50 @@ def links(spark: SparkSession, folder: str) -> DataFrame:
 
     One end of every link is the table itself, so one join finds both ends.
     """
-    me = keyed_ids(spark, folder).select(
+    me = keyed_ids(spark, folder).selectExpr(
         "k",
-        F.col("project_id").alias("project"),
-        F.concat_ws(".", *ID_COLS).alias("fqn"),
-        F.when(F.col("k") >= 1, F.expr("(k - 1) div 2")).alias("parent"),
+        "project_id AS p",
+        "concat(project_id, '.', dataset_id, '.', table_id) AS f",
+        "IF(k >= 1, (k - 1) div 2, NULL) AS parent_k",
     )
-    parents = me.select(
-        F.col("k").alias("parent"),
-        F.col("project").alias("parent_project"),
-        F.col("fqn").alias("parent_fqn"),
+    parents = me.selectExpr("k AS parent_k", "p AS parent_p", "f AS parent_f")
+    own, parent = "k, p, f", "parent_k, parent_p, parent_f"
+    kinds = [
+        # kind, source, target, condition on the table
+        ("tree", parent, own, "parent_f IS NOT NULL"),
+        ("tree", parent, own, "parent_f IS NOT NULL AND k % 7 = 0"),
+        ("self", own, own, "k % 97 = 5"),
+        ("back", own, parent, "parent_f IS NOT NULL AND k % 101 = 50"),
+        ("ext", own, own, "k % 13 = 1"),
+        ("extsrc", own, own, "k % 19 = 2"),
+    ]
+    ends = "kind string, sk bigint, sp string, sf string, tk bigint, tp string, tf string"
+    struct_type = "struct<" + ends.replace(" ", ": ").replace(",:", ",") + ">"
+    each_kind = ", ".join(
+        f"IF({when}, CAST(struct('{kind}', {source}, {target}) AS {struct_type}), NULL)"
+        for kind, source, target, when in kinds
     )
-    own = F.struct(F.col("k").alias("k"), F.col("project").alias("p"), F.col("fqn").alias("f"))
-    parent = F.struct(
-        F.col("parent").alias("k"),
-        F.col("parent_project").alias("p"),
-        F.col("parent_fqn").alias("f"),
-    )
-    k = F.col("k")
-    has_parent = F.col("parent_fqn").isNotNull()
-
-    def link(kind, source, target, when):
-        return F.when(
-            when, F.struct(F.lit(kind).alias("kind"), source.alias("s"), target.alias("t"))
+    return (
+        me.join(parents, "parent_k", "left")
+        .selectExpr(f"inline(array_compact(array({each_kind})))")
+        .selectExpr(
+            "sp",
+            "tp",
+            "tk",
+            "CASE WHEN kind = 'extsrc' THEN 'spanner:inst.db.s'"
+            " WHEN sk % 17 = 16 THEN concat('bigquery:sharded:', sf)"
+            " ELSE concat('bigquery:', sf) END AS source_fqn",
+            "CASE WHEN kind = 'ext' AND tk % 3 = 0 THEN 'spanner:inst.db.t'"
+            " WHEN kind = 'ext' AND tk % 3 = 1 THEN 'bigquery:p.d'"
+            " WHEN kind = 'ext' THEN 'bigquery:x.com:p.d.t.c'"
+            " WHEN tk % 11 = 0 THEN concat('bigquery:sharded:', tf)"
+            " ELSE concat('bigquery:', tf) END AS target_fqn",
+            "IF(tk % 29 = 28, 'eu', 'us') AS link_location",
         )
-
-    kinds = F.array(
-        link("tree", parent, own, has_parent),
-        link("tree", parent, own, has_parent & (k % 7 == 0)),
-        link("self", own, own, k % 97 == 5),
-        link("back", own, parent, has_parent & (k % 101 == 50)),
-        link("ext", own, own, k % 13 == 1),
-        link("extsrc", own, own, k % 19 == 2),
-    )
-    sharded, plain = F.lit("bigquery:sharded:"), F.lit("bigquery:")
-    s, t = "l.s", "l.t"
-    no_table = F.col("l.kind") == "ext"
-    target_k = F.col(f"{t}.k")
-    ends = (
-        me.join(parents, "parent", "left")
-        .select(F.explode(F.array_compact(kinds)).alias("l"))
-        .select(
-            F.col(f"{s}.p").alias("sp"),
-            F.col(f"{t}.p").alias("tp"),
-            target_k.alias("tk"),
-            F.when(F.col("l.kind") == "extsrc", F.lit("spanner:inst.db.s"))
-            .when(F.col(f"{s}.k") % 17 == 16, F.concat(sharded, F.col(f"{s}.f")))
-            .otherwise(F.concat(plain, F.col(f"{s}.f")))
-            .alias("source_fqn"),
-            F.when(no_table & (target_k % 3 == 0), F.lit("spanner:inst.db.t"))
-            .when(no_table & (target_k % 3 == 1), F.lit("bigquery:p.d"))
-            .when(no_table, F.lit("bigquery:x.com:p.d.t.c"))
-            .when(target_k % 11 == 0, F.concat(sharded, F.col(f"{t}.f")))
-            .otherwise(F.concat(plain, F.col(f"{t}.f")))
-            .alias("target_fqn"),
-            F.when(target_k % 29 == 28, F.lit("eu")).otherwise(F.lit("us")).alias("link_location"),
+        .selectExpr(
+            "inline(array_compact(array("
+            "struct(sp AS link_project, link_location, source_fqn, target_fqn),"
+            "IF(tp <> sp AND tk % 10 <> 0,"
+            " struct(tp AS link_project, link_location, source_fqn, target_fqn), NULL))))"
         )
     )
-    recorded = F.array_compact(
-        F.array(
-            F.col("sp"),
-            F.when((F.col("tp") != F.col("sp")) & (F.col("tk") % 10 != 0), F.col("tp")),
-        )
-    )
-    return ends.select(
-        F.explode(recorded).alias("link_project"),
-        "link_location",
-        "source_fqn",
-        "target_fqn",
-    )
