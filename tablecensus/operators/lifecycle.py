@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablecensus.functions.flags import is_candidate, is_checked, is_unused
+from tablecensus.operators.lineage import DEFAULT_LOCATION, keep_leaves
 from tablecensus.operators.skew import collapse, expand
 from tablecensus.schemas import ID_COLS, TABLE_COLS
 
@@ -27,39 +28,50 @@ def discovered(tables: DataFrame) -> DataFrame:
     )
 
 
-def _attach(lifecycle: DataFrame, facts: DataFrame, column: str) -> DataFrame:
-    """Set ``column`` where ``facts``, unique by id, has a row; keep it elsewhere."""
-    ids = [F.col(f"table.{c}").alias(c) for c in ID_COLS]
-    attached = (
-        collapse(lifecycle.select(*LIFECYCLE_COLS))
-        .select("*", *ids)
-        .join(facts.withColumnRenamed("fact", "new"), ID_COLS, "left")
-        .withColumn(column, F.coalesce("new", column))
-        .select(*LIFECYCLE_COLS, "copies")
+def _usage_facts(counts: DataFrame) -> DataFrame:
+    return counts.groupBy(*ID_COLS).agg(
+        F.max("job_count").alias("job_count"), F.max("unique_user").alias("unique_user")
+    ).select(*ID_COLS, F.struct("job_count", "unique_user").alias("new_usage_info"))
+
+
+def _owner_facts(owners: DataFrame) -> DataFrame:
+    return owners.groupBy(*ID_COLS).agg(
+        F.struct(F.min("data_owner").alias("data_owner")).alias("new_deletion_info")
     )
-    return expand(attached)
 
 
-def with_usage_info(lifecycle: DataFrame, counts: DataFrame) -> DataFrame:
-    """Replace the usage of the tables in ``counts``; deletion info stays.
+def with_info(
+    lifecycle: DataFrame,
+    counts: DataFrame | None = None,
+    owners: DataFrame | None = None,
+) -> DataFrame:
+    """Set usage for the tables in ``counts`` and deletion info for those in ``owners``.
 
-    ``counts`` has a row for every table that was checked, also those not used.
+    What a table already has is replaced, and kept where there is nothing new.
+    ``counts`` has a row for every checked table, also for those not used. A
+    table with several owners gets the first by name.
     """
-    facts = counts.groupBy(*ID_COLS).agg(
-        F.max(F.struct("job_count", "unique_user")).alias("fact")
+    facts = {}
+    if counts is not None:
+        facts["usage_info"] = _usage_facts(counts)
+    if owners is not None:
+        facts["deletion_info"] = _owner_facts(owners)
+    merged = collapse(lifecycle.select(*LIFECYCLE_COLS)).select(
+        "*", *[F.col(f"table.{c}").alias(c) for c in ID_COLS]
     )
-    return _attach(lifecycle, facts, "usage_info")
+    for column, new in facts.items():
+        merged = merged.join(new, ID_COLS, "left").withColumn(
+            column, F.coalesce(f"new_{column}", column)
+        )
+    return expand(merged.select(*LIFECYCLE_COLS, "copies"))
 
 
-def with_deletion_info(lifecycle: DataFrame, owners: DataFrame) -> DataFrame:
-    """Replace the deletion info of the tables in ``owners``; usage stays.
+def with_usage_info(lifecycle: DataFrame, counts: DataFrame) -> DataFrame:
+    return with_info(lifecycle, counts=counts)
 
-    A table with several owners gets the first by name.
-    """
-    facts = owners.groupBy(*ID_COLS).agg(
-        F.struct(F.min("data_owner").alias("data_owner")).alias("fact")
-    )
-    return _attach(lifecycle, facts, "deletion_info")
+
+def with_deletion_info(lifecycle: DataFrame, owners: DataFrame) -> DataFrame:
+    return with_info(lifecycle, owners=owners)
 
 
 def flatten_analyzed(lifecycle: DataFrame) -> DataFrame:
@@ -89,12 +101,15 @@ def unused_tables(analyzed: DataFrame, threshold: int = 0) -> DataFrame:
 
 
 def unused_leaves(
-    analyzed: DataFrame, leaves: DataFrame, threshold: int = 0
+    analyzed: DataFrame,
+    links: DataFrame,
+    allowed_projects: Sequence[str] | None = None,
+    threshold: int = 0,
+    location: str = DEFAULT_LOCATION,
 ) -> DataFrame:
-    """Tables nobody uses and that feed nothing: safe to look at first."""
-    unique = leaves.groupBy(*ID_COLS).agg(F.max("upstream_count").alias("upstream_count"))
-    unused = collapse(unused_tables(analyzed, threshold))
-    return expand(unused.join(unique, ID_COLS))
+    """Tables nobody uses and that feed nothing: the first to look at."""
+    unused = unused_tables(analyzed, threshold)
+    return keep_leaves(unused, links, allowed_projects, location)
 
 
 def usage_summary(

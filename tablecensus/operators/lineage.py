@@ -122,7 +122,8 @@ def link_degrees(
             uri_parts(F.col("source_fqn")).alias("source_parts"),
             uri_parts(F.col("target_fqn")).alias("target_parts"),
         )
-        .select(F.inline(F.array_compact(ends)))
+        .select(F.inline(ends))
+        .where(F.col("project_id").isNotNull())
         .groupBy(*ID_COLS)
         .agg(
             F.sum("downstream_count").alias("downstream_count"),
@@ -229,28 +230,43 @@ def neighbour_pages(found: DataFrame, page_size: int = 10_000) -> DataFrame:
     )
 
 
-def leaf_tables(
-    ids: DataFrame,
+def keep_leaves(
+    tables: DataFrame,
     links: DataFrame,
     allowed_projects: Sequence[str] | None = None,
     location: str = DEFAULT_LOCATION,
     match_sharded: bool = False,
 ) -> DataFrame:
-    """Those of the given tables that feed no table inside the fence.
+    """Rows of ``tables`` that feed no table inside the fence, with ``upstream_count``.
 
-    An id given twice comes out twice.
+    Rows come out as often as they went in. They are collapsed on the way, so an
+    id that fills a third of the list is one row when it meets its links.
     """
     degrees = link_degrees(links, allowed_projects, location, match_sharded)
     leaves = (
-        collapse(ids.select(*ID_COLS))
+        collapse(tables)
         .join(degrees, ID_COLS, "left")
-        .select(*ID_COLS, _degree("downstream_count"), _degree("upstream_count"), "copies")
+        .select(*tables.columns, _degree("downstream_count"), _degree("upstream_count"), "copies")
         .where(is_leaf())
-        .select(*ID_COLS, fqn().alias("fqn"), "upstream_count", "copies")
+        .drop("downstream_count")
     )
     return expand(leaves)
 
 
+def leaf_tables(
+    ids: DataFrame,
+    links: DataFrame,
+    allowed_projects: Sequence[str] | None = None,
+    location: str = DEFAULT_LOCATION,
+    match_sharded: bool = False,
+) -> DataFrame:
+    """Those of the given ids that are leaves; an id given twice comes out twice."""
+    leaves = keep_leaves(
+        ids.select(*ID_COLS), links, allowed_projects, location, match_sharded
+    )
+    return leaves.select(*ID_COLS, fqn().alias("fqn"), "upstream_count")
+
+
 def normalise_links(links: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Links between two readable tables as plain ids, and the others with a reason."""
     reasons = [

@@ -79,11 +79,15 @@ def merge_listings(listings: Sequence[DataFrame]) -> DataFrame:
 
 
 def dedup_tables(tables: DataFrame, order_by: Sequence[str] = ()) -> DataFrame:
-    """One row per table id: the first by ``order_by``, then by the other columns."""
+    """One row per table id: the first by ``order_by``, then by the other columns.
+
+    Equal rows go first, by hashing; only what differs is sorted to find the least.
+    """
     others = [c for c in tables.columns if c not in ID_COLS]
     ranked = [*order_by, *[c for c in others if c not in order_by]]
     return (
-        tables.groupBy(*ID_COLS)
+        tables.distinct()
+        .groupBy(*ID_COLS)
         .agg(F.min(F.struct(*ranked)).alias("first"))
         .select(*ID_COLS, *[F.col(f"first.{c}").alias(c) for c in others])
     )

@@ -141,16 +141,15 @@ def leaf_tables_from_roots(
     """
     steps = _steps(links, allowed_projects, location, match_sharded)
     reached = follow(roots, steps, max_levels)
-    sources = steps.df
+    sources = steps.df.select(*ID_COLS)
+    sources = F.broadcast(sources) if fits_broadcast(steps) else sources.distinct()
     into = edges(links, None, location, match_sharded, "upstream")
     if fits_broadcast(reached):
-        # few tables: drop the steps and links of all others before any shuffle
-        wanted = F.broadcast(reached.df.select(*ID_COLS))
-        sources = sources.join(wanted, ID_COLS, "left_semi")
-        into = into.join(wanted, ID_COLS, "left_semi")
+        # few tables: drop the links into all others before any shuffle
+        into = into.join(F.broadcast(reached.df.select(*ID_COLS)), ID_COLS, "left_semi")
     counts = into.groupBy(*ID_COLS).agg(F.count(F.lit(1)).alias("upstream_count"))
     return (
-        reached.df.join(sources.select(*ID_COLS).distinct(), ID_COLS, "left_anti")
+        reached.df.join(sources, ID_COLS, "left_anti")
         .join(counts, ID_COLS, "left")
         .select(
             *ID_COLS,

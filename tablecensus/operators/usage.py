@@ -4,7 +4,7 @@ import datetime as dt
 from collections.abc import Sequence
 from zoneinfo import ZoneInfo
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -73,18 +73,18 @@ def attach_usage(tables: DataFrame, counts: DataFrame) -> DataFrame:
     return expand(counted)
 
 
+def local_time(df: DataFrame, moment: str = "ts", zone: str = REPORT_ZONE) -> Column:
+    """The wall clock in ``zone``; a time without zone is UTC in any session."""
+    zoneless = isinstance(df.schema[moment].dataType, T.TimestampNTZType)
+    read_in = F.lit("UTC") if zoneless else None
+    return F.convert_timezone(read_in, F.lit(zone), F.col(moment))
+
+
 def with_report_day(
     df: DataFrame, moment: str = "ts", zone: str = REPORT_ZONE
 ) -> DataFrame:
-    """Add ``dt``, the calendar day of ``moment`` in ``zone``.
-
-    A time without zone is taken as UTC whatever zone the session has.
-    """
-    zoneless = isinstance(df.schema[moment].dataType, T.TimestampNTZType)
-    read_in = F.lit("UTC") if zoneless else None
-    return df.withColumn(
-        "dt", F.to_date(F.convert_timezone(read_in, F.lit(zone), F.col(moment)))
-    )
+    """Add ``dt``, the calendar day of ``moment`` in ``zone``."""
+    return df.withColumn("dt", F.to_date(local_time(df, moment, zone)))
 
 
 def daily_usage(

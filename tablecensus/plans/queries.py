@@ -206,18 +206,17 @@ def reachable_tables(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def lifecycle_report(spark: SparkSession, folder: str) -> DataFrame:
-    found = lifecycle.discovered(_tables(spark, folder))
-    checked = lifecycle.with_usage_info(found, _analyzed(spark, folder))
-    owned = lifecycle.with_deletion_info(checked, derived.owners(spark, folder))
-    return lifecycle.lifecycle_report(owned)
+    known = lifecycle.with_info(
+        lifecycle.discovered(_tables(spark, folder)),
+        counts=_analyzed(spark, folder),
+        owners=derived.owners(spark, folder),
+    )
+    return lifecycle.lifecycle_report(known)
 
 
 def unused_leaf_tables(spark: SparkSession, folder: str) -> DataFrame:
     return lifecycle.unused_leaves(
-        _analyzed(spark, folder),
-        lineage.leaf_tables(
-            _tables(spark, folder, CHECKED_PROJECTS), derived.links(spark, folder)
-        ),
+        _analyzed(spark, folder), derived.links(spark, folder)
     )
 
 

@@ -1,0 +1,74 @@
+import sys
+from pathlib import Path
+
+import pytest
+
+sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+sys.path.insert(0, str(Path(__file__).resolve().parent))
+
+from tablecensus.schemas import ID_COLS, LINKS_SCHEMA, TABLES_SCHEMA  # noqa: E402
+from tablecensus.session import local_session  # noqa: E402
+
+IDS = ", ".join(f"{c} string" for c in ID_COLS)
+
+
+@pytest.fixture(scope="session")
+def spark():
+    session = local_session("*", 8)
+    yield session
+    session.stop()
+
+
+@pytest.fixture
+def ids(spark):
+    """Table ids from texts like ``a.raw.events``."""
+    return lambda *texts: spark.createDataFrame([tuple(t.split(".")) for t in texts], IDS)
+
+
+@pytest.fixture
+def tables(spark):
+    def make(*rows):
+        return spark.createDataFrame(
+            [(*fqn.split("."), table_type) for fqn, table_type in rows], TABLES_SCHEMA
+        )
+
+    return make
+
+
+@pytest.fixture
+def links(spark):
+    """Links from pairs of plain ids, recorded under the project of the source.
+
+    A link into another project is recorded there as well, so that both of its
+    ends find it.
+    """
+
+    def make(*pairs, location="us"):
+        rows = []
+        for source, target in pairs:
+            for project in sorted({source.split(".")[0], target.split(".")[0]}):
+                rows.append((project, location, f"bigquery:{source}", f"bigquery:{target}"))
+        return spark.createDataFrame(rows, LINKS_SCHEMA)
+
+    return make
+
+
+@pytest.fixture
+def raw_links(spark):
+    return lambda *rows: spark.createDataFrame(list(rows), LINKS_SCHEMA)
+
+
+@pytest.fixture
+def rows():
+    """Rows of a DataFrame as sorted tuples."""
+    return lambda df: sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+@pytest.fixture(params=["broadcast", "shuffle"])
+def join_mode(request, monkeypatch, spark):
+    """Run a test with everything small enough to broadcast, and with nothing."""
+    if request.param == "shuffle":
+        monkeypatch.setattr("tablecensus.operators.skew.BROADCAST_BYTES", -1)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield request.param
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -1,0 +1,104 @@
+import datetime as dt
+from pathlib import Path
+
+import pytest
+
+from tablecensus.schemas import ANALYZED_SCHEMA, CATALOG_SCHEMA, LEAVES_SCHEMA, USAGE_SCHEMA
+from tablecensus.sources import inputs, outputs
+
+ROWS = [
+    ("p", "d", "table1", "BASE TABLE", 100, 5),
+    ("p", "d", "テーブル", "VIEW", 50, 3),
+    ("p", "d", ' a "quoted", name ', "VIEW", None, None),
+]
+
+
+def content(path, suffix):
+    files = sorted(Path(path).glob(f"*.{suffix}"))
+    return "".join(f.read_text(encoding="utf-8") for f in files)
+
+
+@pytest.mark.parametrize("fmt", ["csv", "json"])
+def test_round_trip(spark, tmp_path, rows, fmt):
+    path = str(tmp_path / "new" / "folder" / "out")
+    given = spark.createDataFrame(ROWS, ANALYZED_SCHEMA)
+    assert outputs.write_analyzed_tables(given, path, fmt) == 3
+    back = outputs.read_export(spark, path, ANALYZED_SCHEMA, fmt)
+    assert rows(back) == sorted(ROWS, key=repr)
+    assert "テーブル" in content(path, fmt)
+
+
+def test_csv_header_and_order(spark, tmp_path):
+    path = str(tmp_path / "out")
+    given = spark.createDataFrame(ROWS[:1], ANALYZED_SCHEMA).coalesce(1)
+    mixed = given.select(*reversed(given.columns), given.table_type.alias("extra"))
+    outputs.write_analyzed_tables(mixed, path)
+    assert content(path, "csv").splitlines() == [
+        "project_id,dataset_id,table_id,table_type,job_count,unique_user",
+        "p,d,table1,BASE TABLE,100,5",
+    ]
+
+
+def test_json_keeps_nulls(spark, tmp_path):
+    path = str(tmp_path / "out")
+    outputs.write_analyzed_tables(spark.createDataFrame(ROWS[2:], ANALYZED_SCHEMA), path, "json")
+    assert '"job_count":null,"unique_user":null' in content(path, "json")
+
+
+def test_leaves_overwrite(spark, tmp_path):
+    path = str(tmp_path / "out")
+    leaf = spark.createDataFrame([("p", "d", "t", "p.d.t", 3)], LEAVES_SCHEMA).coalesce(1)
+    outputs.write_leaf_tables(leaf.unionByName(leaf), path)
+    assert outputs.write_leaf_tables(leaf, path) == 1
+    assert content(path, "csv").splitlines() == [
+        "project_id,dataset_id,table_id,fqn,upstream_count", "p,d,t,p.d.t,3",
+    ]
+
+
+@pytest.mark.parametrize("fmt", ["csv", "json"])
+def test_empty_result_is_written(spark, tmp_path, fmt):
+    path = str(tmp_path / "out")
+    empty = spark.createDataFrame([], ANALYZED_SCHEMA)
+    assert outputs.write_analyzed_tables(empty, path, fmt) == 0
+    assert (tmp_path / "out" / "_SUCCESS").exists()
+    assert outputs.read_export(spark, path, ANALYZED_SCHEMA, fmt).count() == 0
+    if fmt == "csv":
+        assert content(path, "csv").strip() == ",".join(ANALYZED_SCHEMA.names)
+
+
+def test_unsupported_format(spark, tmp_path):
+    given = spark.createDataFrame(ROWS, ANALYZED_SCHEMA)
+    with pytest.raises(ValueError, match="Unsupported format: xml"):
+        outputs.write_analyzed_tables(given, str(tmp_path / "out"), "xml")
+    assert not (tmp_path / "out").exists()
+
+
+def test_daily_usage_replaces_only_its_days(spark, tmp_path, rows):
+    path = str(tmp_path / "usage")
+    days = [dt.date(2024, 1, d) for d in (1, 2)]
+    make = lambda *r: spark.createDataFrame(list(r), USAGE_SCHEMA)
+    outputs.write_daily_usage(make(*[("p", "d", "t", d, 1, 1) for d in days]), path)
+    outputs.write_daily_usage(make(("p", "d", "u", days[1], 9, 9)), path)
+    stored = inputs.read_usage(spark, path)
+    assert rows(stored.select(*USAGE_SCHEMA.names)) == [
+        ("p", "d", "t", days[0], 1, 1), ("p", "d", "u", days[1], 9, 9),
+    ]
+    one_day = stored.where(stored.dt >= days[1])
+    plan = one_day._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(dt" in plan
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "orc", "csv", "json"])
+def test_catalog_formats(spark, tmp_path, rows, fmt):
+    given = spark.createDataFrame([("p", "d", "t", "VIEW")], CATALOG_SCHEMA)
+    path = str(tmp_path / "catalog")
+    given.write.format(fmt).options(**({"header": True} if fmt == "csv" else {})).save(path)
+    assert rows(inputs.read_catalog(spark, path, fmt)) == [("p", "d", "t", "VIEW")]
+
+
+def test_catalog_from_a_view(spark, rows):
+    given = spark.createDataFrame([("p", "d", "t", "VIEW", 1)], "table_catalog string, table_schema string, table_name string, table_type string, more int")
+    given.createOrReplaceTempView("some_catalog")
+    assert rows(inputs.read_catalog(spark, "some_catalog", "table")) == [("p", "d", "t", "VIEW")]
+    with pytest.raises(ValueError):
+        inputs.read_catalog(spark, "x", "avro")

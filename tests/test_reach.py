@@ -1,0 +1,96 @@
+import random
+
+import pytest
+
+from tablecensus.operators import reach
+
+
+def leaves(df):
+    return sorted((r.fqn, r.upstream_count) for r in df.collect())
+
+
+A, B, C = "project-a.raw.events", "project-b.staging.events", "project-c.reports.final"
+CASES = {
+    "root is leaf": ([], [A], None, [(A, 0)]),
+    "one leaf": ([(A, C)], [A], None, [(C, 1)]),
+    "two leaves": ([(A, "project-a.r.one"), (A, "project-a.r.two")], [A], None,
+                   [("project-a.r.one", 1), ("project-a.r.two", 1)]),
+    "cycle": ([("p.d.a", "p.d.b"), ("p.d.b", "p.d.c"), ("p.d.c", "p.d.a")], ["p.d.a"], None, []),
+    "self-link": ([("p.d.a", "p.d.a")], ["p.d.a"], None, []),
+    "chain": ([(f"p.d.t{i}", f"p.d.t{i + 1}") for i in range(4)], ["p.d.t0"], None, [("p.d.t4", 1)]),
+    "cross-project": ([(A, B), (B, C)], [A], None, [(C, 1)]),
+    "empty fence": ([(A, B), (B, C)], [A], [], [(C, 1)]),
+    "fence 1": ([(A, B), (B, C)], [A], ["project-a"], [(A, 0)]),
+    "fence 2": ([(A, B), (B, C)], [A], ["project-a", "project-b"], [(B, 1)]),
+    "root outside the fence": ([(A, B), (B, C)], [A], ["project-b"], [(B, 1)]),
+    "all outside the fence": ([(A, B)], [A], ["project-z"], [(A, 0)]),
+    "repeated roots": ([(A, B)], [A, A, B], None, [(B, 1)]),
+    "repeated links": ([(A, B), (A, B)], [A], None, [(B, 2)]),
+    "upstream count ignores the fence": ([(A, B), (C, B)], [A], ["project-b"], [(B, 2)]),
+}
+
+
+@pytest.mark.parametrize("case", CASES)
+def test_leaves_from_roots(spark, links, raw_links, ids, case):
+    pairs, roots, fence, expected = CASES[case]
+    given = links(*pairs) if pairs else raw_links()
+    assert leaves(reach.leaf_tables_from_roots(ids(*roots), given, fence)) == expected
+
+
+def test_no_roots(links, ids):
+    found = reach.leaf_tables_from_roots(ids(A).limit(0), links((A, B)))
+    assert found.count() == 0
+    assert found.columns == ["project_id", "dataset_id", "table_id", "fqn", "upstream_count", "depth"]
+
+
+def brute_force(pairs, roots, fence):
+    steps = {}
+    for s, t in pairs:
+        if not fence or t.split(".")[0] in fence:
+            steps.setdefault(s, set()).add(t)
+    depth, frontier = {r: 0 for r in roots}, set(roots)
+    while frontier:
+        found = {t for s in frontier for t in steps.get(s, ())} - depth.keys()
+        depth.update({t: depth[next(s for s in frontier if t in steps.get(s, ()))] + 1 for t in found})
+        frontier = found
+    return depth, sorted((t, sum(1 for _, x in pairs if x == t)) for t in depth if t not in steps)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_random_graphs_agree_with_brute_force(join_mode, links, ids, seed):
+    rng = random.Random(seed)
+    names = [f"{rng.choice('abc')}.d.t{i}" for i in range(40)]
+    # a third of all links start at one table
+    sources = [names[0] if rng.random() < 0.33 else rng.choice(names[:30]) for _ in range(60)]
+    pairs = [(s, rng.choice(names)) for s in sources]
+    fence = [None, ["a", "b"], None][seed]
+    roots = rng.sample(names, 3)
+    depth, expected = brute_force(pairs, roots, fence)
+    found = reach.leaf_tables_from_roots(ids(*roots), links(*pairs), fence)
+    assert leaves(found) == expected
+    reached = reach.reachable_tables(ids(*roots), links(*pairs), fence)
+    assert {f"{r.project_id}.{r.dataset_id}.{r.table_id}": r.depth for r in reached.collect()} == depth
+
+
+def test_deep_chain_with_compaction(join_mode, monkeypatch, links, ids):
+    monkeypatch.setattr(reach, "COMPACT_EVERY", 2)
+    given = links(*[(f"p.d.t{i}", f"p.d.t{i + 1}") for i in range(13)], ("p.d.t13", "p.d.t0"), ("p.d.t9", "p.d.end"))
+    found = reach.reachable_tables(ids("p.d.t0"), given).collect()
+    assert {r.table_id: r.depth for r in found} == {**{f"t{i}": i for i in range(14)}, "end": 10}
+    assert leaves(reach.leaf_tables_from_roots(ids("p.d.t3"), given)) == [("p.d.end", 1)]
+
+
+def test_max_levels(join_mode, links, ids):
+    given = links(*[(f"p.d.t{i}", f"p.d.t{i + 1}") for i in range(5)])
+    assert reach.reachable_tables(ids("p.d.t0"), given, max_levels=5).count() == 6
+    with pytest.raises(RuntimeError, match="deeper than 4 levels"):
+        reach.reachable_tables(ids("p.d.t0"), given, max_levels=4)
+
+
+def test_fenced_reach_is_part_of_reach(links, ids, rows):
+    given = links((A, B), (B, C), (A, "project-a.x.y"))
+    everything = rows(reach.reachable_tables(ids(A), given).drop("depth"))
+    fenced = rows(reach.reachable_tables(ids(A), given, ["project-a"]).drop("depth"))
+    assert set(fenced) < set(everything)
+    found = reach.leaf_tables_from_roots(ids(A), given)
+    assert set(rows(found.select("project_id", "dataset_id", "table_id"))) <= set(everything)
