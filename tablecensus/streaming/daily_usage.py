@@ -26,16 +26,25 @@ def daily_usage_stream(
     ``late`` after newer ones miss their day; the batch rollup of the stored log
     replaces such days.
     """
-    local = jobs.withColumn("local_time", local_time(jobs, moment, zone))
+    # windows of a day begin at midnight UTC, so the wall clock is taken for UTC
+    wall_clock = F.convert_timezone(
+        F.lit("UTC"), F.current_timezone(), local_time(jobs, moment, zone)
+    ).cast("timestamp")
     per_user = (
-        local.withWatermark("local_time", late)
-        .groupBy(F.window("local_time", "1 day"), *keys, user)
+        jobs.withColumn("wall_clock", wall_clock)
+        .withWatermark("wall_clock", late)
+        .groupBy(F.window("wall_clock", "1 day"), *keys, user)
         .agg(F.count(F.lit(1)).alias("jobs"))
     )
     return (
         per_user.groupBy(F.window(F.window_time("window"), "1 day").alias("day"), *keys)
         .agg(F.sum("jobs").alias("job_count"), F.count(user).alias("unique_user"))
-        .select(*keys, F.to_date("day.start").alias("dt"), "job_count", "unique_user")
+        .select(
+            *keys,
+            F.to_date(F.convert_timezone(None, F.lit("UTC"), "day.start")).alias("dt"),
+            "job_count",
+            "unique_user",
+        )
     )
 
 

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from tablecensus.operators.usage import daily_usage, with_report_day
@@ -6,7 +7,16 @@ from tablecensus.streaming.daily_usage import daily_usage_stream, write_daily_us
 EVENTS = "/root/testdata/sf0.001/events.parquet"
 
 
-def test_stream_agrees_with_the_batch_rollup(spark, tmp_path, rows):
+@pytest.fixture(params=["UTC", "America/New_York"])
+def session_zone(request, spark):
+    spark.conf.set("spark.sql.session.timeZone", request.param)
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield request.param
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+def test_stream_agrees_with_the_batch_rollup(spark, session_zone, tmp_path, rows):
     source, out = str(tmp_path / "events"), str(tmp_path / "usage")
     events = spark.read.parquet(EVENTS).select("ts", "event_type", "user_id")
     events.repartition(3).write.parquet(source)
