@@ -5,7 +5,6 @@ within the table's own project and one location. The *far* end is parsed.
 """
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -86,33 +85,28 @@ def edges(
     )
 
 
-def link_degrees(
+def link_ends(
     links: DataFrame,
     allowed_projects: Sequence[str] | None = None,
     location: str = DEFAULT_LOCATION,
     match_sharded: bool = False,
 ) -> DataFrame:
-    """Links out of and into every table, from one scan and one shuffle.
+    """The edges of both directions from one scan: direction, own id, far id.
 
-    Links are counted, not tables. The fence holds for ``downstream_count`` only.
+    The fence holds downstream only.
     """
-    project, source, target = F.col("link_project"), F.col("source"), F.col("target")
-    one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    project = F.col("link_project")
 
-    def end(uri, usable, down, up):
+    def end(direction, own, far, fence):
         return F.when(
-            is_own_uri(uri, project) & usable,
+            is_own_uri(F.col(own), project) & _is_far(far, fence),
             F.struct(
-                *own_id(uri, project),
-                down.alias("downstream_count"),
-                up.alias("upstream_count"),
+                F.lit(direction).alias("direction"),
+                *own_id(F.col(own), project),
+                *[F.get(far, i).alias(c) for i, c in enumerate(FAR_COLS)],
             ),
         )
 
-    ends = F.array(
-        end(source, _is_far("target_parts", allowed_projects), one, zero),
-        end(target, _is_far("source_parts"), zero, one),
-    )
     return (
         _readable(links, location)
         .select(
@@ -122,16 +116,57 @@ def link_degrees(
             uri_parts(F.col("source_fqn")).alias("source_parts"),
             uri_parts(F.col("target_fqn")).alias("target_parts"),
         )
-        .select(F.inline(ends))
-        .where(F.col("project_id").isNotNull())
+        .select(
+            F.inline(
+                F.array(
+                    end("downstream", "source", "target_parts", allowed_projects),
+                    end("upstream", "target", "source_parts", None),
+                )
+            )
+        )
+        .where(F.col("direction").isNotNull())
+    )
+
+
+def link_degrees(
+    links: DataFrame,
+    allowed_projects: Sequence[str] | None = None,
+    location: str = DEFAULT_LOCATION,
+    match_sharded: bool = False,
+) -> DataFrame:
+    """Links out of and into every table, from one scan and one shuffle.
+
+    Links are counted, not tables. The fence holds for ``downstream_count`` only.
+    """
+    return (
+        link_ends(links, allowed_projects, location, match_sharded)
         .groupBy(*ID_COLS)
         .agg(
-            F.sum("downstream_count").alias("downstream_count"),
-            F.sum("upstream_count").alias("upstream_count"),
+            F.count_if(F.col("direction") == "downstream").alias("downstream_count"),
+            F.count_if(F.col("direction") == "upstream").alias("upstream_count"),
         )
     )
 
 
+def lineage_graph(
+    links: DataFrame,
+    allowed_projects: Sequence[str] | None = None,
+    location: str = DEFAULT_LOCATION,
+    match_sharded: bool = False,
+) -> DataFrame:
+    """All a search needs, from one scan and one shuffle of the links.
+
+    One row per pair of a table and a table it feeds inside the fence, and per
+    table one row without far id whose ``link_count`` is its upstream count.
+    """
+    downstream = F.col("direction") == "downstream"
+    return (
+        link_ends(links, allowed_projects, location, match_sharded)
+        .groupBy(*ID_COLS, *[F.when(downstream, F.col(c)).alias(c) for c in FAR_COLS])
+        .agg(F.count(F.lit(1)).alias("link_count"))
+    )
+
+
 def upstream_counts(
     links: DataFrame,
     location: str = DEFAULT_LOCATION,
@@ -187,20 +222,12 @@ def neighbours(
     otherwise links are counted first and then met by salted ids, so a table
     with a third of all links is spread over several tasks.
     """
-    pairs = reduce(
-        DataFrame.unionByName,
-        [
-            edges(links, None, location, match_sharded, direction).select(
-                *ID_COLS, F.lit(direction).alias("direction"), *FAR_COLS
-            )
-            for direction in ("upstream", "downstream")
-        ],
-    )
+    pairs = link_ends(links, None, location, match_sharded)
     keys = checkpoint(ids.select(*ID_COLS).distinct(), ID_COLS)
     few = fits_broadcast(keys)
     if few:
         pairs = pairs.join(F.broadcast(keys.df), ID_COLS, "left_semi")
-    counted = pairs.groupBy(*pairs.columns).agg(F.count(F.lit(1)).alias("link_count"))
+    counted = pairs.groupBy(*ID_COLS, "direction", *FAR_COLS).agg(F.count(F.lit(1)).alias("link_count"))
     if few:
         return counted
     return salted_join(counted, keys.df, ID_COLS, "left_semi", FAR_COLS)

@@ -3,18 +3,18 @@
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablecensus.functions.ids import fqn
-from tablecensus.operators.lineage import DEFAULT_LOCATION, FAR_COLS, edges
+from tablecensus.operators.lineage import DEFAULT_LOCATION, FAR_COLS, lineage_graph
 from tablecensus.operators.skew import fits_broadcast
 from tablecensus.schemas import ID_COLS
 from tablecensus.session import Stored, checkpoint
 
 # Levels per job while the whole graph is small enough to broadcast.
 HOPS = 4
-# Rounds after which the pieces of the visited set are written as one.
+# Levels after which the pieces of the visited set are written as one.
 COMPACT_EVERY = 8
 
 
@@ -22,95 +22,85 @@ def _hint(stored: Stored) -> DataFrame:
     return F.broadcast(stored.df) if fits_broadcast(stored) else stored.df
 
 
-def _one_hop(frontier: Stored, steps: DataFrame) -> DataFrame:
-    """The neighbours of the frontier, whatever the size of the graph.
+def _neighbour() -> list[Column]:
+    return [F.col(f).alias(c) for c, f in zip(ID_COLS, FAR_COLS)]
 
-    A frontier small by measure is broadcast and the steps are only scanned. A
-    larger one meets them in a shuffle fed by two plain scans, the shape in
-    which AQE splits a source that has a large share of all steps.
-    """
-    return (
-        steps.join(_hint(frontier), ID_COLS)
-        .select(
-            *[F.col(f).alias(c) for c, f in zip(ID_COLS, FAR_COLS)],
-            (F.col("depth") + 1).alias("depth"),
-        )
-        .distinct()
-    )
+
+def _check(deepest: int, max_levels: int | None) -> None:
+    if max_levels is not None and deepest > max_levels:
+        raise RuntimeError(f"lineage goes deeper than {max_levels} levels")
 
 
-def _several_hops(frontier: Stored, steps: DataFrame) -> DataFrame:
-    """The frontier and everything up to ``HOPS`` links away, in one job.
+def _follow_small(start: DataFrame, steps: DataFrame, max_levels: int | None) -> Stored:
+    """Several levels per job, for steps small enough to broadcast.
 
-    Only for steps small by measure: they are broadcast once for all hops. Each
-    hop passes on the tables it already has and adds their neighbours.
+    Each hop keeps the tables it has and adds their neighbours, and the least
+    depth of a table wins, so going round a cycle changes nothing. The search
+    ends when no table is as deep as the hops would have reached.
     """
     here = F.struct(*ID_COLS, "depth")
-    there = F.struct(
-        *[F.col(f).alias(c) for c, f in zip(ID_COLS, FAR_COLS)],
-        (F.col("depth") + 1).alias("depth"),
-    )
-    steps = F.broadcast(steps.withColumn("linked", F.lit(True)))
-    found = frontier.df
-    for _ in range(HOPS):
-        found = (
-            found.join(steps, ID_COLS, "left")
-            .select(F.inline(F.when(F.col("linked"), F.array(here, there)).otherwise(F.array(here))))
-            .groupBy(*ID_COLS)
-            .agg(F.min("depth").alias("depth"))
-        )
-    return found
-
-
-def follow(roots: DataFrame, steps: Stored, max_levels: int | None = None) -> Stored:
-    """All tables reachable from ``roots`` over ``steps``, each with its least depth.
+    there = F.struct(*_neighbour(), (F.col("depth") + 1).alias("depth"))
+    both = F.inline(F.when(F.col("linked"), F.array(here, there)).otherwise(F.array(here)))
+    least = F.min("depth").alias("depth")
+    linked = F.broadcast(steps.withColumn("linked", F.lit(True)))
+    found, hops = start, 0
+    while True:
+        for _ in range(HOPS):
+            found = found.join(linked, ID_COLS, "left").select(both).groupBy(*ID_COLS).agg(least)
+        reached = checkpoint(found, ID_COLS, deepest=F.max("depth"))
+        hops += HOPS
+        deepest = reached.measured["deepest"] or 0
+        _check(deepest, max_levels)
+        if deepest < hops:
+            return reached
+        found = reached.df
+
+
+def _follow_large(start: DataFrame, steps: DataFrame, max_levels: int | None) -> Stored:
+    """One level per job, whatever the size of the graph.
 
-    ``steps`` has distinct pairs of own and far id. What a round finds is met by
-    everything reached before, so a table is expanded once and cycles end. Each
-    round is one job that also tells whether another one is needed.
+    A frontier small by measure is broadcast and the steps are only scanned. A
+    larger one meets them in a shuffle fed by two plain scans, the shape in
+    which AQE splits a source that has a large share of all steps. What was
+    reached before is taken out, so a table is expanded once and cycles end.
     """
-    few_steps = fits_broadcast(steps)
-    hops = HOPS if few_steps else 1
-    start = roots.select(*ID_COLS).distinct().withColumn("depth", F.lit(0))
     frontier = checkpoint(start, ID_COLS)
     pieces = [frontier.df]
     rows, key_bytes = frontier.rows, frontier.key_bytes
-    depth = 0
     while frontier.rows:
-        found = (_several_hops if few_steps else _one_hop)(frontier, steps.df)
-        reached = Stored(
-            reduce(DataFrame.unionByName, pieces).select(*ID_COLS), rows, key_bytes, {}
-        )
-        frontier = checkpoint(
-            found.join(_hint(reached), ID_COLS, "left_anti"),
-            ID_COLS,
-            deepest=F.max("depth"),
+        reached = Stored(reduce(DataFrame.unionByName, pieces), rows, key_bytes, {})
+        hop = (
+            steps.join(_hint(frontier), ID_COLS)
+            .select(*_neighbour(), (F.col("depth") + 1).alias("depth"))
+            .distinct()
         )
+        new = hop.join(_hint(reached).select(*ID_COLS), ID_COLS, "left_anti")
+        frontier = checkpoint(new, ID_COLS, deepest=F.max("depth"))
         if not frontier.rows:
             break
-        deepest = frontier.measured["deepest"]
-        if max_levels is not None and deepest > max_levels:
-            raise RuntimeError(f"lineage goes deeper than {max_levels} levels")
-        depth += hops
+        _check(frontier.measured["deepest"], max_levels)
         rows += frontier.rows
         key_bytes += frontier.key_bytes
         pieces.append(frontier.df)
-        if deepest < depth:
-            break
         if len(pieces) > COMPACT_EVERY:
             pieces = [checkpoint(reduce(DataFrame.unionByName, pieces)).df]
     return Stored(reduce(DataFrame.unionByName, pieces), rows, key_bytes, {})
 
 
-def _steps(
-    links: DataFrame,
-    allowed_projects: Sequence[str] | None,
-    location: str,
-    match_sharded: bool,
-) -> Stored:
-    """The graph itself: far smaller than the links, which repeat per job run."""
-    found = edges(links, allowed_projects, location, match_sharded)
-    return checkpoint(found.distinct(), [*ID_COLS, *FAR_COLS])
+def follow(roots: DataFrame, graph: Stored, max_levels: int | None = None) -> Stored:
+    """All tables reachable from ``roots``, each with its least depth.
+
+    ``graph`` is a stored :func:`lineage_graph`, usually far smaller than the
+    links, which repeat with every job run.
+    """
+    start = roots.select(*ID_COLS).distinct().withColumn("depth", F.lit(0))
+    steps = graph.df.where(F.col(FAR_COLS[0]).isNotNull()).select(*ID_COLS, *FAR_COLS)
+    search = _follow_small if fits_broadcast(graph) else _follow_large
+    return search(start, steps, max_levels)
+
+
+def _graph(links: DataFrame, *scope) -> Stored:
+    return checkpoint(lineage_graph(links, *scope), [*ID_COLS, *FAR_COLS])
 
 
 def reachable_tables(
@@ -122,8 +112,8 @@ def reachable_tables(
     max_levels: int | None = None,
 ) -> DataFrame:
     """The roots and all tables downstream of them, with ``depth`` in links."""
-    steps = _steps(links, allowed_projects, location, match_sharded)
-    return follow(roots, steps, max_levels).df
+    graph = _graph(links, allowed_projects, location, match_sharded)
+    return follow(roots, graph, max_levels).df
 
 
 def leaf_tables_from_roots(
@@ -139,15 +129,15 @@ def leaf_tables_from_roots(
     Roots themselves are not fenced, repeated roots count once, and the
     upstream count ignores the fence.
     """
-    steps = _steps(links, allowed_projects, location, match_sharded)
-    reached = follow(roots, steps, max_levels)
-    sources = steps.df.select(*ID_COLS)
-    sources = F.broadcast(sources) if fits_broadcast(steps) else sources.distinct()
-    into = edges(links, None, location, match_sharded, "upstream")
-    if fits_broadcast(reached):
-        # few tables: drop the links into all others before any shuffle
-        into = into.join(F.broadcast(reached.df.select(*ID_COLS)), ID_COLS, "left_semi")
-    counts = into.groupBy(*ID_COLS).agg(F.count(F.lit(1)).alias("upstream_count"))
+    graph = _graph(links, allowed_projects, location, match_sharded)
+    reached = follow(roots, graph, max_levels)
+    feeds = F.col(FAR_COLS[0]).isNotNull()
+    sources = graph.df.where(feeds).select(*ID_COLS)
+    counts = graph.df.where(~feeds).select(*ID_COLS, F.col("link_count").alias("upstream_count"))
+    if fits_broadcast(graph):
+        sources, counts = F.broadcast(sources), F.broadcast(counts)
+    else:
+        sources = sources.distinct()
     return (
         reached.df.join(sources, ID_COLS, "left_anti")
         .join(counts, ID_COLS, "left")
