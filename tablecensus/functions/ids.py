@@ -45,63 +45,79 @@ def parse_fqn_strict(text: Column) -> Column:
     return F.coalesce(parse_fqn(text), F.raise_error(message))
 
 
-def _after(text: Column, start: int | Column) -> Column:
-    return F.substr(text, F.lit(start) if isinstance(start, int) else start)
+def split_fqn(text: Column) -> list[Column]:
+    """The id columns of an id text.
 
+    Names of datasets and tables hold no dots, those of projects may, so the
+    text is taken apart from its end.
+    """
+    last_two = F.substring_index(text, ".", -2)
+    project = F.substr(text, F.lit(1), F.length(text) - F.length(last_two) - 1)
+    dataset = F.substring_index(last_two, ".", 1)
+    table = F.substring_index(last_two, ".", -1)
+    return [c.alias(name) for c, name in zip((project, dataset, table), ID_COLS)]
+
+
+def project_of(text: Column) -> Column:
+    return split_fqn(text)[0]
 
-def without_sharded(uri: Column) -> Column:
-    """The URI in its plain form: the sharded prefix, if there, is dropped once."""
+
+def uri_path(uri: Column, drop_sharded: bool = True) -> Column:
+    """What follows the prefix of a URI known to have it.
+
+    The sharded prefix is dropped once, or not at all.
+    """
+    plain = F.lit(len(URI_PREFIX) + 1)
+    if not drop_sharded:
+        return F.substr(uri, plain)
     sharded = URI_PREFIX + SHARDED_PREFIX
-    return F.when(
-        uri.startswith(sharded), F.concat(F.lit(URI_PREFIX), _after(uri, len(sharded) + 1))
-    ).otherwise(uri)
+    start = F.when(uri.startswith(sharded), F.lit(len(sharded) + 1)).otherwise(plain)
+    return F.substr(uri, start)
 
 
-def uri_parts(uri: Column) -> Column:
-    """The dot-separated parts of a URI known to start with the prefix."""
-    skip = F.when(
-        uri.startswith(URI_PREFIX + SHARDED_PREFIX),
-        F.lit(len(URI_PREFIX + SHARDED_PREFIX) + 1),
-    ).otherwise(F.lit(len(URI_PREFIX) + 1))
-    return F.split(_after(uri, skip), "\\.", -1)
+def _has_dots(text: Column, dots: int) -> Column:
+    """Whether there are exactly that many dots."""
+    cut = F.substring_index
+    return (cut(text, ".", dots + 1) == text) & (cut(text, ".", dots) != text)
 
 
-def parse_uri(uri: Column) -> Column:
-    """The table a link end names as a struct, null if it names no table.
+def names_table(path: Column) -> Column:
+    """Whether a path names a table when it is met at the far end of a link.
 
-    The prefix is case-sensitive and the sharded prefix is dropped once. Two or
-    four and more parts name no table, which leaves out domain-scoped projects
-    and column-level ends.
+    That takes three parts, which leaves out domain-scoped projects and
+    column-level ends. Parts may be empty.
     """
-    return F.when(uri.startswith(URI_PREFIX), _id_struct(uri_parts(uri)))
+    return _has_dots(path, 2)
 
 
-def is_own_uri(uri: Column, project: Column) -> Column:
-    """Whether ``uri`` is the URI of a table of ``project``.
+def is_own_path(path: Column, project: Column) -> Column:
+    """Whether a path is the id of a table of ``project``, which may hold dots.
 
-    Looking a table up compares whole URIs within the table's own project, so
-    here the project may hold dots, unlike in :func:`parse_uri`.
+    Looking a table up compares whole texts, so this end of a link is held to
+    the project the link is recorded under instead of being parsed.
     """
-    start = F.concat(F.lit(URI_PREFIX), project, F.lit("."))
-    return uri.startswith(start) & F.contains(_own_rest(uri, project), F.lit("."))
+    rest = F.substr(path, F.length(project) + 2)
+    return path.startswith(F.concat(project, F.lit("."))) & _has_dots(rest, 1)
+
 
+def linked_fqn(uri: Column) -> Column:
+    """The id text of the table a link end names, null if it names none.
 
-def _own_rest(uri: Column, project: Column) -> Column:
-    return _after(uri, F.length(project) + (len(URI_PREFIX) + 2))
+    The prefix is case-sensitive.
+    """
+    path = uri_path(uri)
+    return F.when(uri.startswith(URI_PREFIX) & names_table(path), path)
 
 
-def own_id(uri: Column, project: Column) -> list[Column]:
-    """The id columns of a URI for which :func:`is_own_uri` holds."""
-    rest = _own_rest(uri, project)
-    dataset = F.substring_index(rest, ".", 1)
-    table = _after(rest, F.length(dataset) + 2)
-    return [c.alias(name) for c, name in zip((project, dataset, table), ID_COLS)]
+def parse_uri(uri: Column) -> Column:
+    """As :func:`linked_fqn`, as a struct of the id columns."""
+    return parse_fqn(linked_fqn(uri))
 
 
 def uri_reject_reason(uri: Column) -> Column:
-    """Why :func:`parse_uri` reads no table from ``uri``; null if it reads one."""
+    """Why :func:`linked_fqn` reads no table from ``uri``; null if it reads one."""
     return (
         F.when(uri.isNull(), F.lit("missing"))
         .when(~uri.startswith(URI_PREFIX), F.lit("other_system"))
-        .when(parse_uri(uri).isNull(), F.lit("not_three_parts"))
+        .when(linked_fqn(uri).isNull(), F.lit("not_three_parts"))
     )

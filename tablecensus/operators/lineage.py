@@ -1,7 +1,8 @@
 """One hop of lineage: what feeds a table, what it feeds, and which tables feed nothing.
 
 A lookup compares the whole URI of the looked-up table, its *own* end of a link,
-within the table's own project and one location. The *far* end is parsed.
+within the table's own project and one location. The *far* end is parsed. Both
+stay id texts (``p.d.t``) through every shuffle and are split into columns last.
 """
 
 from collections.abc import Sequence
@@ -13,12 +14,13 @@ from tablecensus.functions.flags import has_downstream, has_upstream, is_leaf
 from tablecensus.functions.ids import (
     URI_PREFIX,
     fqn,
-    is_own_uri,
-    own_id,
-    parse_uri,
-    uri_parts,
+    is_own_path,
+    linked_fqn,
+    names_table,
+    project_of,
+    split_fqn,
+    uri_path,
     uri_reject_reason,
-    without_sharded,
 )
 from tablecensus.operators.skew import (
     collapse,
@@ -33,24 +35,33 @@ DEFAULT_LOCATION = "us"
 FAR_COLS = [f"neighbour_{c}" for c in ID_COLS]
 
 
-def _readable(links: DataFrame, location: str) -> DataFrame:
-    """Links of one location between two ends of the right kind; a filter in the scan."""
+def _paths(links: DataFrame, location: str, match_sharded: bool) -> DataFrame:
+    """Both ends of the links of one location, as own and as far end.
+
+    Links with an end of another system are filtered out in the scan.
+    """
+    source, target = F.col("source_fqn"), F.col("target_fqn")
     return links.where(
         (F.col("link_location") == location)
-        & F.col("source_fqn").startswith(URI_PREFIX)
-        & F.col("target_fqn").startswith(URI_PREFIX)
+        & source.startswith(URI_PREFIX)
+        & target.startswith(URI_PREFIX)
+    ).select(
+        "link_project",
+        uri_path(source, match_sharded).alias("own_source"),
+        uri_path(target, match_sharded).alias("own_target"),
+        uri_path(source).alias("far_source"),
+        uri_path(target).alias("far_target"),
     )
 
 
-def _own_end(name: str, match_sharded: bool) -> Column:
-    return without_sharded(F.col(name)) if match_sharded else F.col(name)
-
+def _usable(own: str, far: str, allowed_projects: Sequence[str] | None = None) -> Column:
+    """Whether a link leads from its own to its far end, inside the fence.
 
-def _is_far(parts: str, allowed_projects: Sequence[str] | None = None) -> Column:
-    """A far end names a table, inside the fence; no or an empty list means no fence."""
-    found = F.size(parts) == 3
+    No list and an empty list both mean no fence.
+    """
+    found = is_own_path(F.col(own), F.col("link_project")) & names_table(F.col(far))
     if allowed_projects:
-        found &= F.get(parts, 0).isin(sorted(set(allowed_projects)))
+        found &= project_of(F.col(far)).isin(sorted(set(allowed_projects)))
     return found
 
 
@@ -61,27 +72,18 @@ def edges(
     match_sharded: bool = False,
     direction: str = "downstream",
 ) -> DataFrame:
-    """One row per link usable in ``direction``: the own id and the far id.
+    """One row per link usable in ``direction``: ``fqn`` and its ``neighbour``.
 
-    Repeated links stay repeated. Only the far end is fenced. Own ends written
+    Repeated links stay repeated. Only the neighbour is fenced. Own ends written
     in the sharded form are found only with ``match_sharded``.
     """
-    own, far = "source_fqn", "target_fqn"
+    own, far = "own_source", "far_target"
     if direction == "upstream":
-        own, far = far, own
-    project = F.col("link_project")
+        own, far = "own_target", "far_source"
     return (
-        _readable(links, location)
-        .select(
-            "link_project",
-            _own_end(own, match_sharded).alias("own"),
-            uri_parts(F.col(far)).alias("far"),
-        )
-        .where(is_own_uri(F.col("own"), project) & _is_far("far", allowed_projects))
-        .select(
-            *own_id(F.col("own"), project),
-            *[F.get("far", i).alias(c) for i, c in enumerate(FAR_COLS)],
-        )
+        _paths(links, location, match_sharded)
+        .where(_usable(own, far, allowed_projects))
+        .select(F.col(own).alias("fqn"), F.col(far).alias("neighbour"))
     )
 
 
@@ -91,40 +93,26 @@ def link_ends(
     location: str = DEFAULT_LOCATION,
     match_sharded: bool = False,
 ) -> DataFrame:
-    """The edges of both directions from one scan: direction, own id, far id.
-
-    The fence holds downstream only.
-    """
-    project = F.col("link_project")
+    """The edges of both directions from one scan. The fence holds downstream only."""
 
     def end(direction, own, far, fence):
         return F.when(
-            is_own_uri(F.col(own), project) & _is_far(far, fence),
+            _usable(own, far, fence),
             F.struct(
                 F.lit(direction).alias("direction"),
-                *own_id(F.col(own), project),
-                *[F.get(far, i).alias(c) for i, c in enumerate(FAR_COLS)],
+                F.col(own).alias("fqn"),
+                F.col(far).alias("neighbour"),
             ),
         )
 
+    both = F.array(
+        end("downstream", "own_source", "far_target", allowed_projects),
+        end("upstream", "own_target", "far_source", None),
+    )
     return (
-        _readable(links, location)
-        .select(
-            "link_project",
-            _own_end("source_fqn", match_sharded).alias("source"),
-            _own_end("target_fqn", match_sharded).alias("target"),
-            uri_parts(F.col("source_fqn")).alias("source_parts"),
-            uri_parts(F.col("target_fqn")).alias("target_parts"),
-        )
-        .select(
-            F.inline(
-                F.array(
-                    end("downstream", "source", "target_parts", allowed_projects),
-                    end("upstream", "target", "source_parts", None),
-                )
-            )
-        )
-        .where(F.col("direction").isNotNull())
+        _paths(links, location, match_sharded)
+        .select(F.inline(both))
+        .where(F.col("fqn").isNotNull())
     )
 
 
@@ -140,7 +128,7 @@ def link_degrees(
     """
     return (
         link_ends(links, allowed_projects, location, match_sharded)
-        .groupBy(*ID_COLS)
+        .groupBy("fqn")
         .agg(
             F.count_if(F.col("direction") == "downstream").alias("downstream_count"),
             F.count_if(F.col("direction") == "upstream").alias("upstream_count"),
@@ -156,13 +144,13 @@ def lineage_graph(
 ) -> DataFrame:
     """All a search needs, from one scan and one shuffle of the links.
 
-    One row per pair of a table and a table it feeds inside the fence, and per
-    table one row without far id whose ``link_count`` is its upstream count.
+    One row per table and table it feeds inside the fence, and per table one row
+    without neighbour whose ``link_count`` is its upstream count.
     """
-    downstream = F.col("direction") == "downstream"
+    fed = F.when(F.col("direction") == "downstream", F.col("neighbour"))
     return (
         link_ends(links, allowed_projects, location, match_sharded)
-        .groupBy(*ID_COLS, *[F.when(downstream, F.col(c)).alias(c) for c in FAR_COLS])
+        .groupBy("fqn", fed.alias("neighbour"))
         .agg(F.count(F.lit(1)).alias("link_count"))
     )
 
@@ -175,8 +163,9 @@ def upstream_counts(
     """Links into every table that is some link's target."""
     return (
         edges(links, None, location, match_sharded, "upstream")
-        .groupBy(*ID_COLS)
+        .groupBy("fqn")
         .agg(F.count(F.lit(1)).alias("upstream_count"))
+        .select(*split_fqn(F.col("fqn")), "upstream_count")
     )
 
 
@@ -196,9 +185,9 @@ def table_lineage(
     """
     degrees = link_degrees(links, None, location, match_sharded)
     return (
-        ids.select(*ID_COLS)
+        ids.select(*ID_COLS, fqn().alias("fqn"))
         .distinct()
-        .join(degrees, ID_COLS, "left")
+        .join(degrees, "fqn", "left")
         .select(*ID_COLS, _degree("upstream_count"), _degree("downstream_count"))
         .select(
             "*",
@@ -223,14 +212,21 @@ def neighbours(
     with a third of all links is spread over several tasks.
     """
     pairs = link_ends(links, None, location, match_sharded)
-    keys = checkpoint(ids.select(*ID_COLS).distinct(), ID_COLS)
+    keys = checkpoint(ids.select(fqn().alias("fqn")).distinct(), ["fqn"])
     few = fits_broadcast(keys)
     if few:
-        pairs = pairs.join(F.broadcast(keys.df), ID_COLS, "left_semi")
-    counted = pairs.groupBy(*ID_COLS, "direction", *FAR_COLS).agg(F.count(F.lit(1)).alias("link_count"))
-    if few:
-        return counted
-    return salted_join(counted, keys.df, ID_COLS, "left_semi", FAR_COLS)
+        pairs = pairs.join(F.broadcast(keys.df), "fqn", "left_semi")
+    counted = pairs.groupBy("direction", "fqn", "neighbour").agg(
+        F.count(F.lit(1)).alias("link_count")
+    )
+    if not few:
+        counted = salted_join(counted, keys.df, ["fqn"], "left_semi", ["neighbour"])
+    return counted.select(
+        *split_fqn(F.col("fqn")),
+        "direction",
+        *[c.alias(f) for c, f in zip(split_fqn(F.col("neighbour")), FAR_COLS)],
+        "link_count",
+    )
 
 
 def neighbour_pages(found: DataFrame, page_size: int = 10_000) -> DataFrame:
@@ -272,7 +268,8 @@ def keep_leaves(
     degrees = link_degrees(links, allowed_projects, location, match_sharded)
     leaves = (
         collapse(tables)
-        .join(degrees, ID_COLS, "left")
+        .withColumn("fqn", fqn())
+        .join(degrees, "fqn", "left")
         .select(*tables.columns, _degree("downstream_count"), _degree("upstream_count"), "copies")
         .where(is_leaf())
         .drop("downstream_count")
@@ -301,15 +298,10 @@ def normalise_links(links: DataFrame) -> tuple[DataFrame, DataFrame]:
         for end in ("source", "target")
     ]
     judged = links.withColumn("reason", F.coalesce(*reasons))
-    source, target = parse_uri(F.col("source_fqn")), parse_uri(F.col("target_fqn"))
-    good = (
-        judged.where(F.col("reason").isNull())
-        .select("link_project", "link_location", source.alias("s"), target.alias("t"))
-        .select(
-            "link_project",
-            "link_location",
-            fqn("s.project_id", "s.dataset_id", "s.table_id").alias("src"),
-            fqn("t.project_id", "t.dataset_id", "t.table_id").alias("dst"),
-        )
+    good = judged.where(F.col("reason").isNull()).select(
+        "link_project",
+        "link_location",
+        linked_fqn(F.col("source_fqn")).alias("src"),
+        linked_fqn(F.col("target_fqn")).alias("dst"),
     )
     return good, judged.where(F.col("reason").isNotNull())

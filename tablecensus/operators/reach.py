@@ -6,10 +6,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablecensus.functions.ids import fqn
-from tablecensus.operators.lineage import DEFAULT_LOCATION, FAR_COLS, lineage_graph
+from tablecensus.functions.ids import fqn, split_fqn
+from tablecensus.operators.lineage import DEFAULT_LOCATION, lineage_graph
 from tablecensus.operators.skew import fits_broadcast
-from tablecensus.schemas import ID_COLS
 from tablecensus.session import Stored, checkpoint
 
 # Levels per job while the whole graph is small enough to broadcast.
@@ -22,8 +21,8 @@ def _hint(stored: Stored) -> DataFrame:
     return F.broadcast(stored.df) if fits_broadcast(stored) else stored.df
 
 
-def _neighbour() -> list[Column]:
-    return [F.col(f).alias(c) for c, f in zip(ID_COLS, FAR_COLS)]
+def _next() -> list[Column]:
+    return [F.col("neighbour").alias("fqn"), (F.col("depth") + 1).alias("depth")]
 
 
 def _check(deepest: int, max_levels: int | None) -> None:
@@ -38,16 +37,16 @@ def _follow_small(start: DataFrame, steps: DataFrame, max_levels: int | None) ->
     depth of a table wins, so going round a cycle changes nothing. The search
     ends when no table is as deep as the hops would have reached.
     """
-    here = F.struct(*ID_COLS, "depth")
-    there = F.struct(*_neighbour(), (F.col("depth") + 1).alias("depth"))
-    both = F.inline(F.when(F.col("linked"), F.array(here, there)).otherwise(F.array(here)))
+    here, there = F.struct("fqn", "depth"), F.struct(*_next())
+    linked = F.col("neighbour").isNotNull()
+    both = F.inline(F.when(linked, F.array(here, there)).otherwise(F.array(here)))
     least = F.min("depth").alias("depth")
-    linked = F.broadcast(steps.withColumn("linked", F.lit(True)))
+    steps = F.broadcast(steps)
     found, hops = start, 0
     while True:
         for _ in range(HOPS):
-            found = found.join(linked, ID_COLS, "left").select(both).groupBy(*ID_COLS).agg(least)
-        reached = checkpoint(found, ID_COLS, deepest=F.max("depth"))
+            found = found.join(steps, "fqn", "left").select(both).groupBy("fqn").agg(least)
+        reached = checkpoint(found, ["fqn"], deepest=F.max("depth"))
         hops += HOPS
         deepest = reached.measured["deepest"] or 0
         _check(deepest, max_levels)
@@ -64,18 +63,16 @@ def _follow_large(start: DataFrame, steps: DataFrame, max_levels: int | None) ->
     which AQE splits a source that has a large share of all steps. What was
     reached before is taken out, so a table is expanded once and cycles end.
     """
-    frontier = checkpoint(start, ID_COLS)
+    frontier = checkpoint(start, ["fqn"])
     pieces = [frontier.df]
     rows, key_bytes = frontier.rows, frontier.key_bytes
     while frontier.rows:
         reached = Stored(reduce(DataFrame.unionByName, pieces), rows, key_bytes, {})
         hop = (
-            steps.join(_hint(frontier), ID_COLS)
-            .select(*_neighbour(), (F.col("depth") + 1).alias("depth"))
-            .distinct()
+            steps.join(_hint(frontier), "fqn").select(*_next()).distinct()
         )
-        new = hop.join(_hint(reached).select(*ID_COLS), ID_COLS, "left_anti")
-        frontier = checkpoint(new, ID_COLS, deepest=F.max("depth"))
+        new = hop.join(_hint(reached).select("fqn"), "fqn", "left_anti")
+        frontier = checkpoint(new, ["fqn"], deepest=F.max("depth"))
         if not frontier.rows:
             break
         _check(frontier.measured["deepest"], max_levels)
@@ -84,23 +81,24 @@ def _follow_large(start: DataFrame, steps: DataFrame, max_levels: int | None) ->
         pieces.append(frontier.df)
         if len(pieces) > COMPACT_EVERY:
             pieces = [checkpoint(reduce(DataFrame.unionByName, pieces)).df]
-    return Stored(reduce(DataFrame.unionByName, pieces), rows, key_bytes, {})
+    # as one piece: a later anti join would be repeated for every branch of a union
+    return checkpoint(reduce(DataFrame.unionByName, pieces), ["fqn"])
 
 
 def follow(roots: DataFrame, graph: Stored, max_levels: int | None = None) -> Stored:
-    """All tables reachable from ``roots``, each with its least depth.
+    """Id texts reachable from ``roots``, each with its least depth.
 
     ``graph`` is a stored :func:`lineage_graph`, usually far smaller than the
     links, which repeat with every job run.
     """
-    start = roots.select(*ID_COLS).distinct().withColumn("depth", F.lit(0))
-    steps = graph.df.where(F.col(FAR_COLS[0]).isNotNull()).select(*ID_COLS, *FAR_COLS)
+    start = roots.select(fqn().alias("fqn")).distinct().withColumn("depth", F.lit(0))
+    steps = graph.df.where(F.col("neighbour").isNotNull()).select("fqn", "neighbour")
     search = _follow_small if fits_broadcast(graph) else _follow_large
     return search(start, steps, max_levels)
 
 
 def _graph(links: DataFrame, *scope) -> Stored:
-    return checkpoint(lineage_graph(links, *scope), [*ID_COLS, *FAR_COLS])
+    return checkpoint(lineage_graph(links, *scope), ["fqn", "neighbour"])
 
 
 def reachable_tables(
@@ -113,7 +111,8 @@ def reachable_tables(
 ) -> DataFrame:
     """The roots and all tables downstream of them, with ``depth`` in links."""
     graph = _graph(links, allowed_projects, location, match_sharded)
-    return follow(roots, graph, max_levels).df
+    reached = follow(roots, graph, max_levels)
+    return reached.df.select(*split_fqn(F.col("fqn")), "depth")
 
 
 def leaf_tables_from_roots(
@@ -131,19 +130,19 @@ def leaf_tables_from_roots(
     """
     graph = _graph(links, allowed_projects, location, match_sharded)
     reached = follow(roots, graph, max_levels)
-    feeds = F.col(FAR_COLS[0]).isNotNull()
-    sources = graph.df.where(feeds).select(*ID_COLS)
-    counts = graph.df.where(~feeds).select(*ID_COLS, F.col("link_count").alias("upstream_count"))
+    feeds = F.col("neighbour").isNotNull()
+    sources = graph.df.where(feeds).select("fqn")
+    counts = graph.df.where(~feeds).select("fqn", F.col("link_count").alias("upstream_count"))
     if fits_broadcast(graph):
         sources, counts = F.broadcast(sources), F.broadcast(counts)
     else:
         sources = sources.distinct()
     return (
-        reached.df.join(sources, ID_COLS, "left_anti")
-        .join(counts, ID_COLS, "left")
+        reached.df.join(sources, "fqn", "left_anti")
+        .join(counts, "fqn", "left")
         .select(
-            *ID_COLS,
-            fqn().alias("fqn"),
+            *split_fqn(F.col("fqn")),
+            "fqn",
             F.coalesce("upstream_count", F.lit(0).cast("bigint")).alias("upstream_count"),
             "depth",
         )

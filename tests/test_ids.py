@@ -57,23 +57,39 @@ def test_parse_uri(spark):
     assert parsed(df, I.parse_uri(F.col("text"))) == list(cases.values())
 
 
-def test_own_uri_allows_dots_in_the_project(spark):
+def test_own_path_allows_dots_in_the_project(spark):
     df = spark.createDataFrame(
         [
-            ("bigquery:p.d.t", "p"),
-            ("bigquery:x.com:p.d.t", "x.com:p"),
-            ("bigquery:p.d.t", "q"),
-            ("bigquery:pp.d.t", "p"),
-            ("bigquery:p.d", "p"),
-            ("bigquery:sharded:p.d.t", "p"),
+            ("p.d.t", "p"),
+            ("x.com:p.d.t", "x.com:p"),
+            ("p.d.t", "q"),
+            ("pp.d.t", "p"),
+            ("p.d", "p"),
+            ("p.d.t.c", "p"),
+            ("sharded:p.d.t", "p"),
+            ("p.d.t", None),
         ],
-        "uri string, project string",
+        "path string, project string",
     )
-    uri, project = F.col("uri"), F.col("project")
-    kept = df.where(I.is_own_uri(uri, project)).select(*I.own_id(uri, project))
+    path = F.col("path")
+    kept = df.where(I.is_own_path(path, F.col("project"))).select(*I.split_fqn(path))
     assert [tuple(r) for r in kept.collect()] == [("p", "d", "t"), ("x.com:p", "d", "t")]
-    plain = I.without_sharded(uri)
-    assert df.where(I.is_own_uri(plain, project)).count() == 3
+
+
+def test_split_fqn(spark):
+    df = texts(spark, "p.d.t", "x.com:p.d.t", "a..b", "..")
+    assert [tuple(r) for r in df.select(*I.split_fqn(F.col("text"))).collect()] == [
+        ("p", "d", "t"), ("x.com:p", "d", "t"), ("a", "", "b"), ("", "", ""),
+    ]
+
+
+def test_uri_path(spark):
+    df = texts(spark, "bigquery:p.d.t", "bigquery:sharded:p.d.t", "bigquery:")
+    uri = F.col("text")
+    assert [r[0] for r in df.select(I.uri_path(uri)).collect()] == ["p.d.t", "p.d.t", ""]
+    assert [r[0] for r in df.select(I.uri_path(uri, drop_sharded=False)).collect()] == [
+        "p.d.t", "sharded:p.d.t", "",
+    ]
 
 
 def test_reject_reason(spark):
