@@ -234,7 +234,9 @@ def neighbour_pages(found: DataFrame, page_size: int = 10_000) -> DataFrame:
 
     Nearly every table has one page with its whole list; a table with more
     neighbours gets several, dealt out by hash, so no array grows with the data.
+    The rows are stored first, as they are read to size the pages and to fill them.
     """
+    found = checkpoint(found).df
     group = [*ID_COLS, "direction"]
     large = (
         found.groupBy(*group)
@@ -291,17 +293,27 @@ def leaf_tables(
     return leaves.select(*ID_COLS, fqn().alias("fqn"), "upstream_count")
 
 
-def normalise_links(links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Links between two readable tables as plain ids, and the others with a reason."""
+def judge_links(links: DataFrame) -> DataFrame:
+    """Links with their plain ids ``src`` and ``dst``, or the ``reason`` there are none.
+
+    Store this once to keep both kinds; :func:`split_links` tells them apart.
+    """
+    ends = ("source", "target")
     reasons = [
-        F.concat(F.lit(f"{end}_"), uri_reject_reason(F.col(f"{end}_fqn")))
-        for end in ("source", "target")
+        F.concat(F.lit(f"{end}_"), uri_reject_reason(F.col(f"{end}_fqn"))) for end in ends
     ]
-    judged = links.withColumn("reason", F.coalesce(*reasons))
-    good = judged.where(F.col("reason").isNull()).select(
-        "link_project",
-        "link_location",
-        linked_fqn(F.col("source_fqn")).alias("src"),
-        linked_fqn(F.col("target_fqn")).alias("dst"),
+    return links.select(
+        "*",
+        F.coalesce(*reasons).alias("reason"),
+        *[linked_fqn(F.col(f"{end}_fqn")).alias(name) for end, name in zip(ends, ("src", "dst"))],
+    )
+
+
+def split_links(judged: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links between two readable tables as plain ids, and the others with a reason."""
+    good = judged.where(F.col("reason").isNull())
+    rejected = judged.where(F.col("reason").isNotNull())
+    return (
+        good.select("link_project", "link_location", "src", "dst"),
+        rejected.drop("src", "dst"),
     )
-    return good, judged.where(F.col("reason").isNotNull())

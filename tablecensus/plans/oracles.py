@@ -182,6 +182,8 @@ FROM events GROUP BY 1, 2""",
 SELECT {_IDS}, count(DISTINCT user_id) AS unique_user_exact FROM job_log
 WHERE dt >= DATE '2001-08-01' - INTERVAL 90 DAY GROUP BY {_IDS}"""
     ),
+    "downstream_edges": _sql(f"SELECT own AS fqn, far AS neighbour FROM down {_FENCED}"),
+    "upstream_edges": _sql("SELECT own AS fqn, far AS neighbour FROM up"),
     "upstream_counts": _sql(
         f"SELECT {_OWN_IDS}, count(*) AS upstream_count FROM up GROUP BY own"
     ),
@@ -202,6 +204,9 @@ FROM ({_NEIGHBOURS}) GROUP BY ALL"""
     ),
     "leaf_tables": _sql(_leaves("listed")),
     "leaf_tables_fenced": _sql(_leaves("listed", _FENCED)),
+    "leaf_dependencies": _sql(
+        f"SELECT {_IDS}, upstream_count > 0 AS has_dependencies FROM ({_leaves('listed')})"
+    ),
     "leaf_tables_duplicates": _sql(_leaves("lineitem JOIN ids ON k = l_partkey")),
     "leaf_from_roots": _sql(_root_leaves(), reached=_reach("0")),
     "leaf_from_roots_fenced": _sql(
@@ -227,6 +232,11 @@ SELECT {_IDS}, l.table_type, a.job_count, a.unique_user, o.data_owner, a.job_cou
  o.data_owner IS NOT NULL AS is_candidate, a.job_count <= 0 AS is_unused,
  CASE WHEN o.data_owner IS NOT NULL THEN 'candidate' WHEN a.job_count IS NOT NULL THEN 'checked' ELSE 'discovered' END AS stage
 FROM listed l LEFT JOIN ({_ANALYZED_AB}) a USING ({_IDS}) LEFT JOIN owners o USING ({_IDS})"""
+    ),
+    "flattened_lifecycle": _sql(
+        f"""
+SELECT {_IDS}, l.table_type, a.job_count, a.unique_user
+FROM listed l LEFT JOIN ({_ANALYZED_AB}) a USING ({_IDS})"""
     ),
     "unused_leaf_tables": _sql(
         f"""

@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablecensus.functions.flags import type_flags
+from tablecensus.functions.flags import has_upstream, type_flags
 from tablecensus.functions.ids import fqn, parse_fqn, table_uri
 from tablecensus.operators import lifecycle, lineage, listing, reach, usage
 from tablecensus.plans import exports
@@ -79,11 +79,11 @@ def parse_table_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def normalize_links(spark: SparkSession, folder: str) -> DataFrame:
-    return lineage.normalise_links(derived.links(spark, folder))[0]
+    return lineage.split_links(lineage.judge_links(derived.links(spark, folder)))[0]
 
 
 def rejected_links(spark: SparkSession, folder: str) -> DataFrame:
-    return lineage.normalise_links(derived.links(spark, folder))[1]
+    return lineage.split_links(lineage.judge_links(derived.links(spark, folder)))[1]
 
 
 def daily_usage_rollup(spark: SparkSession, folder: str) -> DataFrame:
@@ -130,6 +130,14 @@ def unique_users_approx(spark: SparkSession, folder: str) -> DataFrame:
     return usage.unique_users_approx(sketches, derived.AS_OF)
 
 
+def downstream_edges(spark: SparkSession, folder: str) -> DataFrame:
+    return lineage.edges(derived.links(spark, folder), FENCE)
+
+
+def upstream_edges(spark: SparkSession, folder: str) -> DataFrame:
+    return lineage.edges(derived.links(spark, folder), direction="upstream")
+
+
 def upstream_counts(spark: SparkSession, folder: str) -> DataFrame:
     return lineage.upstream_counts(derived.links(spark, folder))
 
@@ -171,6 +179,12 @@ def leaf_tables_fenced(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def leaf_dependencies(spark: SparkSession, folder: str) -> DataFrame:
+    return leaf_tables(spark, folder).select(
+        *ID_COLS, has_upstream().alias("has_dependencies")
+    )
+
+
 def leaf_tables_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return lineage.leaf_tables(
         derived.job_log(spark, folder), derived.links(spark, folder)
@@ -214,6 +228,13 @@ def lifecycle_report(spark: SparkSession, folder: str) -> DataFrame:
     return lifecycle.lifecycle_report(known)
 
 
+def flattened_lifecycle(spark: SparkSession, folder: str) -> DataFrame:
+    checked = lifecycle.with_usage_info(
+        lifecycle.discovered(_tables(spark, folder)), _analyzed(spark, folder)
+    )
+    return lifecycle.flatten_analyzed(checked)
+
+
 def unused_leaf_tables(spark: SparkSession, folder: str) -> DataFrame:
     return lifecycle.unused_leaves(
         _analyzed(spark, folder), derived.links(spark, folder)
@@ -309,18 +330,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         unused_tables_threshold,
         unique_users_exact,
         unique_users_approx,
+        downstream_edges,
+        upstream_edges,
         upstream_counts,
         table_lineage,
         table_neighbours,
         table_neighbour_pages,
         leaf_tables,
         leaf_tables_fenced,
+        leaf_dependencies,
         leaf_tables_duplicates,
         leaf_from_roots,
         leaf_from_roots_fenced,
         leaf_from_roots_normalized,
         reachable_tables,
         lifecycle_report,
+        flattened_lifecycle,
         unused_leaf_tables,
         usage_summary,
         export_roundtrip_csv,

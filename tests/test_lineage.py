@@ -125,8 +125,8 @@ def test_neighbour_pages_are_bounded_and_whole(join_mode, spark, links, ids, pag
         assert len(hub) == 1
 
 
-def test_normalise_links(raw_links, rows):
-    good, bad = lineage.normalise_links(
+def test_judge_links(raw_links, rows):
+    judged = lineage.judge_links(
         raw_links(
             ("a", "us", "bigquery:a.d.s", "bigquery:sharded:a.d.t"),
             ("a", "us", "spanner:i.d.s", "bigquery:a.d"),
@@ -134,6 +134,7 @@ def test_normalise_links(raw_links, rows):
             ("a", "us", "bigquery:a.d.s", None),
         )
     )
+    good, bad = lineage.split_links(judged)
     assert rows(good) == [("a", "us", "a.d.s", "a.d.t")]
     assert sorted(r.reason for r in bad.collect()) == [
         "source_other_system", "target_missing", "target_not_three_parts",
@@ -150,3 +151,17 @@ def test_collapse_and_expand_give_the_rows_back(spark):
     assert back.exceptAll(given).count() == 0 and given.exceptAll(back).count() == 0
     largest = max(back.rdd.glom().map(len).collect())
     assert largest < 35_001
+
+
+def test_links_are_read_once(spark, links, ids):
+    given = links(("a.d.s", "a.d.t"), ("a.d.t", "a.d.u"))
+    many = spark.range(20_001).selectExpr(
+        "'a' AS project_id", "'d' AS dataset_id", "'u' AS table_id"
+    )
+    found = lineage.leaf_tables(many.unionByName(ids("a.d.s", "a.d.t")), given)
+    assert found.groupBy("fqn", "upstream_count").count().collect() == [("a.d.u", 1, 20_001)]
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("StartsWith(source_fqn") > 0
+    assert plan.count("ReusedExchange") >= 2
+    assert plan.count("Generate inline") == 1
