@@ -35,6 +35,14 @@ DEFAULT_LOCATION = "us"
 FAR_COLS = [f"neighbour_{c}" for c in ID_COLS]
 
 
+def of_projects(links: DataFrame, project_ids: Sequence[str]) -> DataFrame:
+    """The links that looking up tables of these projects can find; a filter in the scan.
+
+    Nothing is lost: a table is looked up among the links of its own project.
+    """
+    return links.where(F.col("link_project").isin(sorted(set(project_ids))))
+
+
 def _paths(links: DataFrame, location: str, match_sharded: bool) -> DataFrame:
     """Both ends of the links of one location, as own and as far end.
 

@@ -7,12 +7,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablecensus.functions.ids import fqn, split_fqn
-from tablecensus.operators.lineage import DEFAULT_LOCATION, lineage_graph
+from tablecensus.operators.lineage import DEFAULT_LOCATION, lineage_graph, of_projects
 from tablecensus.operators.skew import fits_broadcast
 from tablecensus.session import Stored, checkpoint
 
 # Levels per job while the whole graph is small enough to broadcast.
 HOPS = 4
+# Root projects that are named in a filter on the links.
+MAX_ROOT_PROJECTS = 1_000
 # Levels after which the pieces of the visited set are written as one.
 COMPACT_EVERY = 8
 
@@ -97,8 +99,25 @@ def follow(roots: DataFrame, graph: Stored, max_levels: int | None = None) -> St
     return search(start, steps, max_levels)
 
 
-def _graph(links: DataFrame, *scope) -> Stored:
-    return checkpoint(lineage_graph(links, *scope), ["fqn", "neighbour"])
+def _graph(
+    roots: DataFrame,
+    links: DataFrame,
+    allowed_projects: Sequence[str] | None,
+    location: str,
+    match_sharded: bool,
+) -> Stored:
+    """The part of the lineage a search can touch, stored.
+
+    Behind a fence only links of the fenced projects and those of the roots can
+    matter. If the roots lie in too many projects to name, all links are read.
+    """
+    if allowed_projects:
+        projects = roots.select("project_id").distinct().limit(MAX_ROOT_PROJECTS + 1).collect()
+        if len(projects) <= MAX_ROOT_PROJECTS:
+            named = {r.project_id for r in projects if r.project_id is not None}
+            links = of_projects(links, [*allowed_projects, *named])
+    graph = lineage_graph(links, allowed_projects, location, match_sharded)
+    return checkpoint(graph, ["fqn", "neighbour"])
 
 
 def reachable_tables(
@@ -110,7 +129,7 @@ def reachable_tables(
     max_levels: int | None = None,
 ) -> DataFrame:
     """The roots and all tables downstream of them, with ``depth`` in links."""
-    graph = _graph(links, allowed_projects, location, match_sharded)
+    graph = _graph(roots, links, allowed_projects, location, match_sharded)
     reached = follow(roots, graph, max_levels)
     return reached.df.select(*split_fqn(F.col("fqn")), "depth")
 
@@ -128,7 +147,7 @@ def leaf_tables_from_roots(
     Roots themselves are not fenced, repeated roots count once, and the
     upstream count ignores the fence.
     """
-    graph = _graph(links, allowed_projects, location, match_sharded)
+    graph = _graph(roots, links, allowed_projects, location, match_sharded)
     reached = follow(roots, graph, max_levels)
     feeds = F.col("neighbour").isNotNull()
     sources = graph.df.where(feeds).select("fqn")

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from tablecensus.operators.lineage import DEFAULT_LOCATION, leaf_tables
+from tablecensus.operators.lineage import DEFAULT_LOCATION, leaf_tables, of_projects
 from tablecensus.operators.listing import list_tables
 from tablecensus.operators.reach import leaf_tables_from_roots
 from tablecensus.operators.usage import (
@@ -60,6 +60,7 @@ def export_leaf_tables(
         )
     else:
         looked_at = list_tables(catalog, project_ids, excluded_datasets)
+        links = of_projects(links, project_ids)
         leaves = leaf_tables(looked_at, links, allowed_projects, location, match_sharded)
     return ExportResult(looked_at.count(), write_leaf_tables(leaves, path, fmt), path)
 

@@ -236,9 +236,8 @@ def flattened_lifecycle(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def unused_leaf_tables(spark: SparkSession, folder: str) -> DataFrame:
-    return lifecycle.unused_leaves(
-        _analyzed(spark, folder), derived.links(spark, folder)
-    )
+    links = lineage.of_projects(derived.links(spark, folder), CHECKED_PROJECTS)
+    return lifecycle.unused_leaves(_analyzed(spark, folder), links)
 
 
 def usage_summary(spark: SparkSession, folder: str) -> DataFrame:

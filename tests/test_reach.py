@@ -94,3 +94,14 @@ def test_fenced_reach_is_part_of_reach(links, ids, rows):
     assert set(fenced) < set(everything)
     found = reach.leaf_tables_from_roots(ids(A), given)
     assert set(rows(found.select("project_id", "dataset_id", "table_id"))) <= set(everything)
+
+
+@pytest.mark.parametrize("most", [0, 1_000])
+def test_fenced_search_reads_links_of_touched_projects(monkeypatch, links, ids, most):
+    monkeypatch.setattr(reach, "MAX_ROOT_PROJECTS", most)
+    given = links((A, B), (B, C), ("project-z.x.y", B), (A, "project-z.x.y"), ("project-z.x.y", A))
+    found = reach.leaf_tables_from_roots(ids(A), given, ["project-b"])
+    assert leaves(found) == [(B, 2)]
+    assert leaves(reach.leaf_tables_from_roots(ids("project-z.x.y"), given, ["project-c"])) == [
+        ("project-z.x.y", 1)
+    ]
