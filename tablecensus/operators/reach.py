@@ -65,14 +65,14 @@ def _follow_large(start: DataFrame, steps: DataFrame, max_levels: int | None) ->
     which AQE splits a source that has a large share of all steps. What was
     reached before is taken out, so a table is expanded once and cycles end.
     """
+    least = F.min("depth").alias("depth")
     frontier = checkpoint(start, ["fqn"])
     pieces = [frontier.df]
     rows, key_bytes = frontier.rows, frontier.key_bytes
     while frontier.rows:
         reached = Stored(reduce(DataFrame.unionByName, pieces), rows, key_bytes, {})
-        hop = (
-            steps.join(_hint(frontier), "fqn").select(*_next()).distinct()
-        )
+        # grouped by the key alone, so the anti join needs no other shuffle
+        hop = steps.join(_hint(frontier), "fqn").select(*_next()).groupBy("fqn").agg(least)
         new = hop.join(_hint(reached).select("fqn"), "fqn", "left_anti")
         frontier = checkpoint(new, ["fqn"], deepest=F.max("depth"))
         if not frontier.rows:
