@@ -117,7 +117,7 @@ def usage_summary(
     by: Sequence[str] = ("project_id", "dataset_id", "table_type"),
     threshold: int = 0,
 ) -> DataFrame:
-    """Numbers for a dashboard: tables, unused tables and their share, jobs."""
+    """Overview numbers: tables, unused tables and their share, jobs."""
     return (
         analyzed.groupBy(*by)
         .agg(

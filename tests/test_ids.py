@@ -45,7 +45,7 @@ def test_parse_uri(spark):
         "bigquery:a..b": ("a", "", "b"),
         "bigquery:..": ("", "", ""),
         "spanner:project.instance.database": None,
-        "BigQuery:p.d.t": None,
+        "BIGQUERY:p.d.t": None,
         "bigquery:project.dataset": None,
         "bigquery:x.com:p.d.t": None,
         "bigquery:p.d.t.c": None,
