@@ -4,6 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablecensus.llm import bpe
 from tablecensus.llm.frames import table, utf8
 from tablecensus.llm.packing import packed_sequences
 from tablecensus.llm.sharding import interleaved_shards
@@ -27,11 +28,22 @@ def op3_sharding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op5_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    encoded = bpe.encode(table(spark, folder, "documents"), ranks, offsets=False)
+    return bpe.decode(encoded.drop("starts"), ranks).select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packed_sequences(
         table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json")
     )
 
 
-QUERIES = {f.__name__: f for f in (op3_sharding, op10_packing)}
+QUERIES = {f.__name__: f for f in (op3_sharding, op5_byte_bpe, op10_packing)}
 ORACLES: dict[str, str] = {}
