@@ -39,7 +39,7 @@ class WordIds(dict):
 
     @staticmethod
     def _parts(word: str) -> tuple[str, str]:
-        mark = word[-1] if len(word) > 1 and word[-1] in ".," and word[-2].isalpha() else ""
+        mark = word[-1] if len(word) > 1 and word[-1] in ".," and word[-2].lower().isalpha() else ""
         core = word[: len(word) - len(mark)]
         return (core.lower() if core.isascii() else core), mark
 
@@ -50,13 +50,28 @@ class WordIds(dict):
             self.cores.clear()
             self[""] = b""
         parts = {w: self._parts(w) for w in words if w not in self}
-        new = list({p for pair in parts.values() for p in pair if p and p not in self.cores})
-        for part, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+        new = {p for pair in parts.values() for p in pair if p and p not in self.cores}
+        plain = [p for p in new if p.isalpha() and p.lower().isalpha()]
+        for low in range(0, len(plain), 2_000):
+            self._learn_plain(plain[low : low + 2_000])
+        other = [p for p in new if p not in self.cores]
+        for part, found in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False)):
             self.cores[part] = np.array(found.ids, "<u4").tobytes()
         for word, (core, mark) in parts.items():
             self[word] = self.cores[core] + (self.cores[mark] if mark else b"")
 
 
+    def _learn_plain(self, words: list[str]) -> None:
+        """Words of letters only, as one text: the tokenizer numbers them as they stand there."""
+        found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+        numbers = np.array(found.word_ids, np.int64)
+        if len(numbers) and numbers[-1] == len(words) - 1:
+            ids = np.array(found.ids, "<u4")
+            at = np.searchsorted(numbers, np.arange(len(words) + 1)).tolist()
+            for word, low, high in zip(words, at, at[1:]):
+                self.cores[word] = ids[low:high].tobytes()
+
+
 @cache
 def _word_ids(tokenizer_file: str) -> WordIds:
     return WordIds(tokenizer_file)
