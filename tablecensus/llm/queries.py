@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from tablecensus.llm import bpe
 from tablecensus.llm.frames import table, utf8
 from tablecensus.llm.packing import packed_sequences
+from tablecensus.llm.quality import judged
 from tablecensus.llm.sharding import interleaved_shards
+from tablecensus.llm.toxicity import held_out, learn, score_toxicity
 
 
 def op3_sharding(spark: SparkSession, folder: str) -> DataFrame:
@@ -39,11 +41,25 @@ def op5_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return judged(table(spark, folder, "documents"), carry=["doc_id"]).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good"
+    )
+
+
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = learn(docs, table(spark, folder, "labels"))
+    return score_toxicity(docs, model).select(
+        "doc_id", held_out().alias("held_out"), "score", "predicted"
+    )
+
+
 def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packed_sequences(
         table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json")
     )
 
 
-QUERIES = {f.__name__: f for f in (op3_sharding, op5_byte_bpe, op10_packing)}
+QUERIES = {f.__name__: f for f in (op3_sharding, op5_byte_bpe, op7_quality_rules, op9_toxicity, op10_packing)}
 ORACLES: dict[str, str] = {}
