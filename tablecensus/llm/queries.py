@@ -10,6 +10,8 @@ from tablecensus.llm.packing import packed_sequences
 from tablecensus.llm.quality import judged
 from tablecensus.llm.sharding import interleaved_shards
 from tablecensus.llm.toxicity import held_out, learn, score_toxicity
+from tablecensus.llm.warc import read_warc, write_warc
+from tablecensus.session import new_folder
 
 
 def op3_sharding(spark: SparkSession, folder: str) -> DataFrame:
@@ -47,6 +49,21 @@ def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
+    path = new_folder(spark, "warc")
+    write_warc(table(spark, folder, "pages"), path)
+    records = read_warc(spark, path)
+    return records.select(
+        F.col("page_id").cast("bigint").alias("page_id"),
+        # of responses from the payload read back, of revisits from the record
+        F.coalesce(F.octet_length("payload").cast("bigint"), F.col("payload_length")).alias("payload_bytes"),
+        F.coalesce(F.sha1("payload"), F.col("payload_digest")).alias("payload_digest"),
+        "record_type",
+        F.col("refers_to").cast("bigint").alias("refers_to"),
+        "complete",
+    )
+
+
 def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     model = learn(docs, table(spark, folder, "labels"))
@@ -61,5 +78,5 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op3_sharding, op5_byte_bpe, op7_quality_rules, op9_toxicity, op10_packing)}
+QUERIES = {f.__name__: f for f in (op3_sharding, op5_byte_bpe, op7_quality_rules, op8_warc, op9_toxicity, op10_packing)}
 ORACLES: dict[str, str] = {}
