@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tablecensus.llm import bpe
 from tablecensus.llm.frames import table, utf8
+from tablecensus.llm.neighbours import nearest
 from tablecensus.llm.packing import packed_sequences
 from tablecensus.llm.quality import judged
 from tablecensus.llm.sharding import interleaved_shards
@@ -43,6 +44,11 @@ def op5_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    return nearest(vectors, vectors.where(F.col("vec_id") % 50 == 0), 5)
+
+
 def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judged(table(spark, folder, "documents"), carry=["doc_id"]).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good"
@@ -78,5 +84,5 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op3_sharding, op5_byte_bpe, op7_quality_rules, op8_warc, op9_toxicity, op10_packing)}
+QUERIES = {f.__name__: f for f in (op3_sharding, op5_byte_bpe, op6_nearest, op7_quality_rules, op8_warc, op9_toxicity, op10_packing)}
 ORACLES: dict[str, str] = {}
