@@ -1,6 +1,11 @@
 """Reading the given tables, and writing what is needed more than once."""
 
 import gc
+import shutil
+import tempfile
+from collections.abc import Callable
+from functools import wraps
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,3 +42,31 @@ def parts_for(rows: int, rows_per_part: int) -> int:
 def utf8(column: str = "text"):
     """A text as UTF-8 bytes, a null one as none."""
     return F.coalesce(F.col(column).cast("binary"), F.lit(b""))
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give this package to the Python of all executors, once per session.
+
+    What ``--py-files`` does on submission. The archive is made in a folder of the
+    driver only, from where Spark hands it out.
+    """
+    context = spark.sparkContext
+    if getattr(context, "has_tablecensus", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    archive = shutil.make_archive(
+        str(Path(tempfile.mkdtemp(prefix="tablecensus-")) / package.name), "zip", package.parent, package.name
+    )
+    context.addPyFile(archive)
+    context.has_tablecensus = True
+
+
+def shipped(query: Callable) -> Callable:
+    """A query that ships the package first."""
+
+    @wraps(query)
+    def run(spark, *rest):
+        ship_package(spark)
+        return query(spark, *rest)
+
+    return run

@@ -5,7 +5,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablecensus.llm import bpe
-from tablecensus.llm.frames import table, utf8
+from tablecensus.llm.frames import shipped, table, utf8
+from tablecensus.llm.near_dups import near_duplicates
 from tablecensus.llm.neighbours import nearest
 from tablecensus.llm.packing import packed_sequences
 from tablecensus.llm.quality import judged
@@ -15,6 +16,10 @@ from tablecensus.llm.warc import read_warc, write_warc
 from tablecensus.session import new_folder
 
 
+def op2_near_dups(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(table(spark, folder, "documents")).drop("text_hash")
+
+
 def op3_sharding(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select(
         "doc_id",
@@ -84,5 +89,5 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op3_sharding, op5_byte_bpe, op6_nearest, op7_quality_rules, op8_warc, op9_toxicity, op10_packing)}
+QUERIES = {f.__name__: shipped(f) for f in (op2_near_dups, op3_sharding, op5_byte_bpe, op6_nearest, op7_quality_rules, op8_warc, op9_toxicity, op10_packing)}
 ORACLES: dict[str, str] = {}
