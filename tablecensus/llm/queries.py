@@ -6,16 +6,41 @@ from pyspark.sql import functions as F
 
 from tablecensus.llm import bpe
 from tablecensus.llm.frames import shipped, table, utf8
-from tablecensus.llm.near_dups import near_duplicates
+from tablecensus.llm.near_dups import NO_ID, keyed, near_duplicates
 from tablecensus.llm.neighbours import nearest
 from tablecensus.llm.packing import packed_sequences
 from tablecensus.llm.quality import judged
 from tablecensus.llm.sharding import interleaved_shards
+from tablecensus.llm.suffixes import repeated_spans
 from tablecensus.llm.toxicity import held_out, learn, score_toxicity
 from tablecensus.llm.warc import read_warc, write_warc
 from tablecensus.session import new_folder
 
 
+def op1_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    length = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, span: n + span["end"] - span["start"])
+    found = repeated_spans(docs).select(
+        "id",
+        "text_hash",
+        length.alias("n_removed"),
+        F.size("spans").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+    # texts without a repeated string are whole
+    whole = keyed(docs).select(
+        "id", "text_hash", F.octet_length("bytes").cast("bigint").alias("n_bytes"), F.sha2("bytes", 256).alias("sha256")
+    )
+    none = F.lit(0).cast("bigint")
+    return whole.join(found.dropDuplicates(["id", "text_hash"]), ["id", "text_hash"], "left").select(
+        F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"),
+        "n_bytes",
+        F.coalesce("n_removed", none).alias("n_removed"),
+        F.coalesce("n_spans", none).alias("n_spans"),
+        F.coalesce("kept_sha256", "sha256").alias("kept_sha256"),
+    )
+
+
 def op2_near_dups(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents")).drop("text_hash")
 
@@ -89,5 +114,5 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: shipped(f) for f in (op2_near_dups, op3_sharding, op5_byte_bpe, op6_nearest, op7_quality_rules, op8_warc, op9_toxicity, op10_packing)}
+QUERIES = {f.__name__: shipped(f) for f in (op1_suffix_dedup, op2_near_dups, op3_sharding, op5_byte_bpe, op6_nearest, op7_quality_rules, op8_warc, op9_toxicity, op10_packing)}
 ORACLES: dict[str, str] = {}
