@@ -4,7 +4,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablecensus.llm.components import components
@@ -104,11 +104,15 @@ def sketches(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 def keyed(docs: DataFrame) -> DataFrame:
     """``id`` (a number for null, too), ``text_hash`` and the bytes of each row."""
-    return docs.select(
+    return docs.select(*row_key(), utf8().alias("bytes"))
+
+
+def row_key() -> list[Column]:
+    """What tells rows apart: the id and a hash of the text."""
+    return [
         F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("id"),
         F.xxhash64(utf8()).alias("text_hash"),
-        utf8().alias("bytes"),
-    )
+    ]
 
 
 def band_rows(classes: DataFrame) -> DataFrame:
@@ -262,12 +266,12 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     whole groups of copies at the cost of one pair per member; then, in buckets
     whose members did not all come together, with every member of another component.
     Candidates that the estimate leaves open are verified on their whole sets.
-    ``component_id`` is the least ``doc_id`` reachable, and ``kept`` says it is the row's own.
+    ``component_id`` is the least ``doc_id`` reachable; ``kept`` is true for the row with
+    this id (if texts share it, the one with the least hash).
 
     Texts without words (null and empty ones too) are linked with nothing and kept.
-    A null ``doc_id`` counts as larger than any other; a component of such rows alone has
-    a null id and keeps them all. Repeated rows are one class, and all kept
-    if one is: ids are what is told apart. Columns besides ``doc_id`` and ``text`` are not looked at.
+    A null ``doc_id`` counts as larger than any other, and a component of such rows alone has
+    a null id. Of wholly equal rows all are kept if one is. Columns besides ``doc_id`` and ``text`` are not looked at.
     """
     spark = docs.sparkSession
     rows = stored(sketches(docs, words), "sketches")
@@ -295,19 +299,20 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
         more = stored(verified(stored(rest, "rest"), classes, docs, words, percent), "links")
         roots = components(links.unionByName(more))
     roots = stored(roots, "roots")
-    ids = classes.select("cls", "id").join(roots.withColumnRenamed("node", "cls"), "cls", "left")
+    ids = classes.select("cls", F.struct("id", "text_hash").alias("first")).join(roots.withColumnRenamed("node", "cls"), "cls", "left")
     ids = ids.withColumn("root", F.coalesce("root", "cls"))
-    least = stored(ids.groupBy("root").agg(F.min("id").alias("least")), "least")
+    least = stored(ids.groupBy("root").agg(F.min("first").alias("least")), "least")
     named = ids.join(least, "root").select("cls", "least")
     sets = ["set_a", "set_b", "n_shingles"]
     named = classes.select(*sets, "cls").join(named, "cls").drop("cls")
     placed = rows.select("id", "text_hash", *sets).join(stored(named, "named"), sets, "left")
-    component = F.coalesce("least", "id")
-    real = lambda c: F.when(c != NO_ID, c)
+    component = F.coalesce("least.id", "id")
     return placed.select(
-        real(F.col("id")).alias("doc_id"),
+        F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"),
         "text_hash",
         "n_shingles",
-        real(component).alias("component_id"),
-        (F.col("id") == component).alias("kept"),
+        F.when(component != NO_ID, component).alias("component_id"),
+        (
+            (F.col("id") == component) & (F.col("text_hash") == F.coalesce("least.text_hash", "text_hash"))
+        ).alias("kept"),
     )

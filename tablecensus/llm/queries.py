@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tablecensus.llm import bpe
 from tablecensus.llm.frames import shipped, table, utf8
+from tablecensus.llm.licences import scan_licences
 from tablecensus.llm.near_dups import NO_ID, keyed, near_duplicates
 from tablecensus.llm.neighbours import nearest
 from tablecensus.llm.packing import packed_sequences
@@ -63,6 +64,14 @@ def op3_sharding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_licences(spark: SparkSession, folder: str) -> DataFrame:
+    """Source and language stand for the directories of a document."""
+    part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    path = F.concat_ws("/", part("source"), part("lang"), part("doc_id"))
+    docs = table(spark, folder, "documents").select("doc_id", path.alias("path"), F.col("text"))
+    return scan_licences(docs, carry=["doc_id", "path"])
+
+
 def op5_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     encoded = bpe.encode(table(spark, folder, "documents"), ranks, offsets=False)
@@ -114,5 +123,5 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: shipped(f) for f in (op1_suffix_dedup, op2_near_dups, op3_sharding, op5_byte_bpe, op6_nearest, op7_quality_rules, op8_warc, op9_toxicity, op10_packing)}
+QUERIES = {f.__name__: shipped(f) for f in (op1_suffix_dedup, op2_near_dups, op3_sharding, op4_licences, op5_byte_bpe, op6_nearest, op7_quality_rules, op8_warc, op9_toxicity, op10_packing)}
 ORACLES: dict[str, str] = {}

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablecensus.llm.frames import parts_for, release, stored, utf8
-from tablecensus.llm.near_dups import NO_ID, keyed
+from tablecensus.llm.near_dups import keyed, row_key
 from tablecensus.llm.words import Fingerprints, grouped, mixed
 
 LENGTH = 400
@@ -377,7 +377,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, order: int = ORDER) ->
 def without_repeats(docs: DataFrame, length: int = LENGTH, order: int = ORDER) -> DataFrame:
     """``docs`` with the repeated bytes taken out of ``text``; see :func:`repeated_spans`.
 
-    A character of which only some bytes are left goes, too. Texts without such bytes, null ones
+    A character of which only some bytes are left goes, too, and ``n_chars``, if there is such a column, is
+    counted anew. Texts without such bytes, null ones
     among them, stay as they are, and no row is dropped.
     """
     spans = repeated_spans(docs, length, order).select("id", "text_hash", "kept").dropDuplicates(["id", "text_hash"])
@@ -390,11 +391,10 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, order: int = ORDER) -
             )
 
     spans = stored(spans.mapInArrow(read, "id bigint, text_hash bigint, kept_text string"), "kept-texts")
-    rows = docs.select(
-        F.struct(*docs.columns).alias("row"),
-        F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("id"),
-        F.xxhash64(utf8()).alias("text_hash"),
-    )
+    rows = docs.select(F.struct(*docs.columns).alias("row"), *row_key())
     joined = rows.join(spans, ["id", "text_hash"], "left")
-    text = F.coalesce("kept_text", "row.text").alias("text")
-    return joined.select(*[text if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    columns = {c: F.col(f"row.`{c}`") for c in docs.columns}
+    columns["text"] = F.coalesce("kept_text", "row.text")
+    if "n_chars" in columns:
+        columns["n_chars"] = F.coalesce(F.length("kept_text").cast(docs.schema["n_chars"].dataType), "row.n_chars")
+    return joined.select(*[column.alias(c) for c, column in columns.items()])
