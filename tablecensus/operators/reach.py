@@ -1,102 +1,126 @@
-"""Lineage followed from root tables, level by level."""
+"""Lineage followed from root tables, level by level.
+
+The steps of the graph are partitioned by their source once and stay where they
+are. Only the frontier moves: it is sent to the steps, and what they lead to is sent
+to the tables reached so far, which are partitioned by id as well.
+"""
 
 from collections.abc import Sequence
-from functools import reduce
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablecensus.functions.ids import fqn, split_fqn
-from tablecensus.operators.lineage import DEFAULT_LOCATION, lineage_graph, of_projects
+from tablecensus.operators.lineage import DEFAULT_LOCATION, lineage_graph
 from tablecensus.operators.skew import fits_broadcast
-from tablecensus.session import Stored, checkpoint
+from tablecensus.session import Stored, checkpoint, fixed_plans
 
-# Levels per job while the whole graph is small enough to broadcast.
+# Levels per job: a level is a small job, and starting one costs more than its work.
 HOPS = 4
-# Root projects that are named in a filter on the links.
-MAX_ROOT_PROJECTS = 1_000
-# Levels after which the pieces of the visited set are written as one.
-COMPACT_EVERY = 8
+# Steps of one table that lie together; a table with more is dealt out over salts.
+STEPS_TOGETHER = 100_000
 
 
-def _hint(stored: Stored) -> DataFrame:
-    return F.broadcast(stored.df) if fits_broadcast(stored) else stored.df
+@dataclass(frozen=True)
+class Steps:
+    """The stored graph: steps by source (and salt, if there are hubs), salts of hubs, upstream counts."""
 
+    steps: DataFrame
+    hubs: Stored | None
+    counts: DataFrame
 
-def _next() -> list[Column]:
-    return [F.col("neighbour").alias("fqn"), (F.col("depth") + 1).alias("depth")]
 
+def _partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-def _check(deepest: int, max_levels: int | None) -> None:
-    if max_levels is not None and deepest > max_levels:
-        raise RuntimeError(f"lineage goes deeper than {max_levels} levels")
 
+def store_graph(graph: DataFrame, steps_together: int = STEPS_TOGETHER) -> Steps:
+    """Write a :func:`lineage_graph` in the form a search needs.
 
-def _follow_small(start: DataFrame, steps: DataFrame, max_levels: int | None) -> Stored:
-    """Several levels per job, for steps small enough to broadcast.
-
-    Each hop keeps the tables it has and adds their neighbours, and the least
-    depth of a table wins, so going round a cycle changes nothing. The search
-    ends when no table is as deep as the hops would have reached.
+    Tables that feed more than ``steps_together`` others are hubs; their number
+    of salts follows from what they feed, and their steps are spread by a hash of the target.
     """
-    here, there = F.struct("fqn", "depth"), F.struct(*_next())
+    spark = graph.sparkSession
+    whole = checkpoint(graph)
+    graph, feeds = whole.df, F.col("neighbour").isNotNull()
+    steps = graph.where(feeds).select("fqn", "neighbour")
+    keys, hubs = ["fqn"], None
+    if whole.rows > steps_together:  # else no table can feed so many
+        salts = F.ceil(F.col("fed") / steps_together).cast("int").alias("salts")
+        hubs = (
+            steps.groupBy("fqn").agg(F.count(F.lit(1)).alias("fed"))
+            .where(F.col("fed") > steps_together).select("fqn", salts)
+        )
+        hubs = checkpoint(hubs, ["fqn"])
+    if hubs and hubs.rows:
+        keys = ["fqn", "salt"]
+        salt = F.pmod(F.xxhash64("neighbour"), F.coalesce("salts", F.lit(1))).cast("int")
+        steps = steps.join(_hint(hubs), "fqn", "left").select("fqn", salt.alias("salt"), "neighbour")
+    else:
+        hubs = None
+    with fixed_plans(spark):
+        steps = checkpoint(steps.repartition(_partitions(graph), *keys)).df
+    counts = graph.where(~feeds).select("fqn", F.col("link_count").alias("upstream_count"))
+    return Steps(steps, hubs, counts)
+
+
+def _hint(stored: Stored) -> DataFrame:
+    return F.broadcast(stored.df) if fits_broadcast(stored) else stored.df
+
+
+def _expanded(found: DataFrame, graph: Steps, depth: int) -> DataFrame:
+    """``found`` and, for its tables of this depth, what they feed, one level deeper."""
+    here = F.col("depth") == depth
+    steps = graph.steps.withColumnRenamed("fqn", "source")
+    leads = here & (F.col("fqn") == F.col("source"))
+    if graph.hubs:
+        salts = F.when(here, F.coalesce("salts", F.lit(1))).otherwise(1)
+        found = found.join(_hint(graph.hubs), "fqn", "left").select(
+            "fqn", "depth", F.explode(F.sequence(F.lit(0), salts - 1)).alias("here_salt")
+        )
+        leads &= F.col("here_salt") == F.col("salt")
+    # each table stays and adds what it leads to; one look at ``found``, so that
+    # the plan of several levels does not double with each
+    here = F.struct("fqn", "depth")
+    there = F.struct(F.col("neighbour").alias("fqn"), F.lit(depth + 1).alias("depth"))
     linked = F.col("neighbour").isNotNull()
     both = F.inline(F.when(linked, F.array(here, there)).otherwise(F.array(here)))
-    least = F.min("depth").alias("depth")
-    steps = F.broadcast(steps)
-    found, hops = start, 0
-    while True:
-        for _ in range(HOPS):
-            found = found.join(steps, "fqn", "left").select(both).groupBy("fqn").agg(least)
-        reached = checkpoint(found, ["fqn"], deepest=F.max("depth"))
-        hops += HOPS
-        deepest = reached.measured["deepest"] or 0
-        _check(deepest, max_levels)
-        if deepest < hops:
-            return reached
-        found = reached.df
-
-
-def _follow_large(start: DataFrame, steps: DataFrame, max_levels: int | None) -> Stored:
-    """One level per job, whatever the size of the graph.
-
-    A frontier small by measure is broadcast and the steps are only scanned. A
-    larger one meets them in a shuffle fed by two plain scans, the shape in
-    which AQE splits a source that has a large share of all steps. What was
-    reached before is taken out, so a table is expanded once and cycles end.
-    """
-    least = F.min("depth").alias("depth")
-    frontier = checkpoint(start, ["fqn"])
-    pieces = [frontier.df]
-    rows, key_bytes = frontier.rows, frontier.key_bytes
-    while frontier.rows:
-        reached = Stored(reduce(DataFrame.unionByName, pieces), rows, key_bytes, {})
-        # grouped by the key alone, so the anti join needs no other shuffle
-        hop = steps.join(_hint(frontier), "fqn").select(*_next()).groupBy("fqn").agg(least)
-        new = hop.join(_hint(reached).select("fqn"), "fqn", "left_anti")
-        frontier = checkpoint(new, ["fqn"], deepest=F.max("depth"))
-        if not frontier.rows:
-            break
-        _check(frontier.measured["deepest"], max_levels)
-        rows += frontier.rows
-        key_bytes += frontier.key_bytes
-        pieces.append(frontier.df)
-        if len(pieces) > COMPACT_EVERY:
-            pieces = [checkpoint(reduce(DataFrame.unionByName, pieces)).df]
-    # as one piece: a later anti join would be repeated for every branch of a union
-    return checkpoint(reduce(DataFrame.unionByName, pieces), ["fqn"])
-
-
-def follow(roots: DataFrame, graph: Stored, max_levels: int | None = None) -> Stored:
+    led_to = found.join(steps, leads, "left").select(both)
+    return led_to.groupBy("fqn").agg(F.min("depth").alias("depth"))
+
+
+def follow(roots: DataFrame, graph: Steps, max_levels: int | None = None) -> Stored:
     """Id texts reachable from ``roots``, each with its least depth.
 
-    ``graph`` is a stored :func:`lineage_graph`, usually far smaller than the
-    links, which repeat with every job run.
+    One search for any size. A job follows ``HOPS`` levels from the frontier, the
+    deepest tables of the job before; at each level what was reached by earlier
+    jobs is taken out, and within the job the least depth of a table wins, so a table is
+    expanded once and cycles end. Roots without a full id lead nowhere and are dropped.
     """
-    start = roots.select(fqn().alias("fqn")).distinct().withColumn("depth", F.lit(0))
-    steps = graph.df.where(F.col("neighbour").isNotNull()).select("fqn", "neighbour")
-    search = _follow_small if fits_broadcast(graph) else _follow_large
-    return search(start, steps, max_levels)
+    spark, partitions = roots.sparkSession, _partitions(roots)
+    start = roots.select(fqn().alias("fqn")).where(F.col("fqn").isNotNull()).distinct()
+    start = start.select("fqn", F.lit(0).alias("depth"))
+    with fixed_plans(spark):
+        frontier = checkpoint(start.repartition(partitions, "fqn"))
+        reached, depth = frontier, 0
+        while frontier.rows:
+            found = frontier.df.where(F.col("depth") == depth)
+            for hop in range(HOPS):
+                found = _expanded(found, graph, depth + hop)
+                found = found.join(reached.df.select("fqn"), "fqn", "left_anti")
+            frontier = checkpoint(found, deepest=F.max("depth"))
+            depth += HOPS
+            if not frontier.rows:
+                break
+            if max_levels is not None and frontier.measured["deepest"] > max_levels:
+                raise RuntimeError(f"lineage goes deeper than {max_levels} levels")
+            # as one piece that lies as the steps do: a later join finds it in place
+            whole = reached.df.unionByName(frontier.df).repartition(partitions, "fqn")
+            reached = checkpoint(whole, ["fqn"])
+            if frontier.measured["deepest"] < depth:
+                break
+    return reached
 
 
 def _graph(
@@ -105,19 +129,21 @@ def _graph(
     allowed_projects: Sequence[str] | None,
     location: str,
     match_sharded: bool,
-) -> Stored:
+    steps_together: int,
+) -> Steps:
     """The part of the lineage a search can touch, stored.
 
     Behind a fence only links of the fenced projects and those of the roots can
-    matter. If the roots lie in too many projects to name, all links are read.
+    matter: a join with these projects, however many, which prunes links
+    stored by project.
     """
     if allowed_projects:
-        projects = roots.select("project_id").distinct().limit(MAX_ROOT_PROJECTS + 1).collect()
-        if len(projects) <= MAX_ROOT_PROJECTS:
-            named = {r.project_id for r in projects if r.project_id is not None}
-            links = of_projects(links, [*allowed_projects, *named])
+        spark = links.sparkSession
+        fenced = spark.createDataFrame([(p,) for p in sorted(set(allowed_projects))], "link_project string")
+        touched = fenced.union(roots.select("project_id")).distinct()
+        links = links.join(touched, "link_project", "left_semi")
     graph = lineage_graph(links, allowed_projects, location, match_sharded)
-    return checkpoint(graph, ["fqn", "neighbour"])
+    return store_graph(graph, steps_together)
 
 
 def reachable_tables(
@@ -127,9 +153,10 @@ def reachable_tables(
     location: str = DEFAULT_LOCATION,
     match_sharded: bool = False,
     max_levels: int | None = None,
+    steps_together: int = STEPS_TOGETHER,
 ) -> DataFrame:
     """The roots and all tables downstream of them, with ``depth`` in links."""
-    graph = _graph(roots, links, allowed_projects, location, match_sharded)
+    graph = _graph(roots, links, allowed_projects, location, match_sharded, steps_together)
     reached = follow(roots, graph, max_levels)
     return reached.df.select(*split_fqn(F.col("fqn")), "depth")
 
@@ -141,24 +168,18 @@ def leaf_tables_from_roots(
     location: str = DEFAULT_LOCATION,
     match_sharded: bool = False,
     max_levels: int | None = None,
+    steps_together: int = STEPS_TOGETHER,
 ) -> DataFrame:
     """Tables reachable from ``roots`` that feed no table inside the fence.
 
-    Roots themselves are not fenced, repeated roots count once, and the
-    upstream count ignores the fence.
+    Roots themselves are not fenced, repeated roots count once, roots with a null
+    part are dropped, and the upstream count ignores the fence.
     """
-    graph = _graph(roots, links, allowed_projects, location, match_sharded)
+    graph = _graph(roots, links, allowed_projects, location, match_sharded, steps_together)
     reached = follow(roots, graph, max_levels)
-    feeds = F.col("neighbour").isNotNull()
-    sources = graph.df.where(feeds).select("fqn")
-    counts = graph.df.where(~feeds).select("fqn", F.col("link_count").alias("upstream_count"))
-    if fits_broadcast(graph):
-        sources, counts = F.broadcast(sources), F.broadcast(counts)
-    else:
-        sources = sources.distinct()
     return (
-        reached.df.join(sources, "fqn", "left_anti")
-        .join(counts, "fqn", "left")
+        reached.df.join(graph.steps.select("fqn"), "fqn", "left_anti")
+        .join(graph.counts, "fqn", "left")
         .select(
             *split_fqn(F.col("fqn")),
             "fqn",

@@ -2,7 +2,8 @@
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -78,3 +79,18 @@ def checkpoint(df: DataFrame, key_columns: Sequence[str] = (), **measures: Colum
     ).checkpoint()
     found = seen.get
     return Stored(done, found["rows"], found["key_bytes"] or 0, found)
+
+
+@contextmanager
+def fixed_plans(spark: SparkSession) -> Iterator[None]:
+    """Run jobs as planned, without replanning between stages.
+
+    What a checkpoint writes under adaptive execution has no known partitioning
+    afterwards, so every join with it would shuffle it again.
+    """
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)

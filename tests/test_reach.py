@@ -72,8 +72,7 @@ def test_random_graphs_agree_with_brute_force(join_mode, links, ids, seed):
     assert {f"{r.project_id}.{r.dataset_id}.{r.table_id}": r.depth for r in reached.collect()} == depth
 
 
-def test_deep_chain_with_compaction(join_mode, monkeypatch, links, ids):
-    monkeypatch.setattr(reach, "COMPACT_EVERY", 2)
+def test_deep_chain(join_mode, links, ids):
     given = links(*[(f"p.d.t{i}", f"p.d.t{i + 1}") for i in range(13)], ("p.d.t13", "p.d.t0"), ("p.d.t9", "p.d.end"))
     found = reach.reachable_tables(ids("p.d.t0"), given).collect()
     assert {r.table_id: r.depth for r in found} == {**{f"t{i}": i for i in range(14)}, "end": 10}
@@ -96,12 +95,68 @@ def test_fenced_reach_is_part_of_reach(links, ids, rows):
     assert set(rows(found.select("project_id", "dataset_id", "table_id"))) <= set(everything)
 
 
-@pytest.mark.parametrize("most", [0, 1_000])
-def test_fenced_search_reads_links_of_touched_projects(monkeypatch, links, ids, most):
-    monkeypatch.setattr(reach, "MAX_ROOT_PROJECTS", most)
+def test_fenced_search_reads_links_of_touched_projects(links, ids):
     given = links((A, B), (B, C), ("project-z.x.y", B), (A, "project-z.x.y"), ("project-z.x.y", A))
     found = reach.leaf_tables_from_roots(ids(A), given, ["project-b"])
     assert leaves(found) == [(B, 2)]
     assert leaves(reach.leaf_tables_from_roots(ids("project-z.x.y"), given, ["project-c"])) == [
         ("project-z.x.y", 1)
     ]
+
+
+def test_roots_in_very_many_projects(spark, links):
+    roots = spark.range(1_500).selectExpr(
+        "concat('p', id) AS project_id", "'d' AS dataset_id", "'t' AS table_id"
+    )
+    given = links(("p7.d.t", "p8.d.u"), ("p1499.d.t", "q.d.x"), ("q.d.x", "q.d.y"))
+    found = leaves(reach.leaf_tables_from_roots(roots, given, ["p8"]))
+    assert len(found) == 1_500 and ("p8.d.u", 1) in found and ("p7.d.t", 0) not in found
+
+
+def test_roots_with_a_null_part_lead_nowhere(spark, links):
+    roots = spark.createDataFrame(
+        [("project-a", None, "events"), (None, None, None), tuple(A.split("."))],
+        "project_id string, dataset_id string, table_id string",
+    )
+    assert leaves(reach.leaf_tables_from_roots(roots, links((A, B)))) == [(B, 1)]
+    assert reach.reachable_tables(roots, links((A, B))).count() == 2
+
+
+@pytest.mark.parametrize("together", [1, 7])
+def test_hubs_are_dealt_out(join_mode, links, ids, together):
+    pairs = [("p.d.hub", f"p.d.t{i}") for i in range(30)] + [(f"p.d.t{i}", "p.d.hub") for i in range(5)]
+    pairs += [("p.d.t9", "p.d.u"), ("p.d.u", "p.d.v")]
+    depth, expected = brute_force(pairs, ["p.d.t3"], None)
+    found = reach.leaf_tables_from_roots(ids("p.d.t3"), links(*pairs), steps_together=together)
+    assert leaves(found) == expected
+    reached = reach.reachable_tables(ids("p.d.t3"), links(*pairs), steps_together=together).collect()
+    assert {f"p.d.{r.table_id}": r.depth for r in reached} == depth
+
+
+def test_levels_move_only_the_frontier(spark, monkeypatch, links, ids):
+    """Without broadcasts no exchange lies between a join and the stored steps or reached tables."""
+    monkeypatch.setattr("tablecensus.operators.skew.BROADCAST_BYTES", -1)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        given = links(*[(f"p.d.t{i}", f"p.d.t{i + 1}") for i in range(6)])
+        graph = reach.store_graph(reach.lineage_graph(given))
+        frontier = graph.steps.select("fqn").distinct().selectExpr("fqn", "0 AS depth")
+        with reach.fixed_plans(spark):
+            frontier = reach.checkpoint(frontier.repartition(8, "fqn")).df
+            plan = reach._expanded(frontier, graph, 0).join(frontier.select("fqn"), "fqn", "left_anti")
+            text = plan._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    lines = text.splitlines()
+    above = {}
+    for i, line in enumerate(lines):
+        if "Scan ExistingRDD" in line and "neighbour" in line:
+            # walk up the tree by indentation
+            depth, path = len(line) - len(line.lstrip(" :+-")), []
+            for upper in reversed(lines[:i]):
+                d = len(upper) - len(upper.lstrip(" :+-"))
+                if d < depth:
+                    path.append(upper.lstrip(" :+-*()0123456789"))
+                    depth = d
+            above[i] = next(p for p in path if p.startswith(("Exchange", "SortMergeJoin", "ShuffledHashJoin")))
+    assert above and not any(p.startswith("Exchange") for p in above.values()), text
