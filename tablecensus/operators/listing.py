@@ -62,18 +62,24 @@ def split_by_type(tables: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def merge_listings(listings: Sequence[DataFrame]) -> DataFrame:
-    """The full outer join of listings over all four columns, as one aggregation.
+    """The full outer join of listings over all four columns, as two aggregations.
 
-    Rows of different projects never meet in that join and a listing has a table
-    once, so it is the union in which equal rows collapse. Rows with a null
-    never match, not even themselves, and stay as often as they came.
+    A row comes out as often as the join pairs its occurrences: the product of
+    how often it is in each listing that has it. Rows with a null never match, not even
+    themselves, and stay as often as they came.
     """
     together = reduce(
-        DataFrame.unionByName, [listing.select(*TABLE_COLS) for listing in listings]
+        DataFrame.unionByName,
+        [listing.select(*TABLE_COLS, F.lit(i).alias("listing")) for i, listing in enumerate(listings)],
     )
+    each = collapse(together).groupBy(*TABLE_COLS).agg(F.collect_list("copies").alias("copies"))
     complete = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in TABLE_COLS])
-    counted = collapse(together).withColumn(
-        "copies", F.when(complete, F.lit(1).cast("bigint")).otherwise(F.col("copies"))
+    one, none = (F.lit(n).cast("bigint") for n in (1, 0))
+    counted = each.withColumn(
+        "copies",  # a number per listing
+        F.when(complete, F.aggregate("copies", one, lambda n, c: n * c)).otherwise(
+            F.aggregate("copies", none, lambda n, c: n + c)
+        ),
     )
     return expand(counted)
 
@@ -81,12 +87,15 @@ def merge_listings(listings: Sequence[DataFrame]) -> DataFrame:
 def dedup_tables(tables: DataFrame, order_by: Sequence[str] = ()) -> DataFrame:
     """One row per table id: the first by ``order_by``, then by the other columns.
 
-    Equal rows go first, by hashing; only what differs is sorted to find the least.
+    Equal rows go first, by hashing, also before the shuffle; only distinct rows are
+    sorted to find the least. (The exchange keeps Spark from dropping the distinct,
+    after which every input row would be sorted.)
     """
     others = [c for c in tables.columns if c not in ID_COLS]
     ranked = [*order_by, *[c for c in others if c not in order_by]]
     return (
         tables.distinct()
+        .repartition(*ID_COLS)
         .groupBy(*ID_COLS)
         .agg(F.min(F.struct(*ranked)).alias("first"))
         .select(*ID_COLS, *[F.col(f"first.{c}").alias(c) for c in others])

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from tablecensus.functions.flags import type_flags
@@ -80,6 +82,26 @@ def test_merge_listings_is_the_full_outer_join(spark, tables, rows):
     assert merged.count() == 5
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_merge_listings_with_repeats_and_nulls(spark, tables, rows, seed):
+    draw = random.Random(seed)
+    schema = tables(("a.d.t", "VIEW")).schema
+    row = lambda: ("a", "d", draw.choice(["t", "u", "v", None]), draw.choice(["VIEW", "CLONE"]))
+    given = [spark.createDataFrame([row() for _ in range(draw.randrange(1, 7))], schema) for _ in range(3)]
+    by_join = given[0]
+    for other in given[1:]:
+        by_join = by_join.join(other, by_join.columns, "full")
+    assert rows(listing.merge_listings(given)) == rows(by_join)
+    assert rows(listing.merge_listings(given[:1])) == rows(given[0])
+
+
+def test_dedup_hashes_before_the_exchange(tables):
+    plan = listing.dedup_tables(tables(("a.d.t", "VIEW")))._jdf.queryExecution().executedPlan().toString()
+    lines = [line.strip(" :+-*()0123456789") for line in plan.splitlines()]
+    first = max(i for i, line in enumerate(lines) if line.startswith("Exchange"))
+    assert lines[first + 1].startswith("HashAggregate") and not any(line.startswith("Sort") for line in lines[first:])
+
+
 def test_dedup_keeps_the_first_in_order(tables, rows):
     given = tables(("a.d.t", "VIEW"), ("a.d.t", "CLONE"), ("a.d.u", "VIEW"), ("a.d.t", "VIEW"))
     assert rows(listing.dedup_tables(given)) == [
