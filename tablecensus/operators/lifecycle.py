@@ -29,9 +29,13 @@ def discovered(tables: DataFrame) -> DataFrame:
 
 
 def _usage_facts(counts: DataFrame) -> DataFrame:
-    return counts.groupBy(*ID_COLS).agg(
-        F.max("job_count").alias("job_count"), F.max("unique_user").alias("unique_user")
-    ).select(*ID_COLS, F.struct("job_count", "unique_user").alias("new_usage_info"))
+    """One usage per table: of several the one with most jobs, then most users; null is 0."""
+    zero = F.lit(0).cast("bigint")
+    usage = F.struct(
+        F.coalesce("job_count", zero).alias("job_count"),
+        F.coalesce("unique_user", zero).alias("unique_user"),
+    )
+    return counts.groupBy(*ID_COLS).agg(F.max(usage).alias("new_usage_info"))
 
 
 def _owner_facts(owners: DataFrame) -> DataFrame:
@@ -48,8 +52,9 @@ def with_info(
     """Set usage for the tables in ``counts`` and deletion info for those in ``owners``.
 
     What a table already has is replaced, and kept where there is nothing new.
-    ``counts`` has a row for every checked table, also for those not used. A
-    table with several owners gets the first by name.
+    ``counts`` has a row for every checked table, also for those not used (see
+    ``usage.counts_of``). A table with several counts gets the largest as it is, one
+    with several owners the first by name.
     """
     facts = {}
     if counts is not None:

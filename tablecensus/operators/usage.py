@@ -73,6 +73,21 @@ def attach_usage(tables: DataFrame, counts: DataFrame) -> DataFrame:
     return expand(counted)
 
 
+def counts_of(tables: DataFrame, counts: DataFrame) -> DataFrame:
+    """One row per listed id with its counts, zero where there are none."""
+    zero = F.lit(0).cast("bigint")
+    return (
+        tables.select(*ID_COLS)
+        .distinct()
+        .join(counts.select(*ID_COLS, "job_count", "unique_user"), ID_COLS, "left")
+        .select(
+            *ID_COLS,
+            F.coalesce("job_count", zero).alias("job_count"),
+            F.coalesce("unique_user", zero).alias("unique_user"),
+        )
+    )
+
+
 def local_time(df: DataFrame, moment: str = "ts", zone: str = REPORT_ZONE) -> Column:
     """The wall clock in ``zone``; a time without zone is UTC in any session."""
     zoneless = isinstance(df.schema[moment].dataType, T.TimestampNTZType)

@@ -90,3 +90,10 @@ def test_usage_summary(analyzed, rows):
     given = analyzed(("a.d.s", "VIEW", 0, 0), ("a.d.t", "VIEW", 6, 1), ("a.e.u", "VIEW", 4, 1))
     summary = lifecycle.usage_summary(given, ["project_id", "dataset_id"])
     assert rows(summary) == [("a", "d", 2, 1, 6, 0.5), ("a", "e", 1, 0, 4, 0.0)]
+
+
+def test_usage_is_one_value_and_null_is_zero(tables, analyzed):
+    start = lifecycle.discovered(tables(("a.d.t", "VIEW"), ("a.d.n", "VIEW")))
+    counts = analyzed(("a.d.t", "VIEW", 100, 5), ("a.d.t", "VIEW", 50, 30), ("a.d.n", "VIEW", None, None))
+    report = lifecycle.lifecycle_report(lifecycle.with_usage_info(start, counts))
+    assert by_table(report, "job_count", "unique_user", "is_unused") == {"t": (100, 5, False), "n": (0, 0, True)}
