@@ -25,7 +25,6 @@ from tablecensus.functions.ids import (
 from tablecensus.operators.skew import (
     collapse,
     expand,
-    fits_broadcast,
     salted_join,
 )
 from tablecensus.schemas import ID_COLS
@@ -214,22 +213,18 @@ def neighbours(
 ) -> DataFrame:
     """The upstream and downstream tables of the given ids, one per row.
 
-    ``link_count`` says how often the link is recorded. If the ids are few by
-    measure, links of other tables are dropped before anything is shuffled;
-    otherwise links are counted first and then met by salted ids, so a table
-    with a third of all links is spread over several tasks.
+    ``link_count`` says how often the link is recorded. Links are counted first, so
+    repeated ones are one row per task, and then met by the ids in a plain join,
+    which Spark broadcasts if the ids are few and splits where a table has a
+    large share of the links.
     """
-    pairs = link_ends(links, None, location, match_sharded)
-    keys = checkpoint(ids.select(fqn().alias("fqn")).distinct(), ["fqn"])
-    few = fits_broadcast(keys)
-    if few:
-        pairs = pairs.join(F.broadcast(keys.df), "fqn", "left_semi")
-    counted = pairs.groupBy("direction", "fqn", "neighbour").agg(
-        F.count(F.lit(1)).alias("link_count")
+    counted = (
+        link_ends(links, None, location, match_sharded)
+        .groupBy("direction", "fqn", "neighbour")
+        .agg(F.count(F.lit(1)).alias("link_count"))
     )
-    if not few:
-        counted = salted_join(counted, keys.df, ["fqn"], "left_semi", ["neighbour"])
-    return counted.select(
+    wanted = ids.select(fqn().alias("fqn")).distinct()
+    return counted.join(wanted, "fqn", "left_semi").select(
         *split_fqn(F.col("fqn")),
         "direction",
         *[c.alias(f) for c, f in zip(split_fqn(F.col("neighbour")), FAR_COLS)],
@@ -237,12 +232,16 @@ def neighbours(
     )
 
 
-def neighbour_pages(found: DataFrame, page_size: int = 10_000) -> DataFrame:
+def neighbour_pages(
+    found: DataFrame, page_size: int = 10_000, ids: DataFrame | None = None
+) -> DataFrame:
     """The rows of :func:`neighbours` as sorted arrays of about ``page_size`` entries.
 
     Nearly every table has one page with its whole list; a table with more
     neighbours gets several, dealt out by hash, so no array grows with the data.
     The rows are stored first, as they are read to size the pages and to fill them.
+    With ``ids`` each of these has a page 0 in both directions, empty if it has no
+    neighbour there.
     """
     found = checkpoint(found).df
     group = [*ID_COLS, "direction"]
@@ -258,6 +257,14 @@ def neighbour_pages(found: DataFrame, page_size: int = 10_000) -> DataFrame:
     entry = F.struct(
         *[F.col(f).alias(c) for c, f in zip(ID_COLS, FAR_COLS)], "link_count"
     )
+    if ids is not None:
+        directions = F.explode(F.array(F.lit("downstream"), F.lit("upstream")))
+        empty = ids.select(*ID_COLS).distinct().withColumn("direction", directions)
+        paged = paged.unionByName(
+            empty.withColumn("page", F.lit(0).cast("bigint")), allowMissingColumns=True
+        )
+    # a null entry, from an id, is not collected
+    entry = F.when(F.col("link_count").isNotNull(), entry)
     return paged.groupBy(*group, "page").agg(
         F.sort_array(F.collect_list(entry)).alias("neighbours")
     )

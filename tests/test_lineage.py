@@ -165,3 +165,13 @@ def test_links_are_read_once(spark, links, ids):
     assert plan.count("StartsWith(source_fqn") > 0
     assert plan.count("ReusedExchange") >= 2
     assert plan.count("Generate inline") == 1
+
+
+def test_pages_of_tables_without_neighbours(links, ids):
+    looked_up = ids("a.d.t", "a.d.alone", "a.d.alone")
+    found = lineage.neighbours(looked_up, links(("a.d.t", "a.d.u")))
+    pages = lineage.neighbour_pages(found, ids=looked_up).collect()
+    got = sorted((r.table_id, r.direction, r.page, [n.table_id for n in r.neighbours]) for r in pages)
+    assert got == [
+        ("alone", "downstream", 0, []), ("alone", "upstream", 0, []), ("t", "downstream", 0, ["u"]), ("t", "upstream", 0, []),
+    ]
