@@ -8,6 +8,7 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from tablecensus.operators.usage import REPORT_ZONE, local_time
 from tablecensus.schemas import ID_COLS
+from tablecensus.sources.outputs import write_daily_usage
 
 
 def daily_usage_stream(
@@ -53,12 +54,15 @@ def write_daily_usage_stream(
 ) -> DataStreamWriter:
     """A writer that adds finished days to the folder of daily usage; start it.
 
-    Both paths must be on storage shared by all executors.
+    Each batch goes through the batch writer, which replaces whole days: a day
+    comes out of the stream at once, so a batch run again writes the same, and a batch
+    rollup may repair or add days in the same folder at any time. Both paths must be on
+    storage shared by all executors.
     """
-    return (
-        daily.writeStream.outputMode("append")
-        .format("parquet")
-        .partitionBy("dt")
-        .option("path", path)
-        .option("checkpointLocation", checkpoint_path)
+
+    def write(batch: DataFrame, _: int) -> None:
+        write_daily_usage(batch, path)
+
+    return daily.writeStream.outputMode("append").foreachBatch(write).option(
+        "checkpointLocation", checkpoint_path
     )

@@ -1,7 +1,11 @@
+import datetime as dt
+
 import pytest
 from pyspark.sql import functions as F
 
 from tablecensus.operators.usage import daily_usage, with_report_day
+from tablecensus.sources.inputs import read_usage
+from tablecensus.sources.outputs import write_daily_usage
 from tablecensus.streaming.daily_usage import daily_usage_stream, write_daily_usage_stream
 
 EVENTS = "/root/testdata/sf0.001/events.parquet"
@@ -35,3 +39,25 @@ def test_stream_agrees_with_the_batch_rollup(spark, session_zone, tmp_path, rows
     streamed = rows(spark.read.parquet(out).select(*columns))
     assert set(rows(closed.select(*columns))) <= set(streamed) <= set(rows(batch.select(*columns)))
     assert len(streamed) > 100
+
+
+def test_stream_and_batch_share_one_store(spark, tmp_path, rows):
+    """Stream days, repair one by batch, add another by batch: all are read."""
+    out = str(tmp_path / "usage")
+    schema = "ts timestamp, project_id string, dataset_id string, table_id string, user_id bigint"
+    job = lambda day, user: (dt.datetime(2024, 1, day, 12), "p", "d", "t", user)
+    early = spark.createDataFrame([job(1, 1), job(1, 2), job(2, 1), job(9, 1)], schema)
+    early.write.parquet(str(tmp_path / "log"))
+    stream = spark.readStream.schema(early.schema).parquet(str(tmp_path / "log"))
+    for _ in range(2):  # the second run finds nothing new
+        query = write_daily_usage_stream(
+            daily_usage_stream(stream), out, str(tmp_path / "checkpoint")
+        ).trigger(availableNow=True).start()
+        assert query.awaitTermination(240)
+    every = early.unionByName(spark.createDataFrame([job(2, 7), job(3, 4)], schema))
+    batch = daily_usage(with_report_day(every)).where("dt < '2024-01-05'")
+    stored = lambda: rows(read_usage(spark, out).select(*batch.columns))
+    assert [r[3:] for r in stored()] == [(dt.date(2024, 1, 1), 2, 2), (dt.date(2024, 1, 2), 1, 1)]
+    write_daily_usage(batch.where("dt = '2024-01-02'"), out)
+    write_daily_usage(batch.where("dt = '2024-01-03'"), out)
+    assert stored() == rows(batch)
