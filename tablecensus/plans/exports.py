@@ -14,6 +14,8 @@ from tablecensus.operators.usage import (
     attach_usage,
     reference_counts,
 )
+from tablecensus.schemas import ID_COLS
+from tablecensus.session import checkpoint
 from tablecensus.sources.outputs import (
     check_format,
     write_analyzed_tables,
@@ -53,16 +55,17 @@ def export_leaf_tables(
     if project_ids is not None and catalog is None:
         raise ValueError("project_ids needs a catalog")
     check_format(fmt)
+    # stored once: what is counted is what is searched, also if the inputs change meanwhile
     if roots is not None:
-        looked_at = roots
+        looked_at = checkpoint(roots.select(*ID_COLS))
         leaves = leaf_tables_from_roots(
-            roots, links, allowed_projects, location, match_sharded
+            looked_at.df, links, allowed_projects, location, match_sharded
         )
     else:
-        looked_at = list_tables(catalog, project_ids, excluded_datasets)
+        looked_at = checkpoint(list_tables(catalog, project_ids, excluded_datasets))
         links = of_projects(links, project_ids)
-        leaves = leaf_tables(looked_at, links, allowed_projects, location, match_sharded)
-    return ExportResult(looked_at.count(), write_leaf_tables(leaves, path, fmt), path)
+        leaves = leaf_tables(looked_at.df, links, allowed_projects, location, match_sharded)
+    return ExportResult(looked_at.df.count(), write_leaf_tables(leaves, path, fmt), path)
 
 
 def analyzed_tables(

@@ -118,6 +118,9 @@ SELECT {_OWN_IDS}, direction, split_part(far, '.', 1) AS neighbour_project_id, s
  split_part(far, '.', 3) AS neighbour_table_id, count(*) AS link_count
 FROM (SELECT own, far, 'upstream' AS direction FROM up UNION ALL SELECT own, far, 'downstream' FROM down)
 GROUP BY ALL"""
+_EVENT_LOG = """
+SELECT 'app' AS project_id, 'events' AS dataset_id, event_type AS table_id, user_id, CAST(ts + INTERVAL 9 HOURS AS DATE) AS dt
+FROM events"""
 _REASON = """CASE WHEN {end}_fqn IS NULL THEN '{end}_missing'
   WHEN NOT starts_with({end}_fqn, 'bigquery:') THEN '{end}_other_system'
   WHEN {end}_id IS NULL THEN '{end}_not_three_parts' END"""
@@ -129,6 +132,13 @@ ORACLES: dict[str, str] = {
 SELECT * FROM (SELECT {_IDS}, table_type FROM listed WHERE project_id = 'project-a') a
 FULL OUTER JOIN (SELECT {_IDS}, table_type FROM listed WHERE project_id = 'project-b') b USING ({_IDS}, table_type)
 FULL OUTER JOIN (SELECT {_IDS}, table_type FROM listed WHERE project_id = 'project-a') c USING ({_IDS}, table_type)"""
+    ),
+    "list_tables_repeated": _sql(
+        f"""
+SELECT * FROM (SELECT {_IDS}, table_type FROM listed WHERE project_id = 'project-a'
+ UNION ALL SELECT {_IDS}, table_type FROM listed WHERE project_id = 'project-a' AND k % 3 = 0) a
+FULL OUTER JOIN (SELECT {_IDS}, table_type FROM listed WHERE {_CHECKED}
+ UNION ALL SELECT {_IDS}, table_type FROM listed WHERE {_CHECKED} AND k % 5 = 0) b USING ({_IDS}, table_type)"""
     ),
     "table_type_flags": _sql(
         f"""
@@ -182,6 +192,18 @@ FROM events GROUP BY 1, 2""",
 SELECT {_IDS}, count(DISTINCT user_id) AS unique_user_exact FROM job_log
 WHERE dt >= DATE '2001-08-01' - INTERVAL 90 DAY GROUP BY {_IDS}"""
     ),
+    "unique_users_approx": _sql(
+        f"""
+SELECT {_IDS}, count(DISTINCT user_id) AS unique_user_exact, true AS close FROM job_log
+WHERE dt >= DATE '2001-08-01' - INTERVAL 90 DAY GROUP BY {_IDS}"""
+    ),
+    "reference_counts_stored": f"""
+SELECT {_IDS}, CAST(sum(jobs) AS BIGINT) AS job_count, CAST(sum(users) AS BIGINT) AS unique_user
+FROM (SELECT {_IDS}, dt, count(*) AS jobs, count(DISTINCT user_id) AS users FROM ({_EVENT_LOG}) GROUP BY ALL)
+WHERE dt >= DATE '2024-01-23' GROUP BY ALL""",
+    "unique_users_stored": f"""
+SELECT {_IDS}, count(DISTINCT user_id) AS unique_user_exact, true AS close
+FROM ({_EVENT_LOG}) WHERE dt >= DATE '2024-01-23' GROUP BY ALL""",
     "downstream_edges": _sql(f"SELECT own AS fqn, far AS neighbour FROM down {_FENCED}"),
     "upstream_edges": _sql("SELECT own AS fqn, far AS neighbour FROM up"),
     "upstream_counts": _sql(
@@ -201,6 +223,11 @@ SELECT {_IDS}, direction, CAST(0 AS BIGINT) AS page,
  string_agg(neighbour_project_id || '.' || neighbour_dataset_id || '.' || neighbour_table_id || ' x' || CAST(link_count AS VARCHAR), ', '
   ORDER BY neighbour_project_id, neighbour_dataset_id, neighbour_table_id) AS neighbours
 FROM ({_NEIGHBOURS}) GROUP BY ALL"""
+    ),
+    "table_neighbour_pages_small": _sql(
+        f"""
+SELECT {_IDS}, direction, neighbour_project_id, neighbour_dataset_id, neighbour_table_id, link_count
+FROM ids CROSS JOIN (VALUES ('upstream'), ('downstream')) d(direction) LEFT JOIN ({_NEIGHBOURS}) USING ({_IDS}, direction)"""
     ),
     "leaf_tables": _sql(_leaves("listed")),
     "leaf_tables_fenced": _sql(_leaves("listed", _FENCED)),
@@ -216,6 +243,16 @@ FROM ({_NEIGHBOURS}) GROUP BY ALL"""
         _root_leaves("down_normalized", "up_normalized"),
         reached=_reach("0", "down_normalized"),
     ),
+    "leaf_from_roots_hub": _sql(
+        _root_leaves("down_hub", "up_hub"),
+        fed="""
+SELECT h.project_id AS hub_project, h.fqn AS hub, f.project_id AS fed_project, f.fqn AS fed
+FROM ids h JOIN ids f ON h.k = 0 AND f.k % 3 = 1""",
+        down_hub="SELECT own, far FROM down UNION ALL SELECT hub, fed FROM fed",
+        # a link is found from its target only if recorded in the target's project
+        up_hub="SELECT own, far FROM up UNION ALL SELECT fed, hub FROM fed WHERE fed_project = hub_project",
+        reached=_reach("0", "down_hub"),
+    ),
     # the fixed bound on the depth only stops the recursion going round a cycle
     "reachable_tables": _sql(
         """
@@ -262,4 +299,12 @@ UNION ALL SELECT 'project_leaves', (SELECT count(*) FROM listed WHERE {_CHECKED}
 UNION ALL SELECT 'root_leaves', (SELECT count(*) FROM ids WHERE k IN (1, 2)), (SELECT count(*) FROM ({_root_leaves(fenced=_FENCED)}))""",
         reached=_reach("1, 2", fenced=_FENCED),
     ),
+    "export_stored_inputs": _sql(
+        f"""
+SELECT 'counts' AS export, {_IDS}, job_count AS number FROM analyzed WHERE {_CHECKED}
+UNION ALL SELECT 'project', {_IDS}, upstream_count FROM ({_leaves(_LISTED_AB, _FENCED)})
+UNION ALL SELECT 'root', {_IDS}, upstream_count FROM ({_root_leaves(fenced=_FENCED)})""",
+        reached=_reach("1, 2", fenced=_FENCED),
+    ),
+    "export_overwritten": _sql(_leaves(_LISTED_AB)),
 }

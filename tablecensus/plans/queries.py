@@ -1,6 +1,7 @@
 """The registered queries: every operator over the whole derived tables."""
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +19,8 @@ from tablecensus.schemas import (
 )
 from tablecensus.session import new_folder
 from tablecensus.sources import derived
-from tablecensus.sources.outputs import read_export
+from tablecensus.sources.inputs import read_catalog, read_links, read_usage, read_user_sketches
+from tablecensus.sources.outputs import read_export, write_daily_usage
 
 CHECKED_PROJECTS = ["project-a", "project-b"]
 FENCE = ["project-a", "project-b", "project-c"]
@@ -39,6 +41,15 @@ def list_tables_full_outer(spark: SparkSession, folder: str) -> DataFrame:
     return listing.merge_listings([_tables(spark, folder, [p]) for p in projects])
 
 
+def list_tables_repeated(spark: SparkSession, folder: str) -> DataFrame:
+    """Listings in which rows repeat, within one and across."""
+    key = F.element_at(F.split("table_id", "_"), -1).cast("bigint")
+    a, both = _tables(spark, folder, ["project-a"]), _tables(spark, folder, CHECKED_PROJECTS)
+    return listing.merge_listings(
+        [a.unionByName(a.where(key % 3 == 0)), both.unionByName(both.where(key % 5 == 0))]
+    )
+
+
 def table_type_flags(spark: SparkSession, folder: str) -> DataFrame:
     return _tables(spark, folder).select(*ID_COLS, *type_flags())
 
@@ -126,8 +137,39 @@ def unique_users_exact(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def unique_users_approx(spark: SparkSession, folder: str) -> DataFrame:
-    sketches = usage.daily_user_sketches(derived.job_log(spark, folder))
-    return usage.unique_users_approx(sketches, derived.AS_OF)
+    """Whether each estimate is within 5 % (three standard errors) of the exact number."""
+    log = derived.job_log(spark, folder)
+    approx = usage.unique_users_approx(usage.daily_user_sketches(log), derived.AS_OF)
+    exact = usage.unique_users_exact(log, derived.AS_OF)
+    return _compared(exact, approx)
+
+
+def _compared(exact: DataFrame, approx: DataFrame) -> DataFrame:
+    off = F.abs(F.col("unique_user_approx") - F.col("unique_user_exact"))
+    close = off <= 0.05 * F.col("unique_user_exact") + 0.5
+    return exact.join(approx, ID_COLS, "full").select(*ID_COLS, "unique_user_exact", close.alias("close"))
+
+
+def _event_log(spark, folder) -> DataFrame:
+    events = derived.read(spark, folder, "events").select(
+        F.lit("app").alias("project_id"), F.lit("events").alias("dataset_id"), F.col("event_type").alias("table_id"), "ts", "user_id"
+    )
+    return usage.with_report_day(events).drop("ts")
+
+
+def reference_counts_stored(spark: SparkSession, folder: str) -> DataFrame:
+    """From daily usage of the events stored by day: the window reads only its days."""
+    path = new_folder(spark, "usage")
+    write_daily_usage(usage.daily_usage(_event_log(spark, folder)), path)
+    return usage.reference_counts(read_usage(spark, path), derived.EVENTS_AS_OF, days_back=7)
+
+
+def unique_users_stored(spark: SparkSession, folder: str) -> DataFrame:
+    """From daily sketches of the events stored by day, beside the exact number."""
+    log, path = _event_log(spark, folder), new_folder(spark, "sketches")
+    write_daily_usage(usage.daily_user_sketches(log), path)
+    approx = usage.unique_users_approx(read_user_sketches(spark, path), derived.EVENTS_AS_OF, 7)
+    return _compared(usage.unique_users_exact(log, derived.EVENTS_AS_OF, 7), approx)
 
 
 def downstream_edges(spark: SparkSession, folder: str) -> DataFrame:
@@ -167,6 +209,19 @@ def table_neighbour_pages(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def table_neighbour_pages_small(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages of few entries taken apart again; an id without neighbours has an empty page."""
+    ids = derived.ids_of(spark, folder)
+    pages = lineage.neighbour_pages(table_neighbours(spark, folder), page_size=2, ids=ids)
+    entry = F.explode_outer("neighbours").alias("entry")
+    return pages.select(*ID_COLS, "direction", "page", entry).select(
+        *ID_COLS,
+        "direction",
+        *[F.col(f"entry.{c}").alias(f"neighbour_{c}") for c in ID_COLS],
+        "entry.link_count",
+    ).distinct()
+
+
 def leaf_tables(spark: SparkSession, folder: str) -> DataFrame:
     return lineage.leaf_tables(
         _tables(spark, folder), derived.links(spark, folder)
@@ -213,16 +268,38 @@ def leaf_from_roots_normalized(spark: SparkSession, folder: str) -> DataFrame:
     return _from_roots(spark, folder, [0], match_sharded=True)
 
 
+def leaf_from_roots_hub(spark: SparkSession, folder: str) -> DataFrame:
+    """A graph in which one table feeds a third of all others, split over several tasks."""
+    hub = derived.ids_of(spark, folder, 0).select(*[F.col(c).alias(f"hub_{c}") for c in ID_COLS])
+    fed = derived.keyed_ids(spark, folder).where("k % 3 = 1").join(F.broadcast(hub))  # one row
+    uri = lambda prefix: F.concat_ws(".", *[f"{prefix}{c}" for c in ID_COLS])
+    more = fed.select(
+        F.col("hub_project_id").alias("link_project"),
+        F.lit("us").alias("link_location"),
+        F.concat(F.lit("bigquery:"), uri("hub_")).alias("source_fqn"),
+        F.concat(F.lit("bigquery:"), uri("")).alias("target_fqn"),
+    )
+    links = derived.links(spark, folder).unionByName(more)
+    roots = derived.ids_of(spark, folder, 0)
+    return reach.leaf_tables_from_roots(roots, links, steps_together=50).drop("depth")
+
+
 def reachable_tables(spark: SparkSession, folder: str) -> DataFrame:
     return reach.reachable_tables(
         derived.ids_of(spark, folder, 0), derived.links(spark, folder)
     )
 
 
+def _checked(spark, folder) -> DataFrame:
+    listed = _tables(spark, folder, CHECKED_PROJECTS)
+    counts = usage.reference_counts(derived.usage(spark, folder), derived.AS_OF)
+    return usage.counts_of(listed, counts)
+
+
 def lifecycle_report(spark: SparkSession, folder: str) -> DataFrame:
     known = lifecycle.with_info(
         lifecycle.discovered(_tables(spark, folder)),
-        counts=_analyzed(spark, folder),
+        counts=_checked(spark, folder),
         owners=derived.owners(spark, folder),
     )
     return lifecycle.lifecycle_report(known)
@@ -230,7 +307,7 @@ def lifecycle_report(spark: SparkSession, folder: str) -> DataFrame:
 
 def flattened_lifecycle(spark: SparkSession, folder: str) -> DataFrame:
     checked = lifecycle.with_usage_info(
-        lifecycle.discovered(_tables(spark, folder)), _analyzed(spark, folder)
+        lifecycle.discovered(_tables(spark, folder)), _checked(spark, folder)
     )
     return lifecycle.flatten_analyzed(checked)
 
@@ -310,11 +387,50 @@ def export_totals(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def export_stored_inputs(spark: SparkSession, folder: str) -> DataFrame:
+    """The three exports from inputs written and read again, the links by project."""
+    path = new_folder(spark, "inputs")
+    derived.catalog(spark, folder).write.parquet(f"{path}/catalog")
+    derived.links(spark, folder).write.partitionBy("link_project").parquet(f"{path}/links")
+    derived.usage(spark, folder).write.parquet(f"{path}/usage")
+    catalog, links = read_catalog(spark, f"{path}/catalog"), read_links(spark, f"{path}/links")
+    counts = exports.export_reference_counts(
+        catalog, read_usage(spark, f"{path}/usage"), CHECKED_PROJECTS, f"{path}/counts",
+        derived.AS_OF, excluded_datasets=derived.EXCLUDED,
+    )
+    project = exports.export_leaf_tables(
+        links, f"{path}/leaves", catalog=catalog, project_ids=CHECKED_PROJECTS,
+        allowed_projects=FENCE, excluded_datasets=derived.EXCLUDED, fmt="json",
+    )
+    root = exports.export_leaf_tables(
+        links, f"{path}/root-leaves", roots=derived.ids_of(spark, folder, 1, 2), allowed_projects=FENCE
+    )
+    analyzed = read_export(spark, counts.path, ANALYZED_SCHEMA)
+    parts = [analyzed.select(F.lit("counts").alias("export"), *ID_COLS, F.col("job_count").alias("number"))]
+    for name, done, fmt in (("project", project, "json"), ("root", root, "csv")):
+        leaves = read_export(spark, done.path, LEAVES_SCHEMA, fmt)
+        parts.append(leaves.select(F.lit(name).alias("export"), *ID_COLS, F.col("upstream_count").alias("number")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def export_overwritten(spark: SparkSession, folder: str) -> DataFrame:
+    """A smaller result over a larger one, and an empty result that leaves no rows behind."""
+    path, empty = new_folder(spark, "leaves"), new_folder(spark, "leaves")
+    catalog, links = derived.catalog(spark, folder), derived.links(spark, folder)
+    for projects, to in ((derived.PROJECTS, path), (CHECKED_PROJECTS, path), (CHECKED_PROJECTS, empty), ([], empty)):
+        exports.export_leaf_tables(
+            links, to, catalog=catalog, project_ids=projects, excluded_datasets=derived.EXCLUDED
+        )
+    both = [read_export(spark, p, LEAVES_SCHEMA) for p in (path, empty)]
+    return both[0].unionByName(both[1])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         list_tables,
         list_tables_full_outer,
+        list_tables_repeated,
         table_type_flags,
         table_type_quarantine,
         dedup_tables,
@@ -324,6 +440,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         daily_usage_rollup,
         daily_usage_rollup_tokyo,
         reference_counts,
+        reference_counts_stored,
+        unique_users_stored,
         analyzed_tables,
         unused_tables,
         unused_tables_threshold,
@@ -335,6 +453,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         table_lineage,
         table_neighbours,
         table_neighbour_pages,
+        table_neighbour_pages_small,
         leaf_tables,
         leaf_tables_fenced,
         leaf_dependencies,
@@ -342,6 +461,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         leaf_from_roots,
         leaf_from_roots_fenced,
         leaf_from_roots_normalized,
+        leaf_from_roots_hub,
         reachable_tables,
         lifecycle_report,
         flattened_lifecycle,
@@ -352,5 +472,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         export_project_leaves_csv,
         export_root_leaves_json,
         export_totals,
+        export_stored_inputs,
+        export_overwritten,
     )
 }

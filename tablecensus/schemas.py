@@ -37,6 +37,10 @@ USAGE_SCHEMA = T.StructType(
     ]
 )
 
+SKETCHES_SCHEMA = T.StructType(
+    [*_strings(*ID_COLS), T.StructField("dt", T.DateType()), T.StructField("user_sketch", T.BinaryType())]
+)
+
 LINKS_SCHEMA = T.StructType(
     _strings("link_project", "link_location", "source_fqn", "target_fqn")
 )

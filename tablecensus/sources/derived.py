@@ -14,6 +14,7 @@ from tablecensus.operators.usage import daily_usage
 from tablecensus.schemas import CATALOG_SCHEMA, ID_COLS
 
 AS_OF = dt.date(2001, 8, 1)
+EVENTS_AS_OF = dt.date(2024, 1, 30)
 EXCLUDED = ["audit_log"]
 PROJECTS = ["project-a", "project-b", "project-c", "project-d", "project-e"]
 

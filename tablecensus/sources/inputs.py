@@ -8,6 +8,7 @@ from tablecensus.schemas import (
     CATALOG_SCHEMA,
     LINKS_SCHEMA,
     OWNERS_SCHEMA,
+    SKETCHES_SCHEMA,
     USAGE_SCHEMA,
 )
 
@@ -42,6 +43,11 @@ def read_usage(spark: SparkSession, name: str, fmt: str = "parquet") -> DataFram
     return read_input(spark, name, USAGE_SCHEMA, fmt)
 
 
+def read_user_sketches(spark: SparkSession, name: str, fmt: str = "parquet") -> DataFrame:
+    """Daily user sketches, stored like daily usage."""
+    return read_input(spark, name, SKETCHES_SCHEMA, fmt)
+
+
 def read_links(spark: SparkSession, name: str, fmt: str = "parquet") -> DataFrame:
     return read_input(spark, name, LINKS_SCHEMA, fmt)
 

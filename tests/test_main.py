@@ -1,0 +1,52 @@
+import pytest
+
+from tablecensus.__main__ import arguments, run
+from tablecensus.schemas import ANALYZED_SCHEMA, CATALOG_SCHEMA, LEAVES_SCHEMA, USAGE_SCHEMA
+from tablecensus.sources.outputs import read_export, write_daily_usage
+
+
+@pytest.fixture
+def inputs(spark, tmp_path, links):
+    import datetime as dt
+
+    catalog = [("a", "d", "s", "BASE TABLE"), ("a", "d", "t", "VIEW"), ("b", "x", "u", "VIEW")]
+    spark.createDataFrame(catalog, CATALOG_SCHEMA).write.parquet(str(tmp_path / "catalog"))
+    links(("a.d.s", "a.d.t"), ("a.d.t", "b.x.u")).write.partitionBy("link_project").parquet(str(tmp_path / "links"))
+    used = spark.createDataFrame([("a", "d", "s", dt.date(2024, 4, 1), 3, 2)], USAGE_SCHEMA)
+    write_daily_usage(used, str(tmp_path / "usage"))
+    return tmp_path
+
+
+def test_counts(spark, inputs, rows):
+    out = str(inputs / "out")
+    done = run(spark, ["counts", "--catalog", f"{inputs}/catalog", "--usage", f"{inputs}/usage", "--projects", "a", "--as-of", "2024-04-30", "--out", out])
+    assert (done.total_tables, done.exported_tables) == (2, 2)
+    assert rows(read_export(spark, out, ANALYZED_SCHEMA)) == [("a", "d", "s", "BASE TABLE", 3, 2), ("a", "d", "t", "VIEW", 0, 0)]
+    done = run(spark, ["counts", "--catalog", f"{inputs}/catalog", "--usage", f"{inputs}/usage", "--projects", "a", "b", "--exclude", "x", "--days-back", "1", "--as-of", "2024-04-30", "--out", out])
+    assert done.exported_tables == 2 and {r.job_count for r in read_export(spark, out, ANALYZED_SCHEMA).collect()} == {0}
+
+
+def test_leaves(spark, inputs, rows):
+    out = str(inputs / "out")
+    base = ["leaves", "--links", f"{inputs}/links", "--out", out, "--out-format", "json"]
+    run(spark, [*base, "--roots", "a.d.s", "--allowed-projects", "a"])
+    assert rows(read_export(spark, out, LEAVES_SCHEMA, "json")) == [("a", "d", "t", "a.d.t", 1)]
+    done = run(spark, [*base, "--projects", "a", "b", "--catalog", f"{inputs}/catalog"])
+    assert (done.total_tables, done.exported_tables) == (3, 1)
+    assert rows(read_export(spark, out, LEAVES_SCHEMA, "json")) == [("b", "x", "u", "b.x.u", 1)]
+
+
+@pytest.mark.parametrize(
+    "given",
+    [[], ["leaves", "--links", "l", "--out", "o"], ["leaves", "--links", "l", "--out", "o", "--projects", "a"],
+     ["leaves", "--links", "l", "--out", "o", "--roots", "a.b"], ["leaves", "--links", "l", "--out", "o", "--roots", "a.b.c", "--projects", "a", "--catalog", "c"],
+     ["counts", "--catalog", "c", "--usage", "u", "--out", "o", "--projects", "a", "--out-format", "xml"]],
+)
+def test_wrong_arguments(given):
+    with pytest.raises(SystemExit):
+        arguments(given)
+
+
+def test_project_names_may_hold_dots():
+    args = arguments(["leaves", "--links", "l", "--out", "o", "--roots", "x.com:p.d.t"])
+    assert args.roots == [("x.com:p", "d", "t")]
