@@ -1,0 +1,147 @@
+import random
+
+import numpy as np
+import pytest
+
+from tablecensus.llm import near_dups
+from tablecensus.llm.components import components
+from tablecensus.llm.near_dups import estimated, near_duplicates, registers
+from tablecensus.llm.words import mixed, shingle_sets
+
+
+def shingles(text):
+    words = (text or "").encode().lower().split()
+    if len(words) < 5:
+        return frozenset([tuple(words)] if words else [])
+    return frozenset(tuple(words[i : i + 5]) for i in range(len(words) - 4))
+
+
+def expected(rows):
+    """doc_id -> (size, component, kept), by comparing all pairs."""
+    sets = {i: shingles(t) for i, t in rows}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {i: (len(sets[i]), find(i), find(i) == i) for i in sets}
+
+
+def result(df):
+    return {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in df.collect()}
+
+
+def edited(draw, text, edits):
+    words = text.split(" ")
+    for _ in range(edits):
+        words[draw.randrange(len(words))] = f"e{draw.randrange(10**6)}"
+    return " ".join(words)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_all_pairs(docs, prose, seed):
+    draw = random.Random(seed)
+    texts = []
+    for family in range(12):
+        base = prose(100 * seed + family, draw.choice([6, 8, 12, 40, 150, 400]), 5000)
+        edits = max(1, len(base.split(" ")) // 60)
+        texts += [base, base.upper().replace("É", "é"), *[edited(draw, base, draw.randrange(0, 2 * edits + 1)) for _ in range(6)]]
+        chain = base
+        for _ in range(4):  # each near the one before, the ends far apart
+            chain = edited(draw, chain, edits)
+            texts.append(chain)
+    texts += ["a b c", "A B C", "a b", "x", "x", "a b c d e", "a b c d e f", ""]
+    draw.shuffle(texts)
+    rows = list(enumerate(texts))
+    assert result(near_duplicates(docs(*rows))) == expected(rows)
+
+
+def test_remaining_pairs_find_links_that_stars_miss(docs, prose, monkeypatch):
+    """With a hub that is similar to none of its bucket, links come from the second pass."""
+    monkeypatch.setattr(near_dups, "BLOCK", 2)
+    monkeypatch.setattr(near_dups, "SLICE", 3)
+    draw = random.Random(5)
+    base = prose(9, 120, 5000)
+    rows = [(i, edited(draw, base, 4)) for i in range(40)]
+    assert result(near_duplicates(docs(*rows))) == expected(rows)
+
+
+def test_odd_rows(docs, odd, prose):
+    text = prose(4, 80)
+    rows = [*enumerate(odd), (20, text), (20, text), (30, text + " end"), (None, text), (None, "alone it stands here now")]
+    out = near_duplicates(docs(*rows, clash=True)).collect()
+    assert len(out) == len(rows)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in out), key=repr)
+    want = [(i, n, i, True) for i, n in enumerate([0, 0, 0, 0, 1, 1, 1, 1])]
+    n = len(shingles(text))
+    want += [(20, n, 20, True)] * 2 + [(30, n + 1, 20, False), (None, n, 20, False), (None, 1, None, True)]
+    assert got == sorted(want, key=repr)
+
+
+def test_empty_table(docs):
+    out = near_duplicates(docs("x").limit(0))
+    assert out.count() == 0 and out.columns == ["doc_id", "text_hash", "n_shingles", "component_id", "kept"]
+
+
+def test_long_text(docs, prose):
+    long = prose(7, 60_000, 10**6)
+    rows = [(1, long), (2, long + " more words at its end")]
+    assert result(near_duplicates(docs(*rows))) == expected(rows)
+
+
+def test_shingle_sizes(prose, odd):
+    texts = [t or "" for t in odd] + [prose(i, n, 20) for i, n in enumerate([1, 4, 5, 6, 50, 300])] + ["\x0b a\x0cb\r", "x\x85y z"]
+    _, owners = shingle_sets([t.encode() for t in texts])
+    assert np.bincount(owners, minlength=len(texts)).tolist() == [len(shingles(t)) for t in texts]
+
+
+@pytest.mark.parametrize("share", [0.5, 0.75, 0.9])
+def test_estimate(share):
+    draw = np.random.default_rng(3)
+    errors = []
+    for _ in range(60):
+        both, only = int(1200 * share), int(1200 * (1 - share) / 2)
+        values = mixed(draw.integers(0, 1 << 62, both + 2 * only).astype(np.uint64))
+        one, other = values[: both + only], np.concatenate([values[:both], values[both + only :]])
+        sketch = [registers(v, np.zeros(len(v), np.int64), 1) for v in (one, other)]
+        errors.append(estimated(*sketch, np.array([len(one)]), np.array([len(other)]))[0] - both / (both + 2 * only))
+    assert abs(np.mean(errors)) < 0.02 and np.max(np.abs(errors)) < near_dups.MARGIN
+
+
+def test_registers_hold_zeros_and_mantissa():
+    draw = np.random.default_rng(1)
+    values = draw.integers(0, 1 << 62, 500).astype(np.uint64)
+    sketch = registers(values, np.zeros(500, np.int64), 1)[0]
+    hashes = [int(h) for h in mixed(values, 0x2545F4914F6CDD1D)]
+    for place in range(near_dups.REGISTERS):
+        mine = [h >> 7 for h in hashes if h % 128 == place]
+        if mine:
+            bits = f"{min(mine):057b}"
+            zeros = bits.index("1")
+            assert sketch[place] == (zeros + 1 << 10) | int(bits[zeros + 1 : zeros + 11], 2)
+        else:
+            assert sketch[place] == 0
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_components(spark, seed):
+    draw = random.Random(seed)
+    pairs = [(draw.randrange(60), draw.randrange(60)) for _ in range(35)] + [(i, i + 1) for i in range(100, 140)] + [(200, i) for i in range(150, 190)] + [(7, 7)]
+    root = {n: n for p in pairs for n in p}
+    for _ in root:
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    linked = {n for a, b in pairs if a != b for n in (a, b)}
+    found = {r.node: r.root for r in components(spark.createDataFrame(pairs, "a bigint, b bigint")).collect()}
+    assert found == {n: root[n] for n in linked}
+
+
+def test_no_links(spark):
+    assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0

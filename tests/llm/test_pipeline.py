@@ -1,0 +1,89 @@
+import random
+
+import pytest
+
+import corpus_pipeline
+
+from test_near_dups import expected as near_expected  # noqa: I001
+from test_quality import statistics
+from test_suffixes import expected as suffix_expected
+
+INSULTS = ["blarg", "snudge", "vorpish"]
+
+
+@pytest.fixture
+def folder(spark, docs, prose, tmp_path):
+    """Clean documents, copies and near copies, toxic and poor ones, and a shared passage."""
+    draw = random.Random(1)
+    clean = [prose(i, draw.randrange(80, 300), 4000) for i in range(120)]
+    passage = prose(999, 150, 4000)
+    toxic = [" ".join([*prose(500 + i, 100, 4000).split(), draw.choice(INSULTS), "w1"]) for i in range(40)]
+    poor = ["too short", " ".join(["again and again"] * 60), " ".join(w + "###" for w in prose(77, 100, 4000).split())]
+    copies = [clean[0], clean[0] + " end", clean[1]]
+    shared = [f"{prose(800 + i, 100, 4000)} {passage} {prose(850 + i, 100, 4000)}" for i in range(3)]
+    texts = [*clean, *toxic, *poor, *copies, *shared, None]
+    path = str(tmp_path)
+    docs(*texts).write.parquet(f"{path}/documents.parquet")
+    labels = [(i, 1, int(len(clean) <= i < len(clean) + len(toxic))) for i in range(len(clean) + len(toxic))]
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    return path, texts, len(clean), len(toxic)
+
+
+def test_stages_one_by_one(spark, folder, tmp_path):
+    path, texts, clean, toxic = folder
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    columns = docs.columns
+    assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "quality", "near_dedup", "suffix_dedup", "packing"]
+    kept = {i: t for i, t in enumerate(texts)}
+    for number, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, path)
+        out.write.parquet(f"{tmp_path}/out{number}")
+        docs = spark.read.parquet(f"{tmp_path}/out{number}")
+        if name == "packing":
+            break
+        assert docs.columns == columns
+        got = {r.doc_id: r.text for r in docs.collect()}
+        if name == "toxicity":
+            assert set(range(clean)) <= set(got) and not set(range(clean, clean + toxic)) & set(got)
+            want = {i: t for i, t in kept.items() if i in got}
+        elif name == "quality":
+            failed = {i for i, t in kept.items() if (s := statistics(t))[0] < 50 or 100 * s[4] > 50 * s[0]}
+            assert not failed & set(got) and set(range(clean)) <= set(got)
+            assert clean + toxic + 2 not in got  # symbols
+            want = {i: t for i, t in kept.items() if i in got}
+        elif name == "near_dedup":
+            judged = near_expected(list(kept.items()))
+            want = {i: t for i, t in kept.items() if judged[i][2]}
+        else:
+            rows = list(kept.items())
+            cut = suffix_expected([t.encode() for _, t in rows], 400)
+            assert cut
+            want = {i: cut[n][1].decode("utf-8", "ignore") if n in cut else t for n, (i, t) in enumerate(rows)}
+        assert got == want
+        kept = got
+    pieces = docs.collect()
+    assert {r.doc_id for r in pieces} == set(kept)
+
+
+def test_run(spark, folder):
+    path, texts, clean, _ = folder
+    out = corpus_pipeline.run(spark, path)
+    assert out.columns[:2] == ["doc_id", "start"]
+    ids = {r.doc_id for r in out.collect()}
+    assert set(range(2, clean)) <= ids and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_empty_and_repeated(spark, docs, tmp_path, prose):
+    labels = "doc_id bigint, quality int, toxic int"
+    spark.createDataFrame([], labels).write.parquet(f"{tmp_path}/labels.parquet")
+    good = prose(1, 100, 4000)
+    for number, rows in enumerate(([(1, "x")], [(1, good), (1, good), (None, good), (None, None)])):
+        df = docs(*rows, clash=True)
+        df = df.limit(0) if number == 0 else df
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, df, str(tmp_path))
+            assert out.columns == df.columns
+            out.write.parquet(f"{tmp_path}/{number}-{name}")
+            df = spark.read.parquet(f"{tmp_path}/{number}-{name}")
+        pieces = corpus_pipeline.STAGES[-1][1](spark, df, str(tmp_path)).collect()
+        assert [(r.doc_id, r.start) for r in pieces] == ([] if number == 0 else [(1, 0)])
