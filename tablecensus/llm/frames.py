@@ -1,6 +1,5 @@
 """Reading the given tables, and writing what is needed more than once."""
 
-import gc
 import shutil
 import tempfile
 from collections.abc import Callable
@@ -13,25 +12,28 @@ from pyspark.sql import functions as F
 from tablecensus.session import new_folder
 
 
+# Spark's setting to remove the shuffle files of a query at its end.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: computed once, lineage cut."""
-    path = new_folder(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans nobody holds any more.
+    """``df`` written to the shared folder and read again: computed once, lineage cut.
 
-    Spark does so when the driver collects garbage, which on a large heap may
-    be long after a stage that moved much has been written.
+    The shuffle files of the job go when it is done, as no plan can use them again.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    spark = df.sparkSession
+    path = new_folder(spark, label)
+    before = spark.conf.get(FREE_SHUFFLES, "false")
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(FREE_SHUFFLES, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def parts_for(rows: int, rows_per_part: int) -> int:

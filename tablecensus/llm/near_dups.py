@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablecensus.llm.components import components
-from tablecensus.llm.frames import release, stored, utf8
+from tablecensus.llm.frames import stored, utf8
 from tablecensus.llm.words import grouped, mixed, shingle_sets
 
 # A sketch has this many registers of 16 bits: leading zeros, then bits that follow.
@@ -18,7 +18,7 @@ WORDS = 5
 PERCENT = 75
 # Estimates this far below the threshold are still verified: over five deviations.
 MARGIN = 0.2
-# Members of a bucket compared in one piece with those of other groups.
+# Members of a bucket that are compared in one piece with those of other components.
 BLOCK, SLICE = 512, 4_096
 NO_ID = (1 << 63) - 1
 
@@ -157,15 +157,24 @@ def plausible(pairs: DataFrame, classes: DataFrame, percent: int = PERCENT, marg
     return pairs.select("a", "b", "sketch_a", "sketch_b", "size_a", "size_b").mapInArrow(rows, "a bigint, b bigint")
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Those of the pairs ``a, b`` whose whole shingle sets are similar enough.
-
-    Only texts of classes in a pair move. They are compared where both have come.
-    """
-    nodes = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-    wanted = stored(classes.select("cls", "id", "text_hash").join(nodes, "cls", "left_semi"), "nodes")
+def texts_of(chosen: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """``cls, bytes``: the text that stands for each of the classes in ``chosen`` (column ``cls``), stored."""
+    wanted = stored(classes.select("cls", "id", "text_hash").join(chosen.distinct(), "cls", "left_semi"), "wanted")
     texts = stored(keyed(docs).join(wanted, ["id", "text_hash"]).select("cls", "bytes"), "texts")
-    release(docs.sparkSession)
+    return texts
+
+
+def _sets(column: list[bytes], words: int) -> list[np.ndarray]:
+    """The shingle set of each text; of equal ones found once."""
+    distinct = {t: n for n, t in enumerate(dict.fromkeys(column))}
+    values, owners = shingle_sets(list(distinct), words)
+    cuts = np.searchsorted(owners, np.arange(len(distinct) + 1))
+    sets = [values[x:y] for x, y in zip(cuts, cuts[1:])]
+    return [sets[distinct[t]] for t in column]
+
+
+def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Those of the pairs ``a, b`` whose whole shingle sets are similar enough."""
     left = texts.select(F.col("cls").alias("a"), F.col("bytes").alias("bytes_a"))
     right = texts.select(F.col("cls").alias("b"), F.col("bytes").alias("bytes_b"))
     met = pairs.join(left, "a").join(right, "b").select("a", "b", "bytes_a", "bytes_b")
@@ -175,30 +184,65 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int,
             keep = []
             for low in range(0, batch.num_rows, 64):
                 some = batch.slice(low, 64)
-                sides = []
-                for i in (2, 3):
-                    # a hub meets many: its set is found once per slice
-                    column = some.column(i).to_pylist()
-                    distinct = {t: n for n, t in enumerate(dict.fromkeys(column))}
-                    values, owners = shingle_sets(list(distinct), words)
-                    cuts = np.searchsorted(owners, np.arange(len(distinct) + 1))
-                    sets = [values[x:y] for x, y in zip(cuts, cuts[1:])]
-                    sides.append([sets[distinct[t]] for t in column])
-                keep += [similar(x, y, percent) for x, y in zip(*sides)]
+                one, other = (_sets(some.column(i).to_pylist(), words) for i in (2, 3))
+                keep += [similar(x, y, percent) for x, y in zip(one, other)]
             chosen = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(chosen) for i in (0, 1)], names=["a", "b"])
 
     return met.mapInArrow(rows, "a bigint, b bigint")
 
 
-def remaining_pairs(bands: DataFrame, classes: DataFrame, roots: DataFrame, percent: int, margin: float) -> DataFrame:
-    """Plausible pairs of a bucket that lie in different components.
+def with_shared(classes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """The classes in ``texts`` with ``shared``: how many of their shingles another of them has, too.
+
+    A shingle met once belongs to one class; counting those needs one shuffle of
+    the shingles, summed up before by each task.
+    """
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cls, first = np.asarray(batch.column(0)), 0
+            for group in grouped(batch.column(1).to_pylist()):
+                values, owners = shingle_sets(group, words)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(values.view(np.int64)), pa.array(cls[first : first + len(group)][owners])], names=["shingle", "cls"]
+                )
+                first += len(group)
+
+    once = (
+        texts.select("cls", "bytes").mapInArrow(rows, "shingle bigint, cls bigint")
+        .groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("cls").alias("cls"))
+        .where(F.col("n") == 1)
+        .groupBy("cls").agg(F.count(F.lit(1)).alias("own"))
+    )
+    own = F.coalesce("own", F.lit(0).cast("bigint"))
+    return (
+        classes.join(texts.select("cls").distinct(), "cls", "left_semi")
+        .join(once, "cls", "left")
+        .select("cls", "n_shingles", "sketch", (F.col("n_shingles") - own).alias("shared"))
+    )
+
+
+def _members(column: pa.Array) -> Iterator[tuple[np.ndarray, ...]]:
+    """For each row its members: sketches, classes, roots, sizes and shared sizes."""
+    values = column.values
+    sketch = np.frombuffer(b"".join(values.field("sketch").to_pylist()), "<u2").reshape(-1, REGISTERS)
+    rest = [np.asarray(values.field(c)) for c in ("cls", "root", "n_shingles", "shared")]
+    offsets = np.asarray(column.offsets)
+    for low, high in zip(offsets - offsets[0], offsets[1:] - offsets[0]):
+        yield sketch[low:high], *[c[low:high] for c in rest]
+
+
+def across(bands: DataFrame, classes: DataFrame, roots: DataFrame, percent: int, margin: float, pairs: bool) -> DataFrame:
+    """What in a bucket may still link different components: ``a, b``, or with ``pairs=False`` the classes ``cls``.
 
     In every bucket with several components all members meet those outside of its
     largest component, which are cut into blocks; what they meet is cut into slices.
     So a bucket with nearly all members linked costs little more than reading
-    it, and no task gets a whole large bucket. Estimates are made where the
-    registers meet, and only plausible pairs leave the task.
+    it, and no task gets a whole large bucket. Two sets that share m shingles have
+    a similarity of m in the rest of both and m; since m is at most what
+    either shares with any set (``shared`` of ``classes``), and by the
+    estimate from the registers, most pairs are ruled out where they meet.
     """
     rooted = bands.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn(
         "root", F.coalesce("root", "cls")
@@ -214,10 +258,10 @@ def remaining_pairs(bands: DataFrame, classes: DataFrame, roots: DataFrame, perc
     slices = F.ceil(F.col("members") / SLICE).cast("bigint")
     met = stored(
         rooted.join(mixed_buckets, "bucket")
-        .join(classes.select("cls", "n_shingles", "sketch"), "cls")
+        .join(classes.select("cls", "n_shingles", "shared", "sketch"), "cls")
         .select(
-            "bucket", "root",
-            F.struct("cls", "root", "n_shingles", "sketch").alias("one"),
+            "bucket",
+            F.struct("cls", "root", "n_shingles", "shared", "sketch").alias("one"),
             (F.col("root") != F.col("largest")).alias("outside"),
             blocks.alias("blocks"), slices.alias("slices"),
             F.pmod(F.xxhash64("cls"), blocks).alias("block"), F.pmod(F.xxhash64("cls", F.lit(1)), slices).alias("slice"),
@@ -236,26 +280,67 @@ def remaining_pairs(bands: DataFrame, classes: DataFrame, roots: DataFrame, perc
         F.collect_list(F.when(~F.col("asks"), F.col("one"))).alias("asked"),
     )  # of about BLOCK and SLICE members
 
-    def columns(members: list[dict]):
-        sketch = np.frombuffer(b"".join(m["sketch"] for m in members), "<u2").reshape(-1, REGISTERS)
-        return sketch, *[np.array([m[c] for m in members], np.int64) for c in ("cls", "root", "n_shingles")]
-
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low in range(batch.num_rows):
-                asking, asked = (batch.column(i)[low].as_py() for i in (0, 1))
-                if not asking or not asked:
-                    continue
-                sketch, cls, root, size = columns(asked)
-                for one, a, own, n in zip(*columns(asking)):
-                    found = estimated(one[None], sketch, np.full(len(cls), n), size)
-                    hit = (found >= percent / 100 - margin) & (root != own)
-                    pair = cls[hit]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.maximum(pair, a)), pa.array(np.minimum(pair, a))], names=["a", "b"]
-                    )
-
-    return pieces.select("asking", "asked").mapInArrow(rows, "a bigint, b bigint").distinct()
+            found: list[np.ndarray] = []
+            for asking, asked in zip(_members(batch.column(0)), _members(batch.column(1))):
+                sketch, cls, root, size, shared = asked
+                hit_any = np.zeros(len(cls), bool)
+                for one, a, own, n, has in zip(*asking):
+                    most = np.minimum(shared, has)
+                    hit = (root != own) & (100 * most >= percent * (size + n - most))
+                    some = np.flatnonzero(hit)
+                    if not len(some):
+                        continue
+                    near = estimated(one[None], sketch[some], n, size[some]) >= percent / 100 - margin
+                    some = some[near]
+                    if not len(some):
+                        continue
+                    if pairs:
+                        found.append(np.stack([np.maximum(cls[some], a), np.minimum(cls[some], a)]))
+                    else:
+                        hit_any[some] = True
+                        found.append(np.array([[a], [a]]))
+                if hit_any.any():
+                    found.append(np.stack([cls[hit_any], cls[hit_any]]))
+            every = np.unique(np.concatenate(found, 1), axis=1) if found else np.zeros((2, 0), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(every[0]), pa.array(every[1])], names=["a", "b"])
+
+    found = pieces.select("asking", "asked").mapInArrow(rows, "a bigint, b bigint")
+    return found.distinct() if pairs else found.select(F.col("a").alias("cls")).distinct()
+
+
+def _further_links(
+    stars: DataFrame, links: DataFrame, bands: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int
+) -> DataFrame:
+    """Links that the first stars have missed, so that all together give the right components.
+
+    Classes with a plausible partner in another component are looked at on
+    their own: what each has in common with any of the others is counted on whole sets.
+    In each bucket the one with the least of its own, such as the text that the
+    others are edited from, is the hub of a second star. What is plausible even then,
+    in view of the counts, is verified pair by pair.
+    """
+    roots = components(links)
+    any_share = classes.withColumn("shared", F.col("n_shingles"))
+    open_classes = stored(across(bands, any_share, roots, percent, MARGIN, pairs=False), "open-classes")
+    if not open_classes.limit(1).count():
+        return roots
+    texts = texts_of(open_classes, classes, docs)
+    known = stored(with_shared(classes, texts, words), "open-sets")
+    bands = stored(bands.join(open_classes, "cls", "left_semi"), "open-bands")
+    least_own = F.struct(((F.col("n_shingles") - F.col("shared")) / F.col("n_shingles")).alias("own"), "cls")
+    hubs = bands.join(known, "cls").groupBy("bucket").agg(F.min(least_own).alias("hub"))
+    hubs = stored(hubs.select("bucket", F.col("hub.cls").alias("hub")), "hubs")
+    second = bands.join(hubs, "bucket").where(F.col("cls") != F.col("hub"))
+    second = second.select(F.greatest("cls", "hub").alias("a"), F.least("cls", "hub").alias("b")).distinct()
+    second = stored(plausible(second.join(stars, ["a", "b"], "left_anti"), classes, percent), "stars")
+    links = stored(links.unionByName(verified(second, texts, words, percent)), "links")
+    roots = components(links)
+    rest = stored(across(bands, known, roots, percent, MARGIN, pairs=True), "remaining")
+    rest = rest.join(stars.unionByName(second), ["a", "b"], "left_anti")
+    more = stored(verified(rest, texts, words, percent), "links")
+    return components(links.unionByName(more))
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -264,7 +349,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     Rows with equal shingle sets are one class. Classes sharing a band are
     candidates: each first with the least class of the bucket only, which links
     whole groups of copies at the cost of one pair per member; then, in buckets
-    whose members did not all come together, with every member of another component.
+    whose members did not all come together, as :func:`_further_links` says.
     Candidates that the estimate leaves open are verified on their whole sets.
     ``component_id`` is the least ``doc_id`` reachable; ``kept`` is true for the row with
     this id (if texts share it, the one with the least hash).
@@ -273,7 +358,6 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     A null ``doc_id`` counts as larger than any other, and a component of such rows alone has
     a null id. Of wholly equal rows all are kept if one is. Columns besides ``doc_id`` and ``text`` are not looked at.
     """
-    spark = docs.sparkSession
     rows = stored(sketches(docs, words), "sketches")
     classes = (
         rows.where(F.col("n_shingles") > 0)
@@ -286,18 +370,12 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     hubs = bands.groupBy("bucket").agg(F.min("cls").alias("hub"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     hubs = stored(hubs.select("bucket", "hub"), "hubs")
     stars = bands.join(hubs, "bucket").where(F.col("cls") != F.col("hub"))
-    stars = stars.select(F.col("cls").alias("a"), F.col("hub").alias("b")).distinct()
+    stars = stars.select(F.greatest("cls", "hub").alias("a"), F.least("cls", "hub").alias("b")).distinct()
     stars = stored(plausible(stars, classes, percent), "stars")
-    release(spark)
-    links = stored(verified(stars, classes, docs, words, percent), "links")
-    roots = components(links)
+    ends = stars.select(F.col("a").alias("cls")).union(stars.select("b"))
+    links = stored(verified(stars, texts_of(ends, classes, docs), words, percent), "links")
     shared = bands.join(hubs.select("bucket"), "bucket")
-    rest = stored(remaining_pairs(shared, classes, roots, percent, MARGIN), "remaining")
-    release(spark)
-    if rest.limit(1).count():
-        rest = rest.join(stars, ["a", "b"], "left_anti")
-        more = stored(verified(stored(rest, "rest"), classes, docs, words, percent), "links")
-        roots = components(links.unionByName(more))
+    roots = _further_links(stars, links, shared, classes, docs, words, percent)
     roots = stored(roots, "roots")
     ids = classes.select("cls", F.struct("id", "text_hash").alias("first")).join(roots.withColumnRenamed("node", "cls"), "cls", "left")
     ids = ids.withColumn("root", F.coalesce("root", "cls"))
