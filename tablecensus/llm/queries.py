@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 from tablecensus.llm import bpe
 from tablecensus.llm.frames import shipped, table, utf8
 from tablecensus.llm.licences import scan_licences
-from tablecensus.llm.near_dups import NO_ID, keyed, near_duplicates
+from tablecensus.llm.near_dups import near_duplicates
 from tablecensus.llm.neighbours import nearest
 from tablecensus.llm.packing import packed_sequences
 from tablecensus.llm.quality import judged
 from tablecensus.llm.sharding import interleaved_shards
-from tablecensus.llm.suffixes import repeated_spans
+from tablecensus.llm.suffixes import repeated_spans, row_key
 from tablecensus.llm.toxicity import held_out, learn, score_toxicity
 from tablecensus.llm.warc import read_warc, write_warc
 from tablecensus.session import new_folder
@@ -29,12 +29,12 @@ def op1_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2("kept", 256).alias("kept_sha256"),
     )
     # texts without a repeated string are whole
-    whole = keyed(docs).select(
-        "id", "text_hash", F.octet_length("bytes").cast("bigint").alias("n_bytes"), F.sha2("bytes", 256).alias("sha256")
+    whole = docs.select(
+        "doc_id", *row_key(), F.octet_length(utf8()).cast("bigint").alias("n_bytes"), F.sha2(utf8(), 256).alias("sha256")
     )
     none = F.lit(0).cast("bigint")
-    return whole.join(found.dropDuplicates(["id", "text_hash"]), ["id", "text_hash"], "left").select(
-        F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"),
+    return whole.join(found, ["id", "text_hash"], "left").select(
+        "doc_id",
         "n_bytes",
         F.coalesce("n_removed", none).alias("n_removed"),
         F.coalesce("n_spans", none).alias("n_spans"),

@@ -26,19 +26,21 @@ from functools import cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablecensus.llm.frames import parts_for, release, stored, utf8
-from tablecensus.llm.near_dups import keyed, row_key
+from tablecensus.llm.frames import parts_for, stored, utf8
 from tablecensus.llm.words import Fingerprints, grouped, mixed
 
 LENGTH = 400
 # The cover is a perfect difference set of a projective plane of this prime order.
-ORDER = 13
+ORDER = 11
 # Names sorted together.
-BUCKET_NAMES = 1_200_000
-BUCKET_SUFFIXES = 8_000_000
+BUCKET_NAMES = 2_000_000
+BUCKET_SUFFIXES = 16_000_000
+LEAST_BUCKETS = 24
+# Bytes of text in a chunk, which one task cuts.
+CHUNK_BYTES = 16 << 20
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 OPEN, STANDS, SETTLED = 1, 2, 3
 
@@ -103,7 +105,10 @@ def _runs(*keys: np.ndarray) -> np.ndarray:
     return new
 
 
-_BUCKET = "bucket bigint, ids binary, begins binary, places binary, names binary, reaches binary, repeated binary, settled binary"
+_BUCKET = (
+    "bucket bigint, ids binary, hashes binary, begins binary, places binary, names binary, "
+    "reaches binary, repeated binary, settled binary"
+)
 _BUCKET_NAMES = [c.split()[0] for c in _BUCKET.split(", ")]
 
 
@@ -129,39 +134,58 @@ def _blobs(
         starts = np.cumsum(batch.sizes[texts]) - batch.sizes[texts]
         dense = starts[owner] + local
         rows.append((
-            int(b), keys[texts].tobytes(), starts.astype("<i8").tobytes(),
-            _deltas(dense[asked]), names[mine][asked].tobytes(),
-            reaches[mine][asked].tobytes() if reaches is not None else b"",
-            np.packbits(repeated[mine][asked]).tobytes(), _deltas(dense[passed]),
+            int(b), _packed(keys[texts, 0]), keys[texts, 1].astype("<u4").tobytes(), _packed(starts),
+            _packed(dense[asked]), names[mine][asked].tobytes(),
+            _six_bytes(reaches[mine][asked]) if reaches is not None else b"",
+            np.packbits(repeated[mine][asked]).tobytes(), _packed(dense[passed]),
         ))
-    columns = list(zip(*rows)) or [()] * 8
+    columns = list(zip(*rows)) or [()] * 9
     yield pa.RecordBatch.from_arrays(
         [pa.array(columns[0], pa.int64()), *[pa.array(c, pa.binary()) for c in columns[1:]]], names=_BUCKET_NAMES
     )
 
 
-def _deltas(places: np.ndarray) -> bytes:
-    """Ascending numbers as differences, which compress well."""
-    return np.diff(places, prepend=0).astype("<u4").tobytes()
+@cache
+def _codecs() -> tuple:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
+def _packed(numbers: np.ndarray) -> bytes:
+    """Numbers that mostly ascend, as compressed differences."""
+    return _codecs()[0].compress(np.diff(numbers, prepend=0).astype("<i8").tobytes())
+
+
+def _unpacked(blob: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(_codecs()[1].decompress(blob), "<i8"))
 
 
-def _places(blob: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(blob, "<u4").astype(np.int64))
+def _six_bytes(names: np.ndarray) -> bytes:
+    """The upper 48 bits of each; equal cores add over 32 more to what must agree."""
+    return np.ascontiguousarray(names.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes()
+
+
+def _from_six_bytes(blob: bytes) -> np.ndarray:
+    wide = np.zeros((len(blob) // 6, 8), np.uint8)
+    wide[:, 2:] = np.frombuffer(blob, np.uint8).reshape(-1, 6)
+    return wide.view("<u8")[:, 0]
 
 
 class Bucket:
     """All that came to one bucket: keys of the texts, places in them, names."""
 
     def __init__(self, rows: pd.DataFrame, name_type: str, reaches: bool):
-        self.keys = np.concatenate([np.frombuffer(x, "<i8").reshape(-1, 2) for x in rows["ids"]])
-        asked, passed, texts = [], [], 0
-        for ids, begins, places, settled in zip(rows["ids"], rows["begins"], rows["places"], rows["settled"]):
-            begins = np.frombuffer(begins, "<i8")
+        keys, asked, passed, texts = [], [], [], 0
+        for ids, hashes, begins, places, settled in zip(*[rows[c] for c in ("ids", "hashes", "begins", "places", "settled")]):
+            keys.append(np.stack([_unpacked(ids), np.frombuffer(hashes, "<u4").astype(np.int64)], 1))
+            begins = _unpacked(begins)
             for blob, found in ((places, asked), (settled, passed)):
-                dense = _places(blob)
+                dense = _unpacked(blob)
                 owner = np.searchsorted(begins, dense, "right") - 1
                 found.append((owner + texts, dense - begins[owner]))
-            texts += len(ids) // 16
+            texts += len(begins)
+        self.keys = np.concatenate(keys)
         self.owner, self.at = (np.concatenate(x) for x in zip(*asked))
         self.passed_owner, self.passed_at = (np.concatenate(x) for x in zip(*passed))
         self.names = np.concatenate([np.frombuffer(x, name_type) for x in rows["names"]])
@@ -169,10 +193,10 @@ class Bucket:
         self.repeated = np.concatenate(
             [np.unpackbits(np.frombuffer(x, np.uint8))[:n].astype(bool) for x, n in zip(rows["repeated"], counts)]
         )
-        self.reaches = np.concatenate([np.frombuffer(x, "<u8") for x in rows["reaches"]]) if reaches else None
+        self.reaches = np.concatenate([_from_six_bytes(x) for x in rows["reaches"]]) if reaches else None
 
     def by_text(self, owner: np.ndarray, at: np.ndarray, kind: np.ndarray) -> pd.DataFrame:
-        """One row per text with the places found in it."""
+        """One row per text with the places found in it and their kinds."""
         order = np.lexsort((at, owner))
         owner, at, kind = owner[order], at[order].astype("<u4"), kind[order]
         first = np.flatnonzero(_runs(owner)) if len(owner) else np.array([], np.int64)
@@ -184,6 +208,43 @@ class Bucket:
             "kinds": [kind[a:b].tobytes() for a, b in zip(first, last)],
         })
 
+    def by_chunk(self, owner: np.ndarray, at: np.ndarray, chunks: int) -> pd.DataFrame:
+        """One row per chunk: its texts, how many places each has, and the places."""
+        chunk = _chunk(self.keys[:, 0], self.keys[:, 1], chunks)
+        order = np.lexsort((at, owner, chunk[owner]))
+        owner, at = owner[order], at[order]
+        cuts = np.searchsorted(chunk[owner], np.arange(chunks + 1))
+        rows = []
+        for c in np.flatnonzero(cuts[1:] > cuts[:-1]):
+            texts, counts = np.unique(owner[cuts[c] : cuts[c + 1]], return_counts=True)
+            rows.append((
+                int(c), _packed(self.keys[texts, 0]), self.keys[texts, 1].astype("<u4").tobytes(),
+                counts.astype("<u4").tobytes(), _packed(at[cuts[c] : cuts[c + 1]]),
+            ))
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in _TIES.split(", ")])
+
+
+def row_key() -> list[Column]:
+    """What tells rows apart: the id (for null a hash of the text) and 32 bits of a hash of the text."""
+    return [
+        F.coalesce(F.col("doc_id").cast("bigint"), F.xxhash64(utf8(), F.lit("no id"))).alias("id"),
+        F.pmod(F.xxhash64(utf8()), F.lit(1 << 32)).alias("text_hash"),
+    ]
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(*row_key(), utf8().alias("bytes"))
+
+
+_TIES = "chunk bigint, ids binary, hashes binary, counts binary, places binary"
+
+
+def _chunk(ids, hashes, chunks: int):
+    """The chunk of a text, from columns or arrays alike; copies of a text lie in many."""
+    if isinstance(ids, Column):
+        return F.pmod(F.pmod(ids, F.lit(chunks)) + F.pmod(hashes, F.lit(chunks)), F.lit(chunks))
+    return (ids % chunks + hashes % chunks) % chunks
+
 
 _FOUND = "id bigint, text_hash bigint, places binary, kinds binary"
 
@@ -268,8 +329,8 @@ def _between(begins: np.ndarray, ends: np.ndarray, size: int) -> np.ndarray:
     return np.cumsum(change)[:size] > 0
 
 
-def suffix_ties(marked: DataFrame, length: int, order: int, buckets: int) -> DataFrame:
-    """Places where a string of ``length`` bytes begins that occurs twice, by text.
+def suffix_ties(marked: DataFrame, length: int, order: int, buckets: int, chunks: int) -> DataFrame:
+    """Places where a string of ``length`` bytes begins that occurs twice, by chunk of texts.
 
     Of each text of ``marked`` (``id, text_hash, bytes, marks``) the suffixes around
     open and standing cover positions go to their buckets.
@@ -302,11 +363,13 @@ def suffix_ties(marked: DataFrame, length: int, order: int, buckets: int) -> Dat
         names = bucket.names[by]
         same = np.cumsum(_runs(names)) - 1
         tied = by[(np.bincount(same)[same] > 1) | bucket.repeated[by]]
-        owner = np.concatenate([bucket.owner[tied], bucket.passed_owner])
-        at = np.concatenate([bucket.at[tied], bucket.passed_at])
-        return bucket.by_text(owner, at, np.full(len(at), OPEN, np.uint8))
+        return bucket.by_chunk(
+            np.concatenate([bucket.owner[tied], bucket.passed_owner]),
+            np.concatenate([bucket.at[tied], bucket.passed_at]),
+            chunks,
+        )
 
-    return marked.mapInArrow(name, _BUCKET).groupBy("bucket").applyInPandas(sort, _FOUND)
+    return marked.mapInArrow(name, _BUCKET).groupBy("bucket").applyInPandas(sort, _TIES)
 
 
 def _gathered(found: DataFrame, name: str) -> DataFrame:
@@ -324,54 +387,60 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, order: int = ORDER) ->
     and are judged on the input. ``spans`` are the maximal runs of such bytes
     (UTF-8, end exclusive), ``kept`` all other bytes joined.
 
-    Rows are known by ``id`` (``doc_id``, or the largest long for null) and a hash of the text;
+    Rows are known by ``id`` and ``text_hash`` (see :func:`row_key`);
     repeated rows are occurrences of their own but have one row here. Null
     texts are empty, and texts below ``length`` bytes have no such string. Other
     columns are not looked at. Texts are read twice and moved twice, and only
     those with a repeated core; each step is written, and frees the shuffle before.
     """
-    spark = docs.sparkSession
     period, offsets = difference_cover(order)
     if length < 2 * period:
         raise ValueError(f"length must be at least {2 * period}")
     total = docs.agg(F.sum(F.octet_length(utf8()))).first()[0] or 0
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(partitions, parts_for(total * len(offsets) // period, BUCKET_NAMES))
+    buckets = max(LEAST_BUCKETS, parts_for(total * len(offsets) // period, BUCKET_NAMES))
     ranks = stored(cover_ranks(docs, length, order, buckets), "cover-ranks")
-    release(spark)
-    marked = stored(keyed(docs).join(_gathered(ranks, "marks"), ["id", "text_hash"]), "marked")
-    release(spark)
+    marked = keyed(docs).join(_gathered(ranks, "marks"), ["id", "text_hash"])
+    marked = stored(marked.dropDuplicates(["id", "text_hash"]), "marked")
     names = ranks.agg(F.sum(F.length("kinds"))).first()[0] or 0
-    buckets = max(partitions, parts_for(names * period, BUCKET_SUFFIXES))
-    ties = stored(suffix_ties(marked, length, order, buckets), "suffix-ties")
-    release(spark)
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
+    buckets = max(LEAST_BUCKETS, parts_for(names * period, BUCKET_SUFFIXES))
+    chunks = max(LEAST_BUCKETS, parts_for(total, CHUNK_BYTES))
+    ties = stored(suffix_ties(marked, length, order, buckets, chunks), "suffix-ties")
+
+    def cut(texts: pa.Table, tied: pa.Table) -> pa.Table:
+        places: dict[tuple[int, int], list[np.ndarray]] = {}
+        for row in tied.to_pylist():
+            ids, hashes = _unpacked(row["ids"]).tolist(), np.frombuffer(row["hashes"], "<u4").tolist()
+            found = np.split(_unpacked(row["places"]), np.cumsum(np.frombuffer(row["counts"], "<u4").astype(np.int64))[:-1])
+            for key, some in zip(zip(ids, hashes), found):
+                places.setdefault(key, []).append(some)
+        out: list[tuple] = []
+        for rows in texts.combine_chunks().to_batches():
             for keys, batch, first in _texts(rows, length):
                 owner, at, kind = _marks(rows, 3, first, batch)
                 settled = kind != OPEN
                 low, high = around(batch, owner[settled], at[settled], length, period)
-                _, tied, _ = _marks(rows, 4, first, batch)
-                gone = _between(np.concatenate([low, tied]), np.concatenate([high, tied + length]), len(batch.data))
-                spans, kept = [], []
-                for begin, size in zip(batch.begins, batch.sizes):
+                begins = [
+                    some + begin
+                    for key, begin in zip(map(tuple, keys.tolist()), batch.begins)
+                    for some in places.get(key, ())
+                ]
+                begins = np.concatenate([np.zeros(0, np.int64), *begins])
+                gone = _between(np.concatenate([low, begins]), np.concatenate([high, begins + length]), len(batch.data))
+                for key, begin, size in zip(keys.tolist(), batch.begins, batch.sizes):
                     here = gone[begin : begin + size]
-                    edges = np.flatnonzero(np.diff(here, prepend=False, append=False)).reshape(-1, 2)
-                    spans.append([{"start": int(a), "end": int(b)} for a, b in edges])
-                    kept.append(batch.data[begin : begin + size][~here].tobytes())
-                some = pa.array([bool(s) for s in spans])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(keys[:, 0]).filter(some), pa.array(keys[:, 1]).filter(some),
-                        pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))).filter(some),
-                        pa.array(kept, pa.binary()).filter(some),
-                    ],
-                    names=["id", "text_hash", "spans", "kept"],
-                )
+                    if here.any():
+                        edges = np.flatnonzero(np.diff(here, prepend=False, append=False)).reshape(-1, 2).tolist()
+                        spans = [{"start": a, "end": b} for a, b in edges]
+                        out.append((*key, spans, batch.data[begin : begin + size][~here].tobytes()))
+        columns = list(zip(*out)) or [()] * 4
+        kinds = [pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary()]
+        return pa.Table.from_arrays(
+            [pa.array(c, k) for c, k in zip(columns, kinds)], names=["id", "text_hash", "spans", "kept"]
+        )
 
-    both = marked.join(_gathered(ties, "ties"), ["id", "text_hash"], "left")
-    return both.select("id", "text_hash", "bytes", "marks", "ties").mapInArrow(cut, _SPANS)
+    chunk = _chunk(F.col("id"), F.col("text_hash"), chunks).alias("chunk")
+    texts = marked.select("id", "text_hash", "bytes", "marks", chunk)
+    return texts.groupBy("chunk").cogroup(ties.groupBy("chunk")).applyInArrow(cut, _SPANS)
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, order: int = ORDER) -> DataFrame:
@@ -381,7 +450,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, order: int = ORDER) -
     counted anew. Texts without such bytes, null ones
     among them, stay as they are, and no row is dropped.
     """
-    spans = repeated_spans(docs, length, order).select("id", "text_hash", "kept").dropDuplicates(["id", "text_hash"])
+    spans = repeated_spans(docs, length, order).select("id", "text_hash", "kept")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
