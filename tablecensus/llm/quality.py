@@ -24,9 +24,11 @@ RULES = {
 }
 
 
-# What is taken for granted of a rule before its votes are seen: how often it is
-# right, and how much that counts beside its own votes.
-PRIOR_ACCURACY, PRIOR_WEIGHT = 0.95, 3.0
+# What is taken for granted of a rule before its votes are seen: how often its votes
+# for bad are right, and how much that counts beside the votes themselves. Votes for
+# good are taken to say nothing, that is to be right as often as texts are good; and
+# of texts as many are taken to be good as PRIOR_GOOD says.
+PRIOR_ACCURACY, PRIOR_GOOD, PRIOR_WEIGHT = 0.95, 0.85, 1.5
 
 
 def _logit(p: float) -> float:
@@ -94,11 +96,10 @@ def with_statistics(docs: DataFrame) -> DataFrame:
     steps = steps.withColumn("p", F.sort_array(F.transform(found, lambda one: one["i"])))
     covered = F.transform("p", lambda i, j: F.least(F.lit(3), F.coalesce(F.get("p", j + 1) - i, F.lit(3))))
     repeated = F.aggregate(covered, F.lit(0).cast("bigint"), lambda total, n: total + n)
-    return steps.select(
-        *[F.col(f"row.{c}").alias(c) for c in docs.columns if c not in STATISTICS],
-        "n_words", "word_chars", "n_symbols", "n_dup_lines",
-        F.coalesce(repeated, F.lit(0).cast("bigint")).alias("n_repeat_words"),
-        "n_lines",
+    steps = steps.withColumn("n_repeat_words", F.coalesce(repeated, F.lit(0).cast("bigint")))
+    statistics = [F.col(c) for c in STATISTICS]
+    return steps.select(*statistics, "row").select(
+        *[F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in STATISTICS], *statistics
     )
 
 
@@ -119,24 +120,28 @@ def estimate(patterns: dict[tuple[int, ...], int], rounds: int = 500) -> Votes:
     accuracy is the expected share of the texts it voted on that it was right
     about. Rules look for different faults and seldom agree, so without more to
     go by a fault only one rule sees would be taken for that rule's error;
-    accuracies therefore have a prior (``PRIOR_ACCURACY``, ``PRIOR_WEIGHT``). The result
+    accuracies and the share of good texts therefore have a prior (``PRIOR_ACCURACY``,
+    ``PRIOR_GOOD``, ``PRIOR_WEIGHT``). The result
     depends on the shares of the patterns only; no texts give even odds.
     """
     rules = max((len(p) for p in patterns), default=0)
     total = sum(patterns.values())
-    model = Votes(0.9 if total else 0.5, tuple({v: PRIOR_ACCURACY for v in (-1, 1)} for _ in range(rules)))
+    model = Votes(PRIOR_GOOD if total else 0.5, tuple({-1: PRIOR_ACCURACY, 1: PRIOR_GOOD} for _ in range(rules)))
     for _ in range(rounds if total else 0):
         good = {p: model.posterior(p) for p in patterns}
+        share = sum(n * good[p] for p, n in patterns.items()) / total
+        share = min((share + PRIOR_WEIGHT * PRIOR_GOOD) / (1 + PRIOR_WEIGHT), 0.999)
         right = []
         for j in range(rules):
             each = {}
             for v in (-1, 1):
                 cast = sum(n for p, n in patterns.items() if p[j] == v)
                 hits = sum(n * (good[p] if v == 1 else 1 - good[p]) for p, n in patterns.items() if p[j] == v)
-                share = hits / cast if cast else PRIOR_ACCURACY
-                each[v] = min(0.999, (share + PRIOR_WEIGHT * PRIOR_ACCURACY) / (1 + PRIOR_WEIGHT))
+                before, chance = (PRIOR_ACCURACY, 1 - share) if v == -1 else (share, share)
+                found = hits / cast if cast else before
+                # no rule is worse than chance, or a vote would speak for its opposite
+                each[v] = min(0.999, max(chance, (found + PRIOR_WEIGHT * before) / (1 + PRIOR_WEIGHT)))
             right.append(each)
-        share = min(max(sum(n * good[p] for p, n in patterns.items()) / total, 0.05), 0.95)
         new = Votes(share, tuple(right))
         moved = max(abs(new.posterior(p) - good[p]) for p in patterns)
         model = new

@@ -65,7 +65,7 @@ def test_estimation():
     one_fault = (-1, *[1] * (rules - 1))
     # a rule that mostly contradicts all others is taken to be right less often
     model = estimate({all_good: 900, one_fault: 30, (-1,) * rules: 70})
-    assert model.posterior(all_good) > 0.9 and model.posterior((-1,) * rules) < 0.01
+    assert model.posterior(all_good) > 0.7 and model.posterior((-1,) * rules) < 0.01
     assert model.right[0][-1] < model.right[1][-1]
     assert model.posterior((0,) * rules) == pytest.approx(model.good)
     scaled = estimate({all_good: 9000, one_fault: 300, (-1,) * rules: 700})
