@@ -11,8 +11,9 @@ from tablecensus.llm.components import components
 from tablecensus.llm.frames import stored, utf8
 from tablecensus.llm.words import grouped, mixed, shingle_sets
 
-# A sketch has this many registers of 16 bits: leading zeros, then bits that follow.
-REGISTERS, MANTISSA = 128, 10
+# A sketch has this many registers of 32 bits: leading zeros, then bits that follow. With
+# fewer bits, bands of small sets, which have one register filled, meet by chance.
+REGISTERS, MANTISSA = 128, 26
 BAND = 4
 WORDS = 5
 PERCENT = 75
@@ -40,11 +41,11 @@ def registers(values: np.ndarray, owners: np.ndarray, texts: int) -> np.ndarray:
     # 53 upper bits are exact as floats, which suffices for the exponent and the mantissa
     short = (least >> np.uint64(width - 53)).astype(np.float64)
     exponent = np.where(filled & (short > 0), np.frexp(np.where(short > 0, short, 1))[1], 0)
-    zeros = np.minimum(53 - exponent, (1 << (16 - MANTISSA)) - 2) + 1
+    zeros = np.minimum(53 - exponent, (1 << (32 - MANTISSA)) - 2) + 1
     shift = np.maximum(exponent - 1 - MANTISSA, 0).astype(np.uint64)
     tail = (short.astype(np.uint64) >> shift) & np.uint64((1 << MANTISSA) - 1)
     packed = (zeros << MANTISSA) | tail.astype(np.int64)
-    return np.where(filled, packed, 0).astype("<u2").reshape(texts, REGISTERS)
+    return np.where(filled, packed, 0).astype("<u4").reshape(texts, REGISTERS)
 
 
 def estimated(one: np.ndarray, other: np.ndarray, size_one: np.ndarray, size_other: np.ndarray) -> np.ndarray:
@@ -123,10 +124,11 @@ def band_rows(classes: DataFrame) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sketch = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u2").reshape(-1, REGISTERS // BAND, BAND)
-            bits = np.ascontiguousarray(sketch).view("<u8")[:, :, 0]
-            bucket = mixed(mixed(bits) + np.arange(bits.shape[1], dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-            filled = bits != 0
+            sketch = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u4").reshape(-1, REGISTERS // BAND, BAND)
+            bits = np.ascontiguousarray(sketch).view("<u8")
+            place = np.arange(bits.shape[1], dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            bucket = mixed(mixed(mixed(bits[:, :, 0]) + bits[:, :, 1]) + place)
+            filled = (bits != 0).any(2)
             cls = np.repeat(np.asarray(batch.column(0)), filled.sum(1))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(bucket[filled].view(np.int64)), pa.array(cls)], names=["bucket", "cls"]
@@ -148,7 +150,7 @@ def plausible(pairs: DataFrame, classes: DataFrame, percent: int = PERCENT, marg
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sides = [
-                np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u2").reshape(-1, REGISTERS) for i in (2, 3)
+                np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u4").reshape(-1, REGISTERS) for i in (2, 3)
             ]
             found = estimated(*sides, np.asarray(batch.column(4)), np.asarray(batch.column(5)))
             keep = pa.array(found >= percent / 100 - margin)
@@ -226,7 +228,7 @@ def with_shared(classes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
 def _members(column: pa.Array) -> Iterator[tuple[np.ndarray, ...]]:
     """For each row its members: sketches, classes, roots, sizes and shared sizes."""
     values = column.values
-    sketch = np.frombuffer(b"".join(values.field("sketch").to_pylist()), "<u2").reshape(-1, REGISTERS)
+    sketch = np.frombuffer(b"".join(values.field("sketch").to_pylist()), "<u4").reshape(-1, REGISTERS)
     rest = [np.asarray(values.field(c)) for c in ("cls", "root", "n_shingles", "shared")]
     offsets = np.asarray(column.offsets)
     for low, high in zip(offsets - offsets[0], offsets[1:] - offsets[0]):
@@ -318,7 +320,7 @@ def _further_links(
     Classes with a plausible partner in another component are looked at on
     their own: what each has in common with any of the others is counted on whole sets.
     In each bucket the one with the least of its own, such as the text that the
-    others are edited from, is the hub of a second star. What is plausible even then,
+    others are edited from, is the hub of a second star, again one link per class. What is plausible even then,
     in view of the counts, is verified pair by pair.
     """
     roots = components(links)
@@ -331,23 +333,26 @@ def _further_links(
     bands = stored(bands.join(open_classes, "cls", "left_semi"), "open-bands")
     least_own = F.struct(((F.col("n_shingles") - F.col("shared")) / F.col("n_shingles")).alias("own"), "cls")
     hubs = bands.join(known, "cls").groupBy("bucket").agg(F.min(least_own).alias("hub"))
-    hubs = stored(hubs.select("bucket", F.col("hub.cls").alias("hub")), "hubs")
-    second = bands.join(hubs, "bucket").where(F.col("cls") != F.col("hub"))
+    hubs = stored(hubs, "hubs")
+    second = bands.join(hubs, "bucket").where(F.col("cls") != F.col("hub.cls"))
+    second = second.groupBy("cls").agg(F.min("hub").alias("hub")).select("cls", F.col("hub.cls").alias("hub"))
     second = second.select(F.greatest("cls", "hub").alias("a"), F.least("cls", "hub").alias("b")).distinct()
     second = stored(plausible(second.join(stars, ["a", "b"], "left_anti"), classes, percent), "stars")
-    links = stored(links.unionByName(verified(second, texts, words, percent)), "links")
-    roots = components(links)
+    known_links = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    roots = components(known_links.unionByName(verified(second, texts, words, percent)))
     rest = stored(across(bands, known, roots, percent, MARGIN, pairs=True), "remaining")
+    if not rest.limit(1).count():
+        return roots
     rest = rest.join(stars.unionByName(second), ["a", "b"], "left_anti")
-    more = stored(verified(rest, texts, words, percent), "links")
-    return components(links.unionByName(more))
+    known_links = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    return components(known_links.unionByName(verified(rest, texts, words, percent)))
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """``doc_id, text_hash, n_shingles, component_id, kept`` for every row of ``docs``.
 
     Rows with equal shingle sets are one class. Classes sharing a band are
-    candidates: each first with the least class of the bucket only, which links
+    candidates: each first with one other only, the least class of all its buckets, which links
     whole groups of copies at the cost of one pair per member; then, in buckets
     whose members did not all come together, as :func:`_further_links` says.
     Candidates that the estimate leaves open are verified on their whole sets.
@@ -369,12 +374,12 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     bands = band_rows(classes)
     hubs = bands.groupBy("bucket").agg(F.min("cls").alias("hub"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     hubs = stored(hubs.select("bucket", "hub"), "hubs")
-    stars = bands.join(hubs, "bucket").where(F.col("cls") != F.col("hub"))
-    stars = stars.select(F.greatest("cls", "hub").alias("a"), F.least("cls", "hub").alias("b")).distinct()
-    stars = stored(plausible(stars, classes, percent), "stars")
+    shared = stored(bands.join(hubs, "bucket"), "shared-bands")
+    stars = shared.where(F.col("cls") != F.col("hub")).groupBy("cls").agg(F.min("hub").alias("hub"))
+    stars = stored(plausible(stars.select(F.col("cls").alias("a"), F.col("hub").alias("b")), classes, percent), "stars")
     ends = stars.select(F.col("a").alias("cls")).union(stars.select("b"))
     links = stored(verified(stars, texts_of(ends, classes, docs), words, percent), "links")
-    shared = bands.join(hubs.select("bucket"), "bucket")
+    shared = shared.select("bucket", "cls")
     roots = _further_links(stars, links, shared, classes, docs, words, percent)
     roots = stored(roots, "roots")
     ids = classes.select("cls", F.struct("id", "text_hash").alias("first")).join(roots.withColumnRenamed("node", "cls"), "cls", "left")

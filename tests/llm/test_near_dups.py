@@ -116,6 +116,7 @@ def test_estimate(share):
 
 
 def test_registers_hold_zeros_and_mantissa():
+    M = near_dups.MANTISSA
     draw = np.random.default_rng(1)
     values = draw.integers(0, 1 << 62, 500).astype(np.uint64)
     sketch = registers(values, np.zeros(500, np.int64), 1)[0]
@@ -123,9 +124,9 @@ def test_registers_hold_zeros_and_mantissa():
     for place in range(near_dups.REGISTERS):
         mine = [h >> 7 for h in hashes if h % 128 == place]
         if mine:
-            bits = f"{min(mine):057b}"
+            bits = f"{min(mine):057b}" + "0" * 40
             zeros = bits.index("1")
-            assert sketch[place] == (zeros + 1 << 10) | int(bits[zeros + 1 : zeros + 11], 2)
+            assert sketch[place] == (zeros + 1 << M) | int(bits[zeros + 1 : zeros + 1 + M], 2)
         else:
             assert sketch[place] == 0
 
