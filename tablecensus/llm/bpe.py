@@ -21,7 +21,7 @@ STATES = 9
 BLOCK = 128
 # Code points split together, and pieces remembered by a task.
 BATCH_CHARS = 1_000_000
-REMEMBERED_PIECES = 1_000_000
+REMEMBERED_PIECES = 500_000
 REMEMBERED_BYTES = 64
 
 
@@ -133,14 +133,13 @@ def _look_up(table: bytes, at: np.ndarray) -> np.ndarray:
 
 
 class Ranks:
-    """A rank file and the pieces already merged by it."""
+    """The tokens of a rank file."""
 
     def __init__(self, rank_file: str):
         with open(rank_file, "rb") as lines:
             pairs = [line.split() for line in lines if line.strip()]
         self.ranks = {base64.b64decode(token): int(rank) for token, rank in pairs}
         self.tokens = {rank: token for token, rank in self.ranks.items()}
-        self.known: dict[bytes, bytes] = {}
 
     def merge(self, piece: bytes) -> list[int]:
         """Join the neighbours of least rank, the leftmost first, until none can be joined."""
@@ -183,9 +182,8 @@ class Ranks:
             i = follows[i]
         return ids
 
-    def encode(self, pieces: list[bytes]) -> bytes:
-        """The ids of all pieces as unsigned 32-bit little-endian numbers."""
-        known = self.known
+    def encode(self, pieces: list[bytes], known: dict[bytes, bytes]) -> bytes:
+        """The ids of all pieces as unsigned 32-bit little-endian numbers; ``known`` ones are not merged again."""
         if len(known) > REMEMBERED_PIECES:
             known.clear()
         found = []
@@ -243,14 +241,14 @@ def encode(docs: DataFrame, rank_file: str, offsets: bool = True) -> DataFrame:
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = _ranks(rank_file)
+        ranks, known = _ranks(rank_file), {}
         lengths = np.zeros(max(ranks.tokens) + 1, np.int64)
         for rank, token in ranks.tokens.items():
             lengths[rank] = len(token)
         for batch in batches:
             first = 0
             for texts in _in_groups([t or "" for t in batch.column(1).to_pylist()]):
-                ids = [ranks.encode(pieces) for pieces in split_texts(texts)]
+                ids = [ranks.encode(pieces, known) for pieces in split_texts(texts)]
                 places = [None] * len(ids)
                 if offsets:
                     widths = [lengths[np.frombuffer(x, "<u4")] for x in ids]

@@ -16,7 +16,7 @@ PIECES_SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, d
 # Pieces that are packed together; the number of such groups grows with the table.
 GROUP_PIECES = 2_048
 # Words whose ids a task remembers.
-REMEMBERED_WORDS = 1_000_000
+REMEMBERED_WORDS = 500_000
 
 
 class WordIds(dict):
@@ -29,12 +29,8 @@ class WordIds(dict):
     """
 
     def __init__(self, tokenizer_file: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
         super().__init__({"": b""})
-        self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer = _tokenizer(tokenizer_file)
         self.cores: dict[str, bytes] = {}
 
     @staticmethod
@@ -73,8 +69,13 @@ class WordIds(dict):
 
 
 @cache
-def _word_ids(tokenizer_file: str) -> WordIds:
-    return WordIds(tokenizer_file)
+def _tokenizer(tokenizer_file: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    found = Tokenizer.from_file(tokenizer_file)
+    found.encode_special_tokens = True
+    return found
 
 
 def token_pieces(docs: DataFrame, tokenizer_file: str, capacity: int = 4096, end_id: int = 2) -> DataFrame:
@@ -86,7 +87,7 @@ def token_pieces(docs: DataFrame, tokenizer_file: str, capacity: int = 4096, end
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _word_ids(tokenizer_file)
+        known = WordIds(tokenizer_file)  # of this task, so what it remembers goes with it
         for batch in batches:
             keys = batch.column(0).to_pylist()
             rows: list[tuple] = []

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 WIDTH = 6
 ORDINARY_BYTES, TOXIC_BYTES = 256 << 10, 64 << 10
 # Windows remembered by a task.
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 
 
 @dataclass(frozen=True)
@@ -178,16 +178,6 @@ def learn(
     return best[1]
 
 
-_distances: dict[Dictionaries, Distance] = {}
-
-
-def _distance(model: Dictionaries) -> Distance:
-    if model not in _distances:
-        _distances.clear()
-        _distances[model] = Distance(model)
-    return _distances[model]
-
-
 def toxicity_score(docs: DataFrame, model: Dictionaries | None) -> Column:
     """A column with the score of ``text``, from 0 to 1; 0 for all without a model.
 
@@ -199,7 +189,7 @@ def toxicity_score(docs: DataFrame, model: Dictionaries | None) -> Column:
     sent = docs.sparkSession.sparkContext.broadcast(model)  # two bounded dictionaries
 
     def scores(batches: Iterator) -> Iterator:
-        distance = _distance(sent.value)
+        distance = Distance(sent.value)  # of this task, so what it remembers goes with it
         for texts in batches:
             yield pa.array([distance.score(t or "") for t in texts.to_pylist()], pa.float64())
 
