@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 # Bytes each byte is written as before compression. A match costs zstandard three
 # or four bytes, as much as a short word; written wide, a word costs more.
 WIDTH = 6
-ORDINARY_BYTES, TOXIC_BYTES = 256 << 10, 64 << 10
+ORDINARY_BYTES, TOXIC_BYTES = 64 << 10, 64 << 10
 # Windows remembered by a task.
 REMEMBERED = 500_000
 
@@ -42,7 +42,8 @@ def _codes() -> list[bytes]:
 
 
 def _wide(window: bytes) -> bytes:
-    return b"".join(map(_codes().__getitem__, window))
+    """The window between two spaces, so that whole words match longer than parts of words."""
+    return b"".join(map(_codes().__getitem__, b" " + window + b" "))
 
 
 def windows(text: str, words: int = 1) -> set[bytes]:
@@ -81,12 +82,13 @@ class Distance:
             data = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             data.precompute_compress(compression_params=settings)
             self.sides.append(zstandard.ZstdCompressor(dict_data=data, compression_params=settings))
+        self.frame = len(self.sides[0].compress(b""))  # what any window costs
         self.known: dict[bytes, float] = {}
 
     def of_window(self, window: bytes) -> float:
         wide = _wide(window)
         ordinary, toxic = (len(side.compress(wide)) for side in self.sides)
-        return (ordinary - toxic) / ordinary
+        return (ordinary - toxic) / (ordinary - self.frame)
 
     def of_text(self, text: str) -> float:
         """The largest over all windows; a text without words is as far as can be, -1."""
@@ -124,7 +126,7 @@ def learn(
     per_class: int = 3_000,
     longest: int = 50_000,
     window_words: int = 1,
-    shares: tuple[float, ...] = (0.02, 0.04),
+    shares: tuple[float, ...] = (0.01, 0.02, 0.04),
 ) -> Dictionaries | None:
     """Two dictionaries from a bounded sample of labelled texts; null without both labels.
 

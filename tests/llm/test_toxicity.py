@@ -72,7 +72,7 @@ def test_odd_rows(docs, labelled, odd, prose):
     out = score_toxicity(docs(*rows, clash=True), model)
     found = out.select("doc_id", "score", "predicted").collect()
     assert len(found) == len(rows) and dict(out.dtypes)["score"] == "double" and dict(out.dtypes)["predicted"] == "int"
-    assert all(r.predicted == 0 for r in found if r.doc_id is not None and r.doc_id < len(odd))
+    assert all(r.predicted == 0 for r in found if r.doc_id is not None and r.doc_id < 4)  # without words
     assert all(r.predicted == 1 for r in found if r.doc_id is None or r.doc_id >= 30)
     assert score_toxicity(docs("x").limit(0), model).count() == 0
 
