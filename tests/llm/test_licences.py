@@ -4,6 +4,7 @@ from collections import Counter
 
 import pytest
 
+from tablecensus.llm import licence_texts
 from tablecensus.llm.licences import LETTERS_OF_NO_WORD, TEMPLATES, scan_licences
 
 FILES = "path string, text string"
@@ -93,3 +94,74 @@ def test_odd_rows(spark, odd):
 def test_no_python_on_executors(spark):
     plan = scan_licences(spark.createDataFrame([("a/b", "x")], FILES))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>."""
+APACHE = """Licensed to the Apache Software Foundation (ASF) under one or more
+contributor license agreements.  See the NOTICE file distributed with
+this work for additional information regarding copyright ownership.
+The ASF licenses this file to You under the Apache License, Version 2.0
+(the "License"); you may not use this file except in compliance with
+the License.  You may obtain a copy of the License at
+
+   http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at http://mozilla.org/MPL/2.0/."""
+
+
+def commented(mark, text):
+    return "\n".join(f"{mark} {line}".rstrip() for line in text.split("\n")) + "\n"
+
+
+def test_headers_and_whole_files(spark, prose):
+    code = lambda i: prose(i, 200)
+    whole = licence_texts.whole
+    mine = lambda name: whole(name).replace("Copyright (c)", "Copyright (c) 2021-2024 Jane Roe and others of Example Ltd")
+    affero = GPL.replace("GNU General", "GNU Affero General")
+    lesser = GPL.replace("GNU General", "GNU Lesser General")
+    bsd = mine("BSD-3-Clause")
+    cases = {
+        "GPL-3.0": ["#!/bin/sh\n# Copyright 2020 J Roe\n#\n" + commented("#", GPL) + code(1), "/*\n" + commented(" *", GPL) + " */\n" + code(2),
+                    "x = 1\n" + commented("//", GPL) + code(3), whole("GPL-3.0"), code(4) + "\n\n" + GPL + "\n\n" + code(5)],
+        "GPL-2.0": [commented("#", GPL.replace("version 3", "version 2")) + code(6), whole("GPL-2.0"), "# SPDX-License-Identifier: GPL-2.0-only\n" + code(7)],
+        "AGPL-3.0": [commented("//", affero) + code(8)],
+        "LGPL-3.0": [commented(";;", lesser) + code(9), whole("LGPL-3.0")],
+        "Apache-2.0": ["/*\n" + commented(" *", APACHE) + " */\n" + code(10), "<!--\n" + APACHE + "\n-->\n" + code(11), whole("Apache-2.0"),
+                       whole("Apache-2.0")[:600], "// SPDX-License-Identifier: Apache-2.0\n" + code(12)],
+        "MPL-2.0": ["/* " + MPL.replace("\n", "\n * ") + " */\n" + code(13), whole("MPL-2.0")],
+        "MIT": [mine("MIT"), mine("MIT").split("\n", 2)[2], commented("#", mine("MIT")) + code(14), "/* SPDX-License-Identifier: MIT */\n" + code(15)],
+        "BSD-3-Clause": [bsd, bsd[bsd.index("Redistribution") : bsd.index("THIS SOFTWARE")], '"""' + bsd + '"""\n' + code(16)],
+        "BSD-2-Clause": [mine("BSD-2-Clause")],
+        "ISC": [mine("ISC")],
+        None: ["# SPDX-License-Identifier: Unheard-Of\n" + code(17), "# software of the Example foundation\n" + code(18), code(19)],
+    }
+    rows = [(f"{name}/{i}", t) for name, several in cases.items() for i, t in enumerate(several)]
+    out = scanned(spark, rows + [(f"other/{i}", code(100 + i)) for i in range(60)])
+    got = {p: (r.licence if r.licence_origin == "own" else None) for p, r in out.items()}
+    assert {p: got[p] for p, _ in rows} == {f"{name}/{i}": name for name, several in cases.items() for i in range(len(several))}
+    assert not any(got[f"other/{i}"] for i in range(60))
+
+
+def test_whole_file_speaks_for_its_directory(spark, prose):
+    text = licence_texts.whole("MIT").split("\n", 2)[2].replace("Copyright (c)", "Copyright (c) 2024 Jane Roe")
+    rows = [("a/LICENSE", text), ("a/b/x.py", prose(1, 100)), ("c/terms", text), ("c/y.py", prose(2, 100)), ("d/z.py", prose(3, 100))]
+    out = scanned(spark, rows + [(f"o{i}/{i}", prose(i, 50)) for i in range(10, 40)])
+    assert [(out[p].licence, out[p].licence_from) for p in ("a/b/x.py", "c/y.py", "d/z.py")] == [("MIT", "a/LICENSE"), ("MIT", "c/terms"), (None, None)]
