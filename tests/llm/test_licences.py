@@ -1,11 +1,12 @@
 import math
+import random
 import re
 from collections import Counter
 
 import pytest
 
 from tablecensus.llm import licence_texts
-from tablecensus.llm.licences import LETTERS_OF_NO_WORD, TEMPLATES, scan_licences
+from tablecensus.llm.licences import LETTERS_OF_NO_WORD, TEMPLATES, _weights, scan_licences
 
 FILES = "path string, text string"
 
@@ -165,3 +166,26 @@ def test_whole_file_speaks_for_its_directory(spark, prose):
     rows = [("a/LICENSE", text), ("a/b/x.py", prose(1, 100)), ("c/terms", text), ("c/y.py", prose(2, 100)), ("d/z.py", prose(3, 100))]
     out = scanned(spark, rows + [(f"o{i}/{i}", prose(i, 50)) for i in range(10, 40)])
     assert [(out[p].licence, out[p].licence_from) for p in ("a/b/x.py", "c/y.py", "d/z.py")] == [("MIT", "a/LICENSE"), ("MIT", "c/terms"), (None, None)]
+
+
+def test_templates_of_the_caller(spark, prose):
+    """None of these has a word that the built-in notices have in common."""
+    mine = {"Unlicense": "This is free and unencumbered software released into the public domain",
+            "ISC": "Permission to use, copy, modify, and distribute this software for any purpose is hereby granted",
+            "Zlib": "This software is provided as-is, without any express or implied warranty"}
+    rows = [(f"{name}/f", f"{prose(i, 40)}\n{text}.\n{prose(i + 10, 40)}") for i, (name, text) in enumerate(mine.items())]
+    out = scanned(spark, rows + [(f"o/{i}", prose(i, 50)) for i in range(20, 50)], templates=mine, texts={}, tags={})
+    assert {p: r.licence for p, r in out.items() if r.licence_origin == "own"} == {f"{name}/f": name for name in mine}
+
+
+def test_no_match_without_an_anchor():
+    draw = random.Random(1)
+    vocabulary = [f"w{i}" for i in range(12)]
+    for _ in range(300):
+        idf = {w: draw.choice([0.0, 0.3, 1.0, draw.random() * 8]) for w in vocabulary}
+        counts = Counter(draw.choices(vocabulary, k=draw.randrange(1, 15)))
+        least = draw.choice([0.3, 0.75, 0.9])
+        rows, anchors = _weights([("x", counts, set())], idf, least)
+        # the nearest unit without an anchor is the rest of the form itself
+        rest = [weight for _, _, w, weight, _, _ in rows if w not in anchors]
+        assert math.sqrt(sum(x * x for x in rest)) < least
