@@ -19,8 +19,9 @@ LETTER, NUMBER, OTHER, LAST_SPACE, LAST_WHITE, SHORT, LONG, INNER_WHITE, END = r
 FRESH, IN_LETTERS, IN_NUMBERS, IN_OTHERS, AFTER_SPACE, IN_WHITE, AFTER_WHITE, ONE_TO_GO, TWO_TO_GO = range(9)
 STATES = 9
 BLOCK = 128
-# Code points split together, and pieces remembered by a task.
+# Code points split together, rows decoded together, and pieces remembered by a task.
 BATCH_CHARS = 1_000_000
+DECODE_ROWS = 256
 REMEMBERED_PIECES = 500_000
 REMEMBERED_BYTES = 64
 
@@ -264,13 +265,27 @@ def encode(docs: DataFrame, rank_file: str, offsets: bool = True) -> DataFrame:
 
 
 def decode(encoded: DataFrame, rank_file: str) -> DataFrame:
-    """``encoded`` with ``decoded``, the bytes of the ids; null ids are none."""
+    """``encoded`` with ``decoded``, the bytes of the ids; null ids are none.
+
+    Offsets (``starts``), where there are any, must be where the bytes of each id begin.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = _ranks(rank_file).tokens.__getitem__
-        for batch in batches:
+        # few rows at a time, as a batch with its offsets is large
+        for batch in (b.slice(low, DECODE_ROWS) for b in batches for low in range(0, b.num_rows, DECODE_ROWS)):
             ids = batch.column(batch.schema.get_field_index("ids")).to_pylist()
-            texts = [b"".join(map(token, np.frombuffer(x or b"", "<u4").tolist())) for x in ids]
+            at = batch.schema.get_field_index("starts")
+            places = batch.column(at).to_pylist() if at >= 0 else [None] * len(ids)
+            texts = []
+            for x, starts in zip(ids, places):
+                tokens = list(map(token, np.frombuffer(x or b"", "<u4").tolist()))
+                if starts is not None:
+                    ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)))
+                    begins = np.frombuffer(starts, "<u4")
+                    if len(begins) != len(ends) or (len(ends) and (begins[0] or (begins[1:] != ends[:-1]).any())):
+                        raise ValueError("offsets do not fit the ids")
+                texts.append(b"".join(tokens))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(texts, pa.binary())], names=[*batch.schema.names, "decoded"]
             )

@@ -74,8 +74,7 @@ def op4_licences(spark: SparkSession, folder: str) -> DataFrame:
 
 def op5_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    encoded = bpe.encode(table(spark, folder, "documents"), ranks, offsets=False)
-    return bpe.decode(encoded.drop("starts"), ranks).select(
+    return bpe.decode(bpe.encode(table(spark, folder, "documents"), ranks), ranks).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

@@ -6,7 +6,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 
-from tablecensus.llm import bpe
+from tablecensus.llm import bpe, queries
 
 FILE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -78,3 +78,19 @@ def test_odd_rows(docs, odd, prose):
     assert sorted(((r.doc_id, bytes(r.decoded)) for r in out), key=repr) == sorted(((i, (t or "").encode()) for i, t in rows), key=repr)
     assert all(r.starts is None for r in out)
     assert bpe.encode(docs("x").limit(0), FILE).count() == 0
+
+
+def test_decode_checks_offsets(docs):
+    encoded = bpe.encode(docs("Don't stop, é中😀 now", ""), FILE)
+    assert sorted(bytes(r.decoded).decode() for r in bpe.decode(encoded, FILE).collect()) == ["", "Don't stop, é中😀 now"]
+    with pytest.raises(Exception, match="offsets do not fit"):
+        bpe.decode(encoded.selectExpr("doc_id", "ids", "substring(starts, 5) AS starts"), FILE).collect()
+
+
+def test_query_keeps_offsets(spark, monkeypatch):
+    seen = []
+    decode = bpe.decode
+    monkeypatch.setattr(bpe, "decode", lambda encoded, ranks: seen.append(encoded) or decode(encoded, ranks))
+    out = queries.op5_byte_bpe(spark, "/root/testdata/sf0.001")
+    tokens = {r.doc_id: r.n_tokens for r in out.collect()}
+    assert {r.doc_id: len(r.starts) // 4 for r in seen[0].collect()} == tokens
