@@ -19,6 +19,8 @@ WORDS = 5
 PERCENT = 75
 # Estimates this far below the threshold are still verified: over five deviations.
 MARGIN = 0.2
+# Of sets with fewer shingles so few registers are filled that the estimate rules nothing out.
+TINY = 32
 # Members of a bucket that are compared in one piece with those of other components.
 BLOCK, SLICE = 512, 4_096
 NO_ID = (1 << 63) - 1
@@ -152,8 +154,10 @@ def plausible(pairs: DataFrame, classes: DataFrame, percent: int = PERCENT, marg
             sides = [
                 np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u4").reshape(-1, REGISTERS) for i in (2, 3)
             ]
-            found = estimated(*sides, np.asarray(batch.column(4)), np.asarray(batch.column(5)))
-            keep = pa.array(found >= percent / 100 - margin)
+            sizes = [np.asarray(batch.column(i)) for i in (4, 5)]
+            found = estimated(*sides, *sizes)
+            tiny = (np.minimum(*sizes) < TINY) & (100 * np.minimum(*sizes) >= percent * np.maximum(*sizes))
+            keep = pa.array(tiny | (found >= percent / 100 - margin))
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(keep) for i in (0, 1)], names=["a", "b"])
 
     return pairs.select("a", "b", "sketch_a", "sketch_b", "size_a", "size_b").mapInArrow(rows, "a bigint, b bigint")
@@ -295,7 +299,7 @@ def across(bands: DataFrame, classes: DataFrame, roots: DataFrame, percent: int,
                     if not len(some):
                         continue
                     near = estimated(one[None], sketch[some], n, size[some]) >= percent / 100 - margin
-                    some = some[near]
+                    some = some[near | (np.minimum(size[some], n) < TINY)]
                     if not len(some):
                         continue
                     if pairs:

@@ -146,3 +146,14 @@ def test_components(spark, seed):
 
 def test_no_links(spark):
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_tiny_sets_pass_the_estimate(spark):
+    """Of 3 and 4 shingles, 3 in common, registers may show next to nothing."""
+    one, other = np.zeros((2, near_dups.REGISTERS), "<u4")
+    one[:2], other[:3] = [7, 8], [7, 9, 10]  # two of three shingles fell into one register
+    assert estimated(one[None], other[None], np.array([3]), np.array([4]))[0] < 0.55
+    rows = [(1, 3, bytearray(one.tobytes())), (2, 4, bytearray(other.tobytes())), (3, 40, bytearray(other.tobytes())), (4, 3, bytearray(one.tobytes()))]
+    classes = spark.createDataFrame(rows, "cls bigint, n_shingles bigint, sketch binary")
+    pairs = spark.createDataFrame([(2, 1), (3, 1), (4, 1)], "a bigint, b bigint")
+    assert sorted(map(tuple, near_dups.plausible(pairs, classes).collect())) == [(2, 1), (4, 1)]
