@@ -123,4 +123,13 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: shipped(f) for f in (op1_suffix_dedup, op2_near_dups, op3_sharding, op4_licences, op5_byte_bpe, op6_nearest, op7_quality_rules, op8_warc, op9_toxicity, op10_packing)}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+g AS (SELECT html, max(page_id) AS first FROM p WHERE n >= 1000 GROUP BY html)
+SELECT CAST(p.page_id AS BIGINT) AS page_id, CAST(p.n AS BIGINT) AS payload_bytes, sha1(p.html) AS payload_digest,
+ CASE WHEN p.page_id < g.first THEN 'revisit' ELSE 'response' END AS record_type,
+ CAST(CASE WHEN p.page_id < g.first THEN g.first END AS BIGINT) AS refers_to, TRUE AS complete
+FROM p LEFT JOIN g ON g.html = p.html
+""",
+}

@@ -5,6 +5,9 @@ from pathlib import Path
 
 import pytest
 
+from check_oracles import connect, spark_rows, sql_rows
+
+from tablecensus.llm import queries
 from tablecensus.llm import warc
 from tablecensus.llm.warc import chunked, dechunked, parse_records, read_warc, reassembled, write_warc
 
@@ -107,3 +110,8 @@ def test_truncated_file_is_refused(spark, tmp_path):
         list(parse_records(content[:-100]))
     with pytest.raises(ValueError):
         list(parse_records(b"HTTP/1.1 200\r\n\r\n"))
+
+
+def test_query_equals_its_sql(spark):
+    folder = "/root/testdata/sf0.001"
+    assert spark_rows(queries.QUERIES["op8_warc"](spark, folder)) == sql_rows(connect(folder), queries.ORACLES["op8_warc"])
