@@ -6,9 +6,10 @@ from collections.abc import Callable
 from functools import wraps
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablecensus.operators.skew import BROADCAST_BYTES, ROW_OVERHEAD_BYTES
 from tablecensus.session import new_folder
 
 
@@ -36,6 +37,13 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(written: DataFrame, size: Column) -> DataFrame:
+    """``written`` marked to be broadcast if its rows, of ``size`` bytes each, measure few enough bytes."""
+    found = written.agg(F.count(F.lit(1)).alias("rows"), F.sum(size.cast("bigint")).alias("bytes")).first()
+    fits = (found.bytes or 0) + found.rows * ROW_OVERHEAD_BYTES <= BROADCAST_BYTES
+    return F.broadcast(written) if fits else written
+
+
 def parts_for(rows: int, rows_per_part: int) -> int:
     """How many parts of about ``rows_per_part`` rows; at least one."""
     return max(1, -(-rows // rows_per_part))

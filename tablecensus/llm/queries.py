@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablecensus.llm import bpe
+from tablecensus.llm.decontamination import contamination
 from tablecensus.llm.frames import shipped, table, utf8
 from tablecensus.llm.licences import scan_licences
 from tablecensus.llm.near_dups import near_duplicates
@@ -12,6 +13,7 @@ from tablecensus.llm.neighbours import nearest
 from tablecensus.llm.packing import packed_sequences
 from tablecensus.llm.quality import judged
 from tablecensus.llm.sharding import interleaved_shards
+from tablecensus.llm.spelling import LEAST_COUNT, spelling_forms, word_counts
 from tablecensus.llm.suffixes import repeated_spans, row_key
 from tablecensus.llm.toxicity import held_out, learn, score_toxicity
 from tablecensus.llm.warc import read_warc, write_warc
@@ -122,7 +124,35 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: shipped(f) for f in (op1_suffix_dedup, op2_near_dups, op3_sharding, op4_licences, op5_byte_bpe, op6_nearest, op7_quality_rules, op8_warc, op9_toxicity, op10_packing)}
+def op11_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    words = word_counts(table(spark, folder, "documents"))
+    return spelling_forms(words.where(F.col("n") >= LEAST_COUNT))
+
+
+def op12_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated"
+    )
+
+
+QUERIES = {
+    f.__name__: shipped(f)
+    for f in (
+        op1_suffix_dedup,
+        op2_near_dups,
+        op3_sharding,
+        op4_licences,
+        op5_byte_bpe,
+        op6_nearest,
+        op7_quality_rules,
+        op8_warc,
+        op9_toxicity,
+        op10_packing,
+        op11_spelling,
+        op12_decontamination,
+    )
+}
 ORACLES: dict[str, str] = {
     "op8_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
@@ -132,4 +162,24 @@ SELECT CAST(p.page_id AS BIGINT) AS page_id, CAST(p.n AS BIGINT) AS payload_byte
  CAST(CASE WHEN p.page_id < g.first THEN g.first END AS BIGINT) AS refers_to, TRUE AS complete
 FROM p LEFT JOIN g ON g.html = p.html
 """,
+    "op12_decontamination": """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, W(text) AS w FROM documents),
+b AS (SELECT item_id, W(text) AS w FROM benchmark),
+iw AS (SELECT DISTINCT item_id, unnest(CASE WHEN len(w) < 10 THEN [w] ELSE list_transform(range(len(w) - 9), lambda i: w[i + 1:i + 10]) END) AS x
+ FROM b WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT len(x) AS n FROM iw),
+dw AS (SELECT r, n, unnest(range(len(w) - n + 1)) AS s, w FROM d, sizes WHERE len(w) >= n),
+dx AS (SELECT r, n, s, w[s + 1:s + n] AS x FROM dw),
+hits AS (SELECT DISTINCT r, n, s, x FROM dx WHERE x IN (SELECT x FROM iw)),
+n_hit AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(s, s + n)) AS p FROM hits) GROUP BY r),
+n_items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+ FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item FROM hits JOIN iw USING (x)) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+ sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n_hit USING (r) LEFT JOIN n_items USING (r)
+""".replace(
+        "W(text)",
+        r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+        r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')",
+    ),
 }
