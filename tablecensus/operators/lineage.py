@@ -22,11 +22,7 @@ from tablecensus.functions.ids import (
     uri_path,
     uri_reject_reason,
 )
-from tablecensus.operators.skew import (
-    collapse,
-    expand,
-    salted_join,
-)
+from tablecensus.operators.skew import collapse, expand, numbered
 from tablecensus.schemas import ID_COLS
 from tablecensus.session import checkpoint
 
@@ -235,39 +231,35 @@ def neighbours(
 def neighbour_pages(
     found: DataFrame, page_size: int = 10_000, ids: DataFrame | None = None
 ) -> DataFrame:
-    """The rows of :func:`neighbours` as sorted arrays of about ``page_size`` entries.
+    """The rows of :func:`neighbours` as sorted arrays, in pages of ``page_size`` entries.
 
-    Nearly every table has one page with its whole list; a table with more
-    neighbours gets several, dealt out by hash, so no array grows with the data.
-    The rows are stored first, as they are read to size the pages and to fill them.
-    With ``ids`` each of these has a page 0 in both directions, empty if it has no
-    neighbour there.
+    Pages of a table and direction are numbered from 0; each is full but the last, and
+    their entries follow one another in the order of the ids. Neighbours get their
+    places by :func:`numbered`, so no task and no array holds all those of a table
+    that has very many. With ``ids`` each of these that has no neighbour in a direction
+    has an empty page 0 there.
     """
-    found = checkpoint(found).df
     group = [*ID_COLS, "direction"]
-    large = (
-        found.groupBy(*group)
-        .agg(F.count(F.lit(1)).alias("size"))
-        .where(F.col("size") > page_size)
-        .select(*group, F.ceil(F.col("size") / page_size).cast("bigint").alias("pages"))
-    )
-    paged = salted_join(found, large, group, "left", FAR_COLS).withColumn(
-        "page", F.coalesce(F.pmod(F.xxhash64(*FAR_COLS), "pages"), F.lit(0).cast("bigint"))
-    )
     entry = F.struct(
         *[F.col(f).alias(c) for c, f in zip(ID_COLS, FAR_COLS)], "link_count"
     )
-    if ids is not None:
-        directions = F.explode(F.array(F.lit("downstream"), F.lit("upstream")))
-        empty = ids.select(*ID_COLS).distinct().withColumn("direction", directions)
-        paged = paged.unionByName(
-            empty.withColumn("page", F.lit(0).cast("bigint")), allowMissingColumns=True
-        )
-    # a null entry, from an id, is not collected
-    entry = F.when(F.col("link_count").isNotNull(), entry)
-    return paged.groupBy(*group, "page").agg(
-        F.sort_array(F.collect_list(entry)).alias("neighbours")
+    placed = numbered(found, group, FAR_COLS, "place")
+    pages = (
+        placed.withColumn("page", F.floor(F.col("place") / page_size).cast("bigint"))
+        .groupBy(*group, "page")
+        .agg(F.sort_array(F.collect_list(entry)).alias("neighbours"))
+    )
+    if ids is None:
+        return pages
+    pages = checkpoint(pages).df
+    directions = F.explode(F.array(F.lit("downstream"), F.lit("upstream")))
+    empty = (
+        ids.select(*ID_COLS).distinct().withColumn("direction", directions)
+        .join(pages.where("page = 0").select(*group), group, "left_anti")
+        .withColumn("page", F.lit(0).cast("bigint"))
+        .withColumn("neighbours", F.array().cast(pages.schema["neighbours"].dataType))
     )
+    return pages.unionByName(empty)
 
 
 def keep_leaves(

@@ -6,10 +6,12 @@ one row per task. Joins on whole rows do.
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablecensus.session import Stored
+from tablecensus.session import Stored, checkpoint
 
 # Key text up to this size may be sent to every executor.
 BROADCAST_BYTES = 32 * 1024 * 1024
@@ -53,25 +55,58 @@ def expand(df: DataFrame, block: int = 10_000) -> DataFrame:
     return light.unionByName(heavy).select(*rows, each.alias("copy")).drop("copy")
 
 
-def salted_join(
-    left: DataFrame,
-    right: DataFrame,
-    keys: Sequence[str],
-    how: str,
-    spread_by: Sequence[str],
-    salts: int = 16,
+def running(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], **totals: Column
 ) -> DataFrame:
-    """Join ``left``, which may have hot keys, to ``right``, unique by key and much smaller.
+    """Add running totals over the rows of each key in ``order``, the row itself included.
 
-    ``left`` rows of one key are spread over ``salts`` tasks by a hash of the
-    ``spread_by`` columns (repeatable, so a rerun task lands the same rows), and
-    ``right`` is repeated once per salt. Both sides come straight out of a
-    shuffle, so AQE can split what is still too large or broadcast ``right``.
+    A key may hold any share of the rows: they are sorted over all keys into ranges, one
+    per shuffle partition, and added up within each range; what the ranges before
+    hold of a key that goes on in the next is then added. Of these numbers there are at most two
+    per range, which is what is broadcast. Rows that tie in ``order`` come in any
+    order, but each once. ``df`` is computed twice, to find the ranges and to sort.
     """
-    salt = F.pmod(F.xxhash64(*spread_by), F.lit(salts))
-    every_salt = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint")))
-    return (
-        left.withColumn("salt", salt)
-        .join(right.withColumn("salt", every_salt), [*keys, "salt"], how)
-        .drop("salt")
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    values = {name: f"own_{name}" for name in totals}
+    valued = df.select("*", *[column.alias(values[name]) for name, column in totals.items()])
+    ranged = valued.repartitionByRange(parts, *keys, *order)
+    ranged = checkpoint(ranged.withColumn("range", F.spark_partition_id())).df
+    # a key goes on in a range only as its first one
+    firsts = ranged.groupBy("range").agg(F.min(F.struct(*keys)).alias("key"))
+    named = [F.col(f"key.{k}").alias(f"first_{i}") for i, k in enumerate(keys)]
+    firsts = F.broadcast(firsts.select(*named).distinct())  # at most one per range
+
+    def same(prefix: str) -> Column:
+        each = [F.col(k).eqNullSafe(F.col(f"{prefix}_{i}")) for i, k in enumerate(keys)]
+        return reduce(Column.__and__, each)
+
+    sums = [F.sum(value).alias(value) for value in values.values()]
+    parted = ranged.join(firsts, same("first"), "left_semi").groupBy("range", *keys).agg(*sums)
+    before = Window.partitionBy(*keys).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = parted.select(
+        F.col("range").alias("carried_range"),
+        *[F.col(k).alias(f"carried_{i}") for i, k in enumerate(keys)],
+        *[F.sum(value).over(before).alias(f"carried_{value}") for value in values.values()],
+    )
+    here = Window.partitionBy("range", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    within = ranged.select(
+        *df.columns,
+        "range",
+        *[F.sum(value).over(here).alias(value) for value in values.values()],
     )
+    met = within.join(
+        F.broadcast(carried), (F.col("range") == F.col("carried_range")) & same("carried"), "left"
+    )
+    return met.select(
+        *df.columns,
+        *[
+            (F.col(value) + F.coalesce(f"carried_{value}", F.lit(0))).alias(name)
+            for name, value in values.items()
+        ],
+    )
+
+
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "number") -> DataFrame:
+    """Add ``name``: the rows of each key in ``order`` numbered from 0 without a gap; see :func:`running`."""
+    counted = running(df, keys, order, **{name: F.lit(1).cast("bigint")})
+    return counted.withColumn(name, F.col(name) - 1)

@@ -228,6 +228,16 @@ FROM ({_NEIGHBOURS}) GROUP BY ALL"""
         f"""
 SELECT {_IDS}, direction, neighbour_project_id, neighbour_dataset_id, neighbour_table_id, link_count
 FROM ids CROSS JOIN (VALUES ('upstream'), ('downstream')) d(direction) LEFT JOIN ({_NEIGHBOURS}) USING ({_IDS}, direction)"""
+    ),
+    "table_neighbour_pages_dense": _sql(
+        f"""
+SELECT {_IDS}, direction, coalesce(page, 0) AS page, coalesce(neighbours, '') AS neighbours
+FROM ids CROSS JOIN (VALUES ('upstream'), ('downstream')) d(direction) LEFT JOIN (
+ SELECT {_IDS}, direction, page, string_agg(name, ', ' ORDER BY place) AS neighbours
+ FROM (SELECT *, neighbour_project_id || '.' || neighbour_dataset_id || '.' || neighbour_table_id AS name,
+   row_number() OVER (PARTITION BY {_IDS}, direction ORDER BY neighbour_project_id, neighbour_dataset_id, neighbour_table_id) - 1 AS place,
+   place // 2 AS page FROM ({_NEIGHBOURS}))
+ GROUP BY {_IDS}, direction, page) USING ({_IDS}, direction)"""
     ),
     "leaf_tables": _sql(_leaves("listed")),
     "leaf_tables_fenced": _sql(_leaves("listed", _FENCED)),

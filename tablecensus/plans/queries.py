@@ -222,6 +222,14 @@ def table_neighbour_pages_small(spark: SparkSession, folder: str) -> DataFrame:
     ).distinct()
 
 
+def table_neighbour_pages_dense(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages of two entries as they are: numbered from 0, full but the last, empty where there is no neighbour."""
+    ids = derived.ids_of(spark, folder)
+    pages = lineage.neighbour_pages(table_neighbours(spark, folder), page_size=2, ids=ids)
+    names = F.transform("neighbours", lambda n: F.concat_ws(".", *[n[c] for c in ID_COLS]))
+    return pages.select(*ID_COLS, "direction", "page", F.concat_ws(", ", names).alias("neighbours"))
+
+
 def leaf_tables(spark: SparkSession, folder: str) -> DataFrame:
     return lineage.leaf_tables(
         _tables(spark, folder), derived.links(spark, folder)
@@ -454,6 +462,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         table_neighbours,
         table_neighbour_pages,
         table_neighbour_pages_small,
+        table_neighbour_pages_dense,
         leaf_tables,
         leaf_tables_fenced,
         leaf_dependencies,

@@ -125,6 +125,23 @@ def test_neighbour_pages_are_bounded_and_whole(join_mode, spark, links, ids, pag
         assert len(hub) == 1
 
 
+@pytest.mark.parametrize("page_size", [1, 3, 7])
+def test_pages_are_dense_and_full(join_mode, links, ids, page_size):
+    sizes = {"none": 0, "one": 1, "three": 3, "seven": 7, "hub": 150}
+    pairs = [(f"a.d.{name}", f"{p}.d.t{i:03}") for name, n in sizes.items() for i in range(n) for p in ["ab"[i % 2]]]
+    looked_up = ids(*[f"a.d.{name}" for name in sizes], "a.d.three")
+    found = lineage.neighbours(looked_up, links(*pairs))
+    pages = lineage.neighbour_pages(found, page_size, looked_up).collect()
+    for name, n in sizes.items():
+        mine = sorted(p for p in pages if p.table_id == name and p.direction == "downstream")
+        count = max(1, -(-n // page_size))
+        assert [p.page for p in mine] == list(range(count))
+        assert [len(p.neighbours) for p in mine[:-1]] == [page_size] * (count - 1)
+        entries = [(e.project_id, e.table_id) for p in mine for e in p.neighbours]
+        assert entries == sorted(("ab"[i % 2], f"t{i:03}") for i in range(n))
+        assert [(p.page, p.neighbours) for p in pages if p.table_id == name and p.direction == "upstream"] == [(0, [])]
+
+
 def test_judge_links(raw_links, rows):
     judged = lineage.judge_links(
         raw_links(

@@ -22,6 +22,15 @@ def test_query_equals_its_sql(spark, con, name):
     assert spark_rows(entry.queries()[name](spark, FOLDER)) == sql_rows(con, entry.oracle_sql()[name])
 
 
+@pytest.mark.parametrize(
+    "name", ["table_neighbour_pages", "table_neighbour_pages_small", "table_neighbour_pages_dense", "leaf_from_roots_hub"]
+)
+def test_query_equals_its_sql_on_more_rows(spark, name):
+    """Cases that the smallest tables do not have."""
+    folder = "/root/testdata/sf0.01"
+    assert spark_rows(entry.queries()[name](spark, folder)) == sql_rows(connect(folder), entry.oracle_sql()[name])
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 82
 

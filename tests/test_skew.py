@@ -1,0 +1,47 @@
+import random
+from itertools import groupby
+
+import pytest
+from pyspark.sql import functions as F
+
+from tablecensus.operators.skew import numbered, running
+
+
+@pytest.mark.parametrize("hot", [0.0, 0.4, 1.0])
+def test_running_totals_of_keys_of_any_size(spark, hot):
+    draw = random.Random(int(10 * hot))
+    rows = [
+        (None if draw.random() < 0.1 else "hot" if draw.random() < hot else draw.choice("abcdef"), draw.choice("xy"), i, draw.randrange(9))
+        for i in range(3_000)
+    ]
+    draw.shuffle(rows)
+    df = spark.createDataFrame(rows, "k string, m string, at int, value bigint")
+    got = running(df, ["k", "m"], ["at"], total=F.col("value"), seen=F.lit(1))
+    assert got.columns == ["k", "m", "at", "value", "total", "seen"]
+    want = []
+    for _, group in groupby(sorted(rows, key=lambda r: (r[0] or "", r[1], r[2])), key=lambda r: r[:2]):
+        total = 0
+        for n, row in enumerate(group):
+            total += row[3]
+            want.append((*row, total, n + 1))
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_a_hot_key_is_dealt_out(spark):
+    df = spark.range(40_000).select(F.lit("k").alias("k"), (F.col("id") * 7919 % 40_009).alias("at"))
+    got = numbered(df, ["k"], ["at"])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert max(got.rdd.glom().map(len).collect()) < 25_000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    first, last = got.agg(F.min("number"), F.max("number")).first()
+    assert (first, last, got.select("number").distinct().count()) == (0, 39_999, 40_000)
+    ordered = [r.at for r in got.orderBy("number").collect()]
+    assert ordered == sorted(ordered)
+
+
+def test_ties_and_no_rows(spark):
+    df = spark.createDataFrame([("a", 1)] * 5 + [("b", 1)], "k string, at int")
+    assert sorted((r.k, r.number) for r in numbered(df, ["k"], ["at"]).collect()) == [("a", i) for i in range(5)] + [("b", 0)]
+    assert numbered(df.limit(0), ["k"], ["at"]).count() == 0
