@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablecensus.llm import bpe
+from tablecensus.llm.conversation_tries import conversation_trie
 from tablecensus.llm.decontamination import contamination
 from tablecensus.llm.frames import shipped, table, utf8
 from tablecensus.llm.licences import scan_licences
@@ -136,6 +137,10 @@ def op12_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op13_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return conversation_trie(table(spark, folder, "conversations"))
+
+
 QUERIES = {
     f.__name__: shipped(f)
     for f in (
@@ -151,6 +156,7 @@ QUERIES = {
         op10_packing,
         op11_spelling,
         op12_decontamination,
+        op13_conversation_trie,
     )
 }
 ORACLES: dict[str, str] = {
