@@ -4,11 +4,14 @@ import base64
 from collections.abc import Iterator
 from functools import cache
 from heapq import heapify, heappop, heappush
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tablecensus.llm.merging import Merges
+
 # Contractions that are pieces of their own, by what follows the apostrophe.
 SHORT_ENDINGS = "stmd"
 LONG_ENDINGS = ("re", "ve", "ll")
@@ -139,26 +142,28 @@ class Ranks:
     def __init__(self, rank_file: str):
         with open(rank_file, "rb") as lines:
             pairs = [line.split() for line in lines if line.strip()]
-        self.ranks = {base64.b64decode(token): int(rank) for token, rank in pairs}
-        self.tokens = {rank: token for token, rank in self.ranks.items()}
+        self.ranks = ranks = {base64.b64decode(token): int(rank) for token, rank in pairs}
+        self.tokens = {rank: token for token, rank in ranks.items()}
+        self.bytes = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int64)
+        self.merges = Merges(
+            (ranks[token[:i]], ranks[token[i:]], rank, rank)
+            for token, rank in ranks.items() for i in range(1, len(token))
+            if token[:i] in ranks and token[i:] in ranks
+        )
+        # all tokens one after another, and where each lies
+        size = max(self.tokens, default=-1) + 1
+        self.lengths = np.array([len(self.tokens.get(i, b"")) for i in range(size)], np.int64)
+        self.begins = np.cumsum(self.lengths) - self.lengths
+        self.blob = np.frombuffer(b"".join(self.tokens.get(i, b"") for i in range(size)), np.uint8)
 
     def merge(self, piece: bytes) -> list[int]:
-        """Join the neighbours of least rank, the leftmost first, until none can be joined."""
-        ranks = self.ranks
+        """Join the neighbours of least rank, the leftmost first, until none can be joined.
+
+        For a long piece: parts are a linked list, candidate pairs lie in a heap.
+        """
+        ranks, size = self.ranks, len(piece)
         if piece in ranks:
             return [ranks[piece]]
-        size = len(piece)
-        if size <= REMEMBERED_BYTES:
-            parts = [piece[i : i + 1] for i in range(size)]
-            while len(parts) > 1:
-                pairs = [ranks.get(a + b, 1 << 40) for a, b in zip(parts, parts[1:])]
-                least = min(pairs)
-                if least == 1 << 40:
-                    break
-                at = pairs.index(least)
-                parts[at : at + 2] = [parts[at] + parts[at + 1]]
-            return [ranks[p] for p in parts]
-        # a long piece: parts as a linked list, candidate pairs in a heap
         follows, before = list(range(1, size + 1)), list(range(-1, size - 1))
         heap = [
             (rank, i, i + 2) for i in range(size - 1) if (rank := ranks.get(piece[i : i + 2])) is not None
@@ -183,19 +188,38 @@ class Ranks:
             i = follows[i]
         return ids
 
-    def encode(self, pieces: list[bytes], known: dict[bytes, bytes]) -> bytes:
-        """The ids of all pieces as unsigned 32-bit little-endian numbers; ``known`` ones are not merged again."""
+    def merge_short(self, pieces: list[bytes]) -> Iterator[bytes]:
+        """The ids of each of many short pieces, joined side by side."""
+        whole = [self.ranks.get(piece) for piece in pieces]
+        parted = [piece for piece, rank in zip(pieces, whole) if rank is None]
+        sizes = np.array([len(piece) for piece in parted], np.int64)
+        tokens = self.bytes[np.frombuffer(b"".join(parted), np.uint8)]
+        found = iter(self.merges.join(tokens, sizes))
+        for rank in whole:
+            yield (next(found) if rank is None else np.array([rank])).astype("<u4").tobytes()
+
+    def encode(self, texts: list[list[bytes]], known: dict[bytes, bytes]) -> list[bytes]:
+        """The ids of the pieces of each text as unsigned 32-bit little-endian numbers; ``known`` ones are not merged again."""
         if len(known) > REMEMBERED_PIECES:
             known.clear()
-        found = []
-        for piece in pieces:
-            ids = known.get(piece)
-            if ids is None:
-                ids = np.array(self.merge(piece), "<u4").tobytes()
-                if len(piece) <= REMEMBERED_BYTES:
-                    known[piece] = ids
-            found.append(ids)
-        return b"".join(found)
+        new = set(chain.from_iterable(texts)).difference(known)
+        short = [piece for piece in new if len(piece) <= REMEMBERED_BYTES]
+        known.update(zip(short, self.merge_short(short)))
+        long = {piece: np.array(self.merge(piece), "<u4").tobytes() for piece in new if len(piece) > REMEMBERED_BYTES}
+        if long:
+            return [b"".join([known.get(piece) or long[piece] for piece in pieces]) for pieces in texts]
+        return [b"".join(map(known.__getitem__, pieces)) for pieces in texts]
+
+    def begins_of(self, ids: np.ndarray) -> np.ndarray:
+        """Where the bytes of each id begin in the decoded text."""
+        widths = self.lengths[ids]
+        return np.cumsum(widths) - widths
+
+    def decode(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes of all ids, gathered from the tokens."""
+        widths = self.lengths[ids]
+        at = np.repeat(self.begins[ids] - (np.cumsum(widths) - widths), widths)
+        return self.blob[at + np.arange(len(at))]
 
 
 @cache
@@ -243,17 +267,13 @@ def encode(docs: DataFrame, rank_file: str, offsets: bool = True) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, known = _ranks(rank_file), {}
-        lengths = np.zeros(max(ranks.tokens) + 1, np.int64)
-        for rank, token in ranks.tokens.items():
-            lengths[rank] = len(token)
         for batch in batches:
             first = 0
             for texts in _in_groups([t or "" for t in batch.column(1).to_pylist()]):
-                ids = [ranks.encode(pieces, known) for pieces in split_texts(texts)]
+                ids = ranks.encode(list(split_texts(texts)), known)
                 places = [None] * len(ids)
                 if offsets:
-                    widths = [lengths[np.frombuffer(x, "<u4")] for x in ids]
-                    places = [(np.cumsum(w) - w).astype("<u4").tobytes() for w in widths]
+                    places = [ranks.begins_of(np.frombuffer(x, "<u4")).astype("<u4").tobytes() for x in ids]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(first, len(ids)), pa.array(ids, pa.binary()), pa.array(places, pa.binary())],
                     names=["doc_id", "ids", "starts"],
@@ -271,21 +291,18 @@ def decode(encoded: DataFrame, rank_file: str) -> DataFrame:
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = _ranks(rank_file).tokens.__getitem__
+        ranks = _ranks(rank_file)
         # few rows at a time, as a batch with its offsets is large
         for batch in (b.slice(low, DECODE_ROWS) for b in batches for low in range(0, b.num_rows, DECODE_ROWS)):
-            ids = batch.column(batch.schema.get_field_index("ids")).to_pylist()
             at = batch.schema.get_field_index("starts")
-            places = batch.column(at).to_pylist() if at >= 0 else [None] * len(ids)
+            places = batch.column(at) if at >= 0 else [None] * batch.num_rows
             texts = []
-            for x, starts in zip(ids, places):
-                tokens = list(map(token, np.frombuffer(x or b"", "<u4").tolist()))
-                if starts is not None:
-                    ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)))
-                    begins = np.frombuffer(starts, "<u4")
-                    if len(begins) != len(ends) or (len(ends) and (begins[0] or (begins[1:] != ends[:-1]).any())):
+            for x, starts in zip(batch.column(batch.schema.get_field_index("ids")), places):
+                ids = np.frombuffer(x.as_py() or b"", "<u4")
+                if starts is not None and starts.is_valid:
+                    if not np.array_equal(np.frombuffer(starts.as_py(), "<u4"), ranks.begins_of(ids)):
                         raise ValueError("offsets do not fit the ids")
-                texts.append(b"".join(tokens))
+                texts.append(ranks.decode(ids).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(texts, pa.binary())], names=[*batch.schema.names, "decoded"]
             )
