@@ -1,6 +1,8 @@
 """Token sequences filled by minimum bin slack."""
 
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -11,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablecensus.llm.frames import parts_for, stored
+from tablecensus.llm.merging import Merges
 
 PIECES_SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 # Pieces that are packed together; the number of such groups grows with the table.
@@ -31,41 +34,79 @@ class WordIds(dict):
     def __init__(self, tokenizer_file: str):
         super().__init__({"": b""})
         self.tokenizer = _tokenizer(tokenizer_file)
-        self.cores: dict[str, bytes] = {}
-
-    @staticmethod
-    def _parts(word: str) -> tuple[str, str]:
-        mark = word[-1] if len(word) > 1 and word[-1] in ".," and word[-2].lower().isalpha() else ""
-        core = word[: len(word) - len(mark)]
-        return (core.lower() if core.isascii() else core), mark
+        self.letters = _letters(tokenizer_file)
+        self.cores: dict[str, bytes] = {"": b""}
 
     def learn(self, words: set[str]) -> None:
-        """Look up what is new among ``words`` in one call of the tokenizer."""
+        """Look up what is new among ``words``: plain ones side by side, others in one call of the tokenizer."""
         if len(self) > REMEMBERED_WORDS:
             self.clear()
             self.cores.clear()
-            self[""] = b""
-        parts = {w: self._parts(w) for w in words if w not in self}
-        new = {p for pair in parts.values() for p in pair if p and p not in self.cores}
-        plain = [p for p in new if p.isalpha() and p.lower().isalpha()]
-        for low in range(0, len(plain), 2_000):
-            self._learn_plain(plain[low : low + 2_000])
-        other = [p for p in new if p not in self.cores]
-        for part, found in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False)):
-            self.cores[part] = np.array(found.ids, "<u4").tobytes()
-        for word, (core, mark) in parts.items():
-            self[word] = self.cores[core] + (self.cores[mark] if mark else b"")
-
-
-    def _learn_plain(self, words: list[str]) -> None:
-        """Words of letters only, as one text: the tokenizer numbers them as they stand there."""
-        found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
-        numbers = np.array(found.word_ids, np.int64)
-        if len(numbers) and numbers[-1] == len(words) - 1:
-            ids = np.array(found.ids, "<u4")
-            at = np.searchsorted(numbers, np.arange(len(words) + 1)).tolist()
-            for word, low, high in zip(words, at, at[1:]):
-                self.cores[word] = ids[low:high].tobytes()
+            self[""] = self.cores[""] = b""
+        parts = []
+        for word in words.difference(self):
+            core, mark = word, ""
+            if word[-1] in ".," and word[-2:-1].lower().isalpha():
+                core, mark = word[:-1], word[-1]
+            parts.append((word, core.lower() if core.isascii() else core, mark))
+        cores = self.cores
+        new = {core for _, core, _ in parts if core not in cores} | {mark for mark in ".," if mark not in cores}
+        plain = [core for core in new if PLAIN(core)] if self.letters else []
+        if plain:
+            cores.update(zip(plain, self.letters.ids(plain)))
+        other = [core for core in new if core not in cores]
+        for core, found in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False)):
+            cores[core] = np.array(found.ids, "<u4").tobytes()
+        for word, core, mark in parts:
+            self[word] = cores[core] + cores[mark]
+
+
+# Words of small letters that no normaliser changes and that are one part whole.
+PLAIN = re.compile("[a-zß-öø-ÿ]{1,64}").fullmatch
+
+
+class Letters:
+    """What the merges of a byte-level BPE model make of plain words."""
+
+    def __init__(self, vocabulary: dict[str, int], merges: list[list[str]], end: str):
+        # the usual spelling of bytes: printable ones as themselves, others from 256 on
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = [b for b in range(256) if b not in set(printable)]
+        signs = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+        self.inner, self.last = (
+            np.array([vocabulary.get(signs[b] + suffix, -1) for b in range(256)], np.int64) for suffix in ("", end)
+        )
+        self.merges = Merges(
+            (vocabulary[a], vocabulary[b], rank, vocabulary[a + b]) for rank, (a, b) in enumerate(merges)
+        )
+
+    def ids(self, words: list[str]) -> list[bytes]:
+        coded = [word.encode() for word in words]
+        sizes = np.array([len(word) for word in coded], np.int64)
+        data = np.frombuffer(b"".join(coded), np.uint8)
+        tokens, ends = self.inner[data], np.cumsum(sizes) - 1
+        tokens[ends] = self.last[data[ends]]
+        return [found.astype("<u4").tobytes() for found in self.merges.join(tokens, sizes)]
+
+
+@cache
+def _letters(tokenizer_file: str) -> Letters | None:
+    """For a model of the kind that :class:`Letters` reads, whose words lie in its vocabulary; else null."""
+    with open(tokenizer_file, encoding="utf-8") as file:
+        model = json.load(file)["model"]
+    plain = model.get("type") == "BPE" and not any(
+        model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges")
+    )
+    if not plain:
+        return None
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    found = Letters(model["vocab"], merges, model.get("end_of_word_suffix") or "")
+    # the tokenizer itself must agree on words of all letters
+    letters = [chr(c) for c in range(256) if PLAIN(chr(c))]
+    tried = [*letters, *[a + b + a for a, b in zip(letters, letters[1:])], "".join(letters[:40])]
+    asked = _tokenizer(tokenizer_file).encode_batch_fast(tried, add_special_tokens=False)
+    same = found.ids(tried) == [np.array(a.ids, "<u4").tobytes() for a in asked]
+    return found if same else None
 
 
 @cache

@@ -111,3 +111,16 @@ def test_memory_of_words_is_bounded(monkeypatch, tokenizer):
 
 def test_empty_table(docs):
     assert packed_sequences(docs("x").limit(0), FILE).count() == 0
+
+
+def test_plain_words_as_the_tokenizer_parts_them():
+    known = packing.WordIds(FILE)
+    assert known.letters
+    draw = random.Random(4)
+    letters = [chr(c) for c in range(256) if packing.PLAIN(chr(c))]
+    words = {"".join(draw.choice(letters[:26] if i % 3 else letters) for _ in range(draw.randrange(1, 30))) for i in range(3_000)}
+    words |= {"The,", "the", "THE.", "é.", "Éa", "a.", ".", "..", ",", "a,.", "1.", "x" * 200, "don't", "naïve,", "İ.", "ﬁx"}
+    known.learn(words)
+    tokenizer = packing._tokenizer(FILE)
+    for word in words:
+        assert np.frombuffer(known[word], "<u4").tolist() == tokenizer.encode(word, add_special_tokens=False).ids, word
