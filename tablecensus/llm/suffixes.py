@@ -37,7 +37,7 @@ LENGTH = 400
 ORDER = 11
 # Names sorted together.
 BUCKET_NAMES = 2_000_000
-BUCKET_SUFFIXES = 16_000_000
+BUCKET_SUFFIXES = 4_000_000
 LEAST_BUCKETS = 24
 # Bytes of text in a chunk, which one task cuts.
 CHUNK_BYTES = 16 << 20
@@ -116,29 +116,35 @@ def _blobs(
     batch: Batch, keys: np.ndarray, buckets: int, bucket: np.ndarray, at: np.ndarray,
     names: np.ndarray, reaches: np.ndarray | None, repeated: np.ndarray, known: np.ndarray,
 ) -> Iterator[pa.RecordBatch]:
-    """What goes to each bucket: names of places, in order of the places, and ``known`` ones passed on.
+    """What goes to each bucket: names of places, in order of the places.
 
-    ``known`` marks places of which a text nearby already tells that they tie;
-    of them only the place travels.
+    ``known`` marks places of which a text nearby already tells that they tie; of them only the
+    place travels, and to a bucket apart, so that places of a very common string do not meet.
     """
-    rows = []
-    order = np.argsort(bucket, kind="stable")  # places ascend within a bucket
-    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    for b in np.flatnonzero(cuts[1:] > cuts[:-1]):
-        mine = order[cuts[b] : cuts[b + 1]]
+    def row(b: int, mine: np.ndarray, asked: bool) -> tuple:
         there = at[mine]
         texts, owner = np.unique(np.searchsorted(batch.begins, there, "right") - 1, return_inverse=True)
         # of texts without bytes, which begin where the next does, the last is found
-        asked, passed = ~known[mine], known[mine]
-        local = there - batch.begins[texts][owner]
         starts = np.cumsum(batch.sizes[texts]) - batch.sizes[texts]
-        dense = starts[owner] + local
-        rows.append((
-            int(b), _packed(keys[texts, 0]), keys[texts, 1].astype("<u4").tobytes(), _packed(starts),
-            _packed(dense[asked]), names[mine][asked].tobytes(),
-            _six_bytes(reaches[mine][asked]) if reaches is not None else b"",
-            np.packbits(repeated[mine][asked]).tobytes(), _packed(dense[passed]),
-        ))
+        dense = _packed(starts[owner] + there - batch.begins[texts][owner])
+        row_keys = b, _packed(keys[texts, 0]), keys[texts, 1].astype("<u4").tobytes(), _packed(starts)
+        if not asked:
+            return *row_keys, _packed(dense_none), b"", b"", b"", dense
+        return (
+            *row_keys, dense, names[mine].tobytes(), _six_bytes(reaches[mine]) if reaches is not None else b"",
+            np.packbits(repeated[mine]).tobytes(), _packed(dense_none),
+        )
+
+    dense_none = np.zeros(0, np.int64)
+    rows = []
+    asked = np.flatnonzero(~known)
+    order = asked[np.argsort(bucket[asked], kind="stable")]  # places ascend within a bucket
+    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    for b in np.flatnonzero(cuts[1:] > cuts[:-1]):
+        rows.append(row(int(b), order[cuts[b] : cuts[b + 1]], True))
+    if known.any():
+        # decided already: together, and dealt over all buckets by the text they begin in
+        rows.append(row(buckets + int(keys[0].sum() % buckets), np.flatnonzero(known), False))
     columns = list(zip(*rows)) or [()] * 9
     yield pa.RecordBatch.from_arrays(
         [pa.array(columns[0], pa.int64()), *[pa.array(c, pa.binary()) for c in columns[1:]]], names=_BUCKET_NAMES
@@ -373,19 +379,31 @@ def suffix_ties(marked: DataFrame, length: int, order: int, buckets: int, chunks
 
 
 def _gathered(found: DataFrame, name: str) -> DataFrame:
-    return found.groupBy("id", "text_hash").agg(F.collect_list(F.struct("places", "kinds")).alias(name))
+    """One row per text; of repeated rows, whose places are the same, each task keeps one."""
+    return found.groupBy("id", "text_hash").agg(F.collect_set(F.struct("places", "kinds")).alias(name))
 
 
 _SPANS = "id bigint, text_hash bigint, spans array<struct<start: bigint, end: bigint>>, kept binary"
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, order: int = ORDER) -> DataFrame:
+def _word_counts(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """How many whole words, parted by ASCII white space, lie in each range of ``data``."""
+    space = np.append((data == 32) | ((data >= 9) & (data <= 13)), True)
+    starts = np.flatnonzero(~space[:-1] & np.append(True, space[:-2]))
+    inside = np.searchsorted(starts, ends) - np.searchsorted(starts, begins)
+    cut = ~space[ends - 1] & ~space[ends]
+    return np.maximum(inside - cut, 0)
+
+
+def repeated_spans(
+    docs: DataFrame, length: int = LENGTH, order: int = ORDER, least_words: int = 0
+) -> DataFrame:
     """``id, text_hash, spans, kept`` of the texts with bytes in a string that occurs twice.
 
     A byte counts if a string of ``length`` bytes over it also begins anywhere else
     in the table, in the same text as well, overlapping or not. Strings lie in one text,
     and are judged on the input. ``spans`` are the maximal runs of such bytes
-    (UTF-8, end exclusive), ``kept`` all other bytes joined.
+    (UTF-8, end exclusive), ``kept`` all other bytes joined. With ``least_words`` a run of fewer words is left alone.
 
     Rows are known by ``id`` and ``text_hash`` (see :func:`row_key`);
     repeated rows are occurrences of their own but have one row here. Null
@@ -429,9 +447,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, order: int = ORDER) ->
                 for key, begin, size in zip(keys.tolist(), batch.begins, batch.sizes):
                     here = gone[begin : begin + size]
                     if here.any():
-                        edges = np.flatnonzero(np.diff(here, prepend=False, append=False)).reshape(-1, 2).tolist()
-                        spans = [{"start": a, "end": b} for a, b in edges]
-                        out.append((*key, spans, batch.data[begin : begin + size][~here].tobytes()))
+                        data = batch.data[begin : begin + size]
+                        edges = np.flatnonzero(np.diff(here, prepend=False, append=False)).reshape(-1, 2)
+                        if least_words:
+                            edges = edges[_word_counts(data, *edges.T) >= least_words]
+                            here = _between(*edges.T, size)
+                        spans = [{"start": a, "end": b} for a, b in edges.tolist()]
+                        if spans:
+                            out.append((*key, spans, data[~here].tobytes()))
         columns = list(zip(*out)) or [()] * 4
         kinds = [pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary()]
         return pa.Table.from_arrays(
@@ -443,14 +466,16 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, order: int = ORDER) ->
     return texts.groupBy("chunk").cogroup(ties.groupBy("chunk")).applyInArrow(cut, _SPANS)
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, order: int = ORDER) -> DataFrame:
+def without_repeats(
+    docs: DataFrame, length: int = LENGTH, order: int = ORDER, least_words: int = 0
+) -> DataFrame:
     """``docs`` with the repeated bytes taken out of ``text``; see :func:`repeated_spans`.
 
     A character of which only some bytes are left goes, too, and ``n_chars``, if there is such a column, is
     counted anew. Texts without such bytes, null ones
     among them, stay as they are, and no row is dropped.
     """
-    spans = repeated_spans(docs, length, order).select("id", "text_hash", "kept")
+    spans = repeated_spans(docs, length, order, least_words).select("id", "text_hash", "kept")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -45,11 +45,11 @@ class Fingerprints:
         return mixed((self.sums[ends] - self.sums[starts]) * self.down[starts])
 
 
-def grouped(texts: list[bytes], most: int = BATCH_BYTES) -> Iterator[list[bytes]]:
-    """Neighbouring texts of about ``most`` bytes together; a longer one alone."""
+def grouped(texts: list[bytes]) -> Iterator[list[bytes]]:
+    """Neighbouring texts of about ``BATCH_BYTES`` together; a longer one alone."""
     group, size = [], 0
     for text in texts:
-        if group and size + len(text) > most:
+        if group and size + len(text) > BATCH_BYTES:
             yield group
             group, size = [], 0
         group.append(text)

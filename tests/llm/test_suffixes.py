@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 
 import pytest
 
@@ -68,6 +69,46 @@ def test_production_length(docs, prose):
     assert result(repeated_spans(docs(*texts))) == expected([t.encode() for t in texts], 400)
 
 
+def whole_words(data, start, end):
+    found = [(m.start(), m.end()) for m in re.finditer(rb"[^ \t-\r]+", data)]
+    return sum(start <= a and b <= end for a, b in found)
+
+
+@pytest.mark.parametrize("least_words", [1, 12, 13, 30])
+def test_runs_of_few_words_stay(docs, prose, least_words):
+    passages = [prose(50 + i, n, 4000) for i, n in enumerate([11, 12, 13, 29, 30, 31, 60])]
+    texts = [f"{prose(100 + i, 20, 4000)} {p} {prose(200 + i, 9, 4000)}x {passages[i % 3]}" for i, p in enumerate(passages * 2)]
+    texts += ["y" * 300, "y" * 200 + " " + "y" * 200, passages[-1] + "tail", "head" + passages[-1]]
+    data = [t.encode() for t in texts]
+    want = {}
+    for i, (spans, _) in expected(data, 40).items():
+        spans = [(a, b) for a, b in spans if whole_words(data[i], a, b) >= least_words]
+        if spans:
+            kept, at = b"", 0
+            for a, b in [*spans, (len(data[i]), None)]:
+                kept, at = kept + data[i][at:a], b
+            want[i] = spans, kept
+    assert want and result(repeated_spans(docs(*texts), 40, 3, least_words)) == want
+
+
+def test_a_common_string_is_spread(docs, prose, monkeypatch):
+    """All rows have the same passage, beside repeated rows; nothing but its first place per batch meets."""
+    monkeypatch.setattr(suffixes, "BUCKET_NAMES", 100)
+    passage = prose(7, 90, 4000)
+    texts = [f"{prose(i, 5, 4000)} {passage} {prose(1000 + i, 5, 4000)}" for i in range(120)]
+    rows = [*enumerate(texts), *[(500, passage)] * 40]
+    found = repeated_spans(docs(*rows).repartition(6))
+    want = expected([t.encode() for _, t in rows], 400)
+    assert result(found) == {rows[n][0]: spans for n, spans in want.items()}
+
+
+def test_a_text_longer_than_a_batch(docs, prose, monkeypatch):
+    monkeypatch.setattr("tablecensus.llm.words.BATCH_BYTES", 4_000)
+    long = prose(1, 3_000, 4000)
+    texts = [prose(2, 50, 4000), long + long[1_000:1_700], prose(3, 80, 4000), "x" + long[5_000:9_000], ""]
+    assert result(repeated_spans(docs(*texts))) == expected([t.encode() for t in texts], 400)
+
+
 def test_odd_rows(docs, odd, prose):
     text = prose(1, 200)
     rows = [*enumerate(odd), (None, text), (20, text), (20, text), (None, None)]
