@@ -16,6 +16,10 @@ from tablecensus.llm.suffixes import without_repeats
 from tablecensus.llm.toxicity import learn, toxicity_score
 
 
+# A repeated passage is looked for by this many bytes, fewer than 51 words have, on a cover of this order.
+PASSAGE = 200, 7
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity scores below 0.5; learned from the labels of those there are."""
     model = learn(docs, table(spark, sf_dir, "labels"))
@@ -38,8 +42,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the long strings that occur twice."""
-    return without_repeats(docs)
+    """All documents, without the passages of over 50 words that occur twice."""
+    return without_repeats(docs, *PASSAGE, least_words=51)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
