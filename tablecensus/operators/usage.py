@@ -4,11 +4,11 @@ import datetime as dt
 from collections.abc import Sequence
 from zoneinfo import ZoneInfo
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablecensus.operators.skew import collapse, expand
+from tablecensus.operators.skew import collapse, expand, numbered
 from tablecensus.schemas import ID_COLS
 
 # How far to look back, and the zone in which a day begins.
@@ -154,3 +154,96 @@ def unique_users_approx(
             )
         )
     )
+
+
+def usage_totals(usage: DataFrame) -> DataFrame:
+    """Running totals per table over the days with usage, that day included: ``total_jobs, total_users, until``.
+
+    Each row holds until the day before the table's next one (``until``, null for
+    the last), so on any day one row per table has all that came before. Stored once
+    beside the daily usage, any look-back needs two rows of it per table. Rows without a day are left out.
+    """
+    days = usage.where(F.col("dt").isNotNull()).groupBy(*ID_COLS, "dt").agg(
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("job_count", "unique_user")]
+    )
+    # of a table there are no more rows than days
+    here = Window.partitionBy(*ID_COLS).orderBy("dt")
+    so_far = here.rowsBetween(Window.unboundedPreceding, 0)
+    return days.select(
+        *ID_COLS,
+        "dt",
+        F.sum("job_count").over(so_far).alias("total_jobs"),
+        F.sum("unique_user").over(so_far).alias("total_users"),
+        F.date_sub(F.lead("dt").over(here), 1).alias("until"),
+    )
+
+
+def reference_counts_from_totals(
+    totals: DataFrame,
+    as_of: dt.date | None = None,
+    days_back: int = DEFAULT_DAYS_BACK,
+    last_day: dt.date | None = None,
+) -> DataFrame:
+    """The counts of :func:`reference_counts` from :func:`usage_totals`, up to ``last_day`` if one is given.
+
+    What was counted until the last day less what was counted before the first: two rows
+    per table however long the look-back, told apart by the days they hold for.
+    """
+    before = (as_of or today()) - dt.timedelta(days=days_back + 1)
+
+    def holds(day: dt.date | None) -> Column:
+        if day is None:
+            return F.col("until").isNull()
+        return (F.col("dt") <= F.lit(day)) & (F.col("until").isNull() | (F.col("until") >= F.lit(day)))
+
+    ends, begins = holds(last_day), holds(before)
+    part = lambda c: F.sum(F.when(ends, F.col(c)).otherwise(0) - F.when(begins, F.col(c)).otherwise(0))
+    last = F.max(F.when(ends, F.col("dt")))
+    return (
+        totals.where(ends | begins)
+        .groupBy(*ID_COLS)
+        .agg(part("total_jobs").alias("job_count"), part("total_users").alias("unique_user"), last.alias("last"))
+        .where(F.col("last") > F.lit(before))  # a table without a day in the window has no row
+        .drop("last")
+    )
+
+
+def user_dictionary(job_log: DataFrame, user: str = "user_id") -> DataFrame:
+    """Every user (column ``user_id``) with a number from 0 on without a gap, to be stored and joined by all days."""
+    users = job_log.select(F.col(user).alias("user_id")).where(F.col("user_id").isNotNull()).distinct()
+    return numbered(users.withColumn("all", F.lit(0)), ["all"], ["user_id"], "user_number").drop("all")
+
+
+def daily_user_bitmaps(job_log: DataFrame, dictionary: DataFrame, user: str = "user_id") -> DataFrame:
+    """Which users were active per table and day, exactly: bits of their numbers, in blocks of a fixed size.
+
+    Blocks are merged by :func:`unique_users_from_bitmaps`. The log is
+    reduced to one row per table, day and user before it meets the dictionary.
+    """
+    active = (
+        job_log.select(*ID_COLS, "dt", F.col(user).alias("user_id"))
+        .where(F.col("user_id").isNotNull())
+        .distinct()
+        .join(dictionary, "user_id")
+    )
+    number = F.col("user_number")
+    return active.groupBy(*ID_COLS, "dt", F.bitmap_bucket_number(number).alias("block")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("user_bits")
+    )
+
+
+def unique_users_from_bitmaps(
+    bitmaps: DataFrame,
+    as_of: dt.date | None = None,
+    days_back: int = DEFAULT_DAYS_BACK,
+    last_day: dt.date | None = None,
+) -> DataFrame:
+    """People per table over any window of :func:`daily_user_bitmaps`, each counted once, exactly.
+
+    Blocks of one table are joined map-side, so what is shuffled are blocks, not people or days.
+    """
+    window = in_window(bitmaps, as_of, days_back)
+    if last_day is not None:
+        window = window.where(F.col("dt") <= F.lit(last_day))
+    merged = window.groupBy(*ID_COLS, "block").agg(F.bitmap_count(F.bitmap_or_agg("user_bits")).alias("users"))
+    return merged.groupBy(*ID_COLS).agg(F.sum("users").alias("unique_user_exact"))

@@ -125,6 +125,11 @@ _REASON = """CASE WHEN {end}_fqn IS NULL THEN '{end}_missing'
   WHEN NOT starts_with({end}_fqn, 'bigquery:') THEN '{end}_other_system'
   WHEN {end}_id IS NULL THEN '{end}_not_three_parts' END"""
 
+# look-backs, and the last day where there is one
+_WINDOWS = """
+(VALUES (90, DATE '9999-12-31'), (7, DATE '9999-12-31'), (400, DATE '9999-12-31'), (60, DATE '2001-08-01' - INTERVAL 30 DAY)) w(days_back, last_day)
+WHERE dt >= DATE '2001-08-01' - to_days(days_back) AND dt <= last_day"""
+
 ORACLES: dict[str, str] = {
     "list_tables": _sql(f"SELECT {_IDS}, table_type FROM listed WHERE {_CHECKED}"),
     "list_tables_full_outer": _sql(
@@ -204,6 +209,16 @@ WHERE dt >= DATE '2024-01-23' GROUP BY ALL""",
     "unique_users_stored": f"""
 SELECT {_IDS}, count(DISTINCT user_id) AS unique_user_exact, true AS close
 FROM ({_EVENT_LOG}) WHERE dt >= DATE '2024-01-23' GROUP BY ALL""",
+    "reference_counts_any_window": _sql(
+        f"""
+SELECT {_IDS}, days_back, CAST(sum(job_count) AS BIGINT) AS job_count, CAST(sum(unique_user) AS BIGINT) AS unique_user
+FROM usage_daily, {_WINDOWS} GROUP BY {_IDS}, days_back"""
+    ),
+    "unique_users_any_window": _sql(
+        f"""
+SELECT {_IDS}, days_back, count(DISTINCT user_id) AS unique_user_exact
+FROM job_log, {_WINDOWS} GROUP BY {_IDS}, days_back"""
+    ),
     "downstream_edges": _sql(f"SELECT own AS fqn, far AS neighbour FROM down {_FENCED}"),
     "upstream_edges": _sql("SELECT own AS fqn, far AS neighbour FROM up"),
     "upstream_counts": _sql(

@@ -1,5 +1,6 @@
 """The registered queries: every operator over the whole derived tables."""
 
+import datetime as dt
 from collections.abc import Callable
 from functools import reduce
 
@@ -172,6 +173,34 @@ def unique_users_stored(spark: SparkSession, folder: str) -> DataFrame:
     return _compared(usage.unique_users_exact(log, derived.EVENTS_AS_OF, 7), approx)
 
 
+def _windows(counts: Callable) -> DataFrame:
+    """What ``counts`` finds for look-backs of several lengths, also ones with a last day."""
+    parts = []
+    for days_back, last_day in ((90, None), (7, None), (400, None), (60, derived.AS_OF - dt.timedelta(days=30))):
+        found = counts(derived.AS_OF, days_back, last_day)
+        parts.append(found.withColumn("days_back", F.lit(days_back)))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def reference_counts_any_window(spark: SparkSession, folder: str) -> DataFrame:
+    """Several look-backs from running totals that are stored once: two rows per table each."""
+    path = new_folder(spark, "usage-totals")
+    usage.usage_totals(derived.usage(spark, folder)).write.parquet(path)
+    totals = spark.read.parquet(path)
+    return _windows(lambda *window: usage.reference_counts_from_totals(totals, *window))
+
+
+def unique_users_any_window(spark: SparkSession, folder: str) -> DataFrame:
+    """Several look-backs from daily bitmaps of users that are stored once by day, exact."""
+    log = derived.job_log(spark, folder)
+    paths = [new_folder(spark, label) for label in ("users", "user-bitmaps")]
+    usage.user_dictionary(log).write.parquet(paths[0])
+    bitmaps = usage.daily_user_bitmaps(log, spark.read.parquet(paths[0]))
+    bitmaps.repartition("dt").write.partitionBy("dt").parquet(paths[1])
+    stored = spark.read.schema(bitmaps.schema).parquet(paths[1])
+    return _windows(lambda *window: usage.unique_users_from_bitmaps(stored, *window))
+
+
 def downstream_edges(spark: SparkSession, folder: str) -> DataFrame:
     return lineage.edges(derived.links(spark, folder), FENCE)
 
@@ -450,6 +479,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         reference_counts,
         reference_counts_stored,
         unique_users_stored,
+        reference_counts_any_window,
+        unique_users_any_window,
         analyzed_tables,
         unused_tables,
         unused_tables_threshold,
