@@ -82,15 +82,23 @@ def checkpoint(df: DataFrame, key_columns: Sequence[str] = (), **measures: Colum
 
 
 @contextmanager
-def fixed_plans(spark: SparkSession) -> Iterator[None]:
-    """Run jobs as planned, without replanning between stages.
+def fixed_plans(
+    spark: SparkSession, partitions: int | None = None, compiled: bool = True
+) -> Iterator[None]:
+    """Run jobs as planned, without replanning between stages, and with this number of shuffle partitions.
 
     What a checkpoint writes under adaptive execution has no known partitioning
-    afterwards, so every join with it would shuffle it again.
+    afterwards, so every join with it would shuffle it again. For jobs on few rows, whose
+    plans take longer to compile than to run, ``compiled`` can be false.
     """
-    before = spark.conf.get("spark.sql.adaptive.enabled")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.codegen.wholeStage": str(compiled).lower()}
+    if partitions:
+        settings["spark.sql.shuffle.partitions"] = str(partitions)
+    before = {name: spark.conf.get(name) for name in settings}
     try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
         yield
     finally:
-        spark.conf.set("spark.sql.adaptive.enabled", before)
+        for name, value in before.items():
+            spark.conf.set(name, value)

@@ -79,6 +79,56 @@ def test_deep_chain(join_mode, links, ids):
     assert leaves(reach.leaf_tables_from_roots(ids("p.d.t3"), given)) == [("p.d.end", 1)]
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_deep_random_graphs_along_chains(join_mode, monkeypatch, links, ids, seed):
+    """Chains that meet, begin in each other, lead back and have roots inside."""
+    monkeypatch.setattr(reach, "LEVELS_ONE_BY_ONE", 4)
+    monkeypatch.setattr(reach.follow, "__defaults__", (None, 4))
+    rng = random.Random(seed)
+    pairs, names = [], []
+    for c in range(6):
+        chain = [f"{'ab'[c % 2]}.d.c{c}_{i}" for i in range(rng.choice([3, 9, 23, 40]))]
+        pairs += list(zip(chain, chain[1:]))
+        names += chain
+    pairs += [(rng.choice(names), rng.choice(names)) for _ in range([3, 8, 15, 30][seed])]
+    ring = [f"a.d.r{i}" for i in range(11)]
+    pairs += list(zip(ring, [*ring[1:], ring[0]]))
+    roots = [*rng.sample(names, 3), *ring[: seed % 2], pairs[0][0]]
+    depth, expected = brute_force(pairs, roots, None)
+    given = links(*pairs)
+    assert leaves(reach.leaf_tables_from_roots(ids(*roots), given)) == expected
+    found = reach.reachable_tables(ids(*roots), given).collect()
+    assert {f"{r.project_id}.{r.dataset_id}.{r.table_id}": r.depth for r in found} == depth
+    assert len(found) == len(depth)
+
+
+def test_a_chain_of_thousands_in_few_jobs(spark, monkeypatch, links, ids):
+    given = links(*[(f"p.d.t{i}", f"p.d.t{i + 1}") for i in range(2_000)], ("p.d.t1500", "p.d.side"))
+    jobs = []
+    monkeypatch.setattr(reach, "checkpoint", lambda *a, real=reach.checkpoint, **b: jobs.append(1) or real(*a, **b))
+    found = {r.table_id: r.depth for r in reach.reachable_tables(ids("p.d.t0"), given).collect()}
+    assert found == {**{f"t{i}": i for i in range(2_001)}, "side": 1501}
+    assert len(jobs) < 35
+    with pytest.raises(RuntimeError, match="deeper than 1999 levels"):
+        reach.reachable_tables(ids("p.d.t0"), given, max_levels=1_999)
+
+
+def test_reached_pieces_stay_where_they_are(spark, monkeypatch, links, ids):
+    """The union of stored pieces is met without an exchange."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        given = links(*[(f"p.d.t{i}", f"p.d.t{i + 1}") for i in range(6)])
+        graph = reach.store_graph(reach.lineage_graph(given))
+        ids_of = graph.steps.select("fqn").distinct()
+        with reach.fixed_plans(spark, 3):
+            pieces = [reach.checkpoint(ids_of.repartition(3, "fqn")).df for _ in range(3)]
+            union = pieces[0].unionByName(pieces[1]).unionByName(pieces[2])
+            text = ids_of.groupBy("fqn").count().join(union, "fqn", "left_anti")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Exchange" not in text.split("Union")[1], text
+
+
 def test_max_levels(join_mode, links, ids):
     given = links(*[(f"p.d.t{i}", f"p.d.t{i + 1}") for i in range(5)])
     assert reach.reachable_tables(ids("p.d.t0"), given, max_levels=5).count() == 6
@@ -141,8 +191,8 @@ def test_levels_move_only_the_frontier(spark, monkeypatch, links, ids):
         given = links(*[(f"p.d.t{i}", f"p.d.t{i + 1}") for i in range(6)])
         graph = reach.store_graph(reach.lineage_graph(given))
         frontier = graph.steps.select("fqn").distinct().selectExpr("fqn", "0 AS depth")
-        with reach.fixed_plans(spark):
-            frontier = reach.checkpoint(frontier.repartition(8, "fqn")).df
+        with reach.fixed_plans(spark, graph.partitions):
+            frontier = reach.checkpoint(frontier.repartition(graph.partitions, "fqn")).df
             plan = reach._expanded(frontier, graph, 0).join(frontier.select("fqn"), "fqn", "left_anti")
             text = plan._jdf.queryExecution().executedPlan().toString()
     finally:
