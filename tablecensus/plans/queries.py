@@ -191,13 +191,13 @@ def reference_counts_any_window(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def unique_users_any_window(spark: SparkSession, folder: str) -> DataFrame:
-    """Several look-backs from daily bitmaps of users that are stored once by day, exact."""
+    """Several look-backs from daily bitmaps of users that are stored once in order of the days, exact."""
     log = derived.job_log(spark, folder)
     paths = [new_folder(spark, label) for label in ("users", "user-bitmaps")]
     usage.user_dictionary(log).write.parquet(paths[0])
     bitmaps = usage.daily_user_bitmaps(log, spark.read.parquet(paths[0]))
-    bitmaps.repartition("dt").write.partitionBy("dt").parquet(paths[1])
-    stored = spark.read.schema(bitmaps.schema).parquet(paths[1])
+    bitmaps.repartitionByRange("dt").sortWithinPartitions("dt").write.parquet(paths[1])
+    stored = spark.read.parquet(paths[1])
     return _windows(lambda *window: usage.unique_users_from_bitmaps(stored, *window))
 
 
