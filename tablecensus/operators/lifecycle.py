@@ -6,7 +6,7 @@ A lifecycle row is ``table`` (struct), ``usage_info`` and ``deletion_info``
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablecensus.functions.flags import is_candidate, is_checked, is_unused
@@ -117,6 +117,14 @@ def unused_leaves(
     return keep_leaves(unused, links, allowed_projects, location)
 
 
+def _overview(threshold: int) -> list[Column]:
+    return [
+        F.count(F.lit(1)).alias("tables"),
+        F.count_if(is_unused("job_count", threshold)).alias("unused_tables"),
+        F.sum("job_count").alias("jobs"),
+    ]
+
+
 def usage_summary(
     analyzed: DataFrame,
     by: Sequence[str] = ("project_id", "dataset_id", "table_type"),
@@ -125,10 +133,24 @@ def usage_summary(
     """Overview numbers: tables, unused tables and their share, jobs."""
     return (
         analyzed.groupBy(*by)
-        .agg(
-            F.count(F.lit(1)).alias("tables"),
-            F.count_if(is_unused("job_count", threshold)).alias("unused_tables"),
-            F.sum("job_count").alias("jobs"),
-        )
+        .agg(*_overview(threshold))
+        .withColumn("unused_share", F.col("unused_tables") / F.col("tables"))
+    )
+
+
+def usage_summary_levels(
+    analyzed: DataFrame,
+    by: Sequence[str] = ("project_id", "dataset_id", "table_type"),
+    threshold: int = 0,
+) -> DataFrame:
+    """The numbers of :func:`usage_summary` for every level of ``by``, from one scan and one shuffle.
+
+    ``level`` says how many of the columns a row is for, from 0 (all tables) on; it tells a total, whose
+    further columns are null, from a group whose own value is null. Without tables there are no rows.
+    """
+    grouped = F.bit_count(F.grouping_id())
+    return (
+        analyzed.rollup(*by)
+        .agg((F.lit(len(by)) - grouped).cast("int").alias("level"), *_overview(threshold))
         .withColumn("unused_share", F.col("unused_tables") / F.col("tables"))
     )

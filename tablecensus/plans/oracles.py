@@ -310,6 +310,13 @@ FROM ({_ANALYZED_AB} AND job_count <= 0) a JOIN ({_leaves(_LISTED_AB)}) USING ({
 SELECT project_id, dataset_id, table_type, count(*) AS tables, count(*) FILTER (WHERE job_count <= 0) AS unused_tables,
  CAST(sum(job_count) AS BIGINT) AS jobs, CAST(count(*) FILTER (WHERE job_count <= 0) AS DOUBLE) / count(*) AS unused_share
 FROM analyzed GROUP BY project_id, dataset_id, table_type"""
+    ),
+    "usage_summary_levels": _sql(
+        """
+SELECT project_id, dataset_id, table_type, CAST(3 - bit_count(grouping_id(project_id, dataset_id, table_type)) AS INT) AS level,
+ count(*) AS tables, count(*) FILTER (WHERE job_count <= 0) AS unused_tables, CAST(sum(job_count) AS BIGINT) AS jobs,
+ CAST(count(*) FILTER (WHERE job_count <= 0) AS DOUBLE) / count(*) AS unused_share
+FROM analyzed GROUP BY ROLLUP (project_id, dataset_id, table_type)"""
     ),
     "export_roundtrip_csv": _sql(_ANALYZED_AB),
     "export_roundtrip_json": _sql(_ANALYZED_AB),

@@ -358,6 +358,10 @@ def usage_summary(spark: SparkSession, folder: str) -> DataFrame:
     return lifecycle.usage_summary(_analyzed(spark, folder, derived.PROJECTS))
 
 
+def usage_summary_levels(spark: SparkSession, folder: str) -> DataFrame:
+    return lifecycle.usage_summary_levels(_analyzed(spark, folder, derived.PROJECTS))
+
+
 def _export_counts(spark, folder, fmt) -> exports.ExportResult:
     return exports.export_reference_counts(
         derived.catalog(spark, folder),
@@ -507,6 +511,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         flattened_lifecycle,
         unused_leaf_tables,
         usage_summary,
+        usage_summary_levels,
         export_roundtrip_csv,
         export_roundtrip_json,
         export_project_leaves_csv,

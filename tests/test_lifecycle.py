@@ -97,3 +97,19 @@ def test_usage_is_one_value_and_null_is_zero(tables, analyzed):
     counts = analyzed(("a.d.t", "VIEW", 100, 5), ("a.d.t", "VIEW", 50, 30), ("a.d.n", "VIEW", None, None))
     report = lifecycle.lifecycle_report(lifecycle.with_usage_info(start, counts))
     assert by_table(report, "job_count", "unique_user", "is_unused") == {"t": (100, 5, False), "n": (0, 0, True)}
+
+
+def test_summary_of_all_levels(spark):
+    rows = [("a", "d", "t1", "VIEW", 0), ("a", "d", "t2", None, 3), ("a", None, "t3", "VIEW", 1), ("b", "d", "t4", "VIEW", 0)]
+    df = spark.createDataFrame(rows, "project_id string, dataset_id string, table_id string, table_type string, job_count long")
+    out = lifecycle.usage_summary_levels(df)
+    got = {(r.level, r.project_id, r.dataset_id, r.table_type): (r.tables, r.unused_tables, r.jobs) for r in out.collect()}
+    assert got == {
+        (0, None, None, None): (4, 2, 4),
+        (1, "a", None, None): (3, 1, 4), (1, "b", None, None): (1, 1, 0),
+        (2, "a", "d", None): (2, 1, 3), (2, "a", None, None): (1, 0, 1), (2, "b", "d", None): (1, 1, 0),
+        (3, "a", "d", "VIEW"): (1, 1, 0), (3, "a", "d", None): (1, 0, 3), (3, "a", None, "VIEW"): (1, 0, 1), (3, "b", "d", "VIEW"): (1, 1, 0),
+    }
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("Initial Plan")[0].count("Exchange hashpartitioning") == 1
+    assert lifecycle.usage_summary_levels(df.limit(0)).count() == 0
