@@ -4,6 +4,7 @@ A lifecycle row is ``table`` (struct), ``usage_info`` and ``deletion_info``
 (structs, null until they are known).
 """
 
+import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -101,6 +102,55 @@ def lifecycle_report(lifecycle: DataFrame, threshold: int = 0) -> DataFrame:
     )
 
 
+def extend_history(
+    report: DataFrame,
+    as_of: dt.date,
+    history: DataFrame | None = None,
+    tracked: Sequence[str] = ("stage", "data_owner"),
+) -> DataFrame:
+    """The history of every table, brought up to the snapshot ``report`` taken on ``as_of``.
+
+    A row of the history holds ids, the ``tracked`` columns and the days ``valid_from``
+    (included) to ``valid_to`` (not included, null while it lasts). Where a tracked value
+    changed, null being a value like others, the interval ends and another begins; a table no longer
+    listed ends, and begins anew once it is back. The snapshot has to be the latest; given again,
+    it changes nothing, and a corrected one of the same day replaces what that day had begun.
+    Of several rows of a table the one with the largest values counts. Only intervals that
+    still last are shuffled, and meet the snapshot in one aggregation.
+    """
+    values = F.struct(*tracked)
+    day = F.lit(as_of)
+    unknown = F.lit(None).cast("date")
+    now = report.select(*ID_COLS, unknown.alias("valid_from"), values.alias("now"))
+    columns = [*ID_COLS, *tracked, "valid_from", "valid_to"]
+    if history is None:
+        past = now.select(*ID_COLS, "valid_from", F.col("now").alias("before")).limit(0)
+    else:
+        past = history.where("valid_to IS NULL").select(*ID_COLS, "valid_from", values.alias("before"))
+    met = (
+        past.unionByName(now, allowMissingColumns=True)
+        .groupBy(*ID_COLS)
+        .agg(F.max("valid_from").alias("since"), F.max("before").alias("before"), F.max("now").alias("now"))
+    )
+    was, listed = F.col("before").isNotNull(), F.col("now").isNotNull()
+    same = was & listed & F.col("before").eqNullSafe(F.col("now"))
+
+    def interval(state, since, until):
+        return F.struct(*[F.col(f"{state}.{c}").alias(c) for c in tracked], since.alias("valid_from"), until.alias("valid_to"))
+
+    intervals = F.array_compact(
+        F.array(
+            F.when(same, interval("before", F.col("since"), unknown)),
+            F.when(was & ~same & (F.col("since") < day), interval("before", F.col("since"), day)),
+            F.when(listed & ~same, interval("now", day, unknown)),
+        )
+    )
+    brought_up = met.select(*ID_COLS, F.inline(intervals)).select(*columns)
+    if history is None:
+        return brought_up
+    return brought_up.unionByName(history.where("valid_to IS NOT NULL").select(*columns))
+
+
 def unused_tables(analyzed: DataFrame, threshold: int = 0) -> DataFrame:
     return analyzed.where(is_unused("job_count", threshold))
 

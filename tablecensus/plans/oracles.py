@@ -294,6 +294,29 @@ SELECT {_IDS}, l.table_type, a.job_count, a.unique_user, o.data_owner, a.job_cou
  o.data_owner IS NOT NULL AS is_candidate, a.job_count <= 0 AS is_unused,
  CASE WHEN o.data_owner IS NOT NULL THEN 'candidate' WHEN a.job_count IS NOT NULL THEN 'checked' ELSE 'discovered' END AS stage
 FROM listed l LEFT JOIN ({_ANALYZED_AB}) a USING ({_IDS}) LEFT JOIN owners o USING ({_IDS})"""
+    ),
+    "lifecycle_history": _sql(
+        f"""
+SELECT {_IDS}, stage, data_owner, min(d) AS valid_from, max(until) AS valid_to
+FROM (
+ SELECT *, sum(begins) OVER (PARTITION BY {_IDS} ORDER BY d) AS part,
+  CASE WHEN ends THEN CAST(d + INTERVAL 1 MONTH AS DATE) END AS until
+ FROM (
+  SELECT *, CASE WHEN lag(d) OVER w = d - INTERVAL 1 MONTH AND lag(stage) OVER w = stage
+    AND lag(data_owner) OVER w IS NOT DISTINCT FROM data_owner THEN 0 ELSE 1 END AS begins,
+   d < DATE '2001-08-01' AND (lead(d) OVER w = d + INTERVAL 1 MONTH AND lead(stage) OVER w = stage
+    AND lead(data_owner) OVER w IS NOT DISTINCT FROM data_owner) IS NOT TRUE AS ends
+  FROM (
+   SELECT {_IDS}, DATE '2001-06-01' AS d, 'discovered' AS stage, NULL::VARCHAR AS data_owner FROM listed
+   UNION ALL
+   SELECT {_IDS}, DATE '2001-07-01', CASE WHEN a.job_count IS NULL THEN 'discovered' ELSE 'checked' END, NULL
+   FROM listed l LEFT JOIN ({_ANALYZED_AB}) a USING ({_IDS}) WHERE l.table_type <> 'CLONE'
+   UNION ALL
+   SELECT {_IDS}, DATE '2001-08-01', CASE WHEN o.data_owner IS NOT NULL THEN 'candidate'
+    WHEN a.job_count IS NOT NULL THEN 'checked' ELSE 'discovered' END, o.data_owner
+   FROM listed l LEFT JOIN ({_ANALYZED_AB}) a USING ({_IDS}) LEFT JOIN owners o USING ({_IDS}) WHERE l.table_type <> 'VIEW')
+  WINDOW w AS (PARTITION BY {_IDS} ORDER BY d)))
+GROUP BY {_IDS}, part, stage, data_owner"""
     ),
     "flattened_lifecycle": _sql(
         f"""

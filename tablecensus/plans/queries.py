@@ -342,6 +342,24 @@ def lifecycle_report(spark: SparkSession, folder: str) -> DataFrame:
     return lifecycle.lifecycle_report(known)
 
 
+def lifecycle_history(spark: SparkSession, folder: str) -> DataFrame:
+    """Three snapshots: found, checked, with owners; clones are away in the second, views in the third."""
+    found = lifecycle.discovered(_tables(spark, folder))
+    checked = lifecycle.with_usage_info(found.where("table.table_type <> 'CLONE'"), _checked(spark, folder))
+    owned = lifecycle.with_info(
+        found.where("table.table_type <> 'VIEW'"),
+        counts=_checked(spark, folder),
+        owners=derived.owners(spark, folder),
+    )
+    history = None
+    for month, known in ((6, found), (7, checked), (8, owned)):
+        report = lifecycle.lifecycle_report(known)
+        path = new_folder(spark, "history")
+        lifecycle.extend_history(report, dt.date(2001, month, 1), history).write.parquet(path)
+        history = spark.read.parquet(path)
+    return history
+
+
 def flattened_lifecycle(spark: SparkSession, folder: str) -> DataFrame:
     checked = lifecycle.with_usage_info(
         lifecycle.discovered(_tables(spark, folder)), _checked(spark, folder)
@@ -508,6 +526,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         leaf_from_roots_hub,
         reachable_tables,
         lifecycle_report,
+        lifecycle_history,
         flattened_lifecycle,
         unused_leaf_tables,
         usage_summary,

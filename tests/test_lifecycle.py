@@ -1,7 +1,10 @@
+import datetime as dt
+
 import pytest
 
 from tablecensus.functions.flags import is_unused
 from tablecensus.operators import lifecycle
+from tablecensus.operators.lifecycle import extend_history
 from tablecensus.schemas import ANALYZED_SCHEMA, OWNERS_SCHEMA
 
 
@@ -113,3 +116,37 @@ def test_summary_of_all_levels(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.split("Initial Plan")[0].count("Exchange hashpartitioning") == 1
     assert lifecycle.usage_summary_levels(df.limit(0)).count() == 0
+
+
+def test_history_of_changes(spark):
+    """Changed, unchanged, gone, back, repeated rows, null values; a snapshot given again."""
+    schema = "project_id string, dataset_id string, table_id string, stage string, data_owner string, other int"
+
+    def snapshot(*rows):
+        return spark.createDataFrame([("p", "d", *r, 1) for r in rows], schema)
+
+    day = [dt.date(2024, 1, d) for d in (1, 2, 3)]
+    first = snapshot(("a", "discovered", None), ("b", "checked", None), ("c", "checked", "x"), (None, "checked", None))
+    second = snapshot(("a", "checked", None), ("b", "checked", None), (None, "checked", None), (None, "checked", None))
+    third = snapshot(("a", "checked", "y"), ("c", "checked", "x"), ("b", "checked", None), (None, "checked", None))
+
+    def held(history):
+        return sorted(((r.table_id or "-", r.stage, r.data_owner, r.valid_from, r.valid_to) for r in history.collect()), key=str)
+
+    history = extend_history(first, day[0])
+    assert held(history) == sorted([
+        ("a", "discovered", None, day[0], None), ("b", "checked", None, day[0], None),
+        ("c", "checked", "x", day[0], None), ("-", "checked", None, day[0], None),
+    ], key=str)
+    history = extend_history(second, day[1], history)
+    assert held(extend_history(second, day[1], history)) == held(history)
+    history = extend_history(third, day[2], history)
+    want = [
+        ("a", "discovered", None, day[0], day[1]), ("a", "checked", None, day[1], day[2]), ("a", "checked", "y", day[2], None),
+        ("b", "checked", None, day[0], None), ("-", "checked", None, day[0], None),
+        ("c", "checked", "x", day[0], day[1]), ("c", "checked", "x", day[2], None),
+    ]
+    assert held(history) == sorted(want, key=str)
+    corrected = extend_history(third.where("table_id <> 'a'"), day[2], history)
+    assert ("a", "checked", "y") not in [r[:3] for r in held(corrected)]
+    assert held(extend_history(third.limit(0), day[2], spark.createDataFrame([], history.schema))) == []
