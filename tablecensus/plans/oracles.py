@@ -187,6 +187,9 @@ FROM ends WHERE source_id IS NULL OR target_id IS NULL"""
     "daily_usage_rollup": _sql("SELECT * FROM usage_daily"),
     "daily_usage_rollup_tokyo": """
 SELECT CAST(ts + INTERVAL 9 HOURS AS DATE) AS dt, event_type, count(*) AS job_count, count(DISTINCT user_id) AS unique_user
+FROM events GROUP BY 1, 2""",
+    "daily_usage_streamed": """
+SELECT CAST(ts + INTERVAL 9 HOURS AS DATE) AS dt, event_type, count(*) AS job_count, count(DISTINCT user_id) AS unique_user
 FROM events GROUP BY 1, 2""",
     "reference_counts": _sql("SELECT * FROM counts"),
     "analyzed_tables": _sql(_ANALYZED_AB),

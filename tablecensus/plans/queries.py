@@ -22,6 +22,7 @@ from tablecensus.session import new_folder
 from tablecensus.sources import derived
 from tablecensus.sources.inputs import read_catalog, read_links, read_usage, read_user_sketches
 from tablecensus.sources.outputs import read_export, write_daily_usage
+from tablecensus.streaming.daily_usage import write_exact_daily_usage_stream
 
 CHECKED_PROJECTS = ["project-a", "project-b"]
 FENCE = ["project-a", "project-b", "project-c"]
@@ -333,6 +334,17 @@ def _checked(spark, folder) -> DataFrame:
     return usage.counts_of(listed, counts)
 
 
+def daily_usage_streamed(spark: SparkSession, folder: str) -> DataFrame:
+    """All events, dealt by user over up to four batches, so that each batch corrects days of those before."""
+    source, out, users, checkpoint = [new_folder(spark, f"stream-{part}") for part in ("in", "out", "users", "state")]
+    events = derived.read(spark, folder, "events")
+    events.repartition(4, "user_id").write.parquet(source)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    writer = write_exact_daily_usage_stream(stream, out, users, checkpoint, keys=["event_type"])
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).select("dt", "event_type", "job_count", "unique_user")
+
+
 def lifecycle_report(spark: SparkSession, folder: str) -> DataFrame:
     known = lifecycle.with_info(
         lifecycle.discovered(_tables(spark, folder)),
@@ -498,6 +510,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         rejected_links,
         daily_usage_rollup,
         daily_usage_rollup_tokyo,
+        daily_usage_streamed,
         reference_counts,
         reference_counts_stored,
         unique_users_stored,

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from tablecensus.operators.usage import REPORT_ZONE, local_time
+from tablecensus.operators.usage import REPORT_ZONE, local_time, with_report_day
 from tablecensus.schemas import ID_COLS
 from tablecensus.sources.outputs import write_daily_usage
 
@@ -66,3 +66,46 @@ def write_daily_usage_stream(
     return daily.writeStream.outputMode("append").foreachBatch(write).option(
         "checkpointLocation", checkpoint_path
     )
+
+
+def write_exact_daily_usage_stream(
+    jobs: DataFrame,
+    path: str,
+    users_path: str,
+    checkpoint_path: str,
+    moment: str = "ts",
+    zone: str = REPORT_ZONE,
+    keys: Sequence[str] = ID_COLS,
+    user: str = "user_id",
+) -> DataStreamWriter:
+    """A writer that keeps daily usage equal to the batch rollup, however late jobs come; start it.
+
+    The state is stored, not held by executors: each batch adds its jobs per table, day and user to
+    ``users_path``, in one folder per day and batch, and the days it touched, late ones too, are counted
+    again from all that is stored of them and replaced at ``path``. A batch that is run again
+    replaces its own folders, so it counts once. A batch costs as much as the days it
+    touches hold; other days are not read. The days alone come to the driver, to prune
+    folders. Jobs without a time belong to no day and are left out; jobs without a user count, but as
+    nobody's. All paths must be on storage shared by all executors, and only this
+    writer may write to them.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        per_user = with_report_day(batch, moment, zone).where("dt IS NOT NULL").groupBy(*keys, "dt", user)
+        added = per_user.agg(F.count(F.lit(1)).alias("jobs")).withColumn("batch", F.lit(number).cast("bigint"))
+        (
+            added.hint("rebalance", F.col("dt"))
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("dt", "batch")
+            .parquet(users_path)
+        )
+        stored = batch.sparkSession.read.schema(added.schema).parquet(users_path)
+        days = [r.dt for r in stored.where(F.col("batch") == number).select("dt").distinct().collect()]
+        if not days:
+            return
+        touched = stored.where(F.col("dt").isin(days)).groupBy(*keys, "dt", user).agg(F.sum("jobs").alias("jobs"))
+        daily = touched.groupBy(*keys, "dt").agg(F.sum("jobs").alias("job_count"), F.count(user).alias("unique_user"))
+        write_daily_usage(daily, path)
+
+    return jobs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint_path)

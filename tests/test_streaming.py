@@ -6,7 +6,11 @@ from pyspark.sql import functions as F
 from tablecensus.operators.usage import daily_usage, with_report_day
 from tablecensus.sources.inputs import read_usage
 from tablecensus.sources.outputs import write_daily_usage
-from tablecensus.streaming.daily_usage import daily_usage_stream, write_daily_usage_stream
+from tablecensus.streaming.daily_usage import (
+    daily_usage_stream,
+    write_daily_usage_stream,
+    write_exact_daily_usage_stream,
+)
 
 EVENTS = "/root/testdata/sf0.001/events.parquet"
 
@@ -61,3 +65,44 @@ def test_stream_and_batch_share_one_store(spark, tmp_path, rows):
     write_daily_usage(batch.where("dt = '2024-01-02'"), out)
     write_daily_usage(batch.where("dt = '2024-01-03'"), out)
     assert stored() == rows(batch)
+
+
+def test_late_jobs_change_their_day(spark, tmp_path, rows):
+    """Batches in any order, a month late too; null times and users; after each the batch rollup."""
+    schema = "ts timestamp, project_id string, dataset_id string, table_id string, user_id bigint"
+    job = lambda month, day, user, table="t": (dt.datetime(2024, month, day, 12), "p", "d", table, user)
+    batches = [
+        [job(2, 1, 1), job(2, 1, 1), job(2, 2, 1), (None, "p", "d", "t", 1)],
+        [job(1, 1, 1), job(2, 1, 2), job(2, 1, None), job(2, 2, 5, None)],
+        [job(1, 1, 1), job(1, 1, 3), job(2, 1, 2), job(2, 1, None)],
+        [(None, "p", "d", "t", 1)],
+    ]
+    source, out, users, state = (str(tmp_path / n) for n in ("log", "usage", "users", "state"))
+    seen = []
+
+    def run():
+        stream = spark.readStream.schema(schema).parquet(source)
+        query = write_exact_daily_usage_stream(stream, out, users, state).trigger(availableNow=True).start()
+        assert query.awaitTermination(240)
+
+    for batch in batches:
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(source)
+        seen += [job for job in batch if job[0]]
+        run()
+        want = daily_usage(with_report_day(spark.createDataFrame(seen, schema)))
+        assert rows(read_usage(spark, out).select(*want.columns)) == rows(want)
+    run()  # nothing new
+    assert rows(read_usage(spark, out).select(*want.columns)) == rows(want)
+
+
+def test_a_batch_run_again_counts_once(spark, tmp_path, rows):
+    schema = "ts timestamp, project_id string, dataset_id string, table_id string, user_id bigint"
+    source, out, users = (str(tmp_path / n) for n in ("log", "usage", "users"))
+    jobs = spark.createDataFrame([(dt.datetime(2024, 1, 1, 12), "p", "d", "t", u) for u in (1, 1, 2)], schema)
+    jobs.write.parquet(source)
+    for state in ("first", "again"):  # without its checkpoint, batch 0 is run once more
+        stream = spark.readStream.schema(schema).parquet(source)
+        writer = write_exact_daily_usage_stream(stream, out, users, str(tmp_path / state))
+        assert writer.trigger(availableNow=True).start().awaitTermination(240)
+    want = daily_usage(with_report_day(jobs))
+    assert rows(read_usage(spark, out).select(*want.columns)) == rows(want)
