@@ -291,6 +291,15 @@ FROM deep GROUP BY id""",
 SELECT fqn AS id, 0 AS depth FROM ids WHERE k = 0
 UNION SELECT far, depth + 1 FROM deep JOIN (SELECT DISTINCT own, far FROM down) d ON d.own = deep.id WHERE depth < 40""",
     ),
+    "reachable_after_change": _sql(
+        """
+SELECT split_part(id, '.', 1) AS project_id, split_part(id, '.', 2) AS dataset_id, split_part(id, '.', 3) AS table_id
+FROM reached""",
+        down_changed="""
+SELECT own, far FROM down WHERE CAST(regexp_extract(far, '_([0-9]+)$', 1) AS BIGINT) % 40 <> 3
+UNION ALL SELECT r.fqn, f.fqn FROM ids r JOIN ids f ON r.k = 0 AND f.k % 80 = 3""",
+        reached=_reach("0", "down_changed"),
+    ),
     "lifecycle_report": _sql(
         f"""
 SELECT {_IDS}, l.table_type, a.job_count, a.unique_user, o.data_owner, a.job_count IS NOT NULL AS is_checked,

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tablecensus.functions.flags import has_upstream, type_flags
 from tablecensus.functions.ids import fqn, parse_fqn, table_uri
-from tablecensus.operators import lifecycle, lineage, listing, reach, usage
+from tablecensus.operators import lifecycle, lineage, listing, reach, upkeep, usage
 from tablecensus.plans import exports
 from tablecensus.schemas import (
     ANALYZED_SCHEMA,
@@ -328,6 +328,18 @@ def reachable_tables(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def reachable_after_change(spark: SparkSession, folder: str) -> DataFrame:
+    """What the first table reaches once steps into every 40th table are gone and it feeds half of these itself."""
+    root = derived.ids_of(spark, folder, 0)
+    before = upkeep.steps_of(derived.links(spark, folder))
+    number = F.element_at(F.split("neighbour", "_"), -1).cast("bigint")
+    fed = derived.ids_of(spark, folder).select(fqn().alias("neighbour")).where(number % 80 == 3)
+    source = root.select(fqn().alias("fqn"))
+    now = before.where(number % 40 != 3).unionByName(fed.join(F.broadcast(source)))  # one row
+    reached = reach.reachable_tables(root, derived.links(spark, folder))
+    return upkeep.reached_after_change(reached, root, now, *upkeep.steps_changed(before, now))
+
+
 def _checked(spark, folder) -> DataFrame:
     listed = _tables(spark, folder, CHECKED_PROJECTS)
     counts = usage.reference_counts(derived.usage(spark, folder), derived.AS_OF)
@@ -538,6 +550,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         leaf_from_roots_normalized,
         leaf_from_roots_hub,
         reachable_tables,
+        reachable_after_change,
         lifecycle_report,
         lifecycle_history,
         flattened_lifecycle,
