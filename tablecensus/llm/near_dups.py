@@ -21,7 +21,7 @@ PERCENT = 75
 MARGIN = 0.2
 # Of sets with fewer shingles so few registers are filled that the estimate rules nothing out.
 TINY = 32
-# Members of a bucket that are compared in one piece with those of other components.
+# Members of a bucket that are compared in one piece with those of other components, in sketches of 512 bytes.
 BLOCK, SLICE = 512, 4_096
 NO_ID = (1 << 63) - 1
 
@@ -198,8 +198,26 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
     return met.mapInArrow(rows, "a bigint, b bigint")
 
 
-def with_shared(classes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """The classes in ``texts`` with ``shared``: how many of their shingles another of them has, too.
+def shingles_of(texts: DataFrame, words: int) -> DataFrame:
+    """``cls, shingles``: the whole sorted set of each text, as 64-bit numbers in one binary value."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first = 0
+            for group in grouped(batch.column(1).to_pylist()):
+                values, owners = shingle_sets(group, words)
+                cuts = np.searchsorted(owners, np.arange(len(group) + 1))
+                sets = [values[x:y].astype("<u8").tobytes() for x, y in zip(cuts, cuts[1:])]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(first, len(group)), pa.array(sets, pa.binary())], names=["cls", "shingles"]
+                )
+                first += len(group)
+
+    return texts.select("cls", "bytes").mapInArrow(rows, "cls bigint, shingles binary")
+
+
+def with_shared(classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """The classes in ``sets`` with their ``shingles`` and ``shared``: how many of these another of them has, too.
 
     A shingle met once belongs to one class; counting those needs one shuffle of
     the shingles, summed up before by each task.
@@ -207,53 +225,73 @@ def with_shared(classes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cls, first = np.asarray(batch.column(0)), 0
-            for group in grouped(batch.column(1).to_pylist()):
-                values, owners = shingle_sets(group, words)
+            for cls, shingles in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                values = np.frombuffer(shingles, "<i8")
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(values.view(np.int64)), pa.array(cls[first : first + len(group)][owners])], names=["shingle", "cls"]
+                    [pa.array(values), pa.array(np.full(len(values), cls))], names=["shingle", "cls"]
                 )
-                first += len(group)
 
     once = (
-        texts.select("cls", "bytes").mapInArrow(rows, "shingle bigint, cls bigint")
+        sets.mapInArrow(rows, "shingle bigint, cls bigint")
         .groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("cls").alias("cls"))
         .where(F.col("n") == 1)
         .groupBy("cls").agg(F.count(F.lit(1)).alias("own"))
     )
     own = F.coalesce("own", F.lit(0).cast("bigint"))
     return (
-        classes.join(texts.select("cls").distinct(), "cls", "left_semi")
+        classes.join(sets, "cls")
         .join(once, "cls", "left")
-        .select("cls", "n_shingles", "sketch", (F.col("n_shingles") - own).alias("shared"))
+        .select("cls", "n_shingles", "sketch", (F.col("n_shingles") - own).alias("shared"), "shingles")
     )
 
 
-def _members(column: pa.Array) -> Iterator[tuple[np.ndarray, ...]]:
-    """For each row its members: sketches, classes, roots, sizes and shared sizes."""
+def _members(column: pa.Array) -> Iterator[tuple]:
+    """For each row its members: sketches, classes, roots, sizes, shared sizes and whole sets."""
     values = column.values
     sketch = np.frombuffer(b"".join(values.field("sketch").to_pylist()), "<u4").reshape(-1, REGISTERS)
     rest = [np.asarray(values.field(c)) for c in ("cls", "root", "n_shingles", "shared")]
+    sets = values.field("shingles")
     offsets = np.asarray(column.offsets)
     for low, high in zip(offsets - offsets[0], offsets[1:] - offsets[0]):
-        yield sketch[low:high], *[c[low:high] for c in rest]
+        yield sketch[low:high], *[c[low:high] for c in rest], sets.slice(low, high - low).to_pylist()
 
 
-def across(bands: DataFrame, classes: DataFrame, roots: DataFrame, percent: int, margin: float, pairs: bool) -> DataFrame:
-    """What in a bucket may still link different components: ``a, b``, or with ``pairs=False`` the classes ``cls``.
+def overlapping(one: bytes, others: list[bytes], percent: int) -> np.ndarray:
+    """Which of the other whole sets (sorted numbers, as bytes) overlap with one enough, exactly."""
+    mine = np.frombuffer(one, "<u8")
+    theirs = np.frombuffer(b"".join(others), "<u8")
+    sizes = np.array([len(o) // 8 for o in others])
+    at = np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)
+    both = np.add.reduceat((mine[at] == theirs).astype(np.int64), np.cumsum(sizes) - sizes)
+    return 100 * both >= percent * (len(mine) + sizes - both)
+
+
+def across(bands: DataFrame, classes: DataFrame, roots: DataFrame, percent: int, margin: float, links: bool) -> DataFrame:
+    """What in a bucket may still link different components: the classes ``cls``, or with ``links`` links ``a, b``.
 
     In every bucket with several components all members meet those outside of its
     largest component, which are cut into blocks; what they meet is cut into slices.
     So a bucket with nearly all members linked costs little more than reading
-    it, and no task gets a whole large bucket. Two sets that share m shingles have
+    it, and no task gets a whole large bucket: blocks and slices are bounded in bytes. Two sets that share m shingles have
     a similarity of m in the rest of both and m; since m is at most what
     either shares with any set (``shared`` of ``classes``), and by the
     estimate from the registers, most pairs are ruled out where they meet.
+
+    With ``links`` the others are compared there, too, on their whole sets
+    (``shingles`` of ``classes``); what is linked counts as one component from then on, so a
+    piece gives fewer links than it has members, however many of its pairs are similar or have to be compared.
     """
     rooted = bands.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn(
         "root", F.coalesce("root", "cls")
     )
-    shares = rooted.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
+    # in sketches, so that long sets count for what they hold
+    weight = F.lit(1).cast("bigint")
+    if links:
+        rooted = rooted.join(classes.select("cls", "n_shingles"), "cls")
+        weight = 1 + F.expr(f"n_shingles div {REGISTERS // 2}")
+    else:
+        classes = classes.withColumn("shingles", F.lit(b""))
+    shares = rooted.groupBy("bucket", "root").agg(F.sum(weight).alias("n"))
     mixed_buckets = (
         shares.groupBy("bucket")
         .agg(F.sum("n").alias("members"), F.max("n").alias("most"), F.max_by("root", F.struct("n", "root")).alias("largest"))
@@ -263,11 +301,11 @@ def across(bands: DataFrame, classes: DataFrame, roots: DataFrame, percent: int,
     blocks = F.ceil((F.col("members") - F.col("most")) / BLOCK).cast("bigint")
     slices = F.ceil(F.col("members") / SLICE).cast("bigint")
     met = stored(
-        rooted.join(mixed_buckets, "bucket")
-        .join(classes.select("cls", "n_shingles", "shared", "sketch"), "cls")
+        rooted.select("bucket", "cls", "root").join(mixed_buckets, "bucket")
+        .join(classes.select("cls", "n_shingles", "shared", "sketch", "shingles"), "cls")
         .select(
             "bucket",
-            F.struct("cls", "root", "n_shingles", "shared", "sketch").alias("one"),
+            F.struct("cls", "root", "n_shingles", "shared", "sketch", "shingles").alias("one"),
             (F.col("root") != F.col("largest")).alias("outside"),
             blocks.alias("blocks"), slices.alias("slices"),
             F.pmod(F.xxhash64("cls"), blocks).alias("block"), F.pmod(F.xxhash64("cls", F.lit(1)), slices).alias("slice"),
@@ -284,15 +322,17 @@ def across(bands: DataFrame, classes: DataFrame, roots: DataFrame, percent: int,
     pieces = outside.unionByName(others).groupBy("bucket", "block", "slice").agg(
         F.collect_list(F.when(F.col("asks"), F.col("one"))).alias("asking"),
         F.collect_list(F.when(~F.col("asks"), F.col("one"))).alias("asked"),
-    )  # of about BLOCK and SLICE members
+    )  # of about BLOCK and SLICE sketches
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: list[np.ndarray] = []
             for asking, asked in zip(_members(batch.column(0)), _members(batch.column(1))):
-                sketch, cls, root, size, shared = asked
+                sketch, cls, root, size, shared, sets = asked
+                own_roots, root = asking[2].copy(), root.copy()
                 hit_any = np.zeros(len(cls), bool)
-                for one, a, own, n, has in zip(*asking):
+                for i, (one, a, _, n, has, whole) in enumerate(zip(*asking)):
+                    own = own_roots[i]
                     most = np.minimum(shared, has)
                     hit = (root != own) & (100 * most >= percent * (size + n - most))
                     some = np.flatnonzero(hit)
@@ -302,18 +342,23 @@ def across(bands: DataFrame, classes: DataFrame, roots: DataFrame, percent: int,
                     some = some[near | (np.minimum(size[some], n) < TINY)]
                     if not len(some):
                         continue
-                    if pairs:
-                        found.append(np.stack([np.maximum(cls[some], a), np.minimum(cls[some], a)]))
-                    else:
+                    if not links:
                         hit_any[some] = True
                         found.append(np.array([[a], [a]]))
+                        continue
+                    some = some[overlapping(whole, [sets[j] for j in some], percent)]
+                    merged, first = np.unique(root[some], return_index=True)
+                    linked = cls[some[first]]
+                    found.append(np.stack([np.maximum(linked, a), np.minimum(linked, a)]))
+                    root[np.isin(root, merged)] = own
+                    own_roots[np.isin(own_roots, merged)] = own
                 if hit_any.any():
                     found.append(np.stack([cls[hit_any], cls[hit_any]]))
             every = np.unique(np.concatenate(found, 1), axis=1) if found else np.zeros((2, 0), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(every[0]), pa.array(every[1])], names=["a", "b"])
 
     found = pieces.select("asking", "asked").mapInArrow(rows, "a bigint, b bigint")
-    return found.distinct() if pairs else found.select(F.col("a").alias("cls")).distinct()
+    return found.distinct() if links else found.select(F.col("a").alias("cls")).distinct()
 
 
 def _further_links(
@@ -325,15 +370,16 @@ def _further_links(
     their own: what each has in common with any of the others is counted on whole sets.
     In each bucket the one with the least of its own, such as the text that the
     others are edited from, is the hub of a second star, again one link per class. What is plausible even then,
-    in view of the counts, is verified pair by pair.
+    in view of the counts, is compared on whole sets where it meets, and only links come out.
     """
     roots = components(links)
     any_share = classes.withColumn("shared", F.col("n_shingles"))
-    open_classes = stored(across(bands, any_share, roots, percent, MARGIN, pairs=False), "open-classes")
+    open_classes = stored(across(bands, any_share, roots, percent, MARGIN, links=False), "open-classes")
     if not open_classes.limit(1).count():
         return roots
     texts = texts_of(open_classes, classes, docs)
-    known = stored(with_shared(classes, texts, words), "open-sets")
+    sets = stored(shingles_of(texts, words), "open-shingles")
+    known = stored(with_shared(classes, sets), "open-sets")
     bands = stored(bands.join(open_classes, "cls", "left_semi"), "open-bands")
     least_own = F.struct(((F.col("n_shingles") - F.col("shared")) / F.col("n_shingles")).alias("own"), "cls")
     hubs = bands.join(known, "cls").groupBy("bucket").agg(F.min(least_own).alias("hub"))
@@ -344,12 +390,11 @@ def _further_links(
     second = stored(plausible(second.join(stars, ["a", "b"], "left_anti"), classes, percent), "stars")
     known_links = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
     roots = components(known_links.unionByName(verified(second, texts, words, percent)))
-    rest = stored(across(bands, known, roots, percent, MARGIN, pairs=True), "remaining")
-    if not rest.limit(1).count():
+    more = stored(across(bands, known, roots, percent, MARGIN, links=True), "further-links")
+    if not more.limit(1).count():
         return roots
-    rest = rest.join(stars.unionByName(second), ["a", "b"], "left_anti")
     known_links = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-    return components(known_links.unionByName(verified(rest, texts, words, percent)))
+    return components(known_links.unionByName(more))
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:

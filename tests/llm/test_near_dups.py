@@ -157,3 +157,27 @@ def test_tiny_sets_pass_the_estimate(spark):
     classes = spark.createDataFrame(rows, "cls bigint, n_shingles bigint, sketch binary")
     pairs = spark.createDataFrame([(2, 1), (3, 1), (4, 1)], "a bigint, b bigint")
     assert sorted(map(tuple, near_dups.plausible(pairs, classes).collect())) == [(2, 1), (4, 1)]
+
+
+def test_a_bucket_of_similar_texts_gives_fewer_links_than_members(spark, docs, prose):
+    """All similar to each other and met for the first time: links, not pairs, come out."""
+    base = prose(11, 200, 5000)
+    texts = [f"{base} tail{i}" for i in range(40)] + [prose(12, 200, 5000)]
+    sets = [shingle_sets([t.encode()])[0] for t in texts]
+    rows = [(i, len(v), len(v), bytearray(registers(v, np.zeros(len(v), np.int64), 1).tobytes()), bytearray(v.tobytes())) for i, v in enumerate(sets)]
+    classes = spark.createDataFrame(rows, "cls bigint, n_shingles bigint, shared bigint, sketch binary, shingles binary")
+    bands = spark.createDataFrame([(5, i) for i in range(41)], "bucket bigint, cls bigint")
+    alone = spark.createDataFrame([], "node bigint, root bigint")
+    found = near_dups.across(bands, classes, alone, 75, near_dups.MARGIN, links=True)
+    pairs = found.collect()
+    assert 39 <= len(pairs) <= 40 and all(40 not in p for p in pairs)
+    assert {r.root for r in components(found).collect()} == {0}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_whole_sets_are_compared_exactly(seed):
+    draw = np.random.default_rng(seed)
+    sets = [np.unique(draw.integers(0, 40, draw.integers(1, 40)).astype(np.uint64)) for _ in range(60)]
+    for one in sets:
+        got = near_dups.overlapping(one.tobytes(), [s.tobytes() for s in sets], 75)
+        assert got.tolist() == [near_dups.similar(one, s) for s in sets]
