@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 # or four bytes, as much as a short word; written wide, a word costs more.
 WIDTH = 6
 ORDINARY_BYTES, TOXIC_BYTES = 64 << 10, 64 << 10
-# Windows remembered by a task.
-REMEMBERED = 500_000
+# Windows remembered by a task; those not met again while half as many were new are forgotten.
+REMEMBERED = 250_000
+# Texts of an Arrow batch that are Python strings at a time.
+AT_ONCE = 256
 
 
 @dataclass(frozen=True)
@@ -84,6 +86,7 @@ class Distance:
             self.sides.append(zstandard.ZstdCompressor(dict_data=data, compression_params=settings))
         self.frame = len(self.sides[0].compress(b""))  # what any window costs
         self.known: dict[bytes, float] = {}
+        self.earlier: dict[bytes, float] = {}
 
     def of_window(self, window: bytes) -> float:
         wide = _wide(window)
@@ -92,13 +95,14 @@ class Distance:
 
     def of_text(self, text: str) -> float:
         """The largest over all windows; a text without words is as far as can be, -1."""
-        known, largest = self.known, -1.0
-        if len(known) > REMEMBERED:
-            known.clear()
+        if 2 * len(self.known) > REMEMBERED:
+            self.known, self.earlier = {}, self.known
+        known, earlier, largest = self.known, self.earlier, -1.0
         for window in windows(text, self.model.window_words):
             distance = known.get(window)
             if distance is None:
-                distance = known[window] = self.of_window(window)
+                distance = earlier.get(window)
+                known[window] = distance = self.of_window(window) if distance is None else distance
             if distance > largest:
                 largest = distance
         return largest
@@ -193,7 +197,12 @@ def toxicity_score(docs: DataFrame, model: Dictionaries | None) -> Column:
     def scores(batches: Iterator) -> Iterator:
         distance = Distance(sent.value)  # of this task, so what it remembers goes with it
         for texts in batches:
-            yield pa.array([distance.score(t or "") for t in texts.to_pylist()], pa.float64())
+            found: list[float] = []
+            for low in range(0, len(texts), AT_ONCE):
+                found += [distance.score(t or "") for t in texts.slice(low, AT_ONCE).to_pylist()]
+            yield pa.array(found, pa.float64())
+            del texts
+            pa.default_memory_pool().release_unused()
 
     def typed(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         return scores(texts)
