@@ -235,6 +235,7 @@ FROM ids LEFT JOIN (SELECT own, count(*) AS n FROM up GROUP BY own) u ON u.own =
 LEFT JOIN (SELECT own, count(*) AS n FROM down GROUP BY own) d ON d.own = fqn"""
     ),
     "table_neighbours": _sql(_NEIGHBOURS),
+    "table_neighbours_looked_up": _sql(_NEIGHBOURS),
     "table_neighbour_pages": _sql(
         f"""
 SELECT {_IDS}, direction, CAST(0 AS BIGINT) AS page,

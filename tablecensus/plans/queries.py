@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tablecensus.functions.flags import has_upstream, type_flags
 from tablecensus.functions.ids import fqn, parse_fqn, table_uri
-from tablecensus.operators import lifecycle, lineage, listing, reach, upkeep, usage
+from tablecensus.operators import lifecycle, lineage, listing, lookup, reach, upkeep, usage
 from tablecensus.plans import exports
 from tablecensus.schemas import (
     ANALYZED_SCHEMA,
@@ -226,6 +226,13 @@ def table_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def table_neighbours_looked_up(spark: SparkSession, folder: str) -> DataFrame:
+    """The neighbours of all tables from links stored by their own end."""
+    path = new_folder(spark, "link-index")
+    lookup.write_link_index(derived.links(spark, folder), path)
+    return lookup.looked_up_neighbours(derived.ids_of(spark, folder), lookup.read_link_index(spark, path))
+
+
 def table_neighbour_pages(spark: SparkSession, folder: str) -> DataFrame:
     entry = lambda n: F.concat(
         n["project_id"], F.lit("."), n["dataset_id"], F.lit("."), n["table_id"],
@@ -538,6 +545,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         upstream_counts,
         table_lineage,
         table_neighbours,
+        table_neighbours_looked_up,
         table_neighbour_pages,
         table_neighbour_pages_small,
         table_neighbour_pages_dense,
