@@ -215,10 +215,12 @@ def user_dictionary(job_log: DataFrame, user: str = "user_id") -> DataFrame:
 
 
 def daily_user_bitmaps(job_log: DataFrame, dictionary: DataFrame, user: str = "user_id") -> DataFrame:
-    """Which users were active per table and day, exactly: bits of their numbers, in blocks of a fixed size.
+    """Which users were active per table and day, exactly: bits of their numbers, in blocks of 64.
 
-    Blocks are merged by :func:`unique_users_from_bitmaps`. The log is
-    reduced to one row per table, day and user before it meets the dictionary.
+    A block is one number and only blocks with a user are rows, so there are never more rows than
+    users of a table and day, and a table with many users has few per user. Blocks are merged by
+    :func:`unique_users_from_bitmaps`. The log is reduced to one row per table, day and user
+    before it meets the dictionary.
     """
     active = (
         job_log.select(*ID_COLS, "dt", F.col(user).alias("user_id"))
@@ -226,9 +228,9 @@ def daily_user_bitmaps(job_log: DataFrame, dictionary: DataFrame, user: str = "u
         .distinct()
         .join(dictionary, "user_id")
     )
-    number = F.col("user_number")
-    return active.groupBy(*ID_COLS, "dt", F.bitmap_bucket_number(number).alias("block")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("user_bits")
+    bit = F.expr("shiftleft(1L, CAST(user_number % 64 AS INT))")
+    return active.groupBy(*ID_COLS, "dt", F.expr("user_number div 64").alias("block")).agg(
+        F.bit_or(bit).alias("user_bits")
     )
 
 
@@ -245,5 +247,5 @@ def unique_users_from_bitmaps(
     window = in_window(bitmaps, as_of, days_back)
     if last_day is not None:
         window = window.where(F.col("dt") <= F.lit(last_day))
-    merged = window.groupBy(*ID_COLS, "block").agg(F.bitmap_count(F.bitmap_or_agg("user_bits")).alias("users"))
+    merged = window.groupBy(*ID_COLS, "block").agg(F.bit_count(F.bit_or("user_bits")).alias("users"))
     return merged.groupBy(*ID_COLS).agg(F.sum("users").alias("unique_user_exact"))

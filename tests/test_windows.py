@@ -69,3 +69,17 @@ def test_two_rows_per_table(spark, log):
     day = DAY - dt.timedelta(days=30)
     held = totals.where(f"dt <= DATE '{day}' AND (until IS NULL OR until >= DATE '{day}')")
     assert held.groupBy("project_id", "dataset_id", "table_id").count().where("count > 1").count() == 0
+
+
+def test_bitmaps_are_no_wider_than_their_users(spark):
+    """Scattered users, and all bits of a block, also the sign's."""
+    few = [("p", "d", "few", n * 997, DAY) for n in range(128)]
+    many = [("p", "d", "many", n, DAY) for n in range(130)] * 2
+    df = spark.createDataFrame(few + many, LOG)
+    dictionary = spark.createDataFrame([(n, n) for n in {r[3] for r in few + many}], "user_id long, user_number long")
+    bitmaps = usage.daily_user_bitmaps(df, dictionary)
+    assert {f.name: f.dataType.simpleString() for f in bitmaps.schema}["user_bits"] == "bigint"
+    assert {r.table_id: r["count"] for r in bitmaps.groupBy("table_id").count().collect()} == {"few": 128, "many": 3}
+    found = usage.unique_users_from_bitmaps(bitmaps, DAY)
+    assert {r.table_id: r.unique_user_exact for r in found.collect()} == {"few": 128, "many": 130}
+    assert found.schema["unique_user_exact"].dataType.simpleString() == "bigint"
