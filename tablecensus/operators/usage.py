@@ -163,18 +163,25 @@ def usage_totals(usage: DataFrame) -> DataFrame:
     the last), so on any day one row per table has all that came before. Stored once
     beside the daily usage, any look-back needs two rows of it per table. Rows without a day are left out.
     """
-    days = usage.where(F.col("dt").isNotNull()).groupBy(*ID_COLS, "dt").agg(
-        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("job_count", "unique_user")]
-    )
-    # of a table there are no more rows than days
+    days = usage.where(F.col("dt").isNotNull())
+    # in order of the days rows of one day tie and get one total, so they need not be added up before
     here = Window.partitionBy(*ID_COLS).orderBy("dt")
-    so_far = here.rowsBetween(Window.unboundedPreceding, 0)
-    return days.select(
-        *ID_COLS,
-        "dt",
-        F.sum("job_count").over(so_far).alias("total_jobs"),
-        F.sum("unique_user").over(so_far).alias("total_users"),
-        F.date_sub(F.lead("dt").over(here), 1).alias("until"),
+    so_far = here.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+
+    def total(c: str) -> Column:
+        return F.coalesce(F.sum(c).over(so_far), F.lit(0))
+
+    return (
+        days.select(
+            *ID_COLS,
+            "dt",
+            total("job_count").alias("total_jobs"),
+            total("unique_user").alias("total_users"),
+            F.lead("dt").over(here).alias("next"),
+        )
+        .where(F.col("next").isNull() | (F.col("next") > F.col("dt")))  # of a day the last row
+        .withColumn("until", F.date_sub("next", 1))
+        .drop("next")
     )
 
 

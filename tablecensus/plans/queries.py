@@ -18,7 +18,7 @@ from tablecensus.schemas import (
     TABLE_COLS,
     TABLE_TYPES,
 )
-from tablecensus.session import new_folder
+from tablecensus.session import bounded_tasks, new_folder
 from tablecensus.sources import derived
 from tablecensus.sources.inputs import read_catalog, read_links, read_usage, read_user_sketches
 from tablecensus.sources.outputs import read_export, write_daily_usage
@@ -186,7 +186,8 @@ def _windows(counts: Callable) -> DataFrame:
 def reference_counts_any_window(spark: SparkSession, folder: str) -> DataFrame:
     """Several look-backs from running totals that are stored once: two rows per table each."""
     path = new_folder(spark, "usage-totals")
-    usage.usage_totals(derived.usage(spark, folder)).write.parquet(path)
+    with bounded_tasks(spark, derived.read(spark, folder, "lineitem").count()):
+        usage.usage_totals(derived.usage(spark, folder)).write.parquet(path)
     totals = spark.read.parquet(path)
     return _windows(lambda *window: usage.reference_counts_from_totals(totals, *window))
 

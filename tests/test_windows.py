@@ -4,6 +4,7 @@ import random
 import pytest
 
 from tablecensus.operators import usage
+from tablecensus.session import bounded_tasks
 
 DAY = dt.date(2024, 3, 1)
 LOG = "project_id string, dataset_id string, table_id string, user_id long, dt date"
@@ -83,3 +84,26 @@ def test_bitmaps_are_no_wider_than_their_users(spark):
     found = usage.unique_users_from_bitmaps(bitmaps, DAY)
     assert {r.table_id: r.unique_user_exact for r in found.collect()} == {"few": 128, "many": 130}
     assert found.schema["unique_user_exact"].dataType.simpleString() == "bigint"
+
+
+def test_totals_of_repeated_days_need_no_aggregation(spark):
+    """Rows of one day count together, null counts as none, and nothing is grouped before the window."""
+    rows = [("a", 0, 1, None), ("a", 0, 2, 5), ("a", 3, None, 1), ("b", 1, None, None), ("a", None, 9, 9)]
+    rows = [("p", None, t, None if d is None else DAY + dt.timedelta(days=d), jobs, users) for t, d, jobs, users in rows]
+    daily = spark.createDataFrame(rows, "project_id string, dataset_id string, table_id string, dt date, job_count long, unique_user long")
+    totals = usage.usage_totals(daily)
+    assert sorted(tuple(r)[2:] for r in totals.collect()) == [
+        ("a", DAY, 3, 5, DAY + dt.timedelta(days=2)), ("a", DAY + dt.timedelta(days=3), 3, 6, None),
+        ("b", DAY + dt.timedelta(days=1), 0, 0, None),
+    ]
+    assert "Aggregate" not in totals._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tasks_stay_bounded(spark):
+    name, size = "spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(name), spark.conf.get(size)
+    with bounded_tasks(spark, 10_000_001):
+        assert int(spark.conf.get(name)) == 21 and int(spark.conf.get(size)) == 16 << 20
+    with bounded_tasks(spark, 10):
+        assert spark.conf.get(name) == before[0]
+    assert (spark.conf.get(name), spark.conf.get(size)) == before
