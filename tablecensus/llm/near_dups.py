@@ -141,6 +141,21 @@ def band_rows(classes: DataFrame) -> DataFrame:
     )
 
 
+def distinct_buckets(shared: DataFrame) -> DataFrame:
+    """Of buckets with the very same classes one only: what meets in it has met in all of them.
+
+    Copies of a text share many bands, so most buckets are such repetitions, and each would send its members' sketches
+    and sets again. Buckets are told apart by their number of classes, the least and two fingerprints of them all.
+    """
+    members = shared.groupBy("bucket").agg(
+        F.min("hub").alias("hub"),
+        F.count(F.lit(1)).alias("n"),
+        *[F.bit_xor(F.xxhash64("cls", F.lit(salt))).alias(f"print_{salt}") for salt in (1, 2)],
+    )
+    one = members.groupBy("hub", "n", "print_1", "print_2").agg(F.min("bucket").alias("bucket"))
+    return stored(shared.join(one.select("bucket"), "bucket", "left_semi"), "distinct-buckets")
+
+
 def plausible(pairs: DataFrame, classes: DataFrame, percent: int = PERCENT, margin: float = MARGIN) -> DataFrame:
     """Those of the pairs ``a, b`` whose sketches leave it open that they are similar."""
     for side in ("a", "b"):
@@ -423,7 +438,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     bands = band_rows(classes)
     hubs = bands.groupBy("bucket").agg(F.min("cls").alias("hub"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     hubs = stored(hubs.select("bucket", "hub"), "hubs")
-    shared = stored(bands.join(hubs, "bucket"), "shared-bands")
+    shared = distinct_buckets(stored(bands.join(hubs, "bucket"), "shared-bands"))
     stars = shared.where(F.col("cls") != F.col("hub")).groupBy("cls").agg(F.min("hub").alias("hub"))
     stars = stored(plausible(stars.select(F.col("cls").alias("a"), F.col("hub").alias("b")), classes, percent), "stars")
     ends = stars.select(F.col("a").alias("cls")).union(stars.select("b"))

@@ -181,3 +181,12 @@ def test_whole_sets_are_compared_exactly(seed):
     for one in sets:
         got = near_dups.overlapping(one.tobytes(), [s.tobytes() for s in sets], 75)
         assert got.tolist() == [near_dups.similar(one, s) for s in sets]
+
+
+def test_buckets_with_the_same_classes_meet_once(spark):
+    rows = [(b, c, 1) for b in (10, 11, 12) for c in (1, 2, 3)] + [(13, c, 1) for c in (1, 2)] + [(14, c, 2) for c in (2, 3)]
+    rows += [(15, c, 2) for c in (2, 3)]
+    found = near_dups.distinct_buckets(spark.createDataFrame(rows, "bucket long, cls long, hub long"))
+    assert sorted(map(tuple, found.select("bucket", "cls").collect())) == [
+        (10, 1), (10, 2), (10, 3), (13, 1), (13, 2), (14, 2), (14, 3)
+    ]
