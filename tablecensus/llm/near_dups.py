@@ -23,6 +23,8 @@ MARGIN = 0.2
 TINY = 32
 # Members of a bucket that are compared in one piece with those of other components, in sketches of 512 bytes.
 BLOCK, SLICE = 512, 4_096
+# A piece is at most some 3 MB, so a task gets few at once.
+PIECE_BYTES = 8 << 20
 NO_ID = (1 << 63) - 1
 
 
@@ -389,7 +391,7 @@ def _further_links(
     """
     roots = components(links)
     any_share = classes.withColumn("shared", F.col("n_shingles"))
-    open_classes = stored(across(bands, any_share, roots, percent, MARGIN, links=False), "open-classes")
+    open_classes = stored(across(bands, any_share, roots, percent, MARGIN, links=False), "open-classes", PIECE_BYTES)
     if not open_classes.limit(1).count():
         return roots
     texts = texts_of(open_classes, classes, docs)
@@ -405,7 +407,7 @@ def _further_links(
     second = stored(plausible(second.join(stars, ["a", "b"], "left_anti"), classes, percent), "stars")
     known_links = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
     roots = components(known_links.unionByName(verified(second, texts, words, percent)))
-    more = stored(across(bands, known, roots, percent, MARGIN, links=True), "further-links")
+    more = stored(across(bands, known, roots, percent, MARGIN, links=True), "further-links", PIECE_BYTES)
     if not more.limit(1).count():
         return roots
     known_links = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))

@@ -1,10 +1,12 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tablecensus.llm import near_dups
 from tablecensus.llm.components import components
+from tablecensus.llm.frames import BATCH_BYTES, stored
 from tablecensus.llm.near_dups import estimated, near_duplicates, registers
 from tablecensus.llm.words import mixed, shingle_sets
 
@@ -190,3 +192,15 @@ def test_buckets_with_the_same_classes_meet_once(spark):
     assert sorted(map(tuple, found.select("bucket", "cls").collect())) == [
         (10, 1), (10, 2), (10, 3), (13, 1), (13, 2), (14, 2), (14, 3)
     ]
+
+
+def test_large_rows_go_to_python_a_few_at_once(spark):
+    def rows(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    before = spark.conf.get(BATCH_BYTES)
+    large = spark.range(0, 24, numPartitions=1).selectExpr("repeat(chr(65 + id), 1048576) AS piece")
+    found = stored(large.mapInArrow(rows, "n long"), "batches", 4 << 20)
+    sizes = [r.n for r in found.collect()]
+    assert sum(sizes) == 24 and max(sizes) <= 6 and spark.conf.get(BATCH_BYTES) == before
