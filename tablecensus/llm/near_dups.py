@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablecensus.llm.components import components
-from tablecensus.llm.frames import stored, utf8
+from tablecensus.llm.frames import small, stored, utf8
 from tablecensus.llm.words import grouped, mixed, shingle_sets
 
 # A sketch has this many registers of 32 bits: leading zeros, then bits that follow. With
@@ -183,6 +183,8 @@ def plausible(pairs: DataFrame, classes: DataFrame, percent: int = PERCENT, marg
 def texts_of(chosen: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """``cls, bytes``: the text that stands for each of the classes in ``chosen`` (column ``cls``), stored."""
     wanted = stored(classes.select("cls", "id", "text_hash").join(chosen.distinct(), "cls", "left_semi"), "wanted")
+    # three numbers each; where they are few enough the texts need not be shuffled to find them
+    wanted = small(wanted, F.lit(24))
     texts = stored(keyed(docs).join(wanted, ["id", "text_hash"]).select("cls", "bytes"), "texts")
     return texts
 

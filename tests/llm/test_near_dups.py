@@ -204,3 +204,17 @@ def test_large_rows_go_to_python_a_few_at_once(spark):
     found = stored(large.mapInArrow(rows, "n long"), "batches", 4 << 20)
     sizes = [r.n for r in found.collect()]
     assert sum(sizes) == 24 and max(sizes) <= 6 and spark.conf.get(BATCH_BYTES) == before
+
+
+def test_texts_are_not_shuffled_for_few_classes(spark, monkeypatch):
+    plans = {}
+
+    def seen(df, label, *rest):
+        plans[label] = df._jdf.queryExecution().optimizedPlan().toString()
+        return stored(df, label, *rest)
+
+    monkeypatch.setattr(near_dups, "stored", seen)
+    docs = spark.createDataFrame([(1, "a b"), (2, "c d")], "doc_id long, text string")
+    rows = near_dups.keyed(docs).where("id = 2").selectExpr("7L AS cls", "id", "text_hash")
+    found = near_dups.texts_of(spark.createDataFrame([(7,)], "cls long"), rows, docs)
+    assert [tuple(r) for r in found.collect()] == [(7, b"c d")] and "strategy=broadcast" in plans["texts"]
