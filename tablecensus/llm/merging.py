@@ -26,13 +26,19 @@ class Merges:
         return np.where(self.keys[at] == key, self.ranks[at], NEVER)
 
     def join(self, tokens: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
-        """The tokens of each piece when nothing is left to join.
+        """The tokens of each piece when nothing is left to join, see :meth:`join_flat`."""
+        tokens, sizes = self.join_flat(tokens, sizes)
+        ends = np.cumsum(sizes)
+        return [tokens[low:high] for low, high in zip((ends - sizes).tolist(), ends.tolist())]
+
+    def join_flat(self, tokens: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of all pieces when nothing is left to join, and how many each has.
 
         ``tokens`` are those of all pieces one after another, ``sizes`` (none 0) how many each has. Each
         turn joins in every piece the pair of least rank, of equal ones the leftmost; a
         piece without such a pair is done and leaves.
         """
-        done: list[np.ndarray] = [None] * len(sizes)
+        done: list[tuple[np.ndarray, ...]] = []
         piece, tokens, sizes = np.arange(len(sizes)), tokens.copy(), sizes.copy()
         starts = np.cumsum(sizes) - sizes
         rank = np.append(self.rank(tokens[:-1], tokens[1:]), NEVER) if len(tokens) else tokens
@@ -41,9 +47,8 @@ class Merges:
             least = np.minimum.reduceat(rank, starts)
             over = least == NEVER
             if over.any():
-                for p, low, size in zip(piece[over].tolist(), starts[over].tolist(), sizes[over].tolist()):
-                    done[p] = tokens[low : low + size]
                 stays = np.repeat(~over, sizes)
+                done.append((piece[over], sizes[over], tokens[~stays]))
                 tokens, rank = tokens[stays], rank[stays]
                 piece, sizes, least = piece[~over], sizes[~over], least[~over]
                 if not len(piece):
@@ -64,4 +69,13 @@ class Merges:
             rank[at[last]] = NEVER
             for changed in (at[~last], at[at > starts] - 1):
                 rank[changed] = self.rank(tokens[changed], tokens[changed + 1])
-        return done
+        if not done:
+            return tokens, sizes
+        piece, sizes, tokens = map(np.concatenate, zip(*done))
+        order = np.argsort(piece)
+        return tokens[runs((np.cumsum(sizes) - sizes)[order], sizes[order])], sizes[order]
+
+
+def runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of runs that begin at ``starts`` and are ``sizes`` long, one after another."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())

@@ -4,26 +4,35 @@ import json
 import os
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablecensus.llm.frames import parts_for, stored
-from tablecensus.llm.merging import Merges
+from tablecensus.llm.frames import TEXT_BATCH_BYTES, parts_for, stored
+from tablecensus.llm.merging import Merges, runs
 
 PIECES_SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 # Pieces that are packed together; the number of such groups grows with the table.
 GROUP_PIECES = 2_048
 # Words whose ids a task remembers.
 REMEMBERED_WORDS = 500_000
+# Bytes of texts that are parted into words at a time, and up to one text more.
+BYTES_AT_ONCE = 4 << 20
 
 
-class WordIds(dict):
-    """The ids of every word met so far, as bytes of unsigned 32-bit numbers.
+def _strings(found: pa.Array) -> list[str]:
+    """What ``to_pylist`` gives, without an object of Arrow for each."""
+    return found.to_numpy(zero_copy_only=False).tolist()
+
+
+class WordIds:
+    """The ids of every word met so far, in one array of unsigned 32-bit numbers.
 
     The tokenizer drops white space and never joins what it parts, so the ids of
     a text are those of its words one after another. It lower-cases, and a full
@@ -32,37 +41,82 @@ class WordIds(dict):
     """
 
     def __init__(self, tokenizer_file: str):
-        super().__init__({"": b""})
         self.tokenizer = _tokenizer(tokenizer_file)
         self.letters = _letters(tokenizer_file)
-        self.cores: dict[str, bytes] = {"": b""}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.numbers: dict[str, int] = {}
+        self.flat, self.starts, self.sizes = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self._add([""], np.zeros(0, "<u4"), np.zeros(1, np.int64))
+
+    def __len__(self) -> int:
+        return len(self.numbers)
+
+    def __getitem__(self, word: str) -> bytes:
+        at = self.numbers[word]
+        return self.flat[self.starts[at] : self.starts[at] + self.sizes[at]].tobytes()
+
+    def _add(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.numbers.update(zip(words, range(len(self.sizes), len(self.sizes) + len(words))))
+        self.starts = np.append(self.starts, len(self.flat) + np.cumsum(sizes) - sizes)
+        self.sizes = np.append(self.sizes, sizes)
+        self.flat = np.append(self.flat, ids.astype("<u4"))
 
-    def learn(self, words: set[str]) -> None:
+    def _of(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
+
+    def _joined(self, numbers: np.ndarray) -> np.ndarray:
+        """The ids of words, given their numbers, one after another."""
+        return self.flat[runs(self.starts[numbers], self.sizes[numbers])]
+
+    def learn(self, words: Iterable[str]) -> None:
         """Look up what is new among ``words``: plain ones side by side, others in one call of the tokenizer."""
         if len(self) > REMEMBERED_WORDS:
-            self.clear()
-            self.cores.clear()
-            self[""] = self.cores[""] = b""
-        parts = []
-        for word in words.difference(self):
-            core, mark = word, ""
-            if word[-1] in ".," and word[-2:-1].lower().isalpha():
-                core, mark = word[:-1], word[-1]
-            parts.append((word, core.lower() if core.isascii() else core, mark))
-        cores = self.cores
-        new = {core for _, core, _ in parts if core not in cores} | {mark for mark in ".," if mark not in cores}
-        plain = [core for core in new if PLAIN(core)] if self.letters else []
+            self._forget()
+        new = [word for word in words if word not in self.numbers]
+        if not new:
+            return
+        given = pa.array(new, pa.string())
+        marked = pc.match_substring_regex(given, MARKED)
+        bare = pc.if_else(marked, pc.utf8_slice_codeunits(given, 0, -1), given)
+        # capitals of these letters have one small letter each, which no normaliser changes
+        cores = pc.if_else(pc.match_substring_regex(bare, LOWERED), pc.utf8_lower(bare), bare)
+        unknown = [c for c in dict.fromkeys(_strings(pc.unique(cores)) + [".", ","]) if c not in self.numbers]
+        plain = list(filter(PLAIN, unknown)) if self.letters else []
         if plain:
-            cores.update(zip(plain, self.letters.ids(plain)))
-        other = [core for core in new if core not in cores]
-        for core, found in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False)):
-            cores[core] = np.array(found.ids, "<u4").tobytes()
-        for word, core, mark in parts:
-            self[word] = cores[core] + cores[mark]
-
-
-# Words of small letters that no normaliser changes and that are one part whole.
+            self._add(plain, *self.letters.ids_flat(plain))
+        other = [core for core in unknown if core not in self.numbers]
+        if other:
+            found = [one.ids for one in self.tokenizer.encode_batch_fast(other, add_special_tokens=False)]
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            self._add(other, np.fromiter(chain.from_iterable(found), "<u4", sizes.sum()), sizes)
+        # other forms have the ids of the core, then those of the mark
+        forms = [(word, core) for word, core in zip(new, _strings(cores)) if word not in self.numbers]
+        parts = np.zeros((len(forms), 2), np.int64)  # word 0 is empty
+        parts[:, 0] = self._of([core for _, core in forms])
+        ends = {mark: self.numbers[mark] for mark in ".,"}
+        parts[:, 1] = [ends[word[-1]] if len(word) != len(core) else 0 for word, core in forms]
+        self._add([word for word, _ in forms], self._joined(parts.ravel()), self.sizes[parts].sum(1))
+
+    def of_texts(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, each with ``end_id`` behind, and how many each has."""
+        parts = pc.split_pattern(pc.replace_substring(texts.fill_null(""), "\n", " "), " ")
+        found = parts.flatten().dictionary_encode()
+        words = _strings(found.dictionary)
+        self.learn(words)
+        numbers = self._of(words)[found.indices.to_numpy()]
+        counts = parts.value_lengths().to_numpy().astype(np.int64)
+        totals = np.add.reduceat(self.sizes[numbers], np.cumsum(counts) - counts)  # no text is without a word
+        ids = self._joined(numbers)
+        return np.insert(ids, np.cumsum(totals), end_id), totals + 1
+
+
+# Words of small letters that no normaliser changes and that are one part whole; words of those
+# and their capitals; such a letter, or another of ASCII, and a mark that is a part of its own.
 PLAIN = re.compile("[a-zß-öø-ÿ]{1,64}").fullmatch
+LOWERED = r"\A(?:[[:ascii:]]*|[A-Za-zÀ-ÖØ-Þß-öø-ÿ]*)\z"
+MARKED = r"[A-Za-zÀ-ÖØ-Þß-öø-ÿ][.,]\z"
 
 
 class Letters:
@@ -80,13 +134,14 @@ class Letters:
             (vocabulary[a], vocabulary[b], rank, vocabulary[a + b]) for rank, (a, b) in enumerate(merges)
         )
 
-    def ids(self, words: list[str]) -> list[bytes]:
+    def ids_flat(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words one after another, and how many each has."""
         coded = [word.encode() for word in words]
-        sizes = np.array([len(word) for word in coded], np.int64)
+        sizes = np.fromiter(map(len, coded), np.int64, len(coded))
         data = np.frombuffer(b"".join(coded), np.uint8)
         tokens, ends = self.inner[data], np.cumsum(sizes) - 1
         tokens[ends] = self.last[data[ends]]
-        return [found.astype("<u4").tobytes() for found in self.merges.join(tokens, sizes)]
+        return self.merges.join_flat(tokens, sizes)
 
 
 @cache
@@ -105,7 +160,8 @@ def _letters(tokenizer_file: str) -> Letters | None:
     letters = [chr(c) for c in range(256) if PLAIN(chr(c))]
     tried = [*letters, *[a + b + a for a, b in zip(letters, letters[1:])], "".join(letters[:40])]
     asked = _tokenizer(tokenizer_file).encode_batch_fast(tried, add_special_tokens=False)
-    same = found.ids(tried) == [np.array(a.ids, "<u4").tobytes() for a in asked]
+    ids, sizes = found.ids_flat(tried)
+    same = ids.tolist() == [i for a in asked for i in a.ids] and sizes.tolist() == [len(a.ids) for a in asked]
     return found if same else None
 
 
@@ -125,30 +181,30 @@ def token_pieces(docs: DataFrame, tokenizer_file: str, capacity: int = 4096, end
     One row per piece with its place, length and checksum. ``tokenizer_file`` is a
     path that exists on every executor.
     """
-    end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordIds(tokenizer_file)  # of this task, so what it remembers goes with it
         for batch in batches:
-            keys = batch.column(0).to_pylist()
+            keys, texts = batch.column(0).to_pylist(), batch.column(1)
             rows: list[tuple] = []
-            for low in range(0, len(keys), 256):
-                texts = [
-                    (t or "").replace("\n", " ").split(" ")
-                    for t in batch.column(1).slice(low, 256).to_pylist()
-                ]
-                known.learn(set().union(*texts))
-                for key, words in zip(keys[low : low + 256], texts):
-                    ids = b"".join(map(known.__getitem__, words)) + end
-                    total = len(ids) // 4
+            sizes = pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False)
+            share = np.cumsum(sizes, dtype=np.int64) // BYTES_AT_ONCE
+            edges = [0, *(np.flatnonzero(np.diff(share)) + 1).tolist(), len(keys)] if keys else []
+            for low, high in zip(edges, edges[1:]):
+                ids, totals = known.of_texts(texts.slice(low, high - low), end_id)
+                at = 0
+                for key, total in zip(keys[low:high], totals.tolist()):
                     for start in range(0, total, capacity):
-                        piece = ids[4 * start : 4 * (start + capacity)]
-                        rows.append((key, start, len(piece) // 4, zlib.crc32(piece), total))
+                        piece = ids[at + start : at + min(start + capacity, total)]
+                        rows.append((key, start, len(piece), zlib.crc32(piece), total))
+                    at += total
             columns = list(zip(*rows)) or [()] * 5
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, pa.int64()) for c in columns],
                 names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"],
             )
+            del batch, texts
+            pa.default_memory_pool().release_unused()
 
     return docs.select("doc_id", "text").mapInArrow(cut, PIECES_SCHEMA)
 
@@ -258,5 +314,5 @@ def packed_sequences(
     looked at; no documents give no pieces. The pieces, without their ids, are
     stored once, so texts are read and encoded once.
     """
-    pieces = stored(token_pieces(docs, tokenizer_file, capacity, end_id), "pieces")
+    pieces = stored(token_pieces(docs, tokenizer_file, capacity, end_id), "pieces", TEXT_BATCH_BYTES)
     return pack(pieces, capacity, group_pieces)

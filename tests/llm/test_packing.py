@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -124,3 +125,44 @@ def test_plain_words_as_the_tokenizer_parts_them():
     tokenizer = packing._tokenizer(FILE)
     for word in words:
         assert np.frombuffer(known[word], "<u4").tolist() == tokenizer.encode(word, add_special_tokens=False).ids, word
+
+
+def test_texts_are_looked_up_whole(docs, odd, prose, tokenizer, monkeypatch):
+    draw = random.Random(5)
+    texts = [*odd, *[prose(i, draw.randrange(200)) for i in range(40)], "a . , The. the, THE ..", "ÜBER. Über, über é́."]
+    known = packing.WordIds(FILE)
+    for turn in range(2):  # the second time nothing is new
+        ids, totals = known.of_texts(pa.array(texts, pa.string()), 2)
+        ends = np.cumsum(totals)
+        got = [ids[end - n : end].tolist() for end, n in zip(ends.tolist(), totals.tolist())]
+        assert got == [[*tokenizer.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
+    rows = list(enumerate(texts))
+    monkeypatch.setattr(packing, "BYTES_AT_ONCE", 100)
+    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
+    batch = pa.RecordBatch.from_pylist([{"doc_id": i, "text": t} for i, t in rows], schema)
+    pieces = []
+
+    class Whole:  # stands for a DataFrame of one task
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, cut, schema):
+            pieces.extend(tuple(r.values()) for out in cut(iter([batch, batch.slice(0, 0)])) for r in out.to_pylist())
+
+    packing.token_pieces(Whole(), FILE, 128)
+    assert sorted(pieces, key=repr) == expected(tokenizer, rows, 128)
+
+
+def test_latin_capitals_and_marks_share_the_small_word(monkeypatch):
+    known = packing.WordIds(FILE)
+    known.learn({"über", "façade", "a", ".", ","})
+    asked = []
+
+    class Counting:
+        def encode_batch_fast(self, words, **options):
+            asked.extend(words)
+            return packing._tokenizer(FILE).encode_batch_fast(words, **options)
+
+    known.tokenizer = Counting()
+    known.learn({"Über", "ÜBER.", "über,", "Façade", "A."})
+    assert not asked and known["ÜBER."] == known["über"] + known["."]
