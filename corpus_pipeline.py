@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablecensus.llm.frames import ship_package, shipped, stored, table
+from tablecensus.llm.frames import TEXT_BATCH_BYTES, ship_package, shipped, stored, table
 from tablecensus.llm.near_dups import NO_ID, near_duplicates, row_key
 from tablecensus.llm.packing import packed_sequences
 from tablecensus.llm.quality import judged
@@ -21,9 +21,13 @@ PASSAGE = 200, 7
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity scores below 0.5; learned from the labels of those there are."""
+    """Documents whose toxicity scores below 0.5; learned from the labels of those there are.
+
+    Written here, so that texts go to Python in small batches: what a task holds of them outside of the heap, on
+    both sides, would stay with the executor in the stages that follow.
+    """
     model = learn(docs, table(spark, sf_dir, "labels"))
-    return docs.where(toxicity_score(docs, model) < 0.5)
+    return stored(docs.where(toxicity_score(docs, model) < 0.5), "toxicity", TEXT_BATCH_BYTES)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,8 +1,12 @@
 import random
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
+from tablecensus.llm import packing
+from tablecensus.llm.frames import TEXT_BATCH_BYTES, stored
 
 from test_near_dups import expected as near_expected  # noqa: I001
 from test_quality import statistics
@@ -92,3 +96,26 @@ def test_empty_and_repeated(spark, docs, tmp_path, prose):
             df = spark.read.parquet(f"{tmp_path}/{number}-{name}")
         pieces = corpus_pipeline.STAGES[-1][1](spark, df, str(tmp_path)).collect()
         assert [(r.doc_id, r.start) for r in pieces] == ([] if number == 0 else [(1, 0)])
+
+
+def test_texts_go_to_python_in_small_batches(spark, docs, folder, monkeypatch):
+    large = spark.range(100, numPartitions=1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), 200_000).alias("text"))
+
+    def rows(texts: pa.Array) -> pa.Array:
+        return pa.array([len(texts)] * len(texts), pa.int64())
+
+    counted = large.select(F.arrow_udf(rows, "bigint")("text").alias("n"))
+    assert stored(counted, "batches", TEXT_BATCH_BYTES).agg(F.max("n")).first()[0] <= 25
+    asked = []
+
+    def noted(df, label, batch_bytes=None):
+        asked.append((label, batch_bytes))
+        return stored(df, label, batch_bytes)
+
+    monkeypatch.setattr(corpus_pipeline, "stored", noted)
+    monkeypatch.setattr(packing, "stored", noted)
+    df = spark.read.parquet(f"{folder[0]}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        if name in ("toxicity", "packing"):
+            stage(spark, df, folder[0]).collect()
+    assert asked == [("toxicity", TEXT_BATCH_BYTES), ("pieces", TEXT_BATCH_BYTES)]
