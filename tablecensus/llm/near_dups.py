@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablecensus.llm.components import components
-from tablecensus.llm.frames import small, stored, utf8
+from tablecensus.llm.frames import TEXT_BATCH_BYTES, lean, small, stored, utf8
 from tablecensus.llm.words import grouped, mixed, shingle_sets
 
 # A sketch has this many registers of 32 bits: leading zeros, then bits that follow. With
@@ -25,6 +25,8 @@ TINY = 32
 BLOCK, SLICE = 512, 4_096
 # A piece is at most some 3 MB, so a task gets few at once.
 PIECE_BYTES = 8 << 20
+# Bytes of text whose shingles are found together; arrays over them hold many times as much.
+SHINGLE_BYTES = 512 << 10
 NO_ID = (1 << 63) - 1
 
 
@@ -87,7 +89,7 @@ def sketches(docs: DataFrame, words: int = WORDS) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             first = 0
-            for texts in grouped(batch.column(2).to_pylist()):
+            for texts in grouped(batch.column(2).to_pylist(), SHINGLE_BYTES):
                 n = len(texts)
                 values, owners = shingle_sets(texts, words)
                 sizes = np.bincount(owners, minlength=n)
@@ -104,7 +106,7 @@ def sketches(docs: DataFrame, words: int = WORDS) -> DataFrame:
                 )
                 first += n
 
-    return keyed(docs).mapInArrow(rows, _SKETCH)
+    return keyed(docs).mapInArrow(lean(rows), _SKETCH)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -139,7 +141,7 @@ def band_rows(classes: DataFrame) -> DataFrame:
             )
 
     return (
-        classes.where(F.col("n_shingles") > 2).select("cls", "sketch").mapInArrow(rows, "bucket bigint, cls bigint")
+        classes.where(F.col("n_shingles") > 2).select("cls", "sketch").mapInArrow(lean(rows), "bucket bigint, cls bigint")
     )
 
 
@@ -177,7 +179,7 @@ def plausible(pairs: DataFrame, classes: DataFrame, percent: int = PERCENT, marg
             keep = pa.array(tiny | (found >= percent / 100 - margin))
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(keep) for i in (0, 1)], names=["a", "b"])
 
-    return pairs.select("a", "b", "sketch_a", "sketch_b", "size_a", "size_b").mapInArrow(rows, "a bigint, b bigint")
+    return pairs.select("a", "b", "sketch_a", "sketch_b", "size_a", "size_b").mapInArrow(lean(rows), "a bigint, b bigint")
 
 
 def texts_of(chosen: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -192,12 +194,16 @@ def texts_of(chosen: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
 def _sets(column: list[bytes], words: int) -> list[np.ndarray]:
     """The shingle set of each text; of equal ones found once."""
     distinct = {t: n for n, t in enumerate(dict.fromkeys(column))}
-    values, owners = shingle_sets(list(distinct), words)
-    cuts = np.searchsorted(owners, np.arange(len(distinct) + 1))
-    sets = [values[x:y] for x, y in zip(cuts, cuts[1:])]
+    sets = [found for group in grouped(list(distinct), SHINGLE_BYTES) for found in _each_set(group, words)]
     return [sets[distinct[t]] for t in column]
 
 
+def _each_set(texts: list[bytes], words: int) -> list[np.ndarray]:
+    values, owners = shingle_sets(texts, words)
+    cuts = np.searchsorted(owners, np.arange(len(texts) + 1))
+    return [values[x:y] for x, y in zip(cuts, cuts[1:])]
+
+
 def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Those of the pairs ``a, b`` whose whole shingle sets are similar enough."""
     left = texts.select(F.col("cls").alias("a"), F.col("bytes").alias("bytes_a"))
@@ -214,7 +220,7 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
             chosen = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(chosen) for i in (0, 1)], names=["a", "b"])
 
-    return met.mapInArrow(rows, "a bigint, b bigint")
+    return met.mapInArrow(lean(rows), "a bigint, b bigint")
 
 
 def shingles_of(texts: DataFrame, words: int) -> DataFrame:
@@ -223,16 +229,14 @@ def shingles_of(texts: DataFrame, words: int) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             first = 0
-            for group in grouped(batch.column(1).to_pylist()):
-                values, owners = shingle_sets(group, words)
-                cuts = np.searchsorted(owners, np.arange(len(group) + 1))
-                sets = [values[x:y].astype("<u8").tobytes() for x, y in zip(cuts, cuts[1:])]
+            for group in grouped(batch.column(1).to_pylist(), SHINGLE_BYTES):
+                sets = [values.astype("<u8").tobytes() for values in _each_set(group, words)]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(first, len(group)), pa.array(sets, pa.binary())], names=["cls", "shingles"]
                 )
                 first += len(group)
 
-    return texts.select("cls", "bytes").mapInArrow(rows, "cls bigint, shingles binary")
+    return texts.select("cls", "bytes").mapInArrow(lean(rows), "cls bigint, shingles binary")
 
 
 def with_shared(classes: DataFrame, sets: DataFrame) -> DataFrame:
@@ -251,7 +255,7 @@ def with_shared(classes: DataFrame, sets: DataFrame) -> DataFrame:
                 )
 
     once = (
-        sets.mapInArrow(rows, "shingle bigint, cls bigint")
+        sets.mapInArrow(lean(rows), "shingle bigint, cls bigint")
         .groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("cls").alias("cls"))
         .where(F.col("n") == 1)
         .groupBy("cls").agg(F.count(F.lit(1)).alias("own"))
@@ -376,7 +380,7 @@ def across(bands: DataFrame, classes: DataFrame, roots: DataFrame, percent: int,
             every = np.unique(np.concatenate(found, 1), axis=1) if found else np.zeros((2, 0), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(every[0]), pa.array(every[1])], names=["a", "b"])
 
-    found = pieces.select("asking", "asked").mapInArrow(rows, "a bigint, b bigint")
+    found = pieces.select("asking", "asked").mapInArrow(lean(rows), "a bigint, b bigint")
     return found.distinct() if links else found.select(F.col("a").alias("cls")).distinct()
 
 
@@ -397,8 +401,8 @@ def _further_links(
     if not open_classes.limit(1).count():
         return roots
     texts = texts_of(open_classes, classes, docs)
-    sets = stored(shingles_of(texts, words), "open-shingles")
-    known = stored(with_shared(classes, sets), "open-sets")
+    sets = stored(shingles_of(texts, words), "open-shingles", TEXT_BATCH_BYTES)
+    known = stored(with_shared(classes, sets), "open-sets", TEXT_BATCH_BYTES)
     bands = stored(bands.join(open_classes, "cls", "left_semi"), "open-bands")
     least_own = F.struct(((F.col("n_shingles") - F.col("shared")) / F.col("n_shingles")).alias("own"), "cls")
     hubs = bands.join(known, "cls").groupBy("bucket").agg(F.min(least_own).alias("hub"))
@@ -408,7 +412,8 @@ def _further_links(
     second = second.select(F.greatest("cls", "hub").alias("a"), F.least("cls", "hub").alias("b")).distinct()
     second = stored(plausible(second.join(stars, ["a", "b"], "left_anti"), classes, percent), "stars")
     known_links = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-    roots = components(known_links.unionByName(verified(second, texts, words, percent)))
+    near = stored(verified(second, texts, words, percent), "links", TEXT_BATCH_BYTES)
+    roots = components(known_links.unionByName(near))
     more = stored(across(bands, known, roots, percent, MARGIN, links=True), "further-links", PIECE_BYTES)
     if not more.limit(1).count():
         return roots
@@ -431,7 +436,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     A null ``doc_id`` counts as larger than any other, and a component of such rows alone has
     a null id. Of wholly equal rows all are kept if one is. Columns besides ``doc_id`` and ``text`` are not looked at.
     """
-    rows = stored(sketches(docs, words), "sketches")
+    rows = stored(sketches(docs, words), "sketches", TEXT_BATCH_BYTES)
     classes = (
         rows.where(F.col("n_shingles") > 0)
         .groupBy("set_a", "set_b", "n_shingles")
@@ -446,7 +451,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     stars = shared.where(F.col("cls") != F.col("hub")).groupBy("cls").agg(F.min("hub").alias("hub"))
     stars = stored(plausible(stars.select(F.col("cls").alias("a"), F.col("hub").alias("b")), classes, percent), "stars")
     ends = stars.select(F.col("a").alias("cls")).union(stars.select("b"))
-    links = stored(verified(stars, texts_of(ends, classes, docs), words, percent), "links")
+    links = stored(verified(stars, texts_of(ends, classes, docs), words, percent), "links", TEXT_BATCH_BYTES)
     shared = shared.select("bucket", "cls")
     roots = _further_links(stars, links, shared, classes, docs, words, percent)
     roots = stored(roots, "roots")

@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablecensus.llm.frames import TEXT_BATCH_BYTES, parts_for, stored
+from tablecensus.llm.frames import TEXT_BATCH_BYTES, lean, parts_for, stored
 from tablecensus.llm.merging import Merges, runs
 
 PIECES_SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
@@ -206,7 +206,7 @@ def token_pieces(docs: DataFrame, tokenizer_file: str, capacity: int = 4096, end
             del batch, texts
             pa.default_memory_pool().release_unused()
 
-    return docs.select("doc_id", "text").mapInArrow(cut, PIECES_SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(lean(cut), PIECES_SCHEMA)
 
 
 def best_fill(counts: dict[int, int], space: int) -> dict[int, int]:

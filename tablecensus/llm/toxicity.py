@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablecensus.llm.frames import lean
+
 # Bytes each byte is written as before compression. A match costs zstandard three
 # or four bytes, as much as a short word; written wide, a word costs more.
 WIDTH = 6
@@ -205,7 +207,7 @@ def toxicity_score(docs: DataFrame, model: Dictionaries | None) -> Column:
             pa.default_memory_pool().release_unused()
 
     def typed(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        return scores(texts)
+        return lean(scores)(texts)
 
     return F.arrow_udf(typed, "double")(F.col("text"))
 

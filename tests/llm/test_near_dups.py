@@ -3,10 +3,11 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from tablecensus.llm import near_dups
+from tablecensus.llm import near_dups, words
 from tablecensus.llm.components import components
-from tablecensus.llm.frames import BATCH_BYTES, stored
+from tablecensus.llm.frames import BATCH_BYTES, TEXT_BATCH_BYTES, lean, stored
 from tablecensus.llm.near_dups import estimated, near_duplicates, registers
 from tablecensus.llm.words import mixed, shingle_sets
 
@@ -206,6 +207,43 @@ def test_large_rows_go_to_python_a_few_at_once(spark):
     assert sum(sizes) == 24 and max(sizes) <= 6 and spark.conf.get(BATCH_BYTES) == before
 
 
+def test_workers_keep_nothing_between_tasks(spark, docs, prose):
+    def held(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(words._powers)] * batch.num_rows)], names=["n"])
+
+    texts = docs(*[prose(i, 300) for i in range(64)]).repartition(16)
+    assert near_dups.sketches(texts).count() == 64 and near_dups.sketches(texts).agg(F.sum("n_shingles")).first()[0]
+    assert {r.n for r in spark.range(0, 64, numPartitions=16).mapInArrow(held, "n long").collect()} == {0}
+    # a task that is not read to its end gives back, too
+    powers_of = (words.powers(words.WORD_BASE, 9)[0][i : i + 1] for i in range(3))
+    run = lean(lambda batches: (len(words._powers) for _ in batches))(powers_of)
+    assert next(run) == 1 and words._powers
+    run.close()
+    assert not words._powers
+
+
+def test_texts_are_taken_in_small_batches_and_groups(spark, docs, prose, monkeypatch):
+    asked, sizes = {}, []
+
+    def noted(df, label, batch_bytes=None):
+        asked.setdefault(label, set()).add(batch_bytes)
+        return stored(df, label, batch_bytes)
+
+    def seen(texts, n):
+        sizes.append(len(texts))
+        return shingle_sets(texts, n)
+
+    monkeypatch.setattr(near_dups, "stored", noted)
+    base = prose(1, 400).split()
+    edited = [" ".join([*base[:i], "x", *base[i + 1 :]]) for i in range(0, 400, 10)]
+    near_duplicates(docs(*edited)).collect()
+    assert asked["sketches"] == asked["links"] == {TEXT_BATCH_BYTES}
+    monkeypatch.setattr(near_dups, "shingle_sets", seen)
+    found = near_dups._sets([("%d " % i * 100_000).encode() for i in range(10)], 5)
+    assert [len(s) for s in found] == [1] * 10 and max(sizes) == 2
+
+
 def test_texts_are_not_shuffled_for_few_classes(spark, monkeypatch):
     plans = {}
 
