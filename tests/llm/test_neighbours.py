@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from tablecensus.llm import neighbours
-from tablecensus.llm.neighbours import beam_search, build_graph, nearest, robust_prune
+from tablecensus.llm.neighbours import beam_search, best_pairs, build_graph, graph_index, nearest, robust_prune, usable_vectors
 
 VECTORS = "vec_id bigint, embedding array<float>"
 
@@ -53,6 +53,55 @@ def test_few_vectors_are_exact(spark):
     assert {q: [i for i, _ in v] for q, v in got.items()} == {q: [i for i, _ in v] for q, v in want.items()}
 
 
+@pytest.mark.parametrize("groups", [1, 64])
+def test_blocks_meet_shards_without_a_shuffle(spark, monkeypatch, groups):
+    monkeypatch.setattr(neighbours, "SHARD_GROUPS", groups)
+    rows = gaussian(300, 6)
+    df = spark.createDataFrame(rows, VECTORS)
+    found = nearest(df, df, 5, shard_vectors=15, block_queries=40)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Generate" not in plan and "SortMergeJoin" not in plan
+    got, want = result(found), exact(rows, rows, 5)
+    assert got.keys() == want.keys()
+    for q in want:
+        assert [i for i, _ in got[q]] == [i for i, _ in want[q]]
+        assert [s for _, s in got[q]] == pytest.approx([s for _, s in want[q]], abs=1e-14)
+
+
+def test_a_task_ranks_what_all_its_shards_find(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "SHARD_GROUPS", 1)
+    df = spark.createDataFrame(gaussian(300, 6), VECTORS)
+    found = nearest(df, df, 5, shard_vectors=15, block_queries=40)
+    found.collect()
+    plan, rows = found._jdf.queryExecution().executedPlan(), []
+
+    def walk(node):
+        if node.nodeName() == "AdaptiveSparkPlan":
+            return walk(node.executedPlan())
+        if node.nodeName().endswith("QueryStage"):
+            return walk(node.plan())
+        if node.nodeName() == "MapInArrow":
+            rows.append(node.metrics().apply("pythonNumRowsReceived").value())
+        for i in range(node.children().size()):
+            walk(node.children().apply(i))
+
+    walk(plan)
+    assert rows == [300 * 5]  # not as many from each of the 20 shards
+
+
+def test_single_and_double_precision(spark):
+    rows = gaussian(60, 5)
+    single = spark.createDataFrame(rows, VECTORS)
+    double = single.selectExpr("vec_id", "cast(embedding AS array<double>) AS embedding")
+    widths = [graph_index(usable_vectors(df), 6).first()["number_bytes"] for df in (single, double)]
+    assert widths == [4, 8]
+    want = result(nearest(single, single, 5))
+    assert result(nearest(single, double, 5)) == result(nearest(double, single, 5)) == want
+    close = [(0, [1.0, 0.0]), (1, [1.0, 1e-5]), (2, [1.0, 2e-5]), (3, [1.0, 3e-5])]  # alike in single precision
+    df = spark.createDataFrame(close, "vec_id bigint, embedding array<double>")
+    assert [i for i, _ in result(nearest(df, df, 2))[3]] == [2, 1]
+
+
 def test_copies_tie_to_smaller_ids(spark):
     copied = [1.0, 2.0, 3.0]
     rows = [(i, copied) for i in range(100, 400)] + [(i + 1000, v) for i, v in gaussian(50, 3)]
@@ -103,3 +152,28 @@ def test_graph_is_searchable_and_bounded():
     assert (np.diff(far, axis=1) >= 0).all()
     for n in (1, 2, 3):
         assert build_graph(unit[:n])[0].shape == (n, neighbours.DEGREE)
+
+
+def test_beams_hold_no_node_twice():
+    draw = np.random.default_rng(3)
+    unit = draw.normal(size=(300, 8))
+    unit = (unit / np.linalg.norm(unit, axis=1, keepdims=True)).astype(np.float32)
+    graph, entry = build_graph(unit, degree=12)
+    nodes, far, trail, _ = beam_search(unit, graph.astype(np.int64), entry, unit, 40)
+    assert all(len(set(r)) == len(r) for r in nodes) and all(len(set(r[r >= 0])) == (r >= 0).sum() for r in trail)
+    squares = 2 - 2 * np.take_along_axis(unit.astype(np.float64) @ unit.T, nodes, 1)
+    assert far**2 == pytest.approx(np.maximum(0, squares), abs=1e-5)
+
+
+def test_fewer_nodes_than_places():
+    unit = np.eye(3, dtype=np.float32)
+    nodes, far, trail, trail_far = beam_search(unit, np.array([[1, -1], [2, -1], [0, -1]]), 0, unit[1:], 8)
+    assert nodes[:, :3].tolist() in ([[1, 0, 2], [2, 0, 1]], [[1, 2, 0], [2, 1, 0]]) and (nodes[:, 3:] == -1).all()
+    assert np.isinf(far[:, 3:]).all() and sorted(trail[0][trail[0] >= 0]) == [0, 1, 2] and trail.shape == trail_far.shape
+
+
+def test_best_pairs():
+    none = -np.inf
+    ids, scores = best_pairs(np.array([[7, 3, 3, 9], [1, 2, 0, 0]]), np.array([[0.5, 0.5, 0.5, 0.4], [0.1, 0.2, none, none]]), 3)
+    assert ids[0].tolist() == [3, 7, 9] and scores[0].tolist() == [0.5, 0.5, 0.4]
+    assert ids[1, :2].tolist() == [2, 1] and scores[1].tolist() == [0.2, 0.1, none]
